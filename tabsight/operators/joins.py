@@ -1,0 +1,27 @@
+"""Joins with a checked broadcast side.
+
+A dimension side is broadcast only after its row count has been measured and is
+under ``max_rows``; otherwise the join stays a shuffle (sort-merge) join and AQE
+may still switch strategy at run time from real sizes.  The count on a Parquet
+table is answered from footers, so the check is cheap.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+DEFAULT_MAX_BROADCAST_ROWS = 2_000_000
+
+
+def small_enough(df: DataFrame, max_rows: int = DEFAULT_MAX_BROADCAST_ROWS) -> bool:
+    """True when ``df`` has at most ``max_rows`` rows (a Parquet scan counts from footers)."""
+    return df.count() <= max_rows
+
+
+def join_dimension(fact: DataFrame, dim: DataFrame, on, how: str = "inner",
+                   max_rows: int = DEFAULT_MAX_BROADCAST_ROWS) -> DataFrame:
+    """Join ``fact`` to ``dim``; broadcast ``dim`` only if its size is proven small."""
+    if small_enough(dim, max_rows):
+        return fact.join(F.broadcast(dim), on, how)
+    return fact.join(dim, on, how)
