@@ -88,8 +88,7 @@ def inclusion_dependencies(tables: TableSet, names: list[str] | None = None) ->
     long = _long_values(tables, cat)
 
     # 1. per value: which columns hold it (bit_or per 64-column word) and the ids to expand
-    masks = [F.bit_or(F.when(F.floor(F.col("cid") / WORD) == w,
-                             F.shiftleft(F.lit(1).cast("long"), F.col("cid") % WORD))
+    masks = [F.bit_or(F.when(F.floor(F.col("cid") / WORD) == w, F.expr(f"shiftleft(1L, cid % {WORD})"))
                       .otherwise(F.lit(0).cast("long"))).alias(f"m{w}")
              for w in range(n_words)]
     per_value = long.groupBy("domain", "value").agg(F.collect_set("cid").alias("cids"), *masks)
@@ -108,8 +107,8 @@ def inclusion_dependencies(tables: TableSet, names: list[str] | None = None) ->
     word_of_b = F.floor(F.col("b") / WORD)
     chosen = reduce(lambda acc, w: acc.when(word_of_b == w, F.col(f"m{w}")), range(1, n_words),
                     F.when(word_of_b == 0, F.col("m0")))
-    cand = cand.filter((F.shiftright(chosen, F.col("b") % WORD).bitwiseAND(F.lit(1)) == 1)
-                       & (F.col("b") != F.col("a")))
+    cand = (cand.withColumn("word", chosen)
+                .filter((F.expr(f"shiftright(word, b % {WORD}) & 1") == 1) & (F.col("b") != F.col("a"))))
     sizes = per_col.select(F.col("a").alias("b"), F.col("n_a").alias("n_b"))
     pairs = cand.select("a", "b", "n_a").join(sizes, "b").filter(F.col("n_a") < F.col("n_b"))
     A = schema.select(F.col("cid").alias("a"), F.col("table_name").alias("dep_table"),

@@ -34,13 +34,14 @@ def tables(spark: SparkSession, sf_dir: str, *names: str) -> TableSet:
     return load_tables(spark, sf_dir, list(names) if names else None)
 
 
-def rounded(df: DataFrame, digits: int = 4) -> DataFrame:
+def rounded(df: DataFrame, digits: int = 4, skip: tuple[str, ...] = ()) -> DataFrame:
     """Round floating columns so that engine-dependent summation order does not
-    change the compared value (the SQL side rounds the same columns)."""
+    change the compared value (the SQL side rounds the same columns).  Columns in
+    ``skip`` are exact in both engines (a ratio of two counts) and stay unrounded."""
     out = []
     for f in df.schema.fields:
         c = F.col(f"`{f.name}`")
-        if isinstance(f.dataType, (T.DoubleType, T.FloatType)):
+        if isinstance(f.dataType, (T.DoubleType, T.FloatType)) and f.name not in skip:
             c = F.round(c, digits).alias(f.name)
         out.append(c)
     return df.select(*out)

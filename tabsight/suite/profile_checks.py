@@ -1 +1,202 @@
-"""Checks (filled in below)."""
+"""Checks for the profiler."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from tabsight.catalog import DRIVER_TABLES
+from tabsight.operators.inclusion import inclusion_dependencies, joinable_columns
+from tabsight.operators.profile import head_tail, profile_columns, profile_tables
+from tabsight.suite.base import register, rounded, tables
+
+# Schema of the driver tables (name, type) as documented in FIXTURES.md.
+DRIVER_SCHEMA = {
+    "region": [("r_regionkey", "int"), ("r_name", "string")],
+    "nation": [("n_nationkey", "int"), ("n_name", "string"), ("n_regionkey", "int")],
+    "customer": [("c_custkey", "bigint"), ("c_name", "string"), ("c_nationkey", "int"),
+                 ("c_acctbal", "double"), ("c_mktsegment", "string")],
+    "supplier": [("s_suppkey", "bigint"), ("s_name", "string"), ("s_nationkey", "int"), ("s_acctbal", "double")],
+    "part": [("p_partkey", "bigint"), ("p_name", "string"), ("p_brand", "string"), ("p_type", "string"),
+             ("p_size", "int"), ("p_retailprice", "double")],
+    "orders": [("o_orderkey", "bigint"), ("o_custkey", "bigint"), ("o_orderstatus", "string"),
+               ("o_totalprice", "double"), ("o_orderdate", "timestamp"), ("o_orderpriority", "string")],
+    "lineitem": [("l_orderkey", "bigint"), ("l_partkey", "bigint"), ("l_suppkey", "bigint"),
+                 ("l_linenumber", "int"), ("l_quantity", "double"), ("l_extendedprice", "double"),
+                 ("l_discount", "double"), ("l_tax", "double"), ("l_returnflag", "string"),
+                 ("l_linestatus", "string"), ("l_shipdate", "timestamp")],
+    "events": [("event_id", "bigint"), ("ts", "timestamp"), ("user_id", "bigint"), ("event_type", "string"),
+               ("value", "double"), ("props", "string")],
+    "documents": [("doc_id", "bigint"), ("text", "string"), ("lang", "string"), ("source", "string"),
+                  ("n_chars", "bigint")],
+    "embeddings": [("vec_id", "bigint"), ("embedding", "array"), ("label", "int")],
+    "pages": [("page_id", "bigint"), ("url", "string"), ("html", "string")],
+    "benchmark": [("item_id", "bigint"), ("text", "string")],
+    "labels": [("doc_id", "bigint"), ("quality", "int"), ("toxic", "int")],
+    "conversations": [("conv_id", "bigint"), ("turn", "bigint"), ("role", "string"), ("text", "string")],
+}
+
+# Tables whose file order equals key order (checked on the driver data); the SQL side
+# orders by the key where the Spark side uses the real file position.
+KEY_ORDERED = {"region": "r_regionkey", "nation": "n_nationkey", "supplier": "s_suppkey",
+               "customer": "c_custkey", "part": "p_partkey", "orders": "o_orderkey",
+               "events": "event_id", "labels": "doc_id"}
+
+_INT_DTYPE = {"int": "int32", "bigint": "int64"}
+
+
+def _dtype_sql(c: str, typ: str) -> str:
+    if typ in _INT_DTYPE:
+        return f"CASE WHEN COUNT(*) > COUNT({c}) THEN 'float64' ELSE '{_INT_DTYPE[typ]}' END"
+    return {"double": "'float64'", "timestamp": "'datetime64[us]'"}.get(typ, "'object'")
+
+
+def _ltype_sql(c: str, typ: str) -> str:
+    if typ in _INT_DTYPE:
+        return f"CASE WHEN COUNT(*) > COUNT({c}) THEN 'float' ELSE 'int' END"
+    return {"double": "'float'", "timestamp": "'datetime'"}.get(typ, "'string'")
+
+
+def _column_profile_sql() -> str:
+    parts = []
+    for t, cols in DRIVER_SCHEMA.items():
+        for i, (c, typ) in enumerate(cols):
+            orderable = typ in ("int", "bigint", "double", "timestamp")
+            lo = f"CAST(MIN({c}) AS VARCHAR)" if orderable else "CAST(NULL AS VARCHAR)"
+            hi = f"CAST(MAX({c}) AS VARCHAR)" if orderable else "CAST(NULL AS VARCHAR)"
+            parts.append(
+                f"SELECT '{t}' AS table_name, '{c}' AS column_name, {i} AS ordinal, "
+                f"{_ltype_sql(c, typ)} AS data_type, {_dtype_sql(c, typ)} AS dtype, "
+                f"COUNT(*) > COUNT({c}) AS nullable, COUNT(*) - COUNT({c}) AS null_count, "
+                f"COUNT(DISTINCT {c}) AS unique_count, "
+                f"CASE WHEN COUNT(*) > 0 THEN COUNT(DISTINCT {c}) / COUNT(*) ELSE 0 END AS distinct_value_ratio, "
+                f"{lo} AS min_value, {hi} AS max_value, "
+                f"(COUNT(*) = COUNT({c}) AND COUNT(DISTINCT {c}) = COUNT(*)) AS is_pk_candidate, "
+                f"COUNT(*) AS row_count FROM {t}")
+    return "\nUNION ALL\n".join(parts)
+
+
+@register("P1_table_row_and_column_counts", "\nUNION ALL\n".join(
+    f"SELECT '{t}' AS table_name, COUNT(*) AS row_count, {len(cols)} AS column_count FROM {t}"
+    for t, cols in DRIVER_SCHEMA.items()))
+def p1(spark, sf_dir):
+    return profile_tables(tables(spark, sf_dir)).select("table_name", "row_count", "column_count")
+
+
+@register("P2_P7_P10_column_profile_all_tables", _column_profile_sql())
+def p2(spark, sf_dir):
+    prof = profile_columns(tables(spark, sf_dir), samples=False)
+    return rounded(prof.select("table_name", "column_name", "ordinal", "data_type", "dtype", "nullable",
+                               "null_count", "unique_count", "distinct_value_ratio", "min_value",
+                               "max_value", "is_pk_candidate", "row_count"), skip=("distinct_value_ratio",))
+
+
+def _samples_sql() -> str:
+    parts = []
+    for t, key in KEY_ORDERED.items():
+        for c, typ in DRIVER_SCHEMA[t]:
+            parts.append(
+                f"SELECT '{t}' AS table_name, '{c}' AS column_name, "
+                f"(SELECT STRING_AGG(v, '|' ORDER BY fk) FROM (SELECT CAST({c} AS VARCHAR) AS v, MIN({key}) AS fk "
+                f"FROM {t} WHERE {c} IS NOT NULL GROUP BY 1 ORDER BY fk LIMIT 5)) AS samples")
+    return "\nUNION ALL\n".join(parts)
+
+
+@register("P8_first_distinct_samples", _samples_sql())
+def p8(spark, sf_dir):
+    prof = profile_columns(tables(spark, sf_dir, *KEY_ORDERED))
+    return prof.select("table_name", "column_name", F.array_join("sample_values", "|").alias("samples"))
+
+
+@register("P9_head_tail_samples", """
+SELECT 'head' AS part, CAST(ROW_NUMBER() OVER (ORDER BY o_orderkey) - 1 AS INT) AS pos, o_orderkey, o_custkey,
+       o_orderstatus, ROUND(o_totalprice, 4) AS o_totalprice, o_orderdate, o_orderpriority
+FROM orders QUALIFY pos < 5
+UNION ALL
+SELECT 'tail' AS part, CAST(ROW_NUMBER() OVER (ORDER BY o_orderkey) - 1 - (COUNT(*) OVER () - 5) AS INT) AS pos,
+       o_orderkey, o_custkey, o_orderstatus, ROUND(o_totalprice, 4) AS o_totalprice, o_orderdate, o_orderpriority
+FROM orders QUALIFY pos >= 0""")
+def p9(spark, sf_dir):
+    return rounded(head_tail(tables(spark, sf_dir, "orders")["orders"]))
+
+
+def _canon_sql(c: str, typ: str) -> tuple[str, str] | None:
+    if typ in ("int", "bigint"):
+        return "num", f"CAST({c} AS VARCHAR)"
+    if typ == "double":
+        return "num", (f"CASE WHEN {c} = FLOOR({c}) THEN CAST(CAST({c} AS BIGINT) AS VARCHAR) "
+                       f"ELSE CAST({c} AS VARCHAR) END")
+    if typ == "string":
+        return "str", c
+    if typ == "timestamp":
+        return "ts", f"CAST({c} AS VARCHAR)"
+    return None
+
+
+def _ind_sql() -> str:
+    parts = []
+    for t, cols in DRIVER_SCHEMA.items():
+        for c, typ in cols:
+            cv = _canon_sql(c, typ)
+            if cv is None:
+                continue
+            d, v = cv
+            parts.append(f"SELECT DISTINCT '{t}' AS t, '{c}' AS c, '{d}' AS d, {v} AS v FROM {t} WHERE {c} IS NOT NULL")
+    long = "\n  UNION ALL ".join(parts)
+    return f"""
+WITH long AS (
+  {long}
+),
+cnt AS (SELECT t, c, COUNT(*) AS n FROM long GROUP BY t, c),
+pairs AS (
+  SELECT a.t AS dt, a.c AS dc, b.t AS rt, b.c AS rc, COUNT(*) AS k
+  FROM long a JOIN long b ON a.d = b.d AND a.v = b.v AND a.t <> b.t
+  GROUP BY a.t, a.c, b.t, b.c)
+SELECT dt AS dep_table, dc AS dep_column, rt AS ref_table, rc AS ref_column,
+       na.n AS dep_distinct, nb.n AS ref_distinct
+FROM pairs JOIN cnt na ON na.t = dt AND na.c = dc JOIN cnt nb ON nb.t = rt AND nb.c = rc
+WHERE k = na.n AND na.n < nb.n"""
+
+
+@register("P11_foreign_key_candidates", _ind_sql())
+def p11(spark, sf_dir):
+    return inclusion_dependencies(tables(spark, sf_dir))
+
+
+def _joinable_sql() -> str:
+    parts = []
+    for t, cols in DRIVER_SCHEMA.items():
+        for c, typ in cols:
+            parts.append(f"SELECT '{t}' AS t, '{c}' AS c, {_dtype_sql(c, typ)} AS dtype "
+                         f"FROM {t} HAVING COUNT(*) >= 0")
+    long = "\n  UNION ALL ".join(parts)
+    return f"""
+WITH cols AS (
+  {long}
+)
+SELECT l.t || '.' || l.c AS left_column, r.t || '.' || r.c AS right_column, l.dtype AS dtype
+FROM cols l JOIN cols r ON l.c = r.c AND l.dtype = r.dtype AND l.t < r.t"""
+
+
+@register("P12_joinable_columns", _joinable_sql())
+def p12(spark, sf_dir):
+    return joinable_columns(tables(spark, sf_dir))
+
+
+@register("P15_P19_report_summary_doc_labels", """
+SELECT 'doc_id' AS column_name, 'int64' AS dtype, COUNT(*) - COUNT(doc_id) AS missing FROM documents d LEFT JOIN labels l USING (doc_id)
+UNION ALL SELECT 'lang', 'object', COUNT(*) - COUNT(lang) FROM documents d LEFT JOIN labels l USING (doc_id)
+UNION ALL SELECT 'source', 'object', COUNT(*) - COUNT(source) FROM documents d LEFT JOIN labels l USING (doc_id)
+UNION ALL SELECT 'n_chars', 'int64', COUNT(*) - COUNT(n_chars) FROM documents d LEFT JOIN labels l USING (doc_id)
+UNION ALL SELECT 'quality', CASE WHEN COUNT(*) > COUNT(quality) THEN 'float64' ELSE 'int32' END, COUNT(*) - COUNT(quality)
+          FROM documents d LEFT JOIN labels l USING (doc_id)
+UNION ALL SELECT 'toxic', CASE WHEN COUNT(*) > COUNT(toxic) THEN 'float64' ELSE 'int32' END, COUNT(*) - COUNT(toxic)
+          FROM documents d LEFT JOIN labels l USING (doc_id)""")
+def p15(spark, sf_dir):
+    from tabsight.catalog import TableSet
+    from tabsight.suite.views import doc_labels_view
+    t = TableSet({"doc_labels": doc_labels_view(tables(spark, sf_dir, "documents", "labels"))})
+    prof = profile_columns(t, samples=False)
+    return prof.select("column_name", "dtype", F.col("null_count").alias("missing"))
+
+
+assert set(DRIVER_SCHEMA) == set(DRIVER_TABLES)
