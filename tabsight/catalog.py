@@ -26,30 +26,45 @@ def normalize_table_name(file_name: str) -> str:
     return re.sub(r"[^a-zA-Z0-9]+", "_", base).lower()
 
 
-ROW_ID_TYPE = "struct<file:string,block:bigint,pos:bigint>"
+ROW_ID_TYPE = "bigint"
+FILE_BITS_SHIFT = 40          # parquet: file ordinal << 40 | row index inside the file
+TEXT_FILE_SHIFT = 46          # text/CSV: file ordinal << 46 | split index << 33 | row inside the task
+TEXT_SPLIT_SHIFT = 33
 
 
-def parquet_row_id() -> Column:
-    """File order for parquet scans: (file path, 0, row index inside the file)."""
-    return F.struct(F.col("_metadata.file_path").alias("file"),
-                    F.lit(0).cast("bigint").alias("block"),
-                    F.col("_metadata.row_index").alias("pos"))
+def _strip_scheme(path: str) -> str:
+    return "/" + re.sub(r"^[a-zA-Z][a-zA-Z0-9+.-]*:/+", "", path).lstrip("/")
 
 
-def text_row_id() -> Column:
-    """File order for text/CSV scans: (file path, split start, id inside the split).
+def _file_ordinal(df: DataFrame) -> Column:
+    """Ordinal of the row's file in the sorted input file list (a driver-side listing,
+    bounded by the number of files; evaluated only when the row id is used)."""
+    files = sorted({_strip_scheme(f) for f in df.inputFiles()})
+    if len(files) <= 1:
+        return F.lit(0).cast("long")
+    path = F.concat(F.lit("/"), F.regexp_replace(F.col("_metadata.file_path"), r"^[a-zA-Z][a-zA-Z0-9+.-]*:/+", ""))
+    mapping = F.create_map(*[x for i, f in enumerate(files) for x in (F.lit(f), F.lit(i).cast("long"))])
+    return F.element_at(mapping, path)
 
-    ``monotonically_increasing_id`` grows inside one task; the split start orders
-    the tasks of one file, the path orders files."""
-    return F.struct(F.col("_metadata.file_path").alias("file"),
-                    F.col("_metadata.file_block_start").alias("block"),
-                    F.monotonically_increasing_id().alias("pos"))
+
+def parquet_row_id(df: DataFrame) -> Column:
+    """File order for Parquet scans as one long: (file ordinal, row index in the file)."""
+    return F.shiftleft(_file_ordinal(df), FILE_BITS_SHIFT) + F.col("_metadata.row_index")
+
+
+def text_row_id(df: DataFrame, split_bytes: int) -> Column:
+    """File order for text/CSV scans as one long: (file ordinal, split index, row inside
+    the task).  ``monotonically_increasing_id`` grows inside one task; the split index
+    orders the tasks reading one file; rows of one split are contiguous in its task."""
+    split = F.floor(F.col("_metadata.file_block_start") / F.lit(split_bytes)).cast("long")
+    inside = F.monotonically_increasing_id().bitwiseAND(F.lit((1 << TEXT_SPLIT_SHIFT) - 1))
+    return F.shiftleft(_file_ordinal(df), TEXT_FILE_SHIFT) + F.shiftleft(split, TEXT_SPLIT_SHIFT) + inside
 
 
 def read_parquet_table(spark: SparkSession, path: str, with_row_id: bool = True) -> DataFrame:
     df = spark.read.parquet(path)
     if with_row_id:
-        df = df.withColumn(ROW_ID, parquet_row_id())
+        df = df.withColumn(ROW_ID, parquet_row_id(df))
     return df
 
 

@@ -126,11 +126,11 @@ def agg_expr(func: str, col: str, dtype: T.DataType, row_id: str | None = None,
         return F.min_by(c, F.when(c.isNotNull(), order))
     if func == "last":
         return F.max_by(c, F.when(c.isNotNull(), order))
-    pos = order.getField("pos")
+    # row label = the file-order id (the row position for a single-file table)
     if func == "idxmax":
-        return F.min_by(pos, F.when(c.isNotNull(), F.struct((-x).alias("v"), order.alias("o"))))
+        return F.min_by(order, F.when(c.isNotNull(), F.struct((-x).alias("v"), order.alias("o"))))
     if func == "idxmin":
-        return F.min_by(pos, F.when(c.isNotNull(), F.struct(x.alias("v"), order.alias("o"))))
+        return F.min_by(order, F.when(c.isNotNull(), F.struct(x.alias("v"), order.alias("o"))))
     raise PlanError(f"unsupported aggregate function '{func}'")  # pragma: no cover
 
 

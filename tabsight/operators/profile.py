@@ -76,102 +76,146 @@ def _orderable(dt: T.DataType) -> bool:
         and not isinstance(dt, T.BooleanType)
 
 
-def table_scalars(name: str, df: DataFrame) -> DataFrame:
-    """Job 1 for one table: long rows (table, column, ordinal, row_count, null_count, min, max)."""
-    fields = [f for f in df.schema.fields if f.name != ROW_ID]
-    exprs = [F.count(F.lit(1)).alias("__rows")]
-    for i, f in enumerate(fields):
-        c = F.col(f"`{f.name}`")
-        exprs.append(F.sum(is_missing(c, f.dataType).cast("long")).alias(f"__n{i}"))
-        if _orderable(f.dataType):
-            v = F.when(~is_missing(c, f.dataType), c)
-            exprs.append(F.min(v).cast("string").alias(f"__lo{i}"))
-            exprs.append(F.max(v).cast("string").alias(f"__hi{i}"))
-    wide = df.agg(*exprs)
-    entries = []
-    for i, f in enumerate(fields):
-        lo = F.col(f"__lo{i}") if _orderable(f.dataType) else F.lit(None).cast("string")
-        hi = F.col(f"__hi{i}") if _orderable(f.dataType) else F.lit(None).cast("string")
-        nulls = F.coalesce(F.col(f"__n{i}"), F.lit(0))
-        entries.append(F.struct(
-            F.lit(f.name).alias("column_name"), F.lit(i).alias("ordinal"),
-            nulls.alias("null_count"),
-            logical_type(f.dataType, nulls > 0).alias("data_type"),
-            pandas_dtype(f.dataType, nulls > 0).alias("dtype"),
-            lo.alias("min_value"), hi.alias("max_value")))
-    if not entries:
-        return wide.select(F.lit(name).alias("table_name"), F.col("__rows").alias("row_count"),
-                           F.lit(None).cast("string").alias("column_name")).limit(0)
-    return (wide.select(F.lit(name).alias("table_name"), F.col("__rows").alias("row_count"),
-                        F.explode(F.array(*entries)).alias("e"))
-                .select("table_name", "row_count", "e.*"))
+ROWS_MARK = "\u0000rows"   # pseudo column whose single value counts the rows of a table
+
+
+def sort_key(c: Column, dt: T.DataType) -> tuple[Column, Column]:
+    """Exact ordering key for min/max on the long form as two primitive columns
+    (double, long): longs beyond 2^53 still order exactly, timestamps order by
+    microseconds; primitive buffers keep the aggregation hash-based."""
+    if isinstance(dt, (T.ByteType, T.ShortType, T.IntegerType, T.LongType)):
+        return c.cast("double"), c.cast("long")
+    if isinstance(dt, (T.FloatType, T.DoubleType, T.DecimalType)):
+        return c.cast("double"), F.lit(None).cast("long")
+    if isinstance(dt, (T.TimestampType, T.TimestampNTZType, T.DateType)):
+        micros = F.unix_micros(c.cast("timestamp_ntz").cast("timestamp")) if isinstance(dt, T.TimestampNTZType) \
+            else F.unix_micros(c.cast("timestamp"))
+        return micros.cast("double"), micros
+    return F.lit(None).cast("double"), F.lit(None).cast("long")
 
 
 def value_counts(tables: TableSet, names: list[str] | None = None, with_first_row: bool = True) -> DataFrame:
-    """Job 2: vc(table_name, column_name, value, n, first_row) over all given tables.
+    """vc(table_name, column_name, value, n, first_row, ord) over all given tables in one shuffle.
 
-    Missing values are dropped (they never count as a distinct value)."""
+    Missing values are dropped (they never count as a distinct value); each table
+    adds one pseudo column ``ROWS_MARK`` whose only value counts its rows, so the
+    profile needs no other scan.  Map-side partial aggregation collapses hot values."""
     parts = []
     for name in names or list(tables):
         df = tables[name]
         fields = [f for f in df.schema.fields if f.name != ROW_ID]
-        if not fields:
-            continue
         has_order = with_first_row and ROW_ID in df.columns
-        pairs = []
+        pairs = [F.struct(F.lit(ROWS_MARK).alias("column_name"), F.lit("").alias("value"),
+                          F.lit(None).cast("double").alias("ord_d"), F.lit(None).cast("long").alias("ord_l"))]
         for f in fields:
             c = F.col(f"`{f.name}`")
+            keep = ~is_missing(c, f.dataType)
+            od, ol = sort_key(c, f.dataType)
             pairs.append(F.struct(F.lit(f.name).alias("column_name"),
-                                  F.when(~is_missing(c, f.dataType), value_text(c, f.dataType)).alias("value")))
+                                  F.when(keep, value_text(c, f.dataType)).alias("value"),
+                                  od.alias("ord_d"), ol.alias("ord_l")))
         cols = [F.lit(name).alias("table_name"), F.explode(F.array(*pairs)).alias("p")]
-        if has_order:
-            cols.append(F.col(ROW_ID).alias("row_id"))
-        long = df.select(*cols).select("table_name", "p.column_name", "p.value",
-                                       *(["row_id"] if has_order else []))
-        if not has_order:
-            long = long.withColumn("row_id", F.lit(None).cast(ROW_ID_TYPE))
+        cols.append(F.col(ROW_ID).alias("row_id") if has_order else F.lit(None).cast(ROW_ID_TYPE).alias("row_id"))
+        long = df.select(*cols).select("table_name", "p.column_name", "p.value", "p.ord_d", "p.ord_l", "row_id")
         parts.append(long.filter(F.col("value").isNotNull()))
     long = reduce(lambda a, b: a.unionByName(b), parts)
     return long.groupBy("table_name", "column_name", "value").agg(
-        F.count(F.lit(1)).alias("n"), F.min("row_id").alias("first_row"))
+        F.count(F.lit(1)).alias("n"), F.min("row_id").alias("first_row"),
+        F.min("ord_d").alias("ord_d"), F.min("ord_l").alias("ord_l"))
 
 
 def first_samples(vc: DataFrame, k: int = SAMPLE_SIZE) -> DataFrame:
     """First ``k`` distinct non-null values per column, in order of first appearance."""
     w = Window.partitionBy("table_name", "column_name").orderBy(F.col("first_row"), F.col("value"))
-    top = vc.withColumn("rk", F.row_number().over(w)).filter(F.col("rk") <= k)
+    top = vc.filter(F.col("column_name") != ROWS_MARK) \
+            .withColumn("rk", F.row_number().over(w)).filter(F.col("rk") <= k)
     return (top.groupBy("table_name", "column_name")
                .agg(F.array_sort(F.collect_list(F.struct("rk", "value"))).alias("s"))
                .select("table_name", "column_name", F.col("s.value").alias("sample_values")))
 
 
+def _type_class(dt: T.DataType) -> str:
+    if isinstance(dt, T.ByteType):
+        return "int8"
+    if isinstance(dt, T.ShortType):
+        return "int16"
+    if isinstance(dt, T.IntegerType):
+        return "int32"
+    if isinstance(dt, T.LongType):
+        return "int64"
+    if isinstance(dt, T.FloatType):
+        return "float32"
+    if isinstance(dt, (T.DoubleType, T.DecimalType)):
+        return "float64"
+    if isinstance(dt, T.BooleanType):
+        return "bool"
+    if isinstance(dt, (T.TimestampType, T.TimestampNTZType, T.DateType)):
+        return "datetime"
+    return "object"
+
+
+def schema_frame(tables: TableSet, names: list[str]) -> DataFrame:
+    """Driver-side schema (no data): table_name, column_name, ordinal, type_class, orderable."""
+    spark = next(iter(tables.values())).sparkSession
+    rows = []
+    for t in names:
+        for i, f in enumerate([f for f in tables[t].schema.fields if f.name != ROW_ID]):
+            rows.append((t, f.name, i, _type_class(f.dataType), _orderable(f.dataType)))
+    return spark.createDataFrame(rows, "table_name string, column_name string, ordinal int, "
+                                       "type_class string, orderable boolean")
+
+
+def _logical_type_expr(tc: Column, has_nulls: Column) -> Column:
+    return (F.when(tc.startswith("int"), F.when(has_nulls, F.lit("float")).otherwise(F.lit("int")))
+             .when(tc.startswith("float"), F.lit("float"))
+             .when(tc == "datetime", F.lit("datetime"))
+             .otherwise(F.lit("string")))
+
+
+def _dtype_expr(tc: Column, has_nulls: Column) -> Column:
+    return (F.when(tc.startswith("int"), F.when(has_nulls, F.lit("float64")).otherwise(tc))
+             .when(tc == "bool", F.when(has_nulls, F.lit("object")).otherwise(F.lit("bool")))
+             .when(tc == "datetime", F.lit("datetime64[us]"))
+             .otherwise(tc))
+
+
 def profile_columns(tables: TableSet, names: list[str] | None = None, samples: bool = True) -> DataFrame:
-    """P1-P8, P10 per column: table_name, file_name, column_name, ordinal, data_type, dtype,
+    """P1-P8, P10 per column: file_name, table_name, column_name, ordinal, data_type, dtype,
     nullable, null_count, unique_count, distinct_value_ratio, min_value, max_value,
-    sample_values, is_pk_candidate, row_count."""
+    sample_values, is_pk_candidate, row_count.  One shuffle of the data in total."""
     names = names or list(tables)
-    scal = reduce(lambda a, b: a.unionByName(b), [table_scalars(n, tables[n]) for n in names])
     vc = value_counts(tables, names, with_first_row=samples)
     per_col = vc.groupBy("table_name", "column_name").agg(
-        F.count(F.lit(1)).alias("unique_count"), F.max("n").alias("max_n"))
-    out = scal.join(per_col, ["table_name", "column_name"], "left")
+        F.count(F.lit(1)).alias("unique_count"), F.sum("n").alias("non_null"), F.max("n").alias("max_n"),
+        F.min_by("value", F.struct("ord_d", "ord_l")).alias("min_value"),
+        F.max_by("value", F.struct("ord_d", "ord_l")).alias("max_value"))
+    rows = per_col.filter(F.col("column_name") == ROWS_MARK) \
+                  .select("table_name", F.col("non_null").alias("row_count"))
+    out = (schema_frame(tables, names)
+           .join(per_col.filter(F.col("column_name") != ROWS_MARK), ["table_name", "column_name"], "left")
+           .join(rows, "table_name", "left"))
     if samples:
         out = out.join(first_samples(vc), ["table_name", "column_name"], "left")
     else:
         out = out.withColumn("sample_values", F.lit(None).cast("array<string>"))
+    rc = F.coalesce(F.col("row_count"), F.lit(0))
     uc = F.coalesce(F.col("unique_count"), F.lit(0))
+    nulls = rc - F.coalesce(F.col("non_null"), F.lit(0))
     return out.select(
         F.col("table_name").alias("file_name"),
         logical_name_col(F.col("table_name")).alias("table_name"),
-        "column_name", "ordinal", "data_type", "dtype",
-        (F.col("null_count") > 0).alias("nullable"), "null_count",
+        "column_name", "ordinal",
+        _logical_type_expr(F.col("type_class"), nulls > 0).alias("data_type"),
+        _dtype_expr(F.col("type_class"), nulls > 0).alias("dtype"),
+        (nulls > 0).alias("nullable"), nulls.alias("null_count"),
         uc.alias("unique_count"),
-        F.when(F.col("row_count") > 0, uc / F.col("row_count")).otherwise(F.lit(0.0)).alias("distinct_value_ratio"),
-        "min_value", "max_value",
+        F.when(rc > 0, uc / rc).otherwise(F.lit(0.0)).alias("distinct_value_ratio"),
+        F.when(F.col("orderable"), F.col("min_value")).alias("min_value"),
+        F.when(F.col("orderable"), F.col("max_value")).alias("max_value"),
         F.coalesce(F.col("sample_values"), F.array().cast("array<string>")).alias("sample_values"),
         # P10: unique and no missing value (every column qualifies on an empty table)
-        ((F.col("null_count") == 0) & (F.coalesce(F.col("max_n"), F.lit(1)) <= 1)).alias("is_pk_candidate"),
-        "row_count")
+        ((nulls == 0) & (F.coalesce(F.col("max_n"), F.lit(1)) <= 1)).alias("is_pk_candidate"),
+        rc.alias("row_count"))
 
 
 def logical_name_col(c: Column) -> Column:
@@ -179,17 +223,28 @@ def logical_name_col(c: Column) -> Column:
     return logical_table_name(c)
 
 
+def row_counts(tables: TableSet, names: list[str] | None = None) -> DataFrame:
+    """(table_name, row_count) of many tables as one job: a union of table tags and one
+    ``groupBy`` (partial counts per task), instead of one aggregation job per table."""
+    names = names or list(tables)
+    tags = reduce(lambda a, b: a.unionByName(b),
+                  [tables[n].select(F.lit(n).alias("table_name")) for n in names])
+    counts = tags.groupBy("table_name").agg(F.count(F.lit(1)).alias("row_count"))
+    spark = next(iter(tables.values())).sparkSession
+    every = spark.createDataFrame([(n,) for n in names], "table_name string")
+    return every.join(counts, "table_name", "left").select(
+        "table_name", F.coalesce("row_count", F.lit(0)).alias("row_count"))
+
+
 def profile_tables(tables: TableSet, names: list[str] | None = None) -> DataFrame:
-    """table_name, file_name, row_count, column_count, columns (one scan per table)."""
+    """table_name, file_name, row_count, column_count, columns."""
     names = names or list(tables)
-    parts = []
-    for n in names:
-        cols = data_columns(tables[n])
-        parts.append(tables[n].agg(F.count(F.lit(1)).alias("row_count")).select(
-            F.lit(n).alias("file_name"), F.lit(normalize_table_name(n)).alias("table_name"),
-            F.col("row_count"), F.lit(len(cols)).alias("column_count"),
-            F.array(*[F.lit(c) for c in cols]).cast("array<string>").alias("columns")))
-    return reduce(lambda a, b: a.unionByName(b), parts)
+    spark = next(iter(tables.values())).sparkSession
+    meta = spark.createDataFrame(
+        [(n, normalize_table_name(n), len(data_columns(tables[n])), data_columns(tables[n])) for n in names],
+        "file_name string, table_name string, column_count int, columns array<string>")
+    counts = row_counts(tables, names).withColumnRenamed("table_name", "file_name")
+    return meta.join(counts, "file_name").select("table_name", "file_name", "row_count", "column_count", "columns")
 
 
 def head_tail(df: DataFrame, n_head: int = 5, n_tail: int = 5) -> DataFrame:

@@ -85,8 +85,8 @@ class PlanRun:
 
     def metadata_df(self, spark: SparkSession) -> DataFrame:
         """Q5: tables processed, ops executed, total input rows (summed by Spark)."""
-        counts = [self.tables.plain(k).agg(F.count(F.lit(1)).alias("n")) for k in self.tables]
-        total = reduce(DataFrame.unionByName, counts).agg(F.sum("n").alias("total_rows_processed"))
+        from tabsight.operators.profile import row_counts
+        total = row_counts(self.tables).agg(F.sum("row_count").alias("total_rows_processed"))
         return total.select(F.lit(len(self.tables)).alias("tables_processed"),
                             F.lit(len(self.results)).alias("aggregations_executed"),
                             F.col("total_rows_processed"))
