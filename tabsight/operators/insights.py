@@ -11,7 +11,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -86,12 +86,8 @@ def recommendations_frame(df: DataFrame, kpi: DataFrame | None = None) -> DataFr
     spark = df.sparkSession
     default = spark.createDataFrame([("Message", NO_RECOMMENDATIONS, "Low", -1)],
                                     "Category string, Recommendation string, Priority string, ordinal int")
-    both = (recs.withColumn("is_default", F.lit(False))
-                .unionByName(default.withColumn("is_default", F.lit(True))))
-    # at most KPI_LIMIT + 1 rows: a global window is safe here
-    real = F.sum((~F.col("is_default")).cast("int")).over(Window.partitionBy())
-    return (both.withColumn("n_real", real)
-                .filter(~F.col("is_default") | (F.col("n_real") == 0))
+    n_recs = recs.agg(F.count(F.lit(1))).scalar()
+    return (recs.unionByName(default.filter(n_recs == 0))
                 .select("Category", "Recommendation", "Priority"))
 
 

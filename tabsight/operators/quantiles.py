@@ -6,10 +6,10 @@ aggregation buffer; with a hot group (a third of all rows) that buffer is one
 task's memory.  Here:
 
 1. ``vc``: (keys, value) -> n, a partially aggregated count (hot values collapse);
-2. ``repartitionByRange`` on (keys, value): a hot group spreads over many range
-   partitions, each partition holds a contiguous slice of the sorted order;
-3. per (partition, keys): slice totals -> prefix offsets (a table with at most
-   partitions x groups rows);
+2. slices: equal-width buckets of each column's global value range (deterministic,
+   so a retried task rebuilds the same slice); a hot group spreads over many slices;
+3. per (slice, keys): slice totals -> prefix offsets (a table with at most
+   slices x groups rows);
 4. inside each slice a running sum gives the global rank interval of every value;
 5. keep the values whose rank interval covers floor/ceil of (N-1)q and interpolate.
 """
@@ -49,39 +49,46 @@ def exact_quantiles(df: DataFrame, columns: list[str], probs: list[float], by: l
     vc = long.groupBy(*keys, F.when(F.col("v") == 0, F.lit(0.0)).otherwise(F.col("v")).alias("v")) \
              .agg(F.count(F.lit(1)).alias("n"))
 
-    nparts = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
-    ranged = vc.repartitionByRange(nparts, *keys, "v").withColumn("pid", F.spark_partition_id())
-    # slice totals and their prefix offsets per group (small: partitions x groups)
+    nbuckets = 4 * (partitions or int(spark.conf.get("spark.sql.shuffle.partitions")))
+    # deterministic slices: equal-width buckets of each column's global range (one
+    # tiny aggregate, C rows to the driver); a hot group spans many slices
+    row = df.agg(*[F.min(F.col(f"`{c}`").cast("double")).alias(f"lo{i}") for i, (c, _) in enumerate(cols)],
+                 *[F.max(F.col(f"`{c}`").cast("double")).alias(f"hi{i}") for i, (c, _) in enumerate(cols)]).first()
+    bucket = F.lit(0)
+    for i, (c, _) in enumerate(cols):
+        lo_v, hi_v = row[f"lo{i}"], row[f"hi{i}"]
+        if lo_v is not None and hi_v is not None and hi_v > lo_v and math.isfinite(lo_v) and math.isfinite(hi_v):
+            wb = F.width_bucket(F.col("v"), F.lit(float(lo_v)), F.lit(float(hi_v)), F.lit(nbuckets))
+            bucket = F.when(F.col("column") == c, wb).otherwise(bucket)
+    ranged = vc.withColumn("pid", bucket)
+    # slice totals and their prefix offsets per group (small: slices x groups)
     slices = ranged.groupBy(*keys, "pid").agg(F.sum("n").alias("slice_n"))
     wg = Window.partitionBy(*keys).orderBy("pid")
     slices = (slices.withColumn("offset", F.sum("slice_n").over(wg) - F.col("slice_n"))
                     .withColumn("total", F.sum("slice_n").over(Window.partitionBy(*keys))))
     # running count inside each slice (bounded by the slice)
-    ws = Window.partitionBy("pid", *keys).orderBy("v").rowsBetween(Window.unboundedPreceding, 0)
+    ws = Window.partitionBy(*keys, "pid").orderBy("v").rowsBetween(Window.unboundedPreceding, 0)
     ranked = ranged.withColumn("upto", F.sum("n").over(ws))
     ranked = ranked.join(slices.drop("slice_n"), [*keys, "pid"])
     # global 0-based rank interval [start, end] of this value
     ranked = (ranked.withColumn("end", F.col("offset") + F.col("upto") - 1)
                     .withColumn("start", F.col("end") - F.col("n") + 1))
 
-    out = []
-    for q in probs:
-        pos = (F.col("total") - 1) * F.lit(float(q))
-        lo = F.floor(pos)
-        hi = F.ceil(pos)
-        hit_lo = (F.col("start") <= lo) & (lo <= F.col("end"))
-        hit_hi = (F.col("start") <= hi) & (hi <= F.col("end"))
-        picked = (ranked.filter(hit_lo | hit_hi)
-                        .groupBy(*keys)
-                        .agg(F.max(F.when(hit_lo, F.col("v"))).alias("v_lo"),
-                             F.max(F.when(hit_hi, F.col("v"))).alias("v_hi"),
-                             F.first(pos - lo).alias("frac")))
-        out.append(picked.select(*keys, F.lit(float(q)).alias("q"),
-                                 (F.col("v_lo") + (F.col("v_hi") - F.col("v_lo")) * F.col("frac")).alias("value")))
-    res = out[0]
-    for o in out[1:]:
-        res = res.unionByName(o)
-    return res
+    # every target (q, floor/ceil rank) in one pass over the ranked relation
+    targets = F.array(*[F.lit(float(q)) for q in probs])
+    pos = lambda q: (F.col("total") - 1) * q
+    hit = F.exists(targets, lambda q: ((F.col("start") <= F.floor(pos(q))) & (F.floor(pos(q)) <= F.col("end")))
+                   | ((F.col("start") <= F.ceil(pos(q))) & (F.ceil(pos(q)) <= F.col("end"))))
+    cand = ranked.filter(hit).select(*keys, "v", "start", "end", "total", F.explode(targets).alias("q"))
+    p = (F.col("total") - 1) * F.col("q")
+    hit_lo = (F.col("start") <= F.floor(p)) & (F.floor(p) <= F.col("end"))
+    hit_hi = (F.col("start") <= F.ceil(p)) & (F.ceil(p) <= F.col("end"))
+    picked = (cand.filter(hit_lo | hit_hi)
+                  .groupBy(*keys, "q")
+                  .agg(F.max(F.when(hit_lo, F.col("v"))).alias("v_lo"),
+                       F.max(F.when(hit_hi, F.col("v"))).alias("v_hi"),
+                       F.first(p - F.floor(p)).alias("frac")))
+    return picked.select(*keys, "q", (F.col("v_lo") + (F.col("v_hi") - F.col("v_lo")) * F.col("frac")).alias("value"))
 
 
 def quantile_columns(df: DataFrame, columns: list[str], probs: list[float], by: list[str] | None = None,

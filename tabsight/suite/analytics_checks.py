@@ -1 +1,203 @@
-"""Checks (filled in below)."""
+"""Checks for the advertised analytics vocabulary."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from tabsight.operators.analytics import (correlation, efficiency, growth, join_along, ranking, resample,
+                                          share, time_patterns, two_key_matrix, versus_average,
+                                          zscore_anomalies)
+from tabsight.operators.windows import rolling, running_many, top_k_per_group
+from tabsight.suite.base import register, rounded, tables
+from tabsight.suite.views import SALES_SQL, sales_view
+
+
+def _sales(spark, sf_dir):
+    return sales_view(tables(spark, sf_dir, "orders", "customer", "nation"))
+
+
+@register("A3_running_sum_max_min_per_user", """
+SELECT event_id, user_id,
+       ROUND(SUM(value) OVER w, 4) AS value_cumsum,
+       ROUND(MAX(value) OVER w, 4) AS value_cummax,
+       ROUND(MIN(value) OVER w, 4) AS value_cummin,
+       COUNT(value) OVER w AS value_cumcount
+FROM events
+WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)""")
+def a3(spark, sf_dir):
+    ev = tables(spark, sf_dir, "events")["events"]
+    r = running_many(ev, ["user_id"], ["ts"], [("value", "cumsum", "value_cumsum"), ("value", "cummax", "value_cummax"),
+                                              ("value", "cummin", "value_cummin"),
+                                              ("value", "cumcount", "value_cumcount")])
+    return rounded(r.select("event_id", "user_id", "value_cumsum", "value_cummax", "value_cummin", "value_cumcount"))
+
+
+@register("A5_rolling_mean_3_per_user", """
+SELECT event_id,
+       ROUND(CASE WHEN COUNT(value) OVER w = 3 THEN AVG(value) OVER w END, 4) AS value_rolling_mean,
+       ROUND(CASE WHEN COUNT(value) OVER w = 3 THEN SUM(value) OVER w END, 4) AS value_rolling_sum
+FROM events
+WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id ROWS BETWEEN 2 PRECEDING AND CURRENT ROW)""")
+def a5(spark, sf_dir):
+    ev = tables(spark, sf_dir, "events")["events"]
+    r = rolling(ev, ["user_id"], ["ts"], "value", 3, "mean")
+    r = rolling(r, ["user_id"], ["ts"], "value", 3, "sum")
+    return rounded(r.select("event_id", "value_rolling_mean", "value_rolling_sum"))
+
+
+@register("A6_resample_monthly_orders", """
+WITH agg AS (
+  SELECT DATE_TRUNC('month', o_orderdate) AS period, COUNT(o_orderkey) AS o_orderkey_count,
+         SUM(o_totalprice) AS s
+  FROM orders GROUP BY 1),
+cal AS (SELECT UNNEST(GENERATE_SERIES(MIN(period), MAX(period), INTERVAL 1 MONTH)) AS period FROM agg)
+SELECT CAST(cal.period AS TIMESTAMP) AS period, COALESCE(o_orderkey_count, 0) AS o_orderkey_count,
+       ROUND(COALESCE(s, 0), 4) AS o_totalprice_sum
+FROM cal LEFT JOIN agg USING (period)""")
+def a6(spark, sf_dir):
+    o = tables(spark, sf_dir, "orders")["orders"]
+    return rounded(resample(o, "o_orderdate", "M", {"o_orderkey": ["count"], "o_totalprice": ["sum"]}))
+
+
+@register("A6_resample_weekly_by_category", f"""
+WITH agg AS (
+  SELECT category, DATE_TRUNC('week', date) AS period, SUM(sales) AS s FROM {SALES_SQL} x GROUP BY 1, 2),
+cal AS (SELECT category, UNNEST(GENERATE_SERIES(MIN(period), MAX(period), INTERVAL 7 DAY)) AS period
+        FROM agg GROUP BY category)
+SELECT cal.category, CAST(cal.period AS TIMESTAMP) AS period, ROUND(COALESCE(s, 0), 4) AS sales_sum
+FROM cal LEFT JOIN agg ON cal.category = agg.category AND cal.period = agg.period""")
+def a6b(spark, sf_dir):
+    return rounded(resample(_sales(spark, sf_dir), "date", "W", {"sales": ["sum"]}, by=["category"]))
+
+
+@register("A7_top3_orders_per_priority", """
+SELECT o_orderkey, o_orderpriority, ROUND(o_totalprice, 4) AS o_totalprice,
+       CAST(ROW_NUMBER() OVER (PARTITION BY o_orderpriority ORDER BY o_totalprice DESC, o_orderkey) AS INT) AS rank
+FROM orders QUALIFY rank <= 3""")
+def a7(spark, sf_dir):
+    o = tables(spark, sf_dir, "orders")["orders"]
+    r = top_k_per_group(o, ["o_orderpriority"], [F.col("o_totalprice").desc(), F.col("_row_id")], 3)
+    return rounded(r.select("o_orderkey", "o_orderpriority", "o_totalprice", "rank"))
+
+
+@register("A8_month_over_month_growth", """
+WITH m AS (SELECT DATE_TRUNC('month', o_orderdate) AS period, SUM(o_totalprice) AS total FROM orders GROUP BY 1)
+SELECT CAST(period AS TIMESTAMP) AS period, ROUND(total, 4) AS total,
+       ROUND(LAG(total) OVER (ORDER BY period), 4) AS previous,
+       ROUND((total - LAG(total) OVER (ORDER BY period)) / NULLIF(LAG(total) OVER (ORDER BY period), 0) * 100, 4)
+         AS growth_pct
+FROM m""")
+def a8(spark, sf_dir):
+    o = tables(spark, sf_dir, "orders")["orders"]
+    m = o.groupBy(F.date_trunc("month", "o_orderdate").cast("timestamp_ntz").alias("period")) \
+         .agg(F.sum("o_totalprice").alias("total"))
+    return rounded(growth(m, "period", "total"))
+
+
+@register("A9_location_vs_average", f"""
+WITH p AS (SELECT location, SUM(sales) AS sales_sum FROM {SALES_SQL} s GROUP BY location)
+SELECT location, ROUND(sales_sum, 4) AS sales_sum, ROUND(AVG(sales_sum) OVER (), 4) AS average,
+       ROUND((sales_sum - AVG(sales_sum) OVER ()) / AVG(sales_sum) OVER () * 100, 4) AS vs_avg_pct
+FROM p""")
+def a9(spark, sf_dir):
+    return rounded(versus_average(_sales(spark, sf_dir), "location", "sales"))
+
+
+@register("A10_category_performance", """
+SELECT p_type, ROUND(SUM(l_extendedprice * (1 - l_discount)), 4) AS revenue,
+       ROUND(SUM(l_quantity), 4) AS quantity, COUNT(*) AS lines, ROUND(AVG(l_discount), 4) AS avg_discount
+FROM lineitem JOIN part ON l_partkey = p_partkey GROUP BY p_type""")
+def a10(spark, sf_dir):
+    t = tables(spark, sf_dir, "lineitem", "part")
+    j = join_along(t["lineitem"].drop("_row_id"), t["part"].select("p_partkey", "p_type"), "l_partkey", "p_partkey")
+    out = j.groupBy("p_type").agg(F.sum(F.col("l_extendedprice") * (1 - F.col("l_discount"))).alias("revenue"),
+                                  F.sum("l_quantity").alias("quantity"), F.count(F.lit(1)).alias("lines"),
+                                  F.avg("l_discount").alias("avg_discount"))
+    return rounded(out)
+
+
+@register("A11_peak_hours_and_weekdays", """
+SELECT CAST(HOUR(ts) AS INT) AS hour, CAST(DAYOFWEEK(ts) + 1 AS INT) AS day_of_week, COUNT(*) AS events,
+       ROUND(SUM(value), 4) AS value_sum
+FROM events GROUP BY 1, 2""")
+def a11(spark, sf_dir):
+    return rounded(time_patterns(tables(spark, sf_dir, "events")["events"], "ts", "value"))
+
+
+@register("A12_efficiency_ratios", """
+SELECT event_type, ROUND(SUM(value), 4) AS total, COUNT(*) AS rows,
+       COUNT(DISTINCT DATE_TRUNC('hour', ts)) AS active_hours, ROUND(SUM(value) / COUNT(*), 4) AS avg_per_row,
+       ROUND(SUM(value) / COUNT(DISTINCT DATE_TRUNC('hour', ts)), 4) AS per_hour
+FROM events GROUP BY event_type""")
+def a12(spark, sf_dir):
+    return rounded(efficiency(tables(spark, sf_dir, "events")["events"], "event_type", "value", "ts"))
+
+
+@register("A13_rank_locations_by_sales", f"""
+WITH p AS (SELECT location, SUM(sales) AS sales_sum FROM {SALES_SQL} s GROUP BY location)
+SELECT location, ROUND(sales_sum, 4) AS sales_sum, CAST(RANK() OVER (ORDER BY sales_sum DESC) AS INT) AS rank,
+       CAST(DENSE_RANK() OVER (ORDER BY sales_sum DESC) AS INT) AS dense_rank
+FROM p""")
+def a13(spark, sf_dir):
+    per = _sales(spark, sf_dir).groupBy("location").agg(F.sum("sales").alias("sales_sum"))
+    return rounded(ranking(per, "sales_sum"))
+
+
+@register("A14_correlation", """
+SELECT l_returnflag, ROUND(CORR(l_quantity, l_extendedprice), 4) AS corr_l_quantity_l_extendedprice
+FROM lineitem GROUP BY l_returnflag""")
+def a14(spark, sf_dir):
+    return rounded(correlation(tables(spark, sf_dir, "lineitem")["lineitem"], "l_quantity", "l_extendedprice",
+                               ["l_returnflag"]))
+
+
+@register("A15_cumulative_monthly_by_category", f"""
+WITH agg AS (SELECT category, DATE_TRUNC('month', date) AS period, SUM(sales) AS s FROM {SALES_SQL} x GROUP BY 1, 2),
+cal AS (SELECT category, UNNEST(GENERATE_SERIES(MIN(period), MAX(period), INTERVAL 1 MONTH)) AS period
+        FROM agg GROUP BY category),
+full_ AS (SELECT cal.category, cal.period, COALESCE(s, 0) AS sales_sum
+          FROM cal LEFT JOIN agg ON cal.category = agg.category AND cal.period = agg.period)
+SELECT category, CAST(period AS TIMESTAMP) AS period, ROUND(sales_sum, 4) AS sales_sum,
+       ROUND(SUM(sales_sum) OVER (PARTITION BY category ORDER BY period ROWS UNBOUNDED PRECEDING), 4) AS cumulative
+FROM full_""")
+def a15(spark, sf_dir):
+    m = resample(_sales(spark, sf_dir), "date", "M", {"sales": ["sum"]}, by=["category"])
+    return rounded(running_many(m, ["category"], ["period"], [("sales_sum", "cumsum", "cumulative")]))
+
+
+@register("A16_daily_anomalies_zscore", """
+WITH d AS (SELECT DATE_TRUNC('day', ts) AS day, SUM(value) AS total FROM events GROUP BY 1)
+SELECT CAST(day AS TIMESTAMP) AS day, ROUND(total, 4) AS total,
+       ROUND((total - AVG(total) OVER ()) / STDDEV_SAMP(total) OVER (), 4) AS zscore,
+       ABS((total - AVG(total) OVER ()) / STDDEV_SAMP(total) OVER ()) > 2 AS is_anomaly
+FROM d""")
+def a16(spark, sf_dir):
+    ev = tables(spark, sf_dir, "events")["events"]
+    d = ev.groupBy(F.date_trunc("day", "ts").cast("timestamp_ntz").alias("day")).agg(F.sum("value").alias("total"))
+    return rounded(zscore_anomalies(d, "total"))
+
+
+@register("A17_event_type_share", """
+SELECT event_type, COUNT(*) AS count, COUNT(*) / SUM(COUNT(*)) OVER () AS share FROM events GROUP BY event_type""")
+def a17(spark, sf_dir):
+    return share(tables(spark, sf_dir, "events")["events"], "event_type")
+
+
+@register("A18_two_key_matrix", """
+SELECT l_returnflag, ROUND(SUM(CASE WHEN l_linestatus = 'F' THEN l_quantity END), 4) AS F,
+       ROUND(SUM(CASE WHEN l_linestatus = 'O' THEN l_quantity END), 4) AS O
+FROM lineitem GROUP BY l_returnflag""")
+def a18(spark, sf_dir):
+    return rounded(two_key_matrix(tables(spark, sf_dir, "lineitem")["lineitem"], "l_returnflag", "l_linestatus",
+                                  "l_quantity"))
+
+
+@register("A19_join_along_discovered_key", """
+SELECT c_mktsegment, COUNT(*) AS orders, ROUND(SUM(o_totalprice), 4) AS revenue
+FROM orders JOIN customer ON o_custkey = c_custkey GROUP BY c_mktsegment""")
+def a19(spark, sf_dir):
+    t = tables(spark, sf_dir, "orders", "customer")
+    j = join_along(t["orders"].drop("_row_id"), t["customer"].select("c_custkey", "c_mktsegment"),
+                   "o_custkey", "c_custkey")
+    return rounded(j.groupBy("c_mktsegment").agg(F.count(F.lit(1)).alias("orders"),
+                                                  F.sum("o_totalprice").alias("revenue")))
