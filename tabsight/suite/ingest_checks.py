@@ -1 +1,229 @@
-"""Checks (filled in below)."""
+"""Checks for ingest (S1-S19): every input file or payload is derived by Spark from
+the driver tables, so the work grows with them."""
+
+from __future__ import annotations
+
+import io
+import zipfile
+
+import pandas as pd
+from pyspark.sql import functions as F
+
+from tabsight.functions.names import file_kind, logical_table_name
+from tabsight.session import scratch_path
+from tabsight.sources.archive_builder import build_archive
+from tabsight.sources.csv import infer_types, read_csv_table
+from tabsight.sources.files import quick_text_summary
+from tabsight.sources.payloads import csv_lines, parse_payload_rows, route
+from tabsight.sources.zipfiles import ingest_archives, read_archives, scan_archives
+from tabsight.suite.base import register, rounded, tables
+from tabsight.suite.profile_checks import DRIVER_SCHEMA
+
+
+def _write_csv(df, path):
+    df.write.option("header", True).mode("overwrite").csv(path)
+    return path
+
+
+@register("S1_csv_read_nation", """
+SELECT CAST(n_nationkey AS BIGINT) AS n_nationkey, n_name, CAST(n_regionkey AS BIGINT) AS n_regionkey FROM nation""")
+def s1(spark, sf_dir):
+    path = _write_csv(tables(spark, sf_dir, "nation").plain("nation"), scratch_path(spark, "csv"))
+    return read_csv_table(spark, path).df.drop("_row_id")
+
+
+@register("S1_csv_read_orders_typed", """
+SELECT o_orderkey, o_custkey, o_orderstatus, ROUND(o_totalprice, 4) AS o_totalprice, o_orderpriority FROM orders""")
+def s1b(spark, sf_dir):
+    o = tables(spark, sf_dir, "orders")["orders"].select("o_orderkey", "o_custkey", "o_orderstatus",
+                                                         "o_totalprice", "o_orderpriority")
+    path = _write_csv(o, scratch_path(spark, "csv"))
+    return rounded(read_csv_table(spark, path).df.drop("_row_id"))
+
+
+def _inference_sql(t: str) -> str:
+    parts = []
+    for i, (c, _) in enumerate(DRIVER_SCHEMA[t]):
+        v = f"CAST({c} AS VARCHAR)"
+        parts.append(
+            f"SELECT '{c}' AS column_name, {i} AS ordinal, CASE "
+            f"WHEN COUNT({c}) = 0 THEN 'float' "
+            f"WHEN COUNT(CASE WHEN REGEXP_MATCHES({v}, '^\\s*[+-]?[0-9]+\\s*$') THEN 1 END) = COUNT({c}) "
+            f"AND COUNT({c}) = COUNT(*) THEN 'int' "
+            f"WHEN COUNT(TRY_CAST(TRIM({v}) AS DOUBLE)) = COUNT({c}) THEN 'float' "
+            f"WHEN COUNT(CASE WHEN {v} IN ('True','TRUE','true','False','FALSE','false') THEN 1 END) = COUNT({c}) "
+            f"AND COUNT({c}) = COUNT(*) THEN 'bool' ELSE 'string' END AS inferred FROM {t}")
+    return "\nUNION ALL\n".join(parts)
+
+
+@register("S2_type_inference_string_orders", _inference_sql("orders"))
+def s2(spark, sf_dir):
+    o = tables(spark, sf_dir, "orders").plain("orders")
+    s = o.select(*[F.col(c).cast("string").alias(c) for c in o.columns])
+    return infer_types(s, s.columns)
+
+
+@register("S2_type_inference_string_lineitem", _inference_sql("lineitem"))
+def s2b(spark, sf_dir):
+    li = tables(spark, sf_dir, "lineitem").plain("lineitem")
+    s = li.select(*[F.col(c).cast("string").alias(c) for c in li.columns])
+    return infer_types(s, s.columns)
+
+
+def _lineitem_payloads(spark, sf_dir):
+    """One CSV payload per order (lines in line-number order), every other one base64."""
+    li = tables(spark, sf_dir, "lineitem")["lineitem"]
+    line = F.concat_ws(",", *[F.col(c).cast("string") for c in ("l_orderkey", "l_linenumber", "l_quantity",
+                                                                  "l_returnflag")])
+    per = (li.groupBy("l_orderkey")
+             .agg(F.sort_array(F.collect_list(F.struct("l_linenumber", "_row_id", line.alias("line")))).alias("ls")))
+    text = F.concat(F.lit("l_orderkey,l_linenumber,l_quantity,l_returnflag\n"),
+                    F.array_join(F.transform("ls", lambda x: x["line"]), "\n"))
+    return per.select(F.col("l_orderkey").alias("request_id"),
+                      F.when(F.col("l_orderkey") % 2 == 0, text).alias("csv_data"),
+                      F.when(F.col("l_orderkey") % 2 == 1, F.base64(F.encode(text, "UTF-8"))).alias("csv_base64"))
+
+
+@register("S3_S4_S7_csv_payloads", """
+SELECT l_orderkey, l_linenumber, l_quantity, l_returnflag FROM lineitem""")
+def s3(spark, sf_dir):
+    routed = route(_lineitem_payloads(spark, sf_dir))
+    lines = csv_lines(routed)
+    rows = parse_payload_rows(lines, ["l_orderkey", "l_linenumber", "l_quantity", "l_returnflag"])
+    return rows.drop("request_id", "line_no")
+
+
+@register("S7_payload_routing_counts", """
+SELECT CASE WHEN l_orderkey % 2 = 0 THEN 'csv_data' ELSE 'csv_base64' END AS payload_kind,
+       COUNT(DISTINCT l_orderkey) AS requests
+FROM lineitem GROUP BY 1""")
+def s7(spark, sf_dir):
+    routed = route(_lineitem_payloads(spark, sf_dir))
+    return routed.groupBy("payload_kind").agg(F.count(F.lit(1)).alias("requests"))
+
+
+def _zip_payload_udf(pdf: pd.DataFrame) -> pd.DataFrame:
+    buf = io.BytesIO()
+    with zipfile.ZipFile(buf, "w", zipfile.ZIP_DEFLATED) as zf:
+        body = "o_orderkey,o_custkey,o_totalprice\n" + "\n".join(
+            f"{a},{b},{c!r}" for a, b, c in zip(pdf["o_orderkey"], pdf["o_custkey"], pdf["o_totalprice"]))
+        zf.writestr(f"orders_{int(pdf['bucket'].iloc[0])}.csv", body)
+    data = buf.getvalue()
+    return pd.DataFrame({"bucket": [int(pdf["bucket"].iloc[0])], "zip": [data]})
+
+
+@register("S5_S6_S8_S11_zip_payloads", """
+SELECT o_orderkey, o_custkey, ROUND(o_totalprice, 4) AS o_totalprice FROM orders""")
+def s5(spark, sf_dir):
+    o = tables(spark, sf_dir, "orders").plain("orders")
+    n = o.count()
+    # hash buckets of a unique key: about 200 rows per payload whatever the skew
+    buckets = max(1, n // 200)
+    b = o.select("o_orderkey", "o_custkey", "o_totalprice",
+                 F.pmod(F.xxhash64("o_orderkey"), F.lit(buckets)).alias("bucket"))
+    zips = b.groupBy("bucket").applyInPandas(_zip_payload_udf, "bucket long, zip binary")
+    reqs = zips.select(F.col("bucket").alias("request_id"),
+                       F.when(F.col("bucket") % 2 == 0, F.decode("zip", "ISO-8859-1")).alias("zip_data"),
+                       F.when(F.col("bucket") % 2 == 1, F.base64("zip")).alias("zip_base64"))
+    routed = route(reqs)
+    members = scan_archives(routed.withColumn("archive", F.col("request_id").cast("string")),
+                            "archive", "zip_bytes", with_text=True)
+    lines = csv_lines(members.filter("kept").withColumnRenamed("member_id", "request_id"), "request_id", "text")
+    rows = parse_payload_rows(lines, ["o_orderkey", "o_custkey", "o_totalprice"])
+    return rounded(rows.drop("request_id", "line_no"))
+
+
+_EXTRA = {
+    "__MACOSX/region.csv": b"r_regionkey\n1\n",
+    ".hidden.csv": b"a\n1\n",
+    "docs/": b"",
+    "docs/readme.txt": b"not a table\n",
+    "d/.h2.csv": b"a,b\n1,2\n",
+    "Two.CSV": b"x\n1\n2\n",
+    "empty.csv": b"",
+    "bad.csv": b"name\n\xff\xfe\xfa\n",
+}
+
+
+def _member_group(m):
+    return F.when(F.instr(m, "/part-") > 0, F.substring_index(m, "/", 1)).otherwise(m)
+
+
+@register("S8_S12_S17_zip_archive_members", """
+SELECT 'nation' AS member_group, 'ok' AS status, COUNT(*) AS rows, 3 AS columns FROM nation
+UNION ALL SELECT 'region', 'ok', COUNT(*), 2 FROM region
+UNION ALL SELECT 'supplier', 'ok', COUNT(*), 4 FROM supplier
+UNION ALL SELECT 'd/.h2.csv', 'ok', 1, 2
+UNION ALL SELECT 'Two.CSV', 'ok', 2, 1
+UNION ALL SELECT 'empty.csv', 'error', NULL, NULL
+UNION ALL SELECT 'bad.csv', 'error', NULL, NULL
+UNION ALL SELECT '__MACOSX/region.csv', 'skipped', NULL, NULL
+UNION ALL SELECT '.hidden.csv', 'skipped', NULL, NULL
+UNION ALL SELECT 'docs/', 'skipped', NULL, NULL
+UNION ALL SELECT 'docs/readme.txt', 'skipped', NULL, NULL""")
+def s8(spark, sf_dir):
+    t = tables(spark, sf_dir, "nation", "region", "supplier")
+    path = build_archive(spark, {n: t.plain(n) for n in ("nation", "region", "supplier")}, "tables.zip",
+                         extra=_EXTRA, partitions=2)
+    members, read = ingest_archives(spark, read_archives(spark, path))
+    counts = []
+    for name, tab in read.items():
+        member = name.split("#", 1)[1]
+        bad = any(sev == "error" for _, sev, _ in tab.issues)
+        n = None if bad else tab.df.count()
+        counts.append((member, n, None if bad else len(tab.types)))
+    cnt = spark.createDataFrame(counts, "member string, rows long, columns int")
+    rows = (members.filter(F.col("member").isNotNull()).join(cnt, "member", "left")
+                   .withColumn("status", F.when((F.col("status") == "ok") & F.col("rows").isNull(), F.lit("error"))
+                                          .otherwise(F.col("status"))))
+    return (rows.groupBy(_member_group(F.col("member")).alias("member_group"), "status")
+                .agg(F.sum("rows").alias("rows"), F.max("columns").alias("columns")))
+
+
+@register("S9_S10_member_cap_and_size_limit", """
+SELECT 'ok' AS status, 20 AS members
+UNION ALL SELECT 'skipped', 5
+UNION ALL SELECT 'warning', 1""")
+def s9(spark, sf_dir):
+    s = tables(spark, sf_dir, "supplier").plain("supplier")
+    path = build_archive(spark, {"supplier": s}, "many.zip", partitions=25)
+    listing = scan_archives(read_archives(spark, path))
+    return listing.groupBy("status").agg(F.count(F.lit(1)).alias("members"))
+
+
+@register("S10_member_size_cap_error", """
+SELECT 'error' AS status, COUNT(*) AS members FROM (SELECT 1 FROM customer LIMIT 1)""")
+def s10(spark, sf_dir):
+    c = tables(spark, sf_dir, "customer").plain("customer")
+    path = build_archive(spark, {"customer": c}, "big.zip", partitions=1)
+    listing = scan_archives(read_archives(spark, path), max_bytes=1024)
+    return listing.filter(F.col("member").isNotNull()).groupBy("status").agg(F.count(F.lit(1)).alias("members"))
+
+
+@register("S15_S16_kind_and_table_name_rules", r"""
+SELECT page_id,
+       CASE WHEN STRPOS(url, '.') = 0 THEN 'unknown'
+            WHEN LOWER(REGEXP_EXTRACT(url, '\.([^.]*)$', 1)) = 'csv' THEN 'csv'
+            WHEN LOWER(REGEXP_EXTRACT(url, '\.([^.]*)$', 1)) = 'zip' THEN 'zip' ELSE 'unknown' END AS kind,
+       LOWER(REGEXP_REPLACE(REGEXP_REPLACE(url, '\.[^.]*$', ''), '[^a-zA-Z0-9]+', '_', 'g')) AS table_name
+FROM pages""")
+def s15(spark, sf_dir):
+    p = tables(spark, sf_dir, "pages")["pages"]
+    return p.select("page_id", file_kind(F.col("url")).alias("kind"), logical_table_name(F.col("url")).alias("table_name"))
+
+
+@register("S19_quick_line_column_summary", """
+SELECT 'nation' AS table_name, COUNT(*) AS rows, 3 AS columns FROM nation
+UNION ALL SELECT 'region', COUNT(*), 2 FROM region
+UNION ALL SELECT 'customer', COUNT(*), 5 FROM customer""")
+def s19(spark, sf_dir):
+    t = tables(spark, sf_dir, "nation", "region", "customer")
+    root = scratch_path(spark, "csv-summary")
+    for n in ("nation", "region", "customer"):
+        _write_csv(t.plain(n), f"{root}/{n}")
+    out = None
+    for n in ("nation", "region", "customer"):
+        s = quick_text_summary(spark, f"{root}/{n}").agg(F.sum("rows").alias("rows"), F.max("columns").alias("columns"))
+        s = s.select(F.lit(n).alias("table_name"), "rows", "columns")
+        out = s if out is None else out.unionByName(s)
+    return out

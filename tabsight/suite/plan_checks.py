@@ -362,3 +362,25 @@ LINEITEM_NUMERIC = ["l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_q
 def q8(spark, sf_dir):
     run = PlanExecutor(tables(spark, sf_dir, "lineitem")).run({})
     return rounded(run.results["main_aggregation"].df)
+
+
+@register("A21_rule_made_plan_first_op", """
+SELECT o_orderstatus, ROUND(SUM(o_totalprice), 4) AS o_totalprice_sum, ROUND(AVG(o_totalprice), 4) AS o_totalprice_mean,
+       COUNT(o_totalprice) AS o_totalprice_count
+FROM orders GROUP BY o_orderstatus ORDER BY SUM(o_totalprice) DESC LIMIT 10""")
+def a21(spark, sf_dir):
+    from tabsight.plans.rules import rule_plan
+    t = tables(spark, sf_dir, "orders")
+    run = PlanExecutor(t).run(rule_plan(t))
+    return rounded(run.results["operation_1"].df)
+
+
+@register("A21_rule_made_plan_second_op", """
+SELECT o_orderpriority, ROUND(SUM(o_totalprice), 4) AS o_totalprice_sum,
+       ROUND(AVG(o_totalprice), 4) AS o_totalprice_mean, COUNT(o_totalprice) AS o_totalprice_count
+FROM orders GROUP BY o_orderpriority ORDER BY SUM(o_totalprice) DESC LIMIT 10""")
+def a21b(spark, sf_dir):
+    from tabsight.plans.rules import rule_plan
+    t = tables(spark, sf_dir, "orders")
+    run = PlanExecutor(t).run(rule_plan(t))
+    return rounded(run.results["operation_2"].df)
