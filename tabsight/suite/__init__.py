@@ -5,4 +5,5 @@ equivalent SQL that DuckDB runs on the same Parquet files (the oracle).
 SQL-expressible (then only row counts are compared)."""
 
 from tabsight.suite.base import REGISTRY, Check  # noqa: F401
-from tabsight.suite import plan_checks, profile_checks, quality_checks, analytics_checks, ingest_checks  # noqa: F401
+from tabsight.suite import (analytics_checks, ingest_checks, output_checks, plan_checks,  # noqa: F401
+                            profile_checks, quality_checks)
