@@ -23,22 +23,32 @@ def _local(path: str) -> str:
     return path[len("file:"):] if path.startswith("file:") else path
 
 
-def write_csv_parts(tables: dict[str, DataFrame], root: str, partitions: int | None = None) -> dict[str, list[str]]:
-    """Write each table as CSV part files under ``root/<name>``; returns the part paths."""
+def write_csv_parts(tables: dict[str, DataFrame], root: str, partitions: int | None = None,
+                    split: dict | None = None) -> dict[str, list[str]]:
+    """Write each table as CSV part files under ``root/<name>``; returns the part paths.
+
+    ``split`` maps a table name to a Column: one member per distinct value (Spark's
+    ``partitionBy``, one file per value after a repartition on it)."""
     out = {}
     for name, df in tables.items():
         target = f"{root}/{name}"
-        w = df.repartition(partitions) if partitions else df
-        w.write.option("header", True).mode("overwrite").csv(target)
-        out[name] = sorted(glob.glob(os.path.join(_local(target), "part-*.csv")))
+        if split and name in split:
+            w = df.withColumn("part", split[name]).repartition("part")
+            w.write.option("header", True).mode("overwrite").partitionBy("part").csv(target)
+            out[name] = sorted(glob.glob(os.path.join(_local(target), "part=*", "part-*.csv")))
+        else:
+            w = df.repartition(partitions) if partitions else df
+            w.write.option("header", True).mode("overwrite").csv(target)
+            out[name] = sorted(glob.glob(os.path.join(_local(target), "part-*.csv")))
     return out
 
 
 def build_archive(spark: SparkSession, tables: dict[str, DataFrame], archive_name: str,
-                  extra: dict[str, bytes] | None = None, partitions: int | None = None) -> str:
+                  extra: dict[str, bytes] | None = None, partitions: int | None = None,
+                  split: dict | None = None) -> str:
     """One ZIP with members ``<table>/part-N.csv`` plus ``extra`` (name -> bytes)."""
     root = scratch_path(spark, "zip-build")
-    parts = write_csv_parts(tables, root, partitions)
+    parts = write_csv_parts(tables, root, partitions, split)
     members = [(f"{name}/part-{i:05d}.csv", p) for name, ps in parts.items() for i, p in enumerate(ps)]
     target = os.path.join(_local(root), archive_name)
     extra = extra or {}
