@@ -13,7 +13,16 @@ plans      JSON aggregation plan -> DataFrame executor, plan validation and
 sinks      CSV/JSON/parquet result writers with a manifest
 """
 
-from tabsight.session import get_spark, checkpoint_root  # noqa: F401
-from tabsight.catalog import TableSet, load_tables  # noqa: F401
+import sys as _sys
+
+try:  # ship Python helpers (pandas UDFs, mapInPandas functions) with their code, so
+    # executors need no installed copy of this package
+    from pyspark import cloudpickle as _cloudpickle
+    _cloudpickle.register_pickle_by_value(_sys.modules[__name__])
+except Exception:  # pragma: no cover - older cloudpickle
+    pass
+
+from tabsight.session import get_spark, checkpoint_root  # noqa: F401,E402
+from tabsight.catalog import TableSet, load_tables  # noqa: F401,E402
 
 __version__ = "0.1.0"

@@ -6,12 +6,11 @@ column A is included in B iff B is in S(v) for every value v of A.  Here the
 attribute sets are bit masks (one ``long`` per 64 columns), so the whole search
 is two partially-aggregated ``groupBy``s and no pair list is ever emitted:
 
-1. ``(value) -> bit_or(1 << column_id)``: the set of columns holding each value;
-2. explode to ``(A, mask)`` and ``groupBy(A) -> bit_and(mask)``: the columns that
-   hold every value of A.
-
-A hot value (one value in a third of all rows) is combined map-side in step 1;
-step 2 has one row per (column, distinct value).  The reference keeps pairs with
+0. distinct ``(column, value)`` pairs (hash aggregate, map-side combining, so a
+   value filling a third of all rows is collapsed before the shuffle);
+1. ``bit_or(1 << column_id)`` over a window per value: the set of columns holding
+   it (the window has at most one row per column);
+2. ``groupBy(A) -> bit_and(mask)``: the columns that hold every value of A.  The reference keeps pairs with
 A and B in different tables and ``n(A) < n(B)`` (proper subset); the value
 domains follow Python set equality: ints, floats and bools compare as numbers
 (1 == 1.0 == True), strings only with strings, datetimes with datetimes.
@@ -21,7 +20,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -32,21 +31,27 @@ WORD = 64
 
 
 def domain_value(c, dt: T.DataType):
-    """(domain, canonical text) so that equal Python values get equal keys, or None to skip."""
+    """(domain, long, double, string) key so that equal Python values get equal keys
+    (1 == 1.0 == True as numbers; integral doubles are keyed as longs), or None for
+    unhashable types.  Primitive keys: no string conversion per row."""
+    nl, nd, ns = F.lit(None).cast("long"), F.lit(None).cast("double"), F.lit(None).cast("string")
     if isinstance(dt, T.BooleanType):
-        return F.lit("num"), F.when(c, F.lit("1")).otherwise(F.lit("0"))
+        return F.lit("num"), c.cast("long"), nd, ns
     if isinstance(dt, (T.ByteType, T.ShortType, T.IntegerType, T.LongType)):
-        return F.lit("num"), c.cast("string")
+        return F.lit("num"), c.cast("long"), nd, ns
     if isinstance(dt, (T.FloatType, T.DoubleType, T.DecimalType)):
         x = c.cast("double")
         integral = (x == F.floor(x)) & (F.abs(x) < F.lit(9.0e18))
-        return F.lit("num"), F.when(integral, x.cast("long").cast("string")).otherwise(x.cast("string"))
+        return (F.lit("num"), F.when(integral, x.cast("long")),
+                F.when(~integral, x), ns)
     if isinstance(dt, T.StringType):
-        return F.lit("str"), c
-    if isinstance(dt, (T.TimestampType, T.TimestampNTZType)):
-        return F.lit("ts"), c.cast("timestamp_ntz").cast("string")
+        return F.lit("str"), nl, nd, c
+    if isinstance(dt, T.TimestampNTZType):
+        return F.lit("ts"), F.unix_micros(c.cast("timestamp")), nd, ns
+    if isinstance(dt, T.TimestampType):
+        return F.lit("ts"), F.unix_micros(c), nd, ns
     if isinstance(dt, T.DateType):
-        return F.lit("ts"), c.cast("timestamp_ntz").cast("string")
+        return F.lit("date"), F.unix_date(c).cast("long"), nd, ns
     return None   # arrays, maps, structs, binary: unhashable for the reference
 
 
@@ -63,8 +68,11 @@ def column_catalog(tables: TableSet, names: list[str] | None = None) -> list[tup
     return out
 
 
+VALUE_KEYS = ("domain", "vl", "vd", "vs")
+
+
 def _long_values(tables: TableSet, cat) -> DataFrame:
-    """Distinct-able long form (column_id, domain, value) over every hashable column."""
+    """Long form (cid, domain, vl, vd, vs) over every hashable column, missing values dropped."""
     parts = []
     by_table: dict[str, list] = {}
     for cid, t, c, dt in cat:
@@ -73,11 +81,11 @@ def _long_values(tables: TableSet, cat) -> DataFrame:
         entries = []
         for cid, c, dt in cols:
             col = F.col(f"`{c}`")
-            dom, val = domain_value(col, dt)
-            entries.append(F.struct(F.lit(cid).alias("cid"), dom.alias("domain"),
-                                    F.when(~is_missing(col, dt), val).alias("value")))
+            dom, vl, vd, vs = domain_value(col, dt)
+            entries.append(F.struct(F.lit(cid).alias("cid"), F.when(~is_missing(col, dt), dom).alias("domain"),
+                                    vl.alias("vl"), vd.alias("vd"), vs.alias("vs")))
         parts.append(tables[t].select(F.explode(F.array(*entries)).alias("e")).select("e.*"))
-    return reduce(lambda a, b: a.unionByName(b), parts).filter(F.col("value").isNotNull())
+    return reduce(lambda a, b: a.unionByName(b), parts).filter(F.col("domain").isNotNull())
 
 
 def inclusion_dependencies(tables: TableSet, names: list[str] | None = None) -> DataFrame:
@@ -87,23 +95,25 @@ def inclusion_dependencies(tables: TableSet, names: list[str] | None = None) ->
     n_words = max(1, (len(cat) + WORD - 1) // WORD)
     long = _long_values(tables, cat)
 
-    # 1. per value: which columns hold it (bit_or per 64-column word) and the ids to expand
-    masks = [F.bit_or(F.when(F.floor(F.col("cid") / WORD) == w, F.expr(f"shiftleft(1L, cid % {WORD})"))
-                      .otherwise(F.lit(0).cast("long"))).alias(f"m{w}")
-             for w in range(n_words)]
-    per_value = long.groupBy("domain", "value").agg(F.collect_set("cid").alias("cids"), *masks)
-
+    # 0. distinct (column, value): hash aggregate with map-side combining
+    distinct = long.select("cid", *VALUE_KEYS).distinct()
+    # 1. per value: the set of columns holding it, as bit masks.  The window holds one
+    #    row per column that has the value, so its size is bounded by the column count.
+    per_value = Window.partitionBy(*VALUE_KEYS)
+    bits = [F.bit_or(F.when(F.floor(F.col("cid") / WORD) == w, F.expr(f"shiftleft(1L, cid % {WORD})"))
+                     .otherwise(F.lit(0).cast("long"))).over(per_value).alias(f"m{w}")
+            for w in range(n_words)]
+    with_masks = distinct.select("cid", *bits)
     # 2. per column A: intersection of the sets of all its values, plus its distinct count
-    per_col = (per_value.select(F.explode("cids").alias("a"), *[f"m{w}" for w in range(n_words)])
-                        .groupBy("a")
-                        .agg(F.count(F.lit(1)).alias("n_a"),
-                             *[F.bit_and(f"m{w}").alias(f"m{w}") for w in range(n_words)]))
+    per_col = (with_masks.groupBy(F.col("cid").alias("a"))
+                         .agg(F.count(F.lit(1)).alias("n_a"),
+                              *[F.bit_and(f"m{w}").alias(f"m{w}") for w in range(n_words)]))
 
     # 3. decode the surviving bits into (A, B) pairs; n(B) comes from the same relation
     schema = spark.createDataFrame([(cid, t, c) for cid, t, c, _ in cat],
                                    "cid int, table_name string, column_name string")
-    bits = F.explode(F.sequence(F.lit(0), F.lit(n_words * WORD - 1))).alias("b")
-    cand = per_col.select("a", "n_a", *[f"m{w}" for w in range(n_words)], bits)
+    bit_ids = F.explode(F.sequence(F.lit(0), F.lit(n_words * WORD - 1))).alias("b")
+    cand = per_col.select("a", "n_a", *[f"m{w}" for w in range(n_words)], bit_ids)
     word_of_b = F.floor(F.col("b") / WORD)
     chosen = reduce(lambda acc, w: acc.when(word_of_b == w, F.col(f"m{w}")), range(1, n_words),
                     F.when(word_of_b == 0, F.col("m0")))
@@ -111,6 +121,7 @@ def inclusion_dependencies(tables: TableSet, names: list[str] | None = None) ->
                 .filter((F.expr(f"shiftright(word, b % {WORD}) & 1") == 1) & (F.col("b") != F.col("a"))))
     sizes = per_col.select(F.col("a").alias("b"), F.col("n_a").alias("n_b"))
     pairs = cand.select("a", "b", "n_a").join(sizes, "b").filter(F.col("n_a") < F.col("n_b"))
+    # the column catalogue has one row per column (schema-sized): a bounded broadcast
     A = schema.select(F.col("cid").alias("a"), F.col("table_name").alias("dep_table"),
                       F.col("column_name").alias("dep_column"))
     B = schema.select(F.col("cid").alias("b"), F.col("table_name").alias("ref_table"),

@@ -79,59 +79,106 @@ def _orderable(dt: T.DataType) -> bool:
 ROWS_MARK = "\u0000rows"   # pseudo column whose single value counts the rows of a table
 
 
-def sort_key(c: Column, dt: T.DataType) -> tuple[Column, Column]:
-    """Exact ordering key for min/max on the long form as two primitive columns
-    (double, long): longs beyond 2^53 still order exactly, timestamps order by
-    microseconds; primitive buffers keep the aggregation hash-based."""
+# value kinds of the typed long form (fixed per column)
+K_INT, K_DOUBLE, K_TS, K_DATE, K_TEXT, K_BOOL = 0, 1, 2, 3, 4, 5
+
+
+def typed_value(c: Column, dt: T.DataType) -> tuple[int, Column, Column, Column]:
+    """(kind, long, double, string) key of a value: numbers and times group as
+    primitives (no string conversion per row); only text stays a string."""
+    null_l, null_d, null_s = F.lit(None).cast("long"), F.lit(None).cast("double"), F.lit(None).cast("string")
     if isinstance(dt, (T.ByteType, T.ShortType, T.IntegerType, T.LongType)):
-        return c.cast("double"), c.cast("long")
+        return K_INT, c.cast("long"), null_d, null_s
     if isinstance(dt, (T.FloatType, T.DoubleType, T.DecimalType)):
-        return c.cast("double"), F.lit(None).cast("long")
-    if isinstance(dt, (T.TimestampType, T.TimestampNTZType, T.DateType)):
-        micros = F.unix_micros(c.cast("timestamp_ntz").cast("timestamp")) if isinstance(dt, T.TimestampNTZType) \
-            else F.unix_micros(c.cast("timestamp"))
-        return micros.cast("double"), micros
-    return F.lit(None).cast("double"), F.lit(None).cast("long")
+        x = c.cast("double")
+        return K_DOUBLE, null_l, F.when(x == 0, F.lit(0.0)).otherwise(x), null_s   # -0.0 == 0.0
+    if isinstance(dt, T.TimestampNTZType):
+        return K_TS, F.unix_micros(c.cast("timestamp")), null_d, null_s
+    if isinstance(dt, T.TimestampType):
+        return K_TS, F.unix_micros(c), null_d, null_s
+    if isinstance(dt, T.DateType):
+        return K_DATE, F.unix_date(c).cast("long"), null_d, null_s
+    if isinstance(dt, T.BooleanType):
+        return K_BOOL, c.cast("long"), null_d, null_s
+    return K_TEXT, null_l, null_d, value_text(c, dt)
+
+
+def typed_text(kind: Column, vl: Column, vd: Column, vs: Column) -> Column:
+    """Text of a typed value, equal to ``CAST(value AS STRING)`` of the original column."""
+    return (F.when(kind == K_INT, vl.cast("string"))
+             .when(kind == K_DOUBLE, vd.cast("string"))
+             .when(kind == K_TS, F.timestamp_micros(vl).cast("string"))
+             .when(kind == K_DATE, F.date_from_unix_date(vl.cast("int")).cast("string"))
+             .when(kind == K_BOOL, F.when(vl == 1, F.lit("true")).otherwise(F.lit("false")))
+             .otherwise(vs))
+
+
+ROWS_BASE = 1 << 30   # column id of a table's row-count pseudo column: ROWS_BASE + table index
+
+
+def column_ids(tables: TableSet, names: list[str]) -> list[tuple[int, str, str, int, T.DataType | None]]:
+    """Driver-side catalogue (cid, table, column, ordinal, type); row marks have type None."""
+    out = []
+    for ti, t in enumerate(names):
+        for i, f in enumerate([f for f in tables[t].schema.fields if f.name != ROW_ID]):
+            out.append((len(out), t, f.name, i, f.dataType))
+        out.append((ROWS_BASE + ti, t, ROWS_MARK, -1, None))
+    return out
 
 
 def value_counts(tables: TableSet, names: list[str] | None = None, with_first_row: bool = True) -> DataFrame:
-    """vc(table_name, column_name, value, n, first_row, ord) over all given tables in one shuffle.
+    """vc(cid, vl, vd, vs, n, first_row) over all given tables in one shuffle.
 
-    Missing values are dropped (they never count as a distinct value); each table
-    adds one pseudo column ``ROWS_MARK`` whose only value counts its rows, so the
-    profile needs no other scan.  Map-side partial aggregation collapses hot values."""
+    ``cid`` is an integer column id (see :func:`column_ids`); values are typed
+    primitives, so keys are narrow and every buffer is fixed-width: the aggregation
+    stays hash-based with map-side combining (a value filling a third of a column
+    collapses before the shuffle).  Missing values are dropped; each table adds one
+    pseudo column whose only value counts its rows, so the profile needs no other scan."""
+    names = names or list(tables)
+    cat = column_ids(tables, names)
     parts = []
-    for name in names or list(tables):
+    for ti, name in enumerate(names):
         df = tables[name]
-        fields = [f for f in df.schema.fields if f.name != ROW_ID]
         has_order = with_first_row and ROW_ID in df.columns
-        pairs = [F.struct(F.lit(ROWS_MARK).alias("column_name"), F.lit("").alias("value"),
-                          F.lit(None).cast("double").alias("ord_d"), F.lit(None).cast("long").alias("ord_l"))]
-        for f in fields:
-            c = F.col(f"`{f.name}`")
-            keep = ~is_missing(c, f.dataType)
-            od, ol = sort_key(c, f.dataType)
-            pairs.append(F.struct(F.lit(f.name).alias("column_name"),
-                                  F.when(keep, value_text(c, f.dataType)).alias("value"),
-                                  od.alias("ord_d"), ol.alias("ord_l")))
-        cols = [F.lit(name).alias("table_name"), F.explode(F.array(*pairs)).alias("p")]
-        cols.append(F.col(ROW_ID).alias("row_id") if has_order else F.lit(None).cast(ROW_ID_TYPE).alias("row_id"))
-        long = df.select(*cols).select("table_name", "p.column_name", "p.value", "p.ord_d", "p.ord_l", "row_id")
-        parts.append(long.filter(F.col("value").isNotNull()))
+        pairs = [F.struct(F.lit(ROWS_BASE + ti).alias("cid"), F.lit(0).cast("long").alias("vl"),
+                          F.lit(None).cast("double").alias("vd"), F.lit(None).cast("string").alias("vs"))]
+        for cid, t, col, _, dt in cat:
+            if t != name or dt is None:
+                continue
+            c = F.col(f"`{col}`")
+            _, vl, vd, vs = typed_value(c, dt)
+            pairs.append(F.struct(F.when(~is_missing(c, dt), F.lit(cid)).alias("cid"),
+                                  vl.alias("vl"), vd.alias("vd"), vs.alias("vs")))
+        row_id = F.col(ROW_ID) if has_order else F.lit(None).cast(ROW_ID_TYPE)
+        long = df.select(F.explode(F.array(*pairs)).alias("p"), row_id.alias("row_id")).select("p.*", "row_id")
+        parts.append(long.filter(F.col("cid").isNotNull()))
     long = reduce(lambda a, b: a.unionByName(b), parts)
-    return long.groupBy("table_name", "column_name", "value").agg(
-        F.count(F.lit(1)).alias("n"), F.min("row_id").alias("first_row"),
-        F.min("ord_d").alias("ord_d"), F.min("ord_l").alias("ord_l"))
+    return long.groupBy("cid", "vl", "vd", "vs").agg(F.count(F.lit(1)).alias("n"),
+                                                     F.min("row_id").alias("first_row"))
+
+
+def catalogue_frame(tables: TableSet, names: list[str]) -> DataFrame:
+    """The column catalogue as a small DataFrame (schema-sized)."""
+    spark = next(iter(tables.values())).sparkSession
+    rows = [(cid, t, c, i, typed_value(F.col("x"), dt)[0] if dt is not None else K_INT,
+             _type_class(dt) if dt is not None else "rows", _orderable(dt) if dt is not None else False)
+            for cid, t, c, i, dt in column_ids(tables, names)]
+    return spark.createDataFrame(rows, "cid int, table_name string, column_name string, ordinal int, kind int, "
+                                       "type_class string, orderable boolean")
 
 
-def first_samples(vc: DataFrame, k: int = SAMPLE_SIZE) -> DataFrame:
-    """First ``k`` distinct non-null values per column, in order of first appearance."""
-    w = Window.partitionBy("table_name", "column_name").orderBy(F.col("first_row"), F.col("value"))
-    top = vc.filter(F.col("column_name") != ROWS_MARK) \
-            .withColumn("rk", F.row_number().over(w)).filter(F.col("rk") <= k)
-    return (top.groupBy("table_name", "column_name")
-               .agg(F.array_sort(F.collect_list(F.struct("rk", "value"))).alias("s"))
-               .select("table_name", "column_name", F.col("s.value").alias("sample_values")))
+def first_samples(vc: DataFrame, cat: DataFrame, k: int = SAMPLE_SIZE) -> DataFrame:
+    """First ``k`` distinct non-null values per column, in order of first appearance;
+    ``row_number() <= k`` is planned as a partial WindowGroupLimit before the shuffle."""
+    w = Window.partitionBy("cid").orderBy("first_row", "vl", "vd", "vs")
+    # filter the row-count marks only after the window: a filter on vc itself would be
+    # pushed below the aggregation and stop the two consumers sharing one exchange
+    top = vc.withColumn("rk", F.row_number().over(w)).filter((F.col("rk") <= k) & (F.col("cid") < ROWS_BASE))
+    top = top.join(F.broadcast(cat.select("cid", "kind")), "cid")   # schema-sized side
+    text = typed_text(F.col("kind"), F.col("vl"), F.col("vd"), F.col("vs"))
+    return (top.groupBy("cid")
+               .agg(F.array_sort(F.collect_list(F.struct(F.col("rk"), text.alias("value")))).alias("s"))
+               .select("cid", F.col("s.value").alias("sample_values")))
 
 
 def _type_class(dt: T.DataType) -> str:
@@ -185,17 +232,23 @@ def profile_columns(tables: TableSet, names: list[str] | None = None, samples: b
     sample_values, is_pk_candidate, row_count.  One shuffle of the data in total."""
     names = names or list(tables)
     vc = value_counts(tables, names, with_first_row=samples)
-    per_col = vc.groupBy("table_name", "column_name").agg(
+    cat = catalogue_frame(tables, names)
+    per_col = vc.groupBy("cid").agg(
         F.count(F.lit(1)).alias("unique_count"), F.sum("n").alias("non_null"), F.max("n").alias("max_n"),
-        F.min_by("value", F.struct("ord_d", "ord_l")).alias("min_value"),
-        F.max_by("value", F.struct("ord_d", "ord_l")).alias("max_value"))
-    rows = per_col.filter(F.col("column_name") == ROWS_MARK) \
-                  .select("table_name", F.col("non_null").alias("row_count"))
-    out = (schema_frame(tables, names)
-           .join(per_col.filter(F.col("column_name") != ROWS_MARK), ["table_name", "column_name"], "left")
-           .join(rows, "table_name", "left"))
+        F.min("vl").alias("lo_l"), F.max("vl").alias("hi_l"), F.min("vd").alias("lo_d"), F.max("vd").alias("hi_d"))
+    # one row per column and table mark; the catalogue is schema-sized (bounded broadcast).
+    # Row counts travel by a window over this small relation (a filter on it would be
+    # pushed into the value-count job and run it twice).
+    per_table = Window.partitionBy("table_name")
+    out = (cat.join(per_col, "cid", "left")
+              .withColumn("row_count", F.max(F.when(F.col("cid") >= ROWS_BASE, F.col("non_null"))).over(per_table))
+              .withColumn("min_value", typed_text(F.col("kind"), F.col("lo_l"), F.col("lo_d"),
+                                                  F.lit(None).cast("string")))
+              .withColumn("max_value", typed_text(F.col("kind"), F.col("hi_l"), F.col("hi_d"),
+                                                  F.lit(None).cast("string"))))
+    out = out.filter(F.col("cid") < ROWS_BASE)
     if samples:
-        out = out.join(first_samples(vc), ["table_name", "column_name"], "left")
+        out = out.join(first_samples(vc, cat), "cid", "left")
     else:
         out = out.withColumn("sample_values", F.lit(None).cast("array<string>"))
     rc = F.coalesce(F.col("row_count"), F.lit(0))
