@@ -69,7 +69,11 @@ def exact_quantiles(df: DataFrame, columns: list[str], probs: list[float], by: l
     # running count inside each slice (bounded by the slice)
     ws = Window.partitionBy(*keys, "pid").orderBy("v").rowsBetween(Window.unboundedPreceding, 0)
     ranked = ranged.withColumn("upto", F.sum("n").over(ws))
-    ranked = ranked.join(slices.drop("slice_n"), [*keys, "pid"])
+    offsets = slices.drop("slice_n")
+    if not by:
+        # without groups the offsets table has at most (nbuckets + 2) x columns rows
+        offsets = F.broadcast(offsets)
+    ranked = ranked.join(offsets, [*keys, "pid"])
     # global 0-based rank interval [start, end] of this value
     ranked = (ranked.withColumn("end", F.col("offset") + F.col("upto") - 1)
                     .withColumn("start", F.col("end") - F.col("n") + 1))

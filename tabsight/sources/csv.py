@@ -158,3 +158,71 @@ def read_csv_table(spark: SparkSession, path: str, sep: str = ",", with_row_id:
     typed = cleaned.select(*[cast_to(F.col(f"`{h}`"), kinds[h]).alias(h) for h in header],
                            *([ROW_ID] if with_row_id else []))
     return CsvTable(typed, kinds, issues)
+
+
+def _parse_header_line(line: str | None, sep: str) -> list[str]:
+    import csv as _csv
+    if line is None or line.strip() == "":
+        return []
+    return dedupe_header(next(_csv.reader([line], delimiter=sep)))
+
+
+def read_csv_members(spark: SparkSession, root: str, part_col: str, members: dict[str, str],
+                     sep: str = ",") -> dict[str, CsvTable]:
+    """Many CSV files staged as ``root/<part_col>=<id>/`` read with few jobs.
+
+    One text scan gives every member's header (``min_by`` over file order, per
+    member); members with the same header share one CSV read (partition pruning on
+    ``part_col``) and one statistics job grouped by member; each member's table is a
+    filtered projection of that read.  ``members`` maps id -> table name."""
+    lines = spark.read.text(root)
+    split_bytes = int(spark.conf.get("spark.sql.files.maxPartitionBytes", "134217728").rstrip("b"))
+    heads = (lines.filter(F.col(part_col).isin(*members))
+                  .withColumn("__pos", text_row_id(lines, split_bytes))
+                  .groupBy(part_col).agg(F.min_by("value", "__pos").alias("h"))
+                  .collect())                       # one row per member
+    header_of = {r[part_col]: _parse_header_line(r["h"], sep) for r in heads}
+    out: dict[str, CsvTable] = {}
+    groups: dict[tuple, list[str]] = {}
+    for mid, name in members.items():
+        hdr = header_of.get(mid, [])
+        if not hdr:
+            out[name] = CsvTable(spark.createDataFrame([], T.StructType([])), {},
+                                 [(name, "error", "No columns to parse from file")])
+            continue
+        groups.setdefault(tuple(hdr), []).append(mid)
+    for hdr, ids in groups.items():
+        header = list(hdr)
+        schema = T.StructType([T.StructField(h, T.StringType()) for h in header] +
+                              [T.StructField(CORRUPT, T.StringType())])
+        raw = (spark.read.option("header", True).option("sep", sep).option("enforceSchema", True)
+               .option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", CORRUPT)
+               .option("nullValue", "\u0000").schema(schema).csv(root)
+               .filter(F.col(part_col).isin(*ids)))
+        raw = raw.withColumn(ROW_ID, text_row_id(raw, split_bytes))
+        cleaned = raw.select(F.col(part_col), *[na_to_null(F.col(f"`{h}`")).alias(h) for h in header],
+                             CORRUPT, ROW_ID)
+        n_fields = F.size(F.split(F.col(CORRUPT), sep))
+        stats = {r[part_col]: r for r in cleaned.groupBy(part_col).agg(
+            *_type_exprs(header),
+            F.count(F.when(F.col(CORRUPT).isNotNull() & (n_fields > len(header)), 1)).alias("__long")).collect()}
+        for mid in ids:
+            name = members[mid]
+            row = stats.get(mid)
+            issues = []
+            if row is None:      # header only: an empty table, every column float (all missing)
+                kinds = {h: "float" for h in header}
+            else:
+                if row["__long"] > 0:
+                    issues.append((name, "error", f"Error tokenizing data: {row['__long']} row(s) have more "
+                                                  f"fields than the header ({len(header)})"))
+                kinds = {}
+                for i, h in enumerate(header):
+                    n, ints, dbl, bools, total = (row[f"n{i}"], row[f"i{i}"], row[f"d{i}"], row[f"b{i}"],
+                                                  row["__rows"])
+                    kinds[h] = ("float" if n == 0 else "int" if ints == n == total else "float" if dbl == n
+                                else "bool" if bools == n == total else "string")
+            typed = cleaned.filter(F.col(part_col) == mid).select(
+                *[cast_to(F.col(f"`{h}`"), kinds[h]).alias(h) for h in header], ROW_ID)
+            out[name] = CsvTable(typed, kinds, issues)
+    return out

@@ -60,7 +60,7 @@ def member_filter(member, is_dir):
 
 def member_id(archive: str, member: str) -> str:
     """Filesystem-safe id of one member (a staging folder name)."""
-    return hashlib.sha1(f"{archive}#{member}".encode("utf-8")).hexdigest()[:20]
+    return "m" + hashlib.sha1(f"{archive}#{member}".encode("utf-8")).hexdigest()[:20]
 
 
 def _scan(batches, max_files: int, max_bytes: int, with_text: bool):
@@ -122,7 +122,7 @@ def ingest_archives(spark: SparkSession, archives: DataFrame, archive_col: str =
     Returns ``(members, tables)``: the member listing DataFrame (without text) and a
     dict ``archive#member -> CsvTable`` (S12 original name).  The listing comes to
     the driver: its size is the number of members, not their content."""
-    from tabsight.sources.csv import read_csv_table
+    from tabsight.sources.csv import read_csv_members
     checkpoint_root(spark)
     staging = scratch_path(spark, "zip-members")
     members = scan_archives(archives, archive_col, content_col, max_files, max_bytes, with_text=True)
@@ -130,11 +130,8 @@ def ingest_archives(spark: SparkSession, archives: DataFrame, archive_col: str =
     (members.filter(F.col("kept")).select("member_id", "text")
             .write.partitionBy("member_id").text(staging))
     listing = members.drop("text").collect()
-    tables = {}
-    for r in listing:
-        if r["kept"]:
-            name = f"{os.path.basename(r['archive'])}#{r['member']}"
-            tables[name] = read_csv_table(spark, f"{staging}/member_id={r['member_id']}", name=name)
+    kept = {r["member_id"]: f"{os.path.basename(r['archive'])}#{r['member']}" for r in listing if r["kept"]}
+    tables = read_csv_members(spark, staging, "member_id", kept) if kept else {}
     return members.drop("text"), tables
 
 
