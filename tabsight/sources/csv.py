@@ -121,8 +121,11 @@ def cast_to(c: Column, kind: str) -> Column:
 
 
 def read_csv_table(spark: SparkSession, path: str, sep: str = ",", with_row_id: bool = True,
-                   name: str | None = None) -> CsvTable:
-    """Read one CSV file (or a directory of files sharing one header) like pandas."""
+                   name: str | None = None, multiline: bool = False) -> CsvTable:
+    """Read one CSV file (or a directory of files sharing one header) like pandas.
+
+    ``multiline=False`` keeps files splittable (one task per block); set it for
+    files with quoted newlines inside fields (then one task reads one whole file)."""
     issues: list[tuple[str, str, str]] = []
     name = name or path
     header = read_header(spark, path, sep)
@@ -134,7 +137,7 @@ def read_csv_table(spark: SparkSession, path: str, sep: str = ",", with_row_id:
                           [T.StructField(CORRUPT, T.StringType())])
     raw = (spark.read.option("header", True).option("sep", sep).option("enforceSchema", True)
            .option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", CORRUPT)
-           .option("nullValue", "\u0000").option("multiLine", False)
+           .option("nullValue", "\u0000").option("multiLine", multiline)
            .schema(schema).csv(path))
     if with_row_id:
         split_bytes = int(spark.conf.get("spark.sql.files.maxPartitionBytes", "134217728").rstrip("b"))
@@ -168,7 +171,7 @@ def _parse_header_line(line: str | None, sep: str) -> list[str]:
 
 
 def read_csv_members(spark: SparkSession, root: str, part_col: str, members: dict[str, str],
-                     sep: str = ",") -> dict[str, CsvTable]:
+                     sep: str = ",", multiline: bool = False) -> dict[str, CsvTable]:
     """Many CSV files staged as ``root/<part_col>=<id>/`` read with few jobs.
 
     One text scan gives every member's header (``min_by`` over file order, per
@@ -197,7 +200,7 @@ def read_csv_members(spark: SparkSession, root: str, part_col: str, members: dic
                               [T.StructField(CORRUPT, T.StringType())])
         raw = (spark.read.option("header", True).option("sep", sep).option("enforceSchema", True)
                .option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", CORRUPT)
-               .option("nullValue", "\u0000").schema(schema).csv(root)
+               .option("nullValue", "\u0000").option("multiLine", multiline).schema(schema).csv(root)
                .filter(F.col(part_col).isin(*ids)))
         raw = raw.withColumn(ROW_ID, text_row_id(raw, split_bytes))
         cleaned = raw.select(F.col(part_col), *[na_to_null(F.col(f"`{h}`")).alias(h) for h in header],

@@ -111,3 +111,8 @@ def test_f1_pandas_reference_values(csv_file):
     # the goldens above come from pandas itself; keep them honest
     pdf = pd.read_csv(csv_file(F1, "p.csv"))
     assert round(pdf["Sales"].sum(), 2) == 17098.25 and pdf["Sales"].median() == 1800.5
+
+
+def test_quoted_newline_with_multiline(spark, csv_file):
+    t = read_csv_table(spark, csv_file('a,b\n1,"x\ny"\n2,z\n', "q.csv"), multiline=True)
+    assert [tuple(r) for r in t.df.drop("_row_id").collect()] == [(1, "x\ny"), (2, "z")]
