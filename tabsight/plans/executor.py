@@ -217,11 +217,15 @@ class PlanExecutor:
             order = [o for o in order if o[0] != ROW_ID]
         return OpResult(key, df, table, spec.get("type", "aggregation"), None, order)
 
-    def _aggregates(self, schema: T.StructType, aggs, has_row_id: bool, key, issues) -> list[Column]:
+    def _aggregates(self, schema: T.StructType, aggs, has_row_id: bool, key, issues):
+        """(plain aggregate Columns, quantile specs, output names in plan order).
+
+        ``median``/``quantile`` are not Spark's ``percentile`` (which keeps a whole
+        group's values in one buffer) but the distributed exact quantiles."""
         if not isinstance(aggs, dict):
             raise PlanError(f"aggregations must map column -> function(s), got {aggs!r}")
         types = {f.name: f.dataType for f in schema.fields}
-        exprs = []
+        exprs, quants, order = [], [], []
         for col, funcs in aggs.items():
             if col not in types:
                 issues.append((key, "info", f"aggregate skipped: unknown column '{col}'"))
@@ -229,9 +233,24 @@ class PlanExecutor:
             for fn in _as_list(funcs):
                 if not isinstance(fn, str):
                     raise PlanError(f"aggregate function must be a name, got {fn!r}")
-                e = agg_expr(fn, col, types[col], ROW_ID if has_row_id else None)
-                exprs.append(e.alias(output_name(col, fn)))
-        return exprs
+                e = agg_expr(fn, col, types[col], ROW_ID if has_row_id else None)   # validates
+                name = output_name(col, fn)
+                order.append(name)
+                if fn.lower() in ("median", "quantile"):
+                    quants.append((col, 0.5, name))
+                else:
+                    exprs.append(e.alias(name))
+        return exprs, quants, order
+
+    @staticmethod
+    def _quantile_frame(df: DataFrame, quants, keys: list[str]) -> DataFrame:
+        from tabsight.operators.quantiles import exact_quantiles
+        cols = sorted({c for c, _, _ in quants})
+        probs = sorted({q for _, q, _ in quants})
+        long = exact_quantiles(df, cols, probs, by=keys)
+        picks = [F.max(F.when((F.col("column") == c) & (F.col("q") == float(q)), F.col("value"))).alias(n)
+                 for c, q, n in quants]
+        return long.groupBy(*[_q(k) for k in keys]).agg(*picks) if keys else long.agg(*picks)
 
     def _grouped(self, df, schema, group, aggs, has_row_id, key, issues):
         names = {f.name for f in schema.fields}
@@ -243,18 +262,28 @@ class PlanExecutor:
             issues.append((key, "info", "no valid group column: table returned unaggregated"))
             return df, [], "pass"
         df = df.filter(reduce(lambda a, b: a & b, [_q(k).isNotNull() for k in keys]))  # G1
-        exprs = self._aggregates(schema, aggs, has_row_id, key, issues)
-        if not exprs:   # G11
-            exprs = [F.count(F.lit(1)).alias("count")]
-        out = df.groupBy(*[_q(k) for k in keys]).agg(*exprs)
+        exprs, quants, order = self._aggregates(schema, aggs, has_row_id, key, issues)
+        if not exprs and not quants:   # G11
+            exprs, order = [F.count(F.lit(1)).alias("count")], ["count"]
+        out = df.groupBy(*[_q(k) for k in keys]).agg(*(exprs or [F.count(F.lit(1)).alias("__n")]))
+        if quants:
+            # both sides have one row per group: a join on the keys, no group in one task
+            out = out.join(self._quantile_frame(df, quants, keys), keys, "left")
+        out = out.select(*[_q(k) for k in keys], *[_q(n) for n in order])
         return out, [(k, True) for k in keys], "group"
 
     def _global(self, df, schema, aggs, has_row_id, key, issues):
-        exprs = self._aggregates(schema, aggs, has_row_id, key, issues)
-        if not exprs:
+        exprs, quants, order = self._aggregates(schema, aggs, has_row_id, key, issues)
+        if not exprs and not quants:
             # the reference returns an empty frame: no valid aggregate column
             return df.limit(0).select()
-        return df.agg(*exprs)
+        out = df.agg(*(exprs or [F.count(F.lit(1)).alias("__n")]))
+        if quants:
+            # one struct-valued scalar subquery carries every quantile of the one-row result
+            qf = self._quantile_frame(df, quants, [])
+            packed = qf.select(F.struct(*[_q(n) for _, _, n in quants]).alias("s")).scalar()
+            out = out.select("*", *[packed.getField(n).alias(n) for _, _, n in quants])
+        return out.select(*[_q(n) for n in order])
 
     def _sort_limit(self, df: DataFrame, spec: dict, order: list[tuple[str, bool]], key, issues):
         sort_cfg = spec.get("sort")

@@ -384,3 +384,12 @@ def a21b(spark, sf_dir):
     t = tables(spark, sf_dir, "orders")
     run = PlanExecutor(t).run(rule_plan(t))
     return rounded(run.results["operation_2"].df)
+
+
+@register("G8_G14_global_median_and_sum", """
+SELECT ROUND(MEDIAN(l_extendedprice), 4) AS l_extendedprice_median, ROUND(SUM(l_quantity), 4) AS l_quantity_sum,
+       ROUND(MEDIAN(l_quantity), 4) AS l_quantity_median
+FROM lineitem""")
+def g8_global(spark, sf_dir):
+    return _op(tables(spark, sf_dir, "lineitem"), {
+        "table": "lineitem", "aggregate": {"l_extendedprice": "median", "l_quantity": ["sum", "median"]}})
