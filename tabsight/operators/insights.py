@@ -168,31 +168,56 @@ def strict_date_range(df: DataFrame) -> DataFrame:
 
 def insights_frame(name: str, df: DataFrame, processed_at: str | None = None) -> DataFrame:
     """(Category, Metric, Value, seq) rows: file information, key insights (KPI totals
-    then date ranges), alerts (missing, duplicates).  ``seq`` keeps the reference order."""
+    then date ranges), alerts (missing, duplicates).  ``seq`` keeps the reference order.
+
+    Row count, missing counts (after the date coercion, as the reference computes
+    them), KPI totals and date ranges come from ONE wide aggregate over the table;
+    duplicates are the only other job."""
+    from tabsight.operators.quality import MISSING_ALERT_PERCENT, MSG_HIGH_MISSING, coerced_missing
     spark = df.sparkSession
-    cols = data_columns(df)
+    fields = [f for f in df.schema.fields if f.name != ROW_ID]
+    kpis = kpi_columns(df)
+    dcols = date_columns(df)
+    exprs = [F.count(F.lit(1)).alias("__rows")]
+    exprs += [F.sum(coerced_missing(F.col(f"`{f.name}`"), f).cast("long")).alias(f"__m{i}")
+              for i, f in enumerate(fields)]
+    for j, c in enumerate(kpis):
+        x = F.col(f"`{c}`").cast("double")
+        exprs.append(F.coalesce(F.sum(F.when(~F.isnan(x), x)), F.lit(0.0)).alias(f"__t{j}"))
+    for k, c in enumerate(dcols):
+        p = parsed_date(df, c)
+        exprs += [F.min(p).alias(f"__lo{k}"), F.max(p).alias(f"__hi{k}")]
+    wide = df.agg(*exprs)
+    if kpis:   # pandas-exact money text, computed on the one-row aggregate
+        wide = wide.select("*", *[money_text(F.col(f"__t{j}")).alias(f"__tt{j}") for j in range(len(kpis))])
+    rows = [F.struct(F.lit("File Information").alias("Category"), F.lit("Total Rows").alias("Metric"),
+                     F.col("__rows").cast("string").alias("Value"), F.lit(10).alias("seq")),
+            F.struct(F.lit("File Information").alias("Category"), F.lit("Total Columns").alias("Metric"),
+                     F.lit(str(len(fields))).alias("Value"), F.lit(11).alias("seq"))]
+    rows += [F.struct(F.lit("Key Insights").alias("Category"), F.lit(f"{c} Analysis").alias("Metric"),
+                      F.col(f"__tt{j}").alias("Value"), F.lit(100 + j).alias("seq"))
+             for j, c in enumerate(kpis)]
+    rows += [F.struct(F.lit("Key Insights").alias("Category"), F.lit(f"{c} Range").alias("Metric"),
+                      F.when(F.col(f"__lo{k}").isNotNull(),
+                             F.concat(_ts_text(F.col(f"__lo{k}")), F.lit(" to "), _ts_text(F.col(f"__hi{k}"))))
+                      .alias("Value"), F.lit(200 + k).alias("seq"))
+             for k, c in enumerate(dcols)]
+    hot = [F.when((F.col("__rows") > 0) & (F.col(f"__m{i}") * 100.0 / F.col("__rows") > MISSING_ALERT_PERCENT),
+                  F.lit(f.name)) for i, f in enumerate(fields)]
+    names = F.concat_ws(", ", *hot) if hot else F.lit("")
+    rows.append(F.struct(F.lit("Alert (Warning)").alias("Category"), F.lit("Data Quality").alias("Metric"),
+                         F.when(names != "", fill(MSG_HIGH_MISSING, columns=names)).alias("Value"),
+                         F.lit(300).alias("seq")))
+    body = wide.select(F.explode(F.array(*rows)).alias("e")).select("e.*").filter(F.col("Value").isNotNull())
     info = [("File Information", "File Name", name)]
     if processed_at is not None:
         info.append(("File Information", "Processed At", processed_at))
     head = spark.createDataFrame([(a, b, c, i) for i, (a, b, c) in enumerate(info)],
                                  "Category string, Metric string, Value string, seq int")
-    counts = row_counts(TableSet({name: df})).select(
-        F.explode(F.array(
-            F.struct(F.lit("File Information").alias("Category"), F.lit("Total Rows").alias("Metric"),
-                     F.col("row_count").cast("string").alias("Value"), F.lit(10).alias("seq")),
-            F.struct(F.lit("File Information").alias("Category"), F.lit("Total Columns").alias("Metric"),
-                     F.lit(str(len(cols))).alias("Value"), F.lit(11).alias("seq")))).alias("e")).select("e.*")
-    kpi = kpi_summary(df).select(F.lit("Key Insights").alias("Category"),
-                                 F.concat(F.col("column"), F.lit(" Analysis")).alias("Metric"),
-                                 F.col("total_text").alias("Value"), (F.lit(100) + F.col("ordinal")).alias("seq"))
-    dates = date_ranges(df).select(F.lit("Key Insights").alias("Category"),
-                                   F.concat(F.col("column"), F.lit(" Range")).alias("Metric"),
-                                   F.col("value").alias("Value"), (F.lit(200) + F.col("ordinal")).alias("seq"))
-    alerts = missing_alert(df).unionByName(duplicate_alert(df)).select(
+    dups = duplicate_alert(df).select(
         F.concat(F.lit("Alert ("), F.col("severity"), F.lit(")")).alias("Category"),
-        F.col("type").alias("Metric"), F.col("message").alias("Value"),
-        F.when(F.col("severity") == "Warning", F.lit(300)).otherwise(F.lit(301)).alias("seq"))
-    return reduce(DataFrame.unionByName, [head, counts, kpi, dates, alerts])
+        F.col("type").alias("Metric"), F.col("message").alias("Value"), F.lit(301).alias("seq"))
+    return reduce(DataFrame.unionByName, [head, body, dups])
 
 
 def combined_summary(tables: TableSet, names: list[str] | None = None) -> DataFrame:
