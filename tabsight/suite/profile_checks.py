@@ -200,3 +200,47 @@ def p15(spark, sf_dir):
 
 
 assert set(DRIVER_SCHEMA) == set(DRIVER_TABLES)
+
+
+
+def _schema_count_sql() -> str:
+    return " + ".join(str(len(c)) for c in DRIVER_SCHEMA.values())
+
+
+@register("P13_P14_catalog_parts", f"""
+SELECT 'tables' AS part, {len(DRIVER_SCHEMA)} AS entries
+UNION ALL SELECT 'columns', {_schema_count_sql()}
+UNION ALL SELECT 'sample_data', (SELECT SUM(LEAST(n, 5) + LEAST(n, 5)) FROM ({" UNION ALL ".join(
+    f"SELECT COUNT(*) AS n FROM {t}" for t in DRIVER_SCHEMA)}))""")
+def p13(spark, sf_dir):
+    from tabsight.operators.report_context import extract_catalog, light_catalog
+    t = tables(spark, sf_dir)
+    cat = extract_catalog(t)
+    light = light_catalog(t, cat["columns"])
+    parts = [cat["tables"].agg(F.count(F.lit(1)).alias("entries")).select(F.lit("tables").alias("part"), "entries"),
+             light.agg(F.count(F.lit(1)).alias("entries")).select(F.lit("columns").alias("part"), "entries"),
+             cat["sample_data"].agg(F.count(F.lit(1)).alias("entries")).select(F.lit("sample_data").alias("part"),
+                                                                               "entries")]
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    return out
+
+
+@register("P17_P18_result_context_flagship", f"""
+SELECT 'operation_1' AS key, LEAST(COUNT(DISTINCT location), 10) AS row_count,
+       'location:nominal|sales_count:quantitative|sales_mean:quantitative|sales_sum:quantitative' AS types
+FROM (SELECT n_name AS location FROM orders JOIN customer ON o_custkey = c_custkey
+      JOIN nation ON c_nationkey = n_nationkey WHERE o_orderstatus IS DISTINCT FROM 'F')""")
+def p17(spark, sf_dir):
+    from tabsight.catalog import TableSet
+    from tabsight.operators.report_context import result_context
+    from tabsight.plans.executor import PlanExecutor
+    from tabsight.suite.plan_checks import FLAGSHIP_PLAN
+    from tabsight.suite.views import sales_view
+    t = TableSet({"sales": sales_view(tables(spark, sf_dir, "orders", "customer", "nation"))})
+    run = PlanExecutor(t).run({"operations": [FLAGSHIP_PLAN]})
+    ctx = result_context(run.results)
+    types = F.array_join(F.array_sort(F.transform(F.map_entries("semantic_types"),
+                                                   lambda e: F.concat(e["key"], F.lit(":"), e["value"]))), "|")
+    return ctx.select("key", "row_count", types.alias("types"))

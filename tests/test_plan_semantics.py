@@ -139,3 +139,17 @@ def test_skew_kurt_quantile_goldens(spark):
     assert math.isclose(r["x_skew"], 2.538895, abs_tol=1e-6)
     assert math.isclose(r["x_kurt"], 6.540674, abs_tol=1e-6)
     assert r["x_median"] == 4.0
+
+
+def test_semantic_types_and_result_context(spark):
+    from tabsight.operators.report_context import result_context, semantic_types
+    df = spark.createDataFrame([("2024-01-01", None, 1.5, True), ("x", "a", 2.0, False)],
+                               "order_date string, name string, v double, flag boolean")
+    got = {r["column"]: r["semantic_type"] for r in semantic_types(df).collect()}
+    assert got == {"order_date": "temporal", "name": "nominal", "v": "quantitative", "flag": "quantitative"}
+    t = _tables(spark, "restaurant_test_data", F4)
+    run = PlanExecutor(t).run({"operations": [{"table": "restaurant_test_data", "groupby": ["Location"],
+                                               "agg_functions": {"Sales": ["sum"]}}]})
+    ctx = result_context(run.results).collect()[0]
+    assert ctx["row_count"] == 4 and ctx["columns"] == ["Location", "Sales_sum"]
+    assert len(ctx["sample_data"]) == 3 and ctx["semantic_types"]["Location"] == "nominal"
