@@ -7,7 +7,8 @@ task's memory.  Here:
 
 1. ``vc``: (keys, value) -> n, a partially aggregated count (hot values collapse);
 2. slices: equal-width buckets of each column's global value range (deterministic,
-   so a retried task rebuilds the same slice); a hot group spreads over many slices;
+   so a retried task rebuilds the same slice; the range is a scalar subquery, so
+   building the DataFrame runs nothing); a hot group spreads over many slices;
 3. per (slice, keys): slice totals -> prefix offsets (a table with at most
    slices x groups rows);
 4. inside each slice a running sum gives the global rank interval of every value;
@@ -52,14 +53,15 @@ def exact_quantiles(df: DataFrame, columns: list[str], probs: list[float], by: l
     nbuckets = 4 * (partitions or int(spark.conf.get("spark.sql.shuffle.partitions")))
     # deterministic slices: equal-width buckets of each column's global range (one
     # tiny aggregate, C rows to the driver); a hot group spans many slices
-    row = df.agg(*[F.min(F.col(f"`{c}`").cast("double")).alias(f"lo{i}") for i, (c, _) in enumerate(cols)],
-                 *[F.max(F.col(f"`{c}`").cast("double")).alias(f"hi{i}") for i, (c, _) in enumerate(cols)]).first()
+    # one struct-valued scalar subquery with every column's min/max: the plan stays lazy
+    bounds = df.agg(F.struct(*[F.min(F.col(f"`{c}`").cast("double")).alias(f"lo{i}") for i, (c, _) in enumerate(cols)],
+                             *[F.max(F.col(f"`{c}`").cast("double")).alias(f"hi{i}") for i, (c, _) in enumerate(cols)])
+                    .alias("b")).scalar()
     bucket = F.lit(0)
     for i, (c, _) in enumerate(cols):
-        lo_v, hi_v = row[f"lo{i}"], row[f"hi{i}"]
-        if lo_v is not None and hi_v is not None and hi_v > lo_v and math.isfinite(lo_v) and math.isfinite(hi_v):
-            wb = F.width_bucket(F.col("v"), F.lit(float(lo_v)), F.lit(float(hi_v)), F.lit(nbuckets))
-            bucket = F.when(F.col("column") == c, wb).otherwise(bucket)
+        lo_v, hi_v = bounds.getField(f"lo{i}"), bounds.getField(f"hi{i}")
+        wb = F.when(hi_v > lo_v, F.width_bucket(F.col("v"), lo_v, hi_v, F.lit(nbuckets)))
+        bucket = F.when(F.col("column") == c, F.coalesce(wb, F.lit(0))).otherwise(bucket)
     ranged = vc.withColumn("pid", bucket)
     # slice totals and their prefix offsets per group (small: slices x groups)
     slices = ranged.groupBy(*keys, "pid").agg(F.sum("n").alias("slice_n"))

@@ -62,15 +62,14 @@ def _numeric_order(df: DataFrame, col: str) -> Column | None:
 
 def order_slices(df: DataFrame, order_col: str, buckets: int) -> Column:
     """Deterministic slice id: equal-width bucket of the first order column over its
-    global range (one tiny aggregate).  Deterministic matters: a recomputed task
-    after executor loss must put every row in the same slice."""
+    global range (a scalar subquery, so building the plan runs nothing).  Determinism
+    matters: a recomputed task after executor loss puts every row in the same slice."""
     num = _numeric_order(df, order_col)
     if num is None:
         return F.lit(0)
-    lo, hi = df.agg(F.min(num), F.max(num)).first()
-    if lo is None or hi is None or hi <= lo:
-        return F.lit(0)
-    return F.coalesce(F.width_bucket(num, F.lit(float(lo)), F.lit(float(hi)), F.lit(buckets)), F.lit(0))
+    b = df.agg(F.struct(F.min(num).alias("lo"), F.max(num).alias("hi")).alias("b")).scalar()
+    lo, hi = b.getField("lo"), b.getField("hi")
+    return F.coalesce(F.when(hi > lo, F.width_bucket(num, lo, hi, F.lit(buckets))), F.lit(0))
 
 
 def running_many(df: DataFrame, by: list[str], order: list[str], specs: list[tuple[str, str, str]],
