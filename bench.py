@@ -66,9 +66,10 @@ def main() -> None:
                              "bench.zip", partitions=4)
 
     def plan_4op():
-        run = PlanExecutor(sales).run(PLAN)
+        run = PlanExecutor(sales, reuse_scans=True).run(PLAN)
         for r in run.results.values():
             r.df.collect()
+        run.release()
 
     def profile_all():
         profile_columns(t).collect()

@@ -60,6 +60,13 @@ class PlanRun:
     results: dict[str, OpResult]
     issues: list[tuple[str, str, str]]
     tables: TableSet
+    persisted: list = field(default_factory=list)
+
+    def release(self) -> None:
+        """Unpersist tables cached for scan reuse."""
+        for df in self.persisted:
+            df.unpersist()
+        self.persisted = []
 
     def issues_df(self, spark: SparkSession) -> DataFrame:
         rows = list(self.issues) + [(k, "error", r.error) for k, r in self.results.items() if r.error]
@@ -112,9 +119,10 @@ def _order_cols(order: list[tuple[str, bool]]) -> list[Column]:
 class PlanExecutor:
     """Builds DataFrames for plan ops over a :class:`TableSet`."""
 
-    def __init__(self, tables: TableSet, strict: bool = False):
+    def __init__(self, tables: TableSet, strict: bool = False, reuse_scans: bool = False):
         self.tables = tables
         self.strict = strict
+        self.reuse_scans = reuse_scans
 
     # ------------------------------------------------------------------ dispatch (Q1)
     def run(self, plan: dict) -> PlanRun:
@@ -122,6 +130,7 @@ class PlanExecutor:
         results: dict[str, OpResult] = {}
         if not isinstance(plan, dict):
             raise PlanError("plan must be a JSON object")
+        persisted = self._persist_shared(plan) if self.reuse_scans else []
         if "aggregations" in plan:
             for i, op in enumerate(_as_list(plan["aggregations"])):
                 key = f"aggregation_{i + 1}"
@@ -143,7 +152,31 @@ class PlanExecutor:
                     results[key] = self._safe(key, spec, issues)
         else:
             results["main_aggregation"] = self._flexible(plan)
-        return PlanRun(results, issues, self.tables)
+        run = PlanRun(results, issues, self.tables)
+        run.persisted = persisted
+        return run
+
+    def _persist_shared(self, plan: dict) -> list[DataFrame]:
+        """Common scan reuse: a table (often a derived join) read by two or more ops is
+        persisted once (memory, spilling to disk; lost blocks are recomputed from the
+        deterministic lineage).  Call :meth:`PlanRun.release` when the results are used."""
+        from pyspark import StorageLevel
+        ops = plan.get("operations") or plan.get("aggregations") or []
+        refs: dict[str, int] = {}
+        for op in ops if isinstance(ops, list) else []:
+            if isinstance(op, dict):
+                key = self.tables.resolve(op.get("table")) or self.tables.first()
+                refs[key] = refs.get(key, 0) + 1
+        shared = {k for k, n in refs.items() if k is not None and n >= 2}
+        if not shared:
+            return []
+        persisted = []
+        tables = dict(self.tables.items())
+        for k in shared:
+            tables[k] = tables[k].persist(StorageLevel.MEMORY_AND_DISK)
+            persisted.append(tables[k])
+        self.tables = TableSet(tables)
+        return persisted
 
     def _safe(self, key: str, spec, issues) -> OpResult:
         try:

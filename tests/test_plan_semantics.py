@@ -153,3 +153,14 @@ def test_semantic_types_and_result_context(spark):
     ctx = result_context(run.results).collect()[0]
     assert ctx["row_count"] == 4 and ctx["columns"] == ["Location", "Sales_sum"]
     assert len(ctx["sample_data"]) == 3 and ctx["semantic_types"]["Location"] == "nominal"
+
+
+def test_reuse_scans_persists_shared_table(spark):
+    t = _tables(spark, "restaurant_test_data", F4)
+    plan = {"operations": [{"table": "restaurant_test_data", "groupby": ["Location"], "agg_functions": {"Sales": "sum"}},
+                           {"table": "restaurant_test_data", "groupby": ["Category"], "agg_functions": {"Sales": "sum"}}]}
+    run = PlanExecutor(t, reuse_scans=True).run(plan)
+    assert len(run.persisted) == 1
+    assert run.results["operation_1"].df.count() == 4 and run.results["operation_2"].df.count() == 2
+    run.release()
+    assert run.persisted == []
