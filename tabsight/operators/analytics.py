@@ -7,8 +7,6 @@ the number of groups (months, locations, categories), never by the row count.
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -138,7 +136,3 @@ def correlation(df: DataFrame, a: str, b: str, by: list[str] | None = None) -> D
     """Pearson correlation of two columns (per group)."""
     by = list(by or [])
     return df.groupBy(*[_c(x) for x in by]).agg(F.corr(_c(a), _c(b)).alias(f"corr_{a}_{b}"))
-
-
-def union_all(frames: list[DataFrame]) -> DataFrame:
-    return reduce(lambda x, y: x.unionByName(y), frames)

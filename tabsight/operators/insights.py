@@ -11,15 +11,14 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tabsight.catalog import ROW_ID, TableSet, data_columns
 from tabsight.functions.names import fill, fixed2_text, money_text
 from tabsight.operators.profile import row_counts
-from tabsight.operators.quality import (DATE_NAME_KEYWORDS, duplicate_alert, is_date_named,
-                                        missing_alert)
+from tabsight.operators.quality import duplicate_alert, is_date_named
 from tabsight.operators.quantiles import exact_quantiles
 
 # Keyword lists, limits and texts of the reference's insight rules.
@@ -33,8 +32,6 @@ REC_TEXT = "High variation in {col} detected. Consider analyzing top performers
 REC_PRIORITY = "Medium"
 NO_RECOMMENDATIONS = "No specific recommendations generated"
 
-INSIGHT_SCHEMA = "Category string, Metric string, Value string"
-
 
 def _numeric(df: DataFrame) -> list[str]:
     return [f.name for f in df.schema.fields
@@ -231,11 +228,3 @@ def combined_summary(tables: TableSet, names: list[str] | None = None) -> DataFr
                .agg(F.count(F.lit(1)).alias("files"), F.sum("row_count").alias("rows"),
                     F.sum("columns").alias("columns"))
                .select(F.col("table_name").alias("file_name"), "files", "rows", "columns"))
-
-
-def keyword_columns(df: DataFrame, keywords=DATE_NAME_KEYWORDS) -> list[str]:
-    return [c for c in data_columns(df) if any(k in c.lower() for k in keywords)]
-
-
-def session_of(df: DataFrame) -> SparkSession:
-    return df.sparkSession

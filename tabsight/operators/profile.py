@@ -23,19 +23,6 @@ from tabsight.catalog import ROW_ID, ROW_ID_TYPE, TableSet, data_columns, normal
 SAMPLE_SIZE = 5
 
 
-def logical_type(dt: T.DataType, has_nulls: Column | bool) -> Column:
-    """Int / float / datetime / string.  pandas turns an int column with a null
-    into float64, so integers with nulls profile as ``float``; bool is ``string``."""
-    if isinstance(dt, (T.ByteType, T.ShortType, T.IntegerType, T.LongType)):
-        return F.when(F.lit(has_nulls) if isinstance(has_nulls, bool) else has_nulls,
-                      F.lit("float")).otherwise(F.lit("int"))
-    if isinstance(dt, (T.FloatType, T.DoubleType, T.DecimalType)):
-        return F.lit("float")
-    if isinstance(dt, (T.TimestampType, T.TimestampNTZType, T.DateType)):
-        return F.lit("datetime")
-    return F.lit("string")
-
-
 def pandas_dtype(dt: T.DataType, has_nulls: Column) -> Column:
     """The dtype name pandas would show for a column read from this table."""
     ints = {T.ByteType: "int8", T.ShortType: "int16", T.IntegerType: "int32", T.LongType: "int64"}
@@ -201,17 +188,6 @@ def _type_class(dt: T.DataType) -> str:
     return "object"
 
 
-def schema_frame(tables: TableSet, names: list[str]) -> DataFrame:
-    """Driver-side schema (no data): table_name, column_name, ordinal, type_class, orderable."""
-    spark = next(iter(tables.values())).sparkSession
-    rows = []
-    for t in names:
-        for i, f in enumerate([f for f in tables[t].schema.fields if f.name != ROW_ID]):
-            rows.append((t, f.name, i, _type_class(f.dataType), _orderable(f.dataType)))
-    return spark.createDataFrame(rows, "table_name string, column_name string, ordinal int, "
-                                       "type_class string, orderable boolean")
-
-
 def _logical_type_expr(tc: Column, has_nulls: Column) -> Column:
     return (F.when(tc.startswith("int"), F.when(has_nulls, F.lit("float")).otherwise(F.lit("int")))
              .when(tc.startswith("float"), F.lit("float"))

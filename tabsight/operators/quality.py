@@ -7,7 +7,6 @@ DataFrames of findings; nothing is collected to decide the next step.
 
 from __future__ import annotations
 
-import re
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
@@ -137,7 +136,3 @@ def quality_issues(name: str, df: DataFrame) -> DataFrame:
         tagged.append(part.select(F.lit(name).alias("table_name"), F.lit("warning").alias("severity"), "message")
                           .join(nonempty, "table_name", "left_semi"))
     return reduce(DataFrame.unionByName, [table_warnings(t)] + tagged)
-
-
-def _safe_name(s: str) -> str:
-    return re.sub(r"[^A-Za-z0-9_]", "_", s)

@@ -17,8 +17,6 @@ task's memory.  Here:
 
 from __future__ import annotations
 
-import math
-
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -110,7 +108,3 @@ def quantile_columns(df: DataFrame, columns: list[str], probs: list[float], by:
     if by:
         return long.groupBy(*[F.col(f"`{b}`") for b in by]).agg(*exprs)
     return long.agg(*exprs)
-
-
-def is_close(a: float, b: float) -> bool:  # small helper for tests
-    return (a is None and b is None) or (a is not None and b is not None and math.isclose(a, b, rel_tol=1e-9, abs_tol=1e-9))

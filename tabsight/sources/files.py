@@ -10,7 +10,6 @@ from functools import reduce
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tabsight.catalog import normalize_table_name
 from tabsight.functions.names import base_name, file_kind, logical_table_name
 
 ISSUE_SCHEMA = "file string, severity string, message string"
@@ -103,7 +102,3 @@ def quick_text_summary(spark: SparkSession, path: str) -> DataFrame:
 
 def union_tables(frames: list[DataFrame]) -> DataFrame:
     return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), frames)
-
-
-def table_name_of(path: str) -> str:
-    return normalize_table_name(os.path.basename(path))

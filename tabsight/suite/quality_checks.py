@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from tabsight.catalog import TableSet
 from tabsight.operators.describe import describe_columns
 from tabsight.operators.insights import (combined_summary, date_ranges, insights_frame, kpi_summary,
                                          recommendations_frame, sales_insight, skew_recommendations,
@@ -223,7 +222,3 @@ def x15(spark, sf_dir):
        + str(sum(len(c) for c in DRIVER_SCHEMA.values()))]))
 def x16(spark, sf_dir):
     return combined_summary(tables(spark, sf_dir))
-
-
-def _unused(t: TableSet):  # keep imports used by type checkers
-    return t
