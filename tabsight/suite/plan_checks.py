@@ -393,3 +393,17 @@ FROM lineitem""")
 def g8_global(spark, sf_dir):
     return _op(tables(spark, sf_dir, "lineitem"), {
         "table": "lineitem", "aggregate": {"l_extendedprice": "median", "l_quantity": ["sum", "median"]}})
+
+
+@register("A4_between_and_isin_filters", """
+SELECT o_orderpriority, COUNT(o_orderkey) AS o_orderkey_count, ROUND(SUM(o_totalprice), 4) AS o_totalprice_sum
+FROM orders
+WHERE o_totalprice BETWEEN 100000 AND 200000 AND o_orderstatus IN ('O', 'P') AND o_orderpriority NOT IN ('5-LOW')
+GROUP BY o_orderpriority""")
+def a4(spark, sf_dir):
+    return _op(tables(spark, sf_dir, "orders"), {
+        "table": "orders",
+        "filters": [{"column": "o_totalprice", "operator": "between", "value": [100000, 200000]},
+                    {"column": "o_orderstatus", "operator": "isin", "value": ["O", "P"]},
+                    {"column": "o_orderpriority", "operator": "not_in", "value": ["5-LOW"]}],
+        "groupby": ["o_orderpriority"], "agg_functions": {"o_orderkey": "count", "o_totalprice": "sum"}})
