@@ -1,70 +1,75 @@
 """Build ZIP archives from tables (check and bench input, never the ingest path).
 
-Spark writes each table as CSV part files (parallel, with headers); one task per
-archive then packs the part files (and optional extra members) into a ZIP file.
-An archive is one file by nature, so one task writes it; the tables themselves
-are written by all executors.  Python file I/O here needs a POSIX-visible shared
-folder, which is what the checks and the bench use.
+All Spark: each member's text is one aggregate of its rows (``to_csv`` per row,
+lines in file order), one task per archive packs the members into ZIP bytes, and
+the resulting ``(path, content)`` frame is materialised with a reliable
+``checkpoint()`` in the shared checkpoint folder.  No Python file I/O, so it works
+on any cluster filesystem; :func:`tabsight.sources.zipfiles.ingest_archives` reads
+the frame exactly as it reads ``binaryFile`` output.
 """
 
 from __future__ import annotations
 
-import glob
-import os
+import io
 import zipfile
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from tabsight.session import scratch_path
+from tabsight.catalog import ROW_ID, data_columns
+from tabsight.session import checkpoint_root
 
+ARCHIVE_SCHEMA = "path string, content binary"
 
-def _local(path: str) -> str:
-    return path[len("file:"):] if path.startswith("file:") else path
 
+def member_texts(name: str, df: DataFrame, parts: int | None = None, split: Column | None = None) -> DataFrame:
+    """(member, text) of one table: one CSV text per member with a header line.
 
-def write_csv_parts(tables: dict[str, DataFrame], root: str, partitions: int | None = None,
-                    split: dict | None = None) -> dict[str, list[str]]:
-    """Write each table as CSV part files under ``root/<name>``; returns the part paths.
+    ``split`` (a Column) makes one member per distinct value; ``parts`` splits the
+    rows into that many members by a hash of their file position; default one member."""
+    cols = data_columns(df)
+    order = F.col(ROW_ID) if ROW_ID in df.columns else F.lit(0)
+    if split is not None:
+        key = F.concat(F.lit(f"{name}/part="), split.cast("string"), F.lit(".csv"))
+    elif parts:
+        key = F.format_string(f"{name}/part-%05d.csv", F.pmod(F.xxhash64(order), F.lit(parts)))
+    else:
+        key = F.lit(f"{name}.csv")
+    line = F.to_csv(F.struct(*[F.col(f"`{c}`") for c in cols]))
+    rows = df.select(key.alias("member"), order.alias("pos"), line.alias("line"))
+    body = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pos", "line"))), lambda x: x["line"]),
+                        "\n")
+    header = ",".join(cols)
+    return rows.groupBy("member").agg(F.concat(F.lit(header + "\n"), body, F.lit("\n")).alias("text"))
 
-    ``split`` maps a table name to a Column: one member per distinct value (Spark's
-    ``partitionBy``, one file per value after a repartition on it)."""
-    out = {}
-    for name, df in tables.items():
-        target = f"{root}/{name}"
-        if split and name in split:
-            w = df.withColumn("part", split[name]).repartition("part")
-            w.write.option("header", True).mode("overwrite").partitionBy("part").csv(target)
-            out[name] = sorted(glob.glob(os.path.join(_local(target), "part=*", "part-*.csv")))
-        else:
-            w = df.repartition(partitions) if partitions else df
-            w.write.option("header", True).mode("overwrite").csv(target)
-            out[name] = sorted(glob.glob(os.path.join(_local(target), "part-*.csv")))
-    return out
 
+def _pack(pdf: pd.DataFrame) -> pd.DataFrame:
+    buf = io.BytesIO()
+    with zipfile.ZipFile(buf, "w", compression=zipfile.ZIP_DEFLATED) as zf:
+        for member, text, raw in sorted(zip(pdf["member"], pdf["text"], pdf["raw"]), key=lambda r: r[0]):
+            if member.endswith("/"):
+                zf.writestr(zipfile.ZipInfo(member), b"")
+            else:
+                zf.writestr(member, raw if raw is not None else text.encode("utf-8"))
+    return pd.DataFrame({"path": [pdf["path"].iloc[0]], "content": [buf.getvalue()]})
 
-def build_archive(spark: SparkSession, tables: dict[str, DataFrame], archive_name: str,
-                  extra: dict[str, bytes] | None = None, partitions: int | None = None,
-                  split: dict | None = None) -> str:
-    """One ZIP with members ``<table>/part-N.csv`` plus ``extra`` (name -> bytes)."""
-    root = scratch_path(spark, "zip-build")
-    parts = write_csv_parts(tables, root, partitions, split)
-    members = [(f"{name}/part-{i:05d}.csv", p) for name, ps in parts.items() for i, p in enumerate(ps)]
-    target = os.path.join(_local(root), archive_name)
-    extra = extra or {}
 
-    def pack(batches):
-        for pdf in batches:
-            for t in pdf["target"]:
-                with zipfile.ZipFile(t, "w", compression=zipfile.ZIP_DEFLATED) as zf:
-                    for m, p in members:
-                        zf.write(p, m)
-                    for m, data in extra.items():
-                        if m.endswith("/"):
-                            zf.writestr(zipfile.ZipInfo(m), b"")
-                        else:
-                            zf.writestr(m, data)
-                yield pd.DataFrame({"target": [t]})
-
-    spark.createDataFrame([(target,)], "target string").mapInPandas(pack, "target string").collect()
-    return "file://" + target if not root.startswith(("s3", "hdfs", "gs:", "abfs")) else target
+def build_archive_frame(spark: SparkSession, tables: dict[str, DataFrame], archive_name: str,
+                        extra: dict[str, bytes] | None = None, partitions: int | None = None,
+                        split: dict | None = None) -> DataFrame:
+    """One archive as a checkpointed ``(path, content)`` frame with the tables' members plus
+    ``extra`` raw members (name -> bytes; a name ending in '/' is a directory)."""
+    checkpoint_root(spark)
+    frames = [member_texts(n, df, partitions, (split or {}).get(n)).withColumn("raw", F.lit(None).cast("binary"))
+              for n, df in tables.items()]
+    if extra:
+        frames.append(spark.createDataFrame([(m, None, bytearray(b)) for m, b in extra.items()],
+                                            "member string, text string, raw binary"))
+    members = frames[0]
+    for f in frames[1:]:
+        members = members.unionByName(f)
+    # an archive is one file: its members meet in one group (bounded by the archive)
+    packed = (members.withColumn("path", F.lit(archive_name))
+                     .groupBy("path").applyInPandas(_pack, ARCHIVE_SCHEMA))
+    return packed.checkpoint(eager=True)

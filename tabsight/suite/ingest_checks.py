@@ -11,11 +11,11 @@ from pyspark.sql import functions as F
 
 from tabsight.functions.names import file_kind, logical_table_name
 from tabsight.session import scratch_path
-from tabsight.sources.archive_builder import build_archive
+from tabsight.sources.archive_builder import build_archive_frame
 from tabsight.sources.csv import infer_types, read_csv_table
 from tabsight.sources.files import quick_text_summary
 from tabsight.sources.payloads import csv_lines, parse_payload_rows, route
-from tabsight.sources.zipfiles import ingest_archives, read_archives, scan_archives
+from tabsight.sources.zipfiles import ingest_archives, scan_archives
 from tabsight.suite.base import register, rounded, tables
 from tabsight.suite.profile_checks import DRIVER_SCHEMA
 
@@ -163,9 +163,9 @@ UNION ALL SELECT 'docs/', 'skipped', NULL, NULL
 UNION ALL SELECT 'docs/readme.txt', 'skipped', NULL, NULL""")
 def s8(spark, sf_dir):
     t = tables(spark, sf_dir, "nation", "region", "supplier")
-    path = build_archive(spark, {n: t.plain(n) for n in ("nation", "region", "supplier")}, "tables.zip",
-                         extra=_EXTRA, partitions=2)
-    members, read = ingest_archives(spark, read_archives(spark, path))
+    archives = build_archive_frame(spark, {n: t[n] for n in ("nation", "region", "supplier")}, "tables.zip",
+                                   extra=_EXTRA, partitions=2)
+    members, read = ingest_archives(spark, archives)
     counts = []
     for name, tab in read.items():
         member = name.split("#", 1)[1]
@@ -187,8 +187,8 @@ UNION ALL SELECT 'skipped', n - 20 FROM m WHERE n > 20
 UNION ALL SELECT 'warning', 1 FROM m WHERE n > 20""")
 def s9(spark, sf_dir):
     s = tables(spark, sf_dir, "supplier").plain("supplier")
-    path = build_archive(spark, {"supplier": s}, "many.zip", split={"supplier": F.col("s_suppkey") % 25})
-    listing = scan_archives(read_archives(spark, path))
+    archives = build_archive_frame(spark, {"supplier": s}, "many.zip", split={"supplier": F.col("s_suppkey") % 25})
+    listing = scan_archives(archives)
     return listing.groupBy("status").agg(F.count(F.lit(1)).alias("members"))
 
 
@@ -196,8 +196,8 @@ def s9(spark, sf_dir):
 SELECT 'error' AS status, COUNT(*) AS members FROM (SELECT 1 FROM customer LIMIT 1)""")
 def s10(spark, sf_dir):
     c = tables(spark, sf_dir, "customer").plain("customer")
-    path = build_archive(spark, {"customer": c}, "big.zip", partitions=1)
-    listing = scan_archives(read_archives(spark, path), max_bytes=1024)
+    archives = build_archive_frame(spark, {"customer": c}, "big.zip", partitions=1)
+    listing = scan_archives(archives, max_bytes=1024)
     return listing.filter(F.col("member").isNotNull()).groupBy("status").agg(F.count(F.lit(1)).alias("members"))
 
 
