@@ -9,6 +9,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tabsight.operators.joins import join_dimension
 
@@ -76,11 +77,28 @@ def versus_average(df: DataFrame, key: str, value: str, agg: str = "sum", out: s
 
 
 def ranking(df: DataFrame, value: str, by: list[str] | None = None, ascending: bool = False) -> DataFrame:
-    """Rank and dense_rank (1 = best) of rows of an aggregated frame, per ``by``."""
+    """Rank and dense_rank (1 = best) per ``by``; missing values get no rank (pandas).
+
+    Numeric values use the distributed prefix scan (no task holds a whole group or
+    the whole frame): rows per distinct value (partial aggregate), running sums over
+    the value order in deterministic slices, then the ranks joined back by value."""
+    from tabsight.operators.windows import running_many
     by = list(by or [])
-    o = _c(value).asc_nulls_last() if ascending else _c(value).desc_nulls_last()
-    w = Window.partitionBy(*[_c(b) for b in by]).orderBy(o)
-    return df.withColumn("rank", F.rank().over(w)).withColumn("dense_rank", F.dense_rank().over(w))
+    vt = df.schema[value].dataType
+    if not isinstance(vt, T.NumericType):
+        o = _c(value).asc_nulls_last() if ascending else _c(value).desc_nulls_last()
+        w = Window.partitionBy(*[_c(b) for b in by]).orderBy(o)
+        return df.withColumn("rank", F.rank().over(w)).withColumn("dense_rank", F.dense_rank().over(w))
+    distinct = (df.filter(_c(value).isNotNull())
+                  .groupBy(*[_c(b) for b in by], _c(value).alias("__v"))
+                  .agg(F.count(F.lit(1)).alias("__n"))
+                  .withColumn("__ord", F.col("__v").cast("double") * (1 if ascending else -1))
+                  .withColumn("__one", F.lit(1)))
+    ranked = running_many(distinct, by, ["__ord"], [("__n", "cumsum", "__cum"), ("__one", "cumsum", "dense_rank")])
+    ranked = ranked.select(*[_c(b) for b in by], "__v", (F.col("__cum") - F.col("__n") + 1).cast("int").alias("rank"),
+                           F.col("dense_rank").cast("int").alias("dense_rank"))
+    keyed = df.withColumn("__v", _c(value))
+    return keyed.join(ranked, [*by, "__v"], "left").drop("__v")
 
 
 def share(df: DataFrame, key: str, out: str = "share") -> DataFrame:

@@ -96,3 +96,19 @@ def test_top_k_per_group_plans_partial_limit(spark):
     plan = top_k_per_group(df, ["g"], [F.col("id").desc()], 2)._jdf.queryExecution().executedPlan().toString()
     assert top_k_per_group(df, ["g"], [F.col("id").desc()], 2).count() == 6
     assert "WindowGroupLimit" in plan or "AdaptiveSparkPlan" in plan
+
+
+def test_distributed_ranking_matches_pandas(spark):
+    from tabsight.operators.analytics import ranking
+    rnd = random.Random(9)
+    rows = [(i, k, float(rnd.randint(0, 50)) if i % 11 else None) for i, k in enumerate(_hot_keys(1500))]
+    df = spark.createDataFrame(rows, "id long, k int, v double")
+    for by in ([], ["k"]):
+        got = {r["id"]: (r["rank"], r["dense_rank"]) for r in ranking(df, "v", by=by).collect()}
+        pdf = pd.DataFrame(rows, columns=["id", "k", "v"])
+        g = pdf.groupby("k")["v"] if by else pdf["v"]
+        mn = g.rank(method="min", ascending=False)
+        dn = g.rank(method="dense", ascending=False)
+        for i, a, b in zip(pdf["id"], mn, dn):
+            want = (None, None) if np.isnan(a) else (int(a), int(b))
+            assert got[i] == want
