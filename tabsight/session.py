@@ -41,15 +41,20 @@ def get_spark(app: str = "tabsight", cpus: int | str | None = None,
     return spark
 
 
+_LOCAL_ROOTS: dict[int, str] = {}
+
+
 def checkpoint_root(spark: SparkSession) -> str:
     """Shared folder for staged data: ``spark.checkpoint.dir`` or, if unset, a new temp dir."""
-    root = spark.conf.get("spark.checkpoint.dir", None)
+    root = spark.conf.get("spark.checkpoint.dir", None) or _LOCAL_ROOTS.get(id(spark.sparkContext))
     if not root:
         sc_dir = spark.sparkContext.getCheckpointDir()
         root = os.path.dirname(sc_dir) if sc_dir else None
     if not root:
+        # unset (tests, a laptop): a fresh local folder, registered on the context only
+        # (Spark rejects runtime changes of core settings such as spark.checkpoint.dir)
         root = tempfile.mkdtemp(prefix="tabsight-ckpt-")
-        spark.conf.set("spark.checkpoint.dir", root)
+        _LOCAL_ROOTS[id(spark.sparkContext)] = root
     if spark.sparkContext.getCheckpointDir() is None:
         spark.sparkContext.setCheckpointDir(root)
     return root
