@@ -1,6 +1,5 @@
 import os
 import sys
-import tempfile
 
 import pytest
 
@@ -17,8 +16,8 @@ def spark():
          .config("spark.sql.execution.arrow.pyspark.enabled", "true")
          .getOrCreate())
     s.sparkContext.setLogLevel("ERROR")
-    if not s.conf.get("spark.checkpoint.dir", None):
-        s.conf.set("spark.checkpoint.dir", tempfile.mkdtemp(prefix="tabsight-test-ckpt-"))
+    from tabsight.session import checkpoint_root
+    checkpoint_root(s)   # the session's shared folder, or a fresh local one when unset
     yield s
     s.stop()
 
