@@ -70,35 +70,39 @@ def s2b(spark, sf_dir):
     return infer_types(s, s.columns)
 
 
-def _lineitem_payloads(spark, sf_dir):
-    """One CSV payload per order (lines in line-number order), every other one base64."""
-    li = tables(spark, sf_dir, "lineitem")["lineitem"]
-    line = F.concat_ws(",", *[F.col(c).cast("string") for c in ("l_orderkey", "l_linenumber", "l_quantity",
-                                                                  "l_returnflag")])
-    per = (li.groupBy("l_orderkey")
-             .agg(F.sort_array(F.collect_list(F.struct("l_linenumber", "_row_id", line.alias("line")))).alias("ls")))
-    text = F.concat(F.lit("l_orderkey,l_linenumber,l_quantity,l_returnflag\n"),
-                    F.array_join(F.transform("ls", lambda x: x["line"]), "\n"))
-    return per.select(F.col("l_orderkey").alias("request_id"),
-                      F.when(F.col("l_orderkey") % 2 == 0, text).alias("csv_data"),
-                      F.when(F.col("l_orderkey") % 2 == 1, F.base64(F.encode(text, "UTF-8"))).alias("csv_base64"))
+_PAYLOAD_COLS = ("o_orderkey", "o_custkey", "o_orderstatus", "o_totalprice")
+
+
+def _order_payloads(spark, sf_dir):
+    """CSV payloads of about 200 orders each (buckets of the primary key, so their size is
+    bounded whatever the skew of other columns); every other payload is base64."""
+    o = tables(spark, sf_dir, "orders")["orders"]
+    n = F.greatest(F.lit(1), F.floor(o.agg(F.count(F.lit(1))).scalar() / 200)).cast("long")
+    line = F.to_csv(F.struct(*[F.col(c) for c in _PAYLOAD_COLS]))
+    per = (o.select((F.col("o_orderkey") % n).alias("bucket"), F.col("_row_id"), line.alias("line"))
+            .groupBy("bucket")
+            .agg(F.array_sort(F.collect_list(F.struct("_row_id", "line"))).alias("ls")))
+    text = F.concat(F.lit(",".join(_PAYLOAD_COLS) + "\n"), F.array_join(F.transform("ls", lambda x: x["line"]), "\n"))
+    return per.select(F.col("bucket").alias("request_id"),
+                      F.when(F.col("bucket") % 2 == 0, text).alias("csv_data"),
+                      F.when(F.col("bucket") % 2 == 1, F.base64(F.encode(text, "UTF-8"))).alias("csv_base64"))
 
 
 @register("S3_S4_S7_csv_payloads", """
-SELECT l_orderkey, l_linenumber, l_quantity, l_returnflag FROM lineitem""")
+SELECT o_orderkey, o_custkey, o_orderstatus, ROUND(o_totalprice, 4) AS o_totalprice FROM orders""")
 def s3(spark, sf_dir):
-    routed = route(_lineitem_payloads(spark, sf_dir))
-    lines = csv_lines(routed)
-    rows = parse_payload_rows(lines, ["l_orderkey", "l_linenumber", "l_quantity", "l_returnflag"])
-    return rows.drop("request_id", "line_no")
+    routed = route(_order_payloads(spark, sf_dir))
+    rows = parse_payload_rows(csv_lines(routed), list(_PAYLOAD_COLS))
+    return rounded(rows.drop("request_id", "line_no"))
 
 
 @register("S7_payload_routing_counts", """
-SELECT CASE WHEN l_orderkey % 2 = 0 THEN 'csv_data' ELSE 'csv_base64' END AS payload_kind,
-       COUNT(DISTINCT l_orderkey) AS requests
-FROM lineitem GROUP BY 1""")
+WITH n AS (SELECT GREATEST(1, FLOOR(COUNT(*) / 200)) AS n FROM orders)
+SELECT CASE WHEN (o_orderkey % n) % 2 = 0 THEN 'csv_data' ELSE 'csv_base64' END AS payload_kind,
+       COUNT(DISTINCT o_orderkey % n) AS requests
+FROM orders, n GROUP BY 1""")
 def s7(spark, sf_dir):
-    routed = route(_lineitem_payloads(spark, sf_dir))
+    routed = route(_order_payloads(spark, sf_dir))
     return routed.groupBy("payload_kind").agg(F.count(F.lit(1)).alias("requests"))
 
 
