@@ -68,6 +68,25 @@ def read_parquet_table(spark: SparkSession, path: str, with_row_id: bool = True)
     return df
 
 
+def ntz_micros(c: Column) -> Column:
+    """Microseconds since 1970-01-01 of a TIMESTAMP_NTZ from its calendar fields: exact,
+    monotone and independent of the session time zone (casting to TIMESTAMP is not)."""
+    day_us = F.unix_date(F.to_date(c)).cast("long") * F.lit(86_400_000_000)
+    return (day_us + F.hour(c).cast("long") * F.lit(3_600_000_000) + F.minute(c).cast("long") * F.lit(60_000_000)
+            + (F.date_part(F.lit("SECOND"), c) * 1_000_000).cast("long"))
+
+
+def ntz_from_micros(us: Column) -> Column:
+    """Inverse of :func:`ntz_micros` (a TIMESTAMP_NTZ), without the session time zone."""
+    day = F.floor(us / F.lit(86_400_000_000)).cast("int")
+    rem = us - day.cast("long") * F.lit(86_400_000_000)
+    d = F.date_from_unix_date(day)
+    secs = (rem % F.lit(60_000_000)).cast("decimal(18,6)") / F.lit(1_000_000)
+    return F.make_timestamp_ntz(F.year(d), F.month(d), F.dayofmonth(d),
+                                F.floor(rem / F.lit(3_600_000_000)).cast("int"),
+                                F.floor((rem % F.lit(3_600_000_000)) / F.lit(60_000_000)).cast("int"), secs)
+
+
 def data_columns(df: DataFrame) -> list[str]:
     """User-visible columns (hidden helper columns start with '_')."""
     return [c for c in df.columns if c != ROW_ID]

@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tabsight.catalog import ROW_ID, TableSet
+from tabsight.catalog import ROW_ID, TableSet, ntz_micros
 from tabsight.operators.profile import is_missing, pandas_dtype
 
 WORD = 64
@@ -47,9 +47,10 @@ def domain_value(c, dt: T.DataType):
     if isinstance(dt, T.StringType):
         return F.lit("str"), nl, nd, c
     if isinstance(dt, T.TimestampNTZType):
-        return F.lit("ts"), F.unix_micros(c.cast("timestamp")), nd, ns
+        return F.lit("ts"), ntz_micros(c), nd, ns
     if isinstance(dt, T.TimestampType):
-        return F.lit("ts"), F.unix_micros(c), nd, ns
+        # an instant compares with naive values by its wall clock in the session zone
+        return F.lit("ts"), ntz_micros(c.cast("timestamp_ntz")), nd, ns
     if isinstance(dt, T.DateType):
         return F.lit("date"), F.unix_date(c).cast("long"), nd, ns
     return None   # arrays, maps, structs, binary: unhashable for the reference

@@ -18,7 +18,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tabsight.catalog import ROW_ID, ROW_ID_TYPE, TableSet, data_columns, normalize_table_name
+from tabsight.catalog import (ROW_ID, ROW_ID_TYPE, TableSet, data_columns, normalize_table_name, ntz_from_micros,
+                              ntz_micros)
 
 SAMPLE_SIZE = 5
 
@@ -67,7 +68,7 @@ ROWS_MARK = "\u0000rows"   # pseudo column whose single value counts the rows of
 
 
 # value kinds of the typed long form (fixed per column)
-K_INT, K_DOUBLE, K_TS, K_DATE, K_TEXT, K_BOOL = 0, 1, 2, 3, 4, 5
+K_INT, K_DOUBLE, K_TS, K_DATE, K_TEXT, K_BOOL, K_TS_NTZ = 0, 1, 2, 3, 4, 5, 6
 
 
 def typed_value(c: Column, dt: T.DataType) -> tuple[int, Column, Column, Column]:
@@ -80,7 +81,7 @@ def typed_value(c: Column, dt: T.DataType) -> tuple[int, Column, Column, Column]
         x = c.cast("double")
         return K_DOUBLE, null_l, F.when(x == 0, F.lit(0.0)).otherwise(x), null_s   # -0.0 == 0.0
     if isinstance(dt, T.TimestampNTZType):
-        return K_TS, F.unix_micros(c.cast("timestamp")), null_d, null_s
+        return K_TS_NTZ, ntz_micros(c), null_d, null_s
     if isinstance(dt, T.TimestampType):
         return K_TS, F.unix_micros(c), null_d, null_s
     if isinstance(dt, T.DateType):
@@ -95,6 +96,7 @@ def typed_text(kind: Column, vl: Column, vd: Column, vs: Column) -> Column:
     return (F.when(kind == K_INT, vl.cast("string"))
              .when(kind == K_DOUBLE, vd.cast("string"))
              .when(kind == K_TS, F.timestamp_micros(vl).cast("string"))
+             .when(kind == K_TS_NTZ, ntz_from_micros(vl).cast("string"))
              .when(kind == K_DATE, F.date_from_unix_date(vl.cast("int")).cast("string"))
              .when(kind == K_BOOL, F.when(vl == 1, F.lit("true")).otherwise(F.lit("false")))
              .otherwise(vs))

@@ -20,7 +20,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tabsight.catalog import ROW_ID
+from tabsight.catalog import ROW_ID, ntz_micros
 
 # Running aggregates of the planner vocabulary (pandas names).
 CUMULATIVE = ("cumsum", "cummax", "cummin", "cumprod", "cumcount")
@@ -51,8 +51,10 @@ def _numeric_order(df: DataFrame, col: str) -> Column | None:
     """The order column as a number (timestamps/dates as microseconds), or None."""
     dt = df.schema[col].dataType
     c = F.col(f"`{col}`")
-    if isinstance(dt, (T.TimestampType, T.TimestampNTZType)):
-        return F.unix_micros(c.cast("timestamp")).cast("double")
+    if isinstance(dt, T.TimestampNTZType):
+        return ntz_micros(c).cast("double")
+    if isinstance(dt, T.TimestampType):
+        return F.unix_micros(c).cast("double")
     if isinstance(dt, T.DateType):
         return F.unix_date(c).cast("double")
     if isinstance(dt, T.NumericType):
