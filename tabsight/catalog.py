@@ -28,8 +28,8 @@ def normalize_table_name(file_name: str) -> str:
 
 ROW_ID_TYPE = "bigint"
 FILE_BITS_SHIFT = 40          # parquet: file ordinal << 40 | row index inside the file
-TEXT_FILE_SHIFT = 46          # text/CSV: file ordinal << 46 | split index << 33 | row inside the task
-TEXT_SPLIT_SHIFT = 33
+TEXT_FILE_SHIFT = 45          # text/CSV: file ordinal << 45 | split index << 27 | row inside the task
+TEXT_SPLIT_SHIFT = 27
 
 
 def _strip_scheme(path: str) -> str:
@@ -52,11 +52,28 @@ def parquet_row_id(df: DataFrame) -> Column:
     return F.shiftleft(_file_ordinal(df), FILE_BITS_SHIFT) + F.col("_metadata.row_index")
 
 
-def text_row_id(df: DataFrame, split_bytes: int) -> Column:
+def _split_unit(spark) -> int:
+    """A lower bound on any split size Spark can choose for a file scan:
+    ``maxSplitBytes = min(maxPartitionBytes, max(openCostInBytes, bytesPerCore))``."""
+    def size(key: str, default: str) -> int:
+        v = str(spark.conf.get(key, default)).strip().lower()
+        mult = {"k": 1 << 10, "m": 1 << 20, "g": 1 << 30}
+        if v.endswith("b"):
+            v = v[:-1]
+        if v and v[-1] in mult:
+            return int(float(v[:-1]) * mult[v[-1]])
+        return int(v)
+    return max(1, min(size("spark.sql.files.maxPartitionBytes", "134217728"),
+                      size("spark.sql.files.openCostInBytes", "4194304")))
+
+
+def text_row_id(df: DataFrame, split_bytes: int | None = None) -> Column:
     """File order for text/CSV scans as one long: (file ordinal, split index, row inside
     the task).  ``monotonically_increasing_id`` grows inside one task; the split index
-    orders the tasks reading one file; rows of one split are contiguous in its task."""
-    split = F.floor(F.col("_metadata.file_block_start") / F.lit(split_bytes)).cast("long")
+    (block start in units no larger than any split) orders the tasks reading one file;
+    rows of one split are contiguous in its task.  Bits: 18 file, 18 split, 27 row."""
+    unit = _split_unit(df.sparkSession) if split_bytes is None else split_bytes
+    split = F.floor(F.col("_metadata.file_block_start") / F.lit(unit)).cast("long")
     inside = F.monotonically_increasing_id().bitwiseAND(F.lit((1 << TEXT_SPLIT_SHIFT) - 1))
     return F.shiftleft(_file_ordinal(df), TEXT_FILE_SHIFT) + F.shiftleft(split, TEXT_SPLIT_SHIFT) + inside
 

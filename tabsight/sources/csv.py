@@ -140,8 +140,7 @@ def read_csv_table(spark: SparkSession, path: str, sep: str = ",", with_row_id:
            .option("nullValue", "\u0000").option("multiLine", multiline)
            .schema(schema).csv(path))
     if with_row_id:
-        split_bytes = int(spark.conf.get("spark.sql.files.maxPartitionBytes", "134217728").rstrip("b"))
-        raw = raw.withColumn(ROW_ID, text_row_id(raw, split_bytes))
+        raw = raw.withColumn(ROW_ID, text_row_id(raw))
     cleaned = raw.select(*[na_to_null(F.col(f"`{h}`")).alias(h) for h in header], CORRUPT,
                          *([ROW_ID] if with_row_id else []))
     # one job: type statistics of every column + S17 long rows (more fields than the
@@ -179,9 +178,8 @@ def read_csv_members(spark: SparkSession, root: str, part_col: str, members: dic
     ``part_col``) and one statistics job grouped by member; each member's table is a
     filtered projection of that read.  ``members`` maps id -> table name."""
     lines = spark.read.text(root)
-    split_bytes = int(spark.conf.get("spark.sql.files.maxPartitionBytes", "134217728").rstrip("b"))
     heads = (lines.filter(F.col(part_col).isin(*members))
-                  .withColumn("__pos", text_row_id(lines, split_bytes))
+                  .withColumn("__pos", text_row_id(lines))
                   .groupBy(part_col).agg(F.min_by("value", "__pos").alias("h"))
                   .collect())                       # one row per member
     header_of = {r[part_col]: _parse_header_line(r["h"], sep) for r in heads}
@@ -202,7 +200,7 @@ def read_csv_members(spark: SparkSession, root: str, part_col: str, members: dic
                .option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", CORRUPT)
                .option("nullValue", "\u0000").option("multiLine", multiline).schema(schema).csv(root)
                .filter(F.col(part_col).isin(*ids)))
-        raw = raw.withColumn(ROW_ID, text_row_id(raw, split_bytes))
+        raw = raw.withColumn(ROW_ID, text_row_id(raw))
         cleaned = raw.select(F.col(part_col), *[na_to_null(F.col(f"`{h}`")).alias(h) for h in header],
                              CORRUPT, ROW_ID)
         n_fields = F.size(F.split(F.col(CORRUPT), sep))

@@ -90,9 +90,8 @@ def quick_text_summary(spark: SparkSession, path: str) -> DataFrame:
     partial aggregate per file; the header is the line at the smallest position."""
     from tabsight.catalog import text_row_id
     raw = spark.read.text(path)
-    split_bytes = int(spark.conf.get("spark.sql.files.maxPartitionBytes", "134217728").rstrip("b"))
     lines = raw.select(F.col("_metadata.file_path").alias("file"), "value",
-                       text_row_id(raw, split_bytes).alias("pos"))
+                       text_row_id(raw).alias("pos"))
     return (lines.groupBy("file")
                  .agg(F.count(F.lit(1)).alias("lines"), F.min_by("value", "pos").alias("header"))
                  .select(base_name(F.col("file")).alias("filename"),

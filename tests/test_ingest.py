@@ -116,3 +116,16 @@ def test_f1_pandas_reference_values(csv_file):
 def test_quoted_newline_with_multiline(spark, csv_file):
     t = read_csv_table(spark, csv_file('a,b\n1,"x\ny"\n2,z\n', "q.csv"), multiline=True)
     assert [tuple(r) for r in t.df.drop("_row_id").collect()] == [(1, "x\ny"), (2, "z")]
+
+
+def test_csv_file_order_across_many_splits(spark, tmp_path):
+    # one ~11 MB file with the default 128 MB maxPartitionBytes: Spark still cuts it into
+    # ~4 MB splits (openCostInBytes / bytes per core); the row id must follow file order
+    n = 250000
+    lines = ["k,v"] + [f"{i},{'x' * 40}" for i in range(n)]
+    p = tmp_path / "big.csv"
+    p.write_text("\n".join(lines) + "\n")
+    t = read_csv_table(spark, str(p))
+    assert t.df.rdd.getNumPartitions() > 1
+    ks = [r["k"] for r in t.df.orderBy("_row_id").select("k").collect()]
+    assert ks == list(range(n))
