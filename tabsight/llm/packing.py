@@ -24,7 +24,8 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tabsight.llm.staging import Stage, from_iid, iid
-from tabsight.llm.wordtok import WordTokenizer, byte_slices
+from tabsight.llm.textbatch import text_slices
+from tabsight.llm.wordtok import WordTokenizer
 
 _PIECES = "doc_id bigint, piece int, start bigint, length bigint, ids_crc32 bigint, chunk int, lrank bigint"
 
@@ -38,11 +39,11 @@ def token_pieces(docs: DataFrame, tokenizer_path: str, end_id: int, max_len: int
         tok, chunk, seen = WordTokenizer.shared(tokenizer_path), TaskContext.get().partitionId(), {}
         for b in batches:
             ids = b.column(0).to_pylist()
-            texts = b.column(1).cast(pa.large_binary()).to_pylist()
-            for lo, hi in byte_slices(texts):
+            for lo, texts in text_slices(b):
+                flat, offs = tok.encode(texts)
                 rows = []
-                for d, data in zip(ids[lo:hi], tok.encode(texts[lo:hi])):
-                    data += end
+                for d, s, e in zip(ids[lo:lo + len(texts)], offs[:-1].tolist(), offs[1:].tolist()):
+                    data = flat[s:e].tobytes() + end
                     for p, at in enumerate(range(0, len(data), 4 * max_len)):
                         part = data[at:at + 4 * max_len]
                         n = len(part) // 4

@@ -15,6 +15,7 @@ equal rank and take the plain merge loop instead.  Decoding joins pieces and byt
 
 from __future__ import annotations
 
+import gc
 import re
 import struct
 
@@ -24,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tabsight.llm.staging import from_iid, iid, process_cache
-from tabsight.llm.wordtok import byte_slices
+from tabsight.llm.textbatch import text_slices
 
 _P = 0x9E3779B97F4A7C15
 _M = (1 << 64) - 1
@@ -262,6 +263,15 @@ class PieceEncoder:
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
         """Ids of each text as bytes of little-endian unsigned 32-bit integers."""
+        was = gc.isenabled()
+        gc.disable()    # millions of small acyclic objects: the cycle collector would only walk them
+        try:
+            return self._encode(texts)
+        finally:
+            if was:
+                gc.enable()
+
+    def _encode(self, texts: list[str | None]) -> list[bytes]:
         split = [self._words(t) for t in texts]
         miss = self._unseen(set().union(*split))
         tails = {w: (w[:-1], w[-1]) for w in miss if len(w) > 1 and w[-1] in ".,;:!?" and w[-2:] not in self.model.touch}
@@ -287,9 +297,9 @@ def encode_pieces(docs: DataFrame, model_path: str) -> DataFrame:
             cache["pieces", model_path] = PieceEncoder(model)
         enc = cache["pieces", model_path]
         for b in batches:
-            for lo, hi in byte_slices(b.column(1).cast(pa.large_binary()).to_pylist()):
-                part = b.slice(lo, hi - lo)
-                data = enc.encode(part.column(1).to_pylist())
+            for lo, texts in text_slices(b):
+                part = b.slice(lo, len(texts))
+                data = enc.encode(texts.to_pylist())
                 flat = np.frombuffer(b"".join(data), "<u4").astype(np.int32)
                 offs = np.concatenate([[0], np.cumsum([len(d) // 4 for d in data])]).astype(np.int32)
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.ListArray.from_arrays(offs, pa.array(flat))],

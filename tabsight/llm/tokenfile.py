@@ -22,7 +22,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tabsight.llm.staging import Stage, from_iid, iid, open_store
-from tabsight.llm.wordtok import WordTokenizer, byte_slices
+from tabsight.llm.textbatch import text_slices
+from tabsight.llm.wordtok import WordTokenizer
 
 #: sequences per record batch
 BATCH_ROWS = 256
@@ -118,7 +119,6 @@ def write_token_files(spark: SparkSession, docs: DataFrame, tokenizer_path: str,
     ``wide`` stores 32-bit ids; the default 16 bits hold vocabularies of up to 65,536 ids."""
     stage = Stage(spark, "tokenfile")
     root = stage.path("parts")
-    end = np.array([end_id], "<u4").tobytes()
 
     def run(batches):
         from pyspark import TaskContext
@@ -131,20 +131,20 @@ def write_token_files(spark: SparkSession, docs: DataFrame, tokenizer_path: str,
         schema = pa.schema([("doc_id", pa.int64()), ("start", pa.int64()), ("n_tokens", pa.int64())])
         for b in batches:
             ids = b.column(0).to_pylist()
-            texts = b.column(1).cast(pa.large_binary()).to_pylist()
-            for lo, hi in byte_slices(texts):
+            for lo, texts in text_slices(b):
+                hi = lo + len(texts)
+                flat, offs = tok.encode(texts)
                 if sink is None:
                     out = store.open_output_stream(f"{folder}/tokens-{name}")
                     sink = PartWriter(out, seq_len, wide)
                     idx_out = store.open_output_stream(f"{folder}/index-{name}")
                     index = pa.ipc.new_file(idx_out, schema)
-                starts, lens = [], []
-                for data in tok.encode(texts[lo:hi]):
-                    arr = np.frombuffer(data + end, "<u4")
-                    sink.add(arr.astype(sink.kind))
-                    starts.append(at)
-                    lens.append(len(arr))
-                    at += len(arr)
+                # every document's ids, then its end id
+                full = np.insert(flat, offs[1:], end_id).astype(sink.kind)
+                sink.add(full)
+                lens = np.diff(offs) + 1
+                starts = at + np.cumsum(lens) - lens
+                at += len(full)
                 index.write_batch(pa.record_batch([pa.array(ids[lo:hi], pa.int64()), pa.array(starts, pa.int64()),
                                                    pa.array(lens, pa.int64())], schema=schema))
                 n_docs += hi - lo
