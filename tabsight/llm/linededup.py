@@ -56,11 +56,18 @@ class LineRuns:
     def __init__(self, spark: SparkSession, stage: Stage, buckets: int, fanout: int = 4):
         self.spark, self.stage, self.buckets, self.fanout = spark, stage, buckets, fanout
         self.levels: list[list[str]] = []
+        self.names: list[str] = []
+
+    def close(self) -> None:
+        """Take the runs out of the catalogue; the files of level 0 stay for those who read what a batch owns."""
+        for name in self.names:
+            self.spark.sql(f"DROP TABLE IF EXISTS {name}")
 
     def _write(self, df: DataFrame) -> str:
         name = f"line_run_{uuid.uuid4().hex}"
         (df.repartition(self.buckets, "h1", "h2").write.option("path", self.stage.path(name))
          .bucketBy(self.buckets, "h1", "h2").sortBy("h1", "h2").saveAsTable(name))
+        self.names.append(name)
         return name
 
     def _remove(self, name: str) -> None:
@@ -103,7 +110,8 @@ def dedup_lines(spark: SparkSession, docs: DataFrame, min_chars: int = 10, batch
     stage = Stage(spark, "linededup")
     docs = docs.drop("kept_text", "n_lines", "n_dropped")
     ident = iid()
-    cuts = docs.select(ident.alias("doc")).approxQuantile("doc", [i / batches for i in range(1, batches)], 0.01)
+    cuts = (docs.select(ident.alias("doc")).approxQuantile("doc", [i / batches for i in range(1, batches)], 0.01)
+            if batches > 1 else [])
     batch = F.lit(0)
     for c in cuts:
         batch = batch + (F.col("doc") > F.lit(int(c))).cast("int")
@@ -117,6 +125,7 @@ def dedup_lines(spark: SparkSession, docs: DataFrame, min_chars: int = 10, batch
     for b in range(batches):
         got = runs.add(lines.filter(F.col("batch") == b).drop("batch"))
         owned = got if owned is None else owned.unionByName(got)
+    runs.close()
     stage.drop(lines)
     owned = (owned.groupBy(F.col("doc").alias("__doc"))
              .agg(F.collect_list("h1").alias("__own1"), F.collect_list("h2").alias("__own2")))
