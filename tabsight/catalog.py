@@ -27,62 +27,80 @@ def normalize_table_name(file_name: str) -> str:
 
 
 ROW_ID_TYPE = "bigint"
-FILE_BITS_SHIFT = 40          # parquet: file ordinal << 40 | row index inside the file
-TEXT_FILE_SHIFT = 45          # text/CSV: file ordinal << 45 | split index << 27 | row inside the task
-TEXT_SPLIT_SHIFT = 27
 
 
-def _strip_scheme(path: str) -> str:
-    return "/" + re.sub(r"^[a-zA-Z][a-zA-Z0-9+.-]*:/+", "", path).lstrip("/")
+def _file_path() -> Column:
+    return F.col("_metadata.file_path")
+
+
+def with_row_numbers(df: DataFrame) -> DataFrame:
+    """A Parquet scan with ``_row_id`` = row number over all its files in path order.
+
+    One file: its row index.  Several: one job reads the files' row counts (footers only) and each file's first row
+    number is joined by path; the join side has one short row per file, a part of Spark's own file listing."""
+    files = df.inputFiles()
+    if len(files) <= 1:
+        return df.withColumn(ROW_ID, F.col("_metadata.row_index"))
+    starts, base = [], 0
+    for r in sorted(df.groupBy(_file_path().alias("f")).count().collect(), key=lambda r: r["f"]):
+        starts.append((r["f"], base))
+        base += r["count"]
+    first = df.sparkSession.createDataFrame(starts, "__file string, __first bigint")
+    numbered = df.withColumn("__file", _file_path()).withColumn("__row", F.col("_metadata.row_index"))
+    return (numbered.join(F.broadcast(first), "__file")
+            .select(*[F.col(f"`{c}`") for c in df.columns], (F.col("__first") + F.col("__row")).alias(ROW_ID)))
+
+
+def edge_rows(df: DataFrame, n_head: int, n_tail: int) -> DataFrame:
+    """The first and last rows of a Parquet scan with ``_row_id``; only the files that hold them are read."""
+    files = df.inputFiles()
+    if len(files) <= 1:
+        total = df.count()   # footer
+        keep = (F.col(ROW_ID) < n_head) | (F.col(ROW_ID) >= total - n_tail)
+        return with_row_numbers(df).filter(keep)
+    counts = sorted((r["f"], r["count"]) for r in df.groupBy(_file_path().alias("f")).count().collect())
+    total, base, near = sum(n for _, n in counts), 0, []
+    for f, n in counts:
+        if base < n_head or base + n > total - n_tail:
+            near.append((f, base))
+        base += n
+    when = F.lit(None).cast("bigint")
+    for f, start in near:    # the files of at most n_head + n_tail rows, and the two that they reach into
+        when = F.when(_file_path() == f, F.lit(start) + F.col("_metadata.row_index")).otherwise(when)
+    part = df.filter(_file_path().isin(*[f for f, _ in near])).withColumn(ROW_ID, when)
+    return part.filter((F.col(ROW_ID) < n_head) | (F.col(ROW_ID) >= total - n_tail))
 
 
 def _file_ordinal(df: DataFrame) -> Column:
-    """Ordinal of the row's file in the sorted input file list (a driver-side listing,
-    bounded by the number of files; evaluated only when the row id is used)."""
-    files = sorted({_strip_scheme(f) for f in df.inputFiles()})
+    """Ordinal of a text scan's file in its sorted file list."""
+    files = sorted(set(df.inputFiles()))
     if len(files) <= 1:
-        return F.lit(0).cast("long")
-    path = F.concat(F.lit("/"), F.regexp_replace(F.col("_metadata.file_path"), r"^[a-zA-Z][a-zA-Z0-9+.-]*:/+", ""))
-    mapping = F.create_map(*[x for i, f in enumerate(files) for x in (F.lit(f), F.lit(i).cast("long"))])
-    return F.element_at(mapping, path)
-
-
-def parquet_row_id(df: DataFrame) -> Column:
-    """File order for Parquet scans as one long: (file ordinal, row index in the file)."""
-    return F.shiftleft(_file_ordinal(df), FILE_BITS_SHIFT) + F.col("_metadata.row_index")
-
-
-def _split_unit(spark) -> int:
-    """A lower bound on any split size Spark can choose for a file scan:
-    ``maxSplitBytes = min(maxPartitionBytes, max(openCostInBytes, bytesPerCore))``."""
-    def size(key: str, default: str) -> int:
-        v = str(spark.conf.get(key, default)).strip().lower()
-        mult = {"k": 1 << 10, "m": 1 << 20, "g": 1 << 30}
-        if v.endswith("b"):
-            v = v[:-1]
-        if v and v[-1] in mult:
-            return int(float(v[:-1]) * mult[v[-1]])
-        return int(v)
-    return max(1, min(size("spark.sql.files.maxPartitionBytes", "134217728"),
-                      size("spark.sql.files.openCostInBytes", "4194304")))
-
-
-def text_row_id(df: DataFrame, split_bytes: int | None = None) -> Column:
-    """File order for text/CSV scans as one long: (file ordinal, split index, row inside
-    the task).  ``monotonically_increasing_id`` grows inside one task; the split index
-    (block start in units no larger than any split) orders the tasks reading one file;
-    rows of one split are contiguous in its task.  Bits: 18 file, 18 split, 27 row."""
-    unit = _split_unit(df.sparkSession) if split_bytes is None else split_bytes
-    split = F.floor(F.col("_metadata.file_block_start") / F.lit(unit)).cast("long")
-    inside = F.monotonically_increasing_id().bitwiseAND(F.lit((1 << TEXT_SPLIT_SHIFT) - 1))
-    return F.shiftleft(_file_ordinal(df), TEXT_FILE_SHIFT) + F.shiftleft(split, TEXT_SPLIT_SHIFT) + inside
+        return F.lit(0).cast("decimal(38,0)")
+    return _search(files, 0).cast("decimal(38,0)")
+
+
+def _search(files: list[str], base: int) -> Column:
+    """Binary search for the row's file in the sorted list: log2(files) text comparisons per row."""
+    if len(files) == 1:
+        return F.lit(base)
+    half = len(files) // 2
+    return F.when(_file_path() < files[half], _search(files[:half], base)).otherwise(_search(files[half:], base + half))
+
+
+def text_row_id(df: DataFrame) -> Column:
+    """File order for text/CSV scans as decimal(38,0): file ordinal, start of the split in the file (up to 10^15 bytes),
+    row inside the task (``monotonically_increasing_id`` grows inside one task, rows of one split are contiguous in it;
+    its 33 bits are 10 digits)."""
+    inside = F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1)).cast("decimal(38,0)")
+    start = F.col("_metadata.file_block_start").cast("decimal(38,0)")
+    big = F.lit(10 ** 10).cast("decimal(11,0)")
+    return ((_file_ordinal(df) * F.lit(10 ** 15).cast("decimal(16,0)") + start).cast("decimal(27,0)") * big
+            + inside).cast("decimal(38,0)")
 
 
 def read_parquet_table(spark: SparkSession, path: str, with_row_id: bool = True) -> DataFrame:
     df = spark.read.parquet(path)
-    if with_row_id:
-        df = df.withColumn(ROW_ID, parquet_row_id(df))
-    return df
+    return with_row_numbers(df) if with_row_id else df
 
 
 def ntz_micros(c: Column) -> Column:
@@ -110,47 +128,65 @@ def data_columns(df: DataFrame) -> list[str]:
 
 
 class TableSet(Mapping):
-    """Ordered mapping ``file name -> DataFrame`` with normalized-name lookup."""
+    """Ordered mapping ``file name -> DataFrame`` with normalized-name lookup.
+
+    ``scans`` holds tables as plain file scans.  Such a table gets its ``_row_id`` when it is first asked for by key;
+    :meth:`plain` never builds one."""
 
-    def __init__(self, tables: Mapping[str, DataFrame]):
+    def __init__(self, tables: Mapping[str, DataFrame], scans: Mapping[str, DataFrame] | None = None):
+        self._scans = dict(scans or {})
+        self._names = list(dict.fromkeys([*tables, *self._scans]))
         self._tables = dict(tables)
 
     def __getitem__(self, key: str) -> DataFrame:
+        if key not in self._tables and key in self._scans:
+            self._tables[key] = with_row_numbers(self._scans[key])
         return self._tables[key]
 
     def __iter__(self) -> Iterator[str]:
-        return iter(self._tables)
+        return iter(self._names)
 
     def __len__(self) -> int:
-        return len(self._tables)
+        return len(self._names)
+
+    @property
+    def spark(self) -> SparkSession:
+        return self.plain(self._names[0]).sparkSession
+
+    def scan(self, key: str) -> DataFrame | None:
+        """The table as a plain file scan, if it is one."""
+        return self._scans.get(key)
+
+    def replaced(self, frames: Mapping[str, DataFrame]) -> "TableSet":
+        """The same set with some tables replaced."""
+        return TableSet({**{k: v for k, v in self._tables.items() if k not in self._scans}, **frames},
+                        {k: v for k, v in self._scans.items() if k not in frames})
 
     def resolve(self, name: str | None) -> str | None:
         """Exact file name, else normalized logical name, else None."""
         if name is None:
             return None
-        if name in self._tables:
+        if name in self._names:
             return name
         wanted = normalize_table_name(name) if "." in name else re.sub(r"[^a-zA-Z0-9]+", "_", name).lower()
-        for key in self._tables:
+        for key in self._names:
             if normalize_table_name(key) == wanted:
                 return key
         return None
 
     def first(self) -> str | None:
-        return next(iter(self._tables), None)
+        return next(iter(self._names), None)
 
     def plain(self, key: str) -> DataFrame:
         """The table without hidden helper columns."""
+        if key in self._scans:
+            return self._scans[key]
         df = self._tables[key]
-        return df.select(*data_columns(df))
+        return df.select(*[F.col(f"`{c}`") for c in data_columns(df)])
 
 
 def load_tables(spark: SparkSession, sf_dir: str, names: tuple[str, ...] | list[str] | None = None,
                 with_row_id: bool = True) -> TableSet:
     """Load the driver tables of one scale factor as a TableSet keyed by file name."""
-    names = names or DRIVER_TABLES
-    tables = {}
-    for n in names:
-        path = os.path.join(sf_dir, f"{n}.parquet")
-        tables[n] = read_parquet_table(spark, path, with_row_id=with_row_id)
-    return TableSet(tables)
+    scans = {n: spark.read.parquet(os.path.join(sf_dir, f"{n}.parquet")) for n in names or DRIVER_TABLES}
+    return TableSet({}, scans) if with_row_id else TableSet(scans)

@@ -7,7 +7,9 @@ Differences from Spark defaults that pandas users rely on:
 * ``sum`` of an all-null group is 0, ``prod`` is 1;
 * ``skew``/``kurt`` are the bias-corrected sample forms;
 * ``first``/``last`` take the first/last non-null value in file order;
-* ``median``/``quantile`` are exact and interpolated (never approximate).
+* ``median``/``quantile`` are exact and interpolated (never approximate), ``mode`` is the smallest of the
+  most frequent values; these need :func:`tabsight.operators.grouped.grouped_aggregate`, because one
+  aggregation buffer would hold a whole group.
 """
 
 from __future__ import annotations
@@ -73,8 +75,7 @@ def kurt_corrected(x: Column) -> Column:
              .otherwise(corrected))
 
 
-def agg_expr(func: str, col: str, dtype: T.DataType, row_id: str | None = None,
-             q: float = 0.5) -> Column:
+def agg_expr(func: str, col: str, dtype: T.DataType, row_id: str | None = None) -> Column:
     """Aggregate ``func`` over column ``col`` (of type ``dtype``), unaliased."""
     func = func.lower()
     if func not in SUPPORTED_AGGS:
@@ -85,7 +86,7 @@ def agg_expr(func: str, col: str, dtype: T.DataType, row_id: str | None = None,
     c = nan_as_null(raw, dtype)
     x = _numeric(c, dtype)
     if func == "sum":
-        zero = F.lit(0) if not is_floating(dtype) and not isinstance(dtype, T.DecimalType) else F.lit(0.0)
+        zero = F.lit(0.0) if is_floating(dtype) else F.lit(0)
         return F.coalesce(F.sum(x), zero)
     if func == "mean":
         return F.avg(x)
@@ -101,8 +102,8 @@ def agg_expr(func: str, col: str, dtype: T.DataType, row_id: str | None = None,
         return F.var_samp(x)
     if func == "sem":
         return F.stddev_samp(x) / F.sqrt(F.count(x))
-    if func in ("median", "quantile"):
-        return F.percentile(x.cast("double"), F.lit(0.5 if func == "median" else q))
+    if func in ("median", "quantile", "mode"):
+        return F.lit(None)    # placeholder: computed by grouped_aggregate
     if func == "nunique":
         return F.count_distinct(c)
     if func == "size":
@@ -117,8 +118,6 @@ def agg_expr(func: str, col: str, dtype: T.DataType, row_id: str | None = None,
         if isinstance(dtype, T.StringType):
             return F.coalesce(F.bool_or(F.length(c) > 0), F.lit(False))
         return F.coalesce(F.bool_or(x != 0), F.lit(False))
-    if func == "mode":
-        return F.mode(c, deterministic=True)
     if row_id is None:
         raise PlanError(f"aggregate '{func}' needs file order, the table has no row id")
     order = F.col(row_id)
@@ -126,7 +125,7 @@ def agg_expr(func: str, col: str, dtype: T.DataType, row_id: str | None = None,
         return F.min_by(c, F.when(c.isNotNull(), order))
     if func == "last":
         return F.max_by(c, F.when(c.isNotNull(), order))
-    # row label = the file-order id (the row position for a single-file table)
+    # row label = the row number in file order
     if func == "idxmax":
         return F.min_by(order, F.when(c.isNotNull(), F.struct((-x).alias("v"), order.alias("o"))))
     if func == "idxmin":

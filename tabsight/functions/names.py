@@ -8,7 +8,6 @@ import pandas as pd
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 
 def logical_table_name(name: Column) -> Column:
@@ -75,16 +74,3 @@ def money_text(x: Column) -> Column:
     where Python rounds the binary value (-> .48); the texts are built on
     aggregated rows, so a vectorized pandas UDF gives exact parity at no cost."""
     return _vectorized(_money2)(x.cast("double"))
-
-
-TEMPORAL_NAME = r"(?i)(date|time|created|updated)"
-
-
-def semantic_type(dt: T.DataType, column_name: str) -> str:
-    """Quantitative / temporal / nominal, from the type of the first value."""
-    import re
-    if isinstance(dt, (T.NumericType, T.BooleanType)):
-        return "quantitative"
-    if isinstance(dt, T.StringType) and re.search(TEMPORAL_NAME, column_name):
-        return "temporal"
-    return "nominal"

@@ -58,7 +58,7 @@ def _literal(v, col_kind: str, dt: T.DataType) -> Column | None:
     """Literal comparable with a column of kind ``col_kind``; None when pandas would not compare."""
     vk = _value_kind(v)
     if col_kind == "number" and vk in ("number", "bool"):
-        return F.lit(v)
+        return F.lit(int(v) if vk == "bool" else v)
     if col_kind == "bool" and vk in ("bool", "number"):
         return F.lit(bool(v)) if vk == "bool" else F.lit(v).cast("boolean")
     if col_kind == "string" and vk == "string":

@@ -7,11 +7,14 @@ the number of groups (months, locations, categories), never by the row count.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
-from tabsight.operators.joins import join_dimension
+from tabsight.catalog import ROW_ID
+from tabsight.functions.aggregates import output_name
+from tabsight.operators.grouped import grouped_aggregate, present
 
 # Time grains accepted by resample (pandas aliases -> Spark date_trunc units).
 GRAINS = {"D": "day", "day": "day", "daily": "day", "W": "week", "week": "week", "weekly": "week",
@@ -32,14 +35,15 @@ def resample(df: DataFrame, time_col: str, grain: str, aggs: dict[str, list[str]
     Empty buckets between the first and last bucket come back with count 0 / sum 0
     (pandas ``resample``): the bucket calendar is built from the aggregated min/max
     with ``sequence`` (size = number of buckets) and left-joined."""
-    from tabsight.functions.aggregates import agg_expr, output_name
     by = list(by or [])
     unit = GRAINS[grain]
     types = {f.name: f.dataType for f in df.schema.fields}
-    period = F.date_trunc(unit, _c(time_col).cast("timestamp_ntz")).cast("timestamp_ntz").alias("period")
-    exprs = [agg_expr(fn, col, types[col]).alias(output_name(col, fn)) for col, fns in aggs.items()
-             for fn in (fns if isinstance(fns, list) else [fns])]
-    agg = df.filter(_c(time_col).isNotNull()).groupBy(*[_c(b) for b in by], period).agg(*exprs)
+    period = F.date_trunc(unit, _c(time_col).cast("timestamp_ntz")).cast("timestamp_ntz")
+    specs = [(col, fn) for col, fns in aggs.items() for fn in (fns if isinstance(fns, list) else [fns])]
+    rows = df.filter(_c(time_col).isNotNull()).withColumn("period", period)
+    for b in by:   # pandas drops rows whose group key is missing
+        rows = rows.filter(present(b, types[b]))
+    agg = grouped_aggregate(rows, [*by, "period"], specs, ROW_ID if ROW_ID in df.columns else None)
     if not fill_empty:
         return agg
     # each group's own calendar between its first and last bucket (pandas groupby+resample)
@@ -47,8 +51,7 @@ def resample(df: DataFrame, time_col: str, grain: str, aggs: dict[str, list[str]
     calendar = bounds.select(*[_c(b) for b in by],
                              F.explode(F.sequence("lo", "hi", F.expr(f"INTERVAL {STEP[unit]}"))).alias("period"))
     full = calendar.join(agg, [*by, "period"], "left")
-    zero_cols = {output_name(col, fn) for col, fns in aggs.items()
-                 for fn in (fns if isinstance(fns, list) else [fns]) if fn in ("sum", "count", "size", "nunique")}
+    zero_cols = {output_name(col, fn) for col, fn in specs if fn in ("sum", "count", "size", "nunique")}
     return full.select(*[_c(b) for b in by], "period",
                        *[(F.coalesce(_c(c), F.lit(0)).alias(c) if c in zero_cols else _c(c)) for c in agg.columns
                          if c not in (*by, "period")])
@@ -67,10 +70,9 @@ def growth(df: DataFrame, period_col: str, value_col: str, by: list[str] | None
 
 def versus_average(df: DataFrame, key: str, value: str, agg: str = "sum", out: str = "vs_avg_pct") -> DataFrame:
     """Per key total and its difference to the average over keys in percent."""
-    from tabsight.functions.aggregates import agg_expr, output_name
     name = output_name(value, agg)
-    per = df.filter(_c(key).isNotNull()).groupBy(_c(key)).agg(
-        agg_expr(agg, value, df.schema[value].dataType).alias(name))
+    per = grouped_aggregate(df.filter(present(key, df.schema[key].dataType)), [key], [(value, agg)],
+                            ROW_ID if ROW_ID in df.columns else None)
     avg_all = per.agg(F.avg(_c(name))).scalar()   # scalar subquery: no global window, no join
     return (per.withColumn("average", avg_all)
                .withColumn(out, F.try_divide(_c(name) - F.col("average"), F.col("average")) * 100))
@@ -79,26 +81,33 @@ def versus_average(df: DataFrame, key: str, value: str, agg: str = "sum", out: s
 def ranking(df: DataFrame, value: str, by: list[str] | None = None, ascending: bool = False) -> DataFrame:
     """Rank and dense_rank (1 = best) per ``by``; missing values get no rank (pandas).
 
-    Numeric values use the distributed prefix scan (no task holds a whole group or
+    Numbers, times and text use the distributed prefix scan (no task holds a whole group or
     the whole frame): rows per distinct value (partial aggregate), running sums over
-    the value order in deterministic slices, then the ranks joined back by value."""
+    the value order in slices, then the ranks joined back by value."""
     from tabsight.operators.windows import running_many
     by = list(by or [])
     vt = df.schema[value].dataType
-    if not isinstance(vt, T.NumericType):
-        o = _c(value).asc_nulls_last() if ascending else _c(value).desc_nulls_last()
-        w = Window.partitionBy(*[_c(b) for b in by]).orderBy(o)
-        return df.withColumn("rank", F.rank().over(w)).withColumn("dense_rank", F.dense_rank().over(w))
-    distinct = (df.filter(_c(value).isNotNull())
+    distinct = (df.filter(present(value, vt))
                   .groupBy(*[_c(b) for b in by], _c(value).alias("__v"))
-                  .agg(F.count(F.lit(1)).alias("__n"))
-                  .withColumn("__ord", F.col("__v").cast("double") * (1 if ascending else -1))
-                  .withColumn("__one", F.lit(1)))
-    ranked = running_many(distinct, by, ["__ord"], [("__n", "cumsum", "__cum"), ("__one", "cumsum", "dense_rank")])
-    ranked = ranked.select(*[_c(b) for b in by], "__v", (F.col("__cum") - F.col("__n") + 1).cast("int").alias("rank"),
-                           F.col("dense_rank").cast("int").alias("dense_rank"))
-    keyed = df.withColumn("__v", _c(value))
-    return keyed.join(ranked, [*by, "__v"], "left").drop("__v")
+                  .agg(F.count(F.lit(1)).alias("__n")).withColumn("__one", F.lit(1)))
+    up = running_many(distinct, by, ["__v"], [("__n", "cumsum", "__cum"), ("__one", "cumsum", "__dense")])
+    if ascending:
+        rank, dense = F.col("__cum") - F.col("__n") + 1, F.col("__dense")
+    else:   # counted from the other end: the group's totals less what stands at or below the value
+        total = distinct.groupBy(*[_c(b).alias(f"__t{i}") for i, b in enumerate(by)]).agg(
+            F.sum("__n").alias("__all"), F.sum("__one").alias("__values"))
+        if by:
+            same = reduce(lambda a, b: a & b, [_c(b).eqNullSafe(F.col(f"__t{i}")) for i, b in enumerate(by)])
+            up = up.join(total, same)
+        else:
+            s = total.select(F.struct("__all", "__values").alias("s")).scalar()
+            up = up.withColumn("__all", s.getField("__all")).withColumn("__values", s.getField("__values"))
+        rank, dense = F.col("__all") - F.col("__cum") + 1, F.col("__values") - F.col("__dense") + 1
+    ranked = up.select(*[_c(b).alias(f"__r{i}") for i, b in enumerate(by)], F.col("__v").alias("__rv"),
+                       rank.cast("int").alias("rank"), dense.cast("int").alias("dense_rank"))
+    same = [_c(b).eqNullSafe(F.col(f"__r{i}")) for i, b in enumerate(by)] + [_c(value) == F.col("__rv")]
+    out = df.join(ranked, reduce(lambda a, b: a & b, same), "left")
+    return out.drop("__rv", *[f"__r{i}" for i in range(len(by))])
 
 
 def share(df: DataFrame, key: str, out: str = "share") -> DataFrame:
@@ -142,12 +151,11 @@ def two_key_matrix(df: DataFrame, row_key: str, col_key: str, value: str, agg: s
     return p.agg({"sum": F.sum, "mean": F.avg, "count": F.count, "max": F.max, "min": F.min}[agg](_c(value)))
 
 
-def join_along(left: DataFrame, right: DataFrame, left_col: str, right_col: str, how: str = "inner",
-               max_broadcast_rows: int = 2_000_000) -> DataFrame:
-    """Join two tables along a discovered key (P11 edge); the referenced side is
-    broadcast only when its size is checked to be small."""
+def join_along(left: DataFrame, right: DataFrame, left_col: str, right_col: str, how: str = "inner") -> DataFrame:
+    """Join two tables along a discovered key (P11 edge); the planner broadcasts a side only below
+    ``spark.sql.autoBroadcastJoinThreshold`` bytes, and splits skewed partitions at run time."""
     r = right if right_col == left_col else right.withColumnRenamed(right_col, left_col)
-    return join_dimension(left, r, left_col, how, max_broadcast_rows)
+    return left.join(r, left_col, how)
 
 
 def correlation(df: DataFrame, a: str, b: str, by: list[str] | None = None) -> DataFrame:

@@ -6,11 +6,13 @@ column A is included in B iff B is in S(v) for every value v of A.  Here the
 attribute sets are bit masks (one ``long`` per 64 columns), so the whole search
 is two partially-aggregated ``groupBy``s and no pair list is ever emitted:
 
-0. distinct ``(column, value)`` pairs (hash aggregate, map-side combining, so a
-   value filling a third of all rows is collapsed before the shuffle);
-1. ``bit_or(1 << column_id)`` over a window per value: the set of columns holding
-   it (the window has at most one row per column);
-2. ``groupBy(A) -> bit_and(mask)``: the columns that hold every value of A.  The reference keeps pairs with
+1. ``groupBy(value) -> bit_or(1 << column_id)``: the set of columns holding the value.  One hash
+   aggregate with fixed-width buffers and map-side combining (a value filling a third of all rows
+   collapses before the shuffle), the only shuffle of the data;
+2. each value's set is expanded into its columns: ``groupBy(A) -> count, bit_and(mask)`` gives the
+   distinct count of A and the columns that hold every value of A.
+
+The reference keeps pairs with
 A and B in different tables and ``n(A) < n(B)`` (proper subset); the value
 domains follow Python set equality: ints, floats and bools compare as numbers
 (1 == 1.0 == True), strings only with strings, datetimes with datetimes.
@@ -20,12 +22,12 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tabsight.catalog import ROW_ID, TableSet, ntz_micros
-from tabsight.operators.profile import is_missing, pandas_dtype
+from tabsight.catalog import TableSet, ntz_micros
+from tabsight.operators.profile import is_missing, pandas_dtype, short_key
 
 WORD = 64
 
@@ -39,13 +41,20 @@ def domain_value(c, dt: T.DataType):
         return F.lit("num"), c.cast("long"), nd, ns
     if isinstance(dt, (T.ByteType, T.ShortType, T.IntegerType, T.LongType)):
         return F.lit("num"), c.cast("long"), nd, ns
-    if isinstance(dt, (T.FloatType, T.DoubleType, T.DecimalType)):
+    if isinstance(dt, T.DecimalType):
+        # a value that a double holds exactly compares with other numbers, any other only with decimals
+        x = c.cast("double")
+        exact = x.cast(dt) == c
+        integral = exact & (c == F.floor(c)) & (F.abs(x) < F.lit(9.0e18))
+        return (F.lit("num"), F.when(integral, x.cast("long")), F.when(exact & ~integral, x),
+                F.when(~exact, F.regexp_replace(c.cast("string"), r"(\.\d*?)0+$", "$1")))
+    if isinstance(dt, (T.FloatType, T.DoubleType)):
         x = c.cast("double")
         integral = (x == F.floor(x)) & (F.abs(x) < F.lit(9.0e18))
         return (F.lit("num"), F.when(integral, x.cast("long")),
                 F.when(~integral, x), ns)
     if isinstance(dt, T.StringType):
-        return F.lit("str"), nl, nd, c
+        return F.lit("str"), nl, nd, short_key(c)
     if isinstance(dt, T.TimestampNTZType):
         return F.lit("ts"), ntz_micros(c), nd, ns
     if isinstance(dt, T.TimestampType):
@@ -60,9 +69,7 @@ def column_catalog(tables: TableSet, names: list[str] | None = None) -> list[tup
     """Driver-side schema list (id, table, column, type) of the hashable columns."""
     out = []
     for t in names or list(tables):
-        for f in tables[t].schema.fields:
-            if f.name == ROW_ID:
-                continue
+        for f in tables.plain(t).schema.fields:
             if domain_value(F.col("x"), f.dataType) is None:
                 continue
             out.append((len(out), t, f.name, f.dataType))
@@ -85,30 +92,26 @@ def _long_values(tables: TableSet, cat) -> DataFrame:
             dom, vl, vd, vs = domain_value(col, dt)
             entries.append(F.struct(F.lit(cid).alias("cid"), F.when(~is_missing(col, dt), dom).alias("domain"),
                                     vl.alias("vl"), vd.alias("vd"), vs.alias("vs")))
-        parts.append(tables[t].select(F.explode(F.array(*entries)).alias("e")).select("e.*"))
+        parts.append(tables.plain(t).select(F.explode(F.array(*entries)).alias("e")).select("e.*"))
     return reduce(lambda a, b: a.unionByName(b), parts).filter(F.col("domain").isNotNull())
 
 
 def inclusion_dependencies(tables: TableSet, names: list[str] | None = None) -> DataFrame:
     """(dep_table, dep_column, ref_table, ref_column, dep_distinct, ref_distinct)."""
-    spark = next(iter(tables.values())).sparkSession
+    spark = tables.spark
     cat = column_catalog(tables, names)
     n_words = max(1, (len(cat) + WORD - 1) // WORD)
     long = _long_values(tables, cat)
 
-    # 0. distinct (column, value): hash aggregate with map-side combining
-    distinct = long.select("cid", *VALUE_KEYS).distinct()
-    # 1. per value: the set of columns holding it, as bit masks.  The window holds one
-    #    row per column that has the value, so its size is bounded by the column count.
-    per_value = Window.partitionBy(*VALUE_KEYS)
-    bits = [F.bit_or(F.when(F.floor(F.col("cid") / WORD) == w, F.expr(f"shiftleft(1L, cid % {WORD})"))
-                     .otherwise(F.lit(0).cast("long"))).over(per_value).alias(f"m{w}")
-            for w in range(n_words)]
-    with_masks = distinct.select("cid", *bits)
+    # 1. per value: the set of columns holding it, as bit masks
+    masks = [F.bit_or(F.when(F.floor(F.col("cid") / WORD) == w, F.expr(f"shiftleft(1L, cid % {WORD})"))
+                      .otherwise(F.lit(0).cast("long"))).alias(f"m{w}") for w in range(n_words)]
+    per_value = long.groupBy(*VALUE_KEYS).agg(*masks)
     # 2. per column A: intersection of the sets of all its values, plus its distinct count
-    per_col = (with_masks.groupBy(F.col("cid").alias("a"))
-                         .agg(F.count(F.lit(1)).alias("n_a"),
-                              *[F.bit_and(f"m{w}").alias(f"m{w}") for w in range(n_words)]))
+    members = F.explode(F.array(*[F.when(F.getbit(F.col(f"m{cid // WORD}"), F.lit(cid % WORD)) == 1, F.lit(cid))
+                                  for cid, *_ in cat])).alias("a")
+    per_col = (per_value.select(members, *[f"m{w}" for w in range(n_words)]).filter(F.col("a").isNotNull())
+               .groupBy("a").agg(F.count(F.lit(1)).alias("n_a"), *[F.bit_and(f"m{w}").alias(f"m{w}") for w in range(n_words)]))
 
     # 3. decode the surviving bits into (A, B) pairs; n(B) comes from the same relation
     schema = spark.createDataFrame([(cid, t, c) for cid, t, c, _ in cat],
@@ -140,8 +143,8 @@ def joinable_columns(tables: TableSet, names: list[str] | None = None) -> DataFr
     the null test is one aggregate per table."""
     parts = []
     for t in names or list(tables):
-        df = tables[t]
-        fields = [f for f in df.schema.fields if f.name != ROW_ID]
+        df = tables.plain(t)
+        fields = df.schema.fields
         if not fields:
             continue
         aggs = [F.max(is_missing(F.col(f"`{f.name}`"), f.dataType).cast("int")).alias(f"__n{i}")

@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tabsight.catalog import ROW_ID, TableSet, data_columns
+from tabsight.functions.dates import parsed_date
 from tabsight.functions.names import fill, fixed2_text, money_text
 from tabsight.operators.profile import row_counts
 from tabsight.operators.quality import duplicate_alert, is_date_named
@@ -23,7 +24,7 @@ from tabsight.operators.quantiles import exact_quantiles
 
 # Keyword lists, limits and texts of the reference's insight rules.
 KPI_KEYWORDS = ("revenue", "sales", "total", "amount", "price")
-KPI_LIMIT = 3
+REPORT_KPI_LIMIT = 3          # opt-in: the report shows so many KPI columns
 SKEW_FACTOR = 1.5
 SALES_KEYWORD = "sales"
 STRICT_DATE_KEYWORD = "date"
@@ -38,8 +39,8 @@ def _numeric(df: DataFrame) -> list[str]:
             if f.name != ROW_ID and isinstance(f.dataType, T.NumericType)]
 
 
-def kpi_columns(df: DataFrame, keywords=KPI_KEYWORDS, limit: int | None = KPI_LIMIT) -> list[str]:
-    """Numeric columns whose lower-case name contains a KPI keyword (first ``limit``)."""
+def kpi_columns(df: DataFrame, keywords=KPI_KEYWORDS, limit: int | None = None) -> list[str]:
+    """Numeric columns whose lower-case name contains a KPI keyword (with ``limit``: the first ones)."""
     cols = [c for c in _numeric(df) if any(k in c.lower() for k in keywords)]
     return cols if limit is None else cols[:limit]
 
@@ -118,15 +119,6 @@ def date_columns(df: DataFrame) -> list[str]:
     return out
 
 
-def parsed_date(df: DataFrame, col: str) -> Column:
-    """Lenient parse (bad values -> null) of a date column (no-op for datetime columns)."""
-    dt = df.schema[col].dataType
-    c = F.col(f"`{col}`")
-    if isinstance(dt, T.StringType):
-        return F.try_to_timestamp(c).cast("timestamp_ntz")
-    return c.cast("timestamp_ntz")
-
-
 def date_ranges(df: DataFrame) -> DataFrame:
     """(column, ordinal, min_ts, max_ts, value='min to max') for every date-named column
     with at least one parseable value; one scan for all columns."""
@@ -176,7 +168,7 @@ def insights_frame(name: str, df: DataFrame, processed_at: str | None = None) ->
     kpis = kpi_columns(df)
     dcols = date_columns(df)
     exprs = [F.count(F.lit(1)).alias("__rows")]
-    exprs += [F.sum(coerced_missing(F.col(f"`{f.name}`"), f).cast("long")).alias(f"__m{i}")
+    exprs += [F.sum(coerced_missing(df, f).cast("long")).alias(f"__m{i}")
               for i, f in enumerate(fields)]
     for j, c in enumerate(kpis):
         x = F.col(f"`{c}`").cast("double")
@@ -220,8 +212,8 @@ def insights_frame(name: str, df: DataFrame, processed_at: str | None = None) ->
 def combined_summary(tables: TableSet, names: list[str] | None = None) -> DataFrame:
     """Per-file rows and columns plus a total row (``file_name`` null) via ``rollup``."""
     names = names or list(tables)
-    spark = next(iter(tables.values())).sparkSession
-    ncols = spark.createDataFrame([(n, len(data_columns(tables[n]))) for n in names],
+    spark = tables.spark
+    ncols = spark.createDataFrame([(n, len(tables.plain(n).columns)) for n in names],
                                   "table_name string, columns int")
     per = row_counts(tables, names).join(ncols, "table_name")
     return (per.rollup("table_name")

@@ -18,8 +18,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tabsight.catalog import (ROW_ID, ROW_ID_TYPE, TableSet, data_columns, normalize_table_name, ntz_from_micros,
-                              ntz_micros)
+from tabsight.catalog import (ROW_ID, ROW_ID_TYPE, TableSet, data_columns, edge_rows, normalize_table_name,
+                              ntz_from_micros, ntz_micros)
 
 SAMPLE_SIZE = 5
 
@@ -68,7 +68,33 @@ ROWS_MARK = "\u0000rows"   # pseudo column whose single value counts the rows of
 
 
 # value kinds of the typed long form (fixed per column)
-K_INT, K_DOUBLE, K_TS, K_DATE, K_TEXT, K_BOOL, K_TS_NTZ = 0, 1, 2, 3, 4, 5, 6
+K_INT, K_DOUBLE, K_TS, K_DATE, K_TEXT, K_BOOL, K_TS_NTZ, K_DEC = 0, 1, 2, 3, 4, 5, 6, 7
+
+#: longer texts group by a 128-bit hash and their length instead of moving whole
+LONG_TEXT = 64
+_HASH_MARK = "\u0000hash"
+
+
+def short_key(c: Column) -> Column:
+    """The text itself up to ``LONG_TEXT`` characters, else a key of fixed size."""
+    key = F.concat(F.lit(_HASH_MARK), F.hex(F.xxhash64(c)), F.lit("."), F.hex(F.xxhash64(F.lit(7919), c)), F.lit("."),
+                   F.length(c).cast("string"))
+    return F.when(F.length(c) > LONG_TEXT, key).otherwise(c)
+
+
+def decimal_key(c: Column) -> Column:
+    """Text that sorts like the decimal (values of one column have one scale)."""
+    digits = F.lpad(F.abs(c).cast("string"), 42, "0")
+    return F.when(c < 0, F.concat(F.lit("n"), F.translate(digits, "0123456789", "9876543210"))).otherwise(
+        F.concat(F.lit("p"), digits))
+
+
+def decimal_text(key: Column) -> Column:
+    """The decimal's own text from its sort key."""
+    digits = F.substring(key, 2, 42)
+    shown = F.ltrim(F.when(key.startswith("n"), F.translate(digits, "0123456789", "9876543210")).otherwise(digits), F.lit("0"))
+    shown = F.when(shown.startswith(".") | (shown == ""), F.concat(F.lit("0"), shown)).otherwise(shown)
+    return F.when(key.startswith("n"), F.concat(F.lit("-"), shown)).otherwise(shown)
 
 
 def typed_value(c: Column, dt: T.DataType) -> tuple[int, Column, Column, Column]:
@@ -77,7 +103,9 @@ def typed_value(c: Column, dt: T.DataType) -> tuple[int, Column, Column, Column]
     null_l, null_d, null_s = F.lit(None).cast("long"), F.lit(None).cast("double"), F.lit(None).cast("string")
     if isinstance(dt, (T.ByteType, T.ShortType, T.IntegerType, T.LongType)):
         return K_INT, c.cast("long"), null_d, null_s
-    if isinstance(dt, (T.FloatType, T.DoubleType, T.DecimalType)):
+    if isinstance(dt, T.DecimalType):
+        return K_DEC, null_l, null_d, decimal_key(c)
+    if isinstance(dt, (T.FloatType, T.DoubleType)):
         x = c.cast("double")
         return K_DOUBLE, null_l, F.when(x == 0, F.lit(0.0)).otherwise(x), null_s   # -0.0 == 0.0
     if isinstance(dt, T.TimestampNTZType):
@@ -98,6 +126,7 @@ def typed_text(kind: Column, vl: Column, vd: Column, vs: Column) -> Column:
              .when(kind == K_TS, F.timestamp_micros(vl).cast("string"))
              .when(kind == K_TS_NTZ, ntz_from_micros(vl).cast("string"))
              .when(kind == K_DATE, F.date_from_unix_date(vl.cast("int")).cast("string"))
+             .when(kind == K_DEC, decimal_text(vs))
              .when(kind == K_BOOL, F.when(vl == 1, F.lit("true")).otherwise(F.lit("false")))
              .otherwise(vs))
 
@@ -109,7 +138,7 @@ def column_ids(tables: TableSet, names: list[str]) -> list[tuple[int, str, str,
     """Driver-side catalogue (cid, table, column, ordinal, type); row marks have type None."""
     out = []
     for ti, t in enumerate(names):
-        for i, f in enumerate([f for f in tables[t].schema.fields if f.name != ROW_ID]):
+        for i, f in enumerate(tables.plain(t).schema.fields):
             out.append((len(out), t, f.name, i, f.dataType))
         out.append((ROWS_BASE + ti, t, ROWS_MARK, -1, None))
     return out
@@ -127,7 +156,7 @@ def value_counts(tables: TableSet, names: list[str] | None = None, with_first_ro
     cat = column_ids(tables, names)
     parts = []
     for ti, name in enumerate(names):
-        df = tables[name]
+        df = tables[name] if with_first_row else tables.plain(name)
         has_order = with_first_row and ROW_ID in df.columns
         pairs = [F.struct(F.lit(ROWS_BASE + ti).alias("cid"), F.lit(0).cast("long").alias("vl"),
                           F.lit(None).cast("double").alias("vd"), F.lit(None).cast("string").alias("vs"))]
@@ -135,7 +164,9 @@ def value_counts(tables: TableSet, names: list[str] | None = None, with_first_ro
             if t != name or dt is None:
                 continue
             c = F.col(f"`{col}`")
-            _, vl, vd, vs = typed_value(c, dt)
+            kind, vl, vd, vs = typed_value(c, dt)
+            if kind == K_TEXT and (has_order or not with_first_row):
+                vs = short_key(vs)    # the few sample texts are fetched by row id
             pairs.append(F.struct(F.when(~is_missing(c, dt), F.lit(cid)).alias("cid"),
                                   vl.alias("vl"), vd.alias("vd"), vs.alias("vs")))
         row_id = F.col(ROW_ID) if has_order else F.lit(None).cast(ROW_ID_TYPE)
@@ -148,7 +179,7 @@ def value_counts(tables: TableSet, names: list[str] | None = None, with_first_ro
 
 def catalogue_frame(tables: TableSet, names: list[str]) -> DataFrame:
     """The column catalogue as a small DataFrame (schema-sized)."""
-    spark = next(iter(tables.values())).sparkSession
+    spark = tables.spark
     rows = [(cid, t, c, i, typed_value(F.col("x"), dt)[0] if dt is not None else K_INT,
              _type_class(dt) if dt is not None else "rows", _orderable(dt) if dt is not None else False)
             for cid, t, c, i, dt in column_ids(tables, names)]
@@ -156,14 +187,37 @@ def catalogue_frame(tables: TableSet, names: list[str]) -> DataFrame:
                                        "type_class string, orderable boolean")
 
 
-def first_samples(vc: DataFrame, cat: DataFrame, k: int = SAMPLE_SIZE) -> DataFrame:
+def first_samples(vc: DataFrame, cat: DataFrame, tables: TableSet, names: list[str], k: int = SAMPLE_SIZE) -> DataFrame:
     """First ``k`` distinct non-null values per column, in order of first appearance;
-    ``row_number() <= k`` is planned as a partial WindowGroupLimit before the shuffle."""
+    ``row_number() <= k`` is planned as a partial WindowGroupLimit before the shuffle.  Sample texts that were
+    grouped by hash are read from their rows (at most ``k`` per column, matched by row id)."""
     w = Window.partitionBy("cid").orderBy("first_row", "vl", "vd", "vs")
     # filter the row-count marks only after the window: a filter on vc itself would be
     # pushed below the aggregation and stop the two consumers sharing one exchange
     top = vc.withColumn("rk", F.row_number().over(w)).filter((F.col("rk") <= k) & (F.col("cid") < ROWS_BASE))
     top = top.join(F.broadcast(cat.select("cid", "kind")), "cid")   # schema-sized side
+    parts = []
+    for t in names:
+        if ROW_ID not in tables[t].columns:
+            continue
+        cols = [(cid, c, dt) for cid, table, c, _, dt in column_ids(tables, names)
+                if table == t and dt is not None and typed_value(F.col("x"), dt)[0] == K_TEXT]
+        if not cols:
+            continue
+        cells = F.explode(F.array(*[
+            F.when(F.length(value_text(F.col(f"`{c}`"), dt)) > LONG_TEXT,
+                   F.struct(F.lit(cid).alias("tcid"), value_text(F.col(f"`{c}`"), dt).alias("whole")))
+            for cid, c, dt in cols])).alias("e")
+        # the broadcast side has at most k rows per column of the table
+        rows = top.filter(F.col("cid").isin(*[cid for cid, _, _ in cols]) & F.col("vs").startswith(_HASH_MARK)).select(
+            F.col("cid").alias("wcid"), F.col("first_row").alias("__at"))
+        near = tables[t].join(F.broadcast(rows.select("__at").distinct()), F.col(ROW_ID) == F.col("__at"))
+        parts.append(near.select("__at", cells).select("__at", "e.tcid", "e.whole").filter(F.col("tcid").isNotNull()))
+    if parts:
+        whole = reduce(lambda a, b: a.unionByName(b), parts)
+        top = top.join(F.broadcast(whole), (F.col("cid") == F.col("tcid")) & (F.col("first_row") == F.col("__at"))
+                       & F.col("vs").startswith(_HASH_MARK), "left")
+        top = top.withColumn("vs", F.coalesce("whole", "vs"))
     text = typed_text(F.col("kind"), F.col("vl"), F.col("vd"), F.col("vs"))
     return (top.groupBy("cid")
                .agg(F.array_sort(F.collect_list(F.struct(F.col("rk"), text.alias("value")))).alias("s"))
@@ -211,22 +265,23 @@ def profile_columns(tables: TableSet, names: list[str] | None = None, samples: b
     names = names or list(tables)
     vc = value_counts(tables, names, with_first_row=samples)
     cat = catalogue_frame(tables, names)
+    decimals = any(isinstance(dt, T.DecimalType) for *_, dt in column_ids(tables, names))
     per_col = vc.groupBy("cid").agg(
         F.count(F.lit(1)).alias("unique_count"), F.sum("n").alias("non_null"), F.max("n").alias("max_n"),
-        F.min("vl").alias("lo_l"), F.max("vl").alias("hi_l"), F.min("vd").alias("lo_d"), F.max("vd").alias("hi_d"))
+        F.min("vl").alias("lo_l"), F.max("vl").alias("hi_l"), F.min("vd").alias("lo_d"), F.max("vd").alias("hi_d"),
+        *([F.min("vs").alias("lo_s"), F.max("vs").alias("hi_s")] if decimals else []))
+    lo_s, hi_s = (F.col(c) if decimals else F.lit(None).cast("string") for c in ("lo_s", "hi_s"))
     # one row per column and table mark; the catalogue is schema-sized (bounded broadcast).
     # Row counts travel by a window over this small relation (a filter on it would be
     # pushed into the value-count job and run it twice).
     per_table = Window.partitionBy("table_name")
     out = (cat.join(per_col, "cid", "left")
               .withColumn("row_count", F.max(F.when(F.col("cid") >= ROWS_BASE, F.col("non_null"))).over(per_table))
-              .withColumn("min_value", typed_text(F.col("kind"), F.col("lo_l"), F.col("lo_d"),
-                                                  F.lit(None).cast("string")))
-              .withColumn("max_value", typed_text(F.col("kind"), F.col("hi_l"), F.col("hi_d"),
-                                                  F.lit(None).cast("string"))))
+              .withColumn("min_value", typed_text(F.col("kind"), F.col("lo_l"), F.col("lo_d"), lo_s))
+              .withColumn("max_value", typed_text(F.col("kind"), F.col("hi_l"), F.col("hi_d"), hi_s)))
     out = out.filter(F.col("cid") < ROWS_BASE)
     if samples:
-        out = out.join(first_samples(vc, cat), "cid", "left")
+        out = out.join(first_samples(vc, cat, tables, names), "cid", "left")
     else:
         out = out.withColumn("sample_values", F.lit(None).cast("array<string>"))
     rc = F.coalesce(F.col("row_count"), F.lit(0))
@@ -259,9 +314,9 @@ def row_counts(tables: TableSet, names: list[str] | None = None) -> DataFrame:
     ``groupBy`` (partial counts per task), instead of one aggregation job per table."""
     names = names or list(tables)
     tags = reduce(lambda a, b: a.unionByName(b),
-                  [tables[n].select(F.lit(n).alias("table_name")) for n in names])
+                  [tables.plain(n).select(F.lit(n).alias("table_name")) for n in names])
     counts = tags.groupBy("table_name").agg(F.count(F.lit(1)).alias("row_count"))
-    spark = next(iter(tables.values())).sparkSession
+    spark = tables.spark
     every = spark.createDataFrame([(n,) for n in names], "table_name string")
     return every.join(counts, "table_name", "left").select(
         "table_name", F.coalesce("row_count", F.lit(0)).alias("row_count"))
@@ -270,18 +325,21 @@ def row_counts(tables: TableSet, names: list[str] | None = None) -> DataFrame:
 def profile_tables(tables: TableSet, names: list[str] | None = None) -> DataFrame:
     """table_name, file_name, row_count, column_count, columns."""
     names = names or list(tables)
-    spark = next(iter(tables.values())).sparkSession
+    spark = tables.spark
     meta = spark.createDataFrame(
-        [(n, normalize_table_name(n), len(data_columns(tables[n])), data_columns(tables[n])) for n in names],
+        [(n, normalize_table_name(n), len(tables.plain(n).columns), tables.plain(n).columns) for n in names],
         "file_name string, table_name string, column_count int, columns array<string>")
     counts = row_counts(tables, names).withColumnRenamed("table_name", "file_name")
     return meta.join(counts, "file_name").select("table_name", "file_name", "row_count", "column_count", "columns")
 
 
-def head_tail(df: DataFrame, n_head: int = 5, n_tail: int = 5) -> DataFrame:
+def head_tail(df: DataFrame, n_head: int = 5, n_tail: int = 5, scan: DataFrame | None = None) -> DataFrame:
     """First and last rows in file order, tagged ``part`` = head/tail with ``pos``.
 
-    Both sides are top-k queries (``TakeOrderedAndProject``), never a full sort."""
+    With ``scan`` (the table as a plain file scan) only the files that hold these rows are read; otherwise both
+    sides are top-k queries (``TakeOrderedAndProject``), never a full sort."""
+    if scan is not None:
+        df = edge_rows(scan, n_head, n_tail)
     if ROW_ID not in df.columns:
         raise ValueError("head/tail needs a table read with file order (_row_id)")
     cols = data_columns(df)
@@ -291,4 +349,4 @@ def head_tail(df: DataFrame, n_head: int = 5, n_tail: int = 5) -> DataFrame:
               .withColumn("part", F.lit("tail")))
     both = head.unionByName(tail)
     w = Window.partitionBy("part").orderBy(F.col(ROW_ID))
-    return both.withColumn("pos", F.row_number().over(w) - 1).select("part", "pos", *cols)
+    return both.withColumn("pos", F.row_number().over(w) - 1).select("part", "pos", *[F.col(f"`{c}`") for c in cols])

@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tabsight.catalog import ROW_ID, TableSet, data_columns
+from tabsight.functions.dates import parsed_date
 from tabsight.functions.names import fill
 from tabsight.operators.profile import is_missing, row_counts
 
@@ -40,12 +41,12 @@ def is_date_named(name: str) -> bool:
     return any(k in name.lower() for k in DATE_NAME_KEYWORDS)
 
 
-def coerced_missing(c: Column, f: T.StructField) -> Column:
+def coerced_missing(df: DataFrame, f: T.StructField) -> Column:
     """Missing after the reference's date coercion: a date-named string column counts
     unparseable values as missing (X2 is computed after ``to_datetime(errors='coerce')``)."""
     if isinstance(f.dataType, T.StringType) and is_date_named(f.name):
-        return c.isNull() | F.try_to_timestamp(c).isNull()
-    return is_missing(c, f.dataType)
+        return parsed_date(df, f.name).isNull()
+    return is_missing(F.col(f"`{f.name}`"), f.dataType)
 
 
 def missing_counts(df: DataFrame, after_date_coercion: bool = False) -> DataFrame:
@@ -54,7 +55,7 @@ def missing_counts(df: DataFrame, after_date_coercion: bool = False) -> DataFram
     exprs = [F.count(F.lit(1)).alias("__rows")]
     for i, f in enumerate(fields):
         c = F.col(f"`{f.name}`")
-        m = coerced_missing(c, f) if after_date_coercion else is_missing(c, f.dataType)
+        m = coerced_missing(df, f) if after_date_coercion else is_missing(c, f.dataType)
         exprs.append(F.sum(m.cast("long")).alias(f"__m{i}"))
     wide = df.agg(*exprs)
     return wide.select(F.explode(F.array(*[
@@ -111,8 +112,8 @@ def table_warnings(tables: TableSet, names: list[str] | None = None) -> DataFram
     Row counts come from one job for all tables; column counts from the schema.  An
     empty table gets only the empty warning (the reference stops checking there)."""
     names = names or list(tables)
-    spark = next(iter(tables.values())).sparkSession
-    ncols = spark.createDataFrame([(n, len(data_columns(tables[n]))) for n in names],
+    spark = tables.spark
+    ncols = spark.createDataFrame([(n, len(tables.plain(n).columns)) for n in names],
                                   "table_name string, column_count int")
     info = row_counts(tables, names).join(ncols, "table_name")
     empty = info.filter(F.col("row_count") == 0).select(
@@ -123,16 +124,3 @@ def table_warnings(tables: TableSet, names: list[str] | None = None) -> DataFram
     few = info.filter((F.col("row_count") > 0) & (F.col("column_count") < MIN_COLUMNS)).select(
         "table_name", F.lit("warning").alias("severity"), F.lit(MSG_TOO_FEW_COLUMNS).alias("message"))
     return reduce(DataFrame.unionByName, [empty, many, few])
-
-
-def quality_issues(name: str, df: DataFrame) -> DataFrame:
-    """X3-X6 for one table in the reference's order: (table_name, severity, message)."""
-    t = TableSet({name: df})
-    nonempty = row_counts(t).filter(F.col("row_count") > 0).select("table_name")
-    tagged = []
-    for part in (missing_warnings(df),
-                 duplicate_rows(df).filter(F.col("duplicate_rows") > 0).select(
-                     fill(MSG_FOUND_DUPLICATES, n=F.col("duplicate_rows")).alias("message"))):
-        tagged.append(part.select(F.lit(name).alias("table_name"), F.lit("warning").alias("severity"), "message")
-                          .join(nonempty, "table_name", "left_semi"))
-    return reduce(DataFrame.unionByName, [table_warnings(t)] + tagged)

@@ -6,105 +6,84 @@ aggregation buffer; with a hot group (a third of all rows) that buffer is one
 task's memory.  Here:
 
 1. ``vc``: (keys, value) -> n, a partially aggregated count (hot values collapse);
-2. slices: equal-width buckets of each column's global value range (deterministic,
-   so a retried task rebuilds the same slice; the range is a scalar subquery, so
-   building the DataFrame runs nothing); a hot group spreads over many slices;
-3. per (slice, keys): slice totals -> prefix offsets (a table with at most
-   slices x groups rows);
-4. inside each slice a running sum gives the global rank interval of every value;
+2. slices of each column's values with about equally many rows (:mod:`tabsight.operators.slices`);
+   a hot group spreads over many slices, outliers and NaN do not move the bounds;
+3. per (keys, slice): totals -> prefix offsets -> the few slices that hold a wanted rank;
+4. only these are read again: a running sum inside each gives every value's rank interval;
 5. keep the values whose rank interval covers floor/ceil of (N-1)q and interpolate.
+
+Helper columns have reserved names, so keys may have any name.
 """
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-
-def _numeric_columns(df: DataFrame, columns: list[str] | None) -> list[tuple[str, T.DataType]]:
-    fields = {f.name: f.dataType for f in df.schema.fields}
-    cols = columns if columns is not None else list(fields)
-    return [(c, fields[c]) for c in cols]
+from tabsight.operators.slices import quantile_bounds, slice_of
 
 
-def exact_quantiles(df: DataFrame, columns: list[str], probs: list[float], by: list[str] | None = None,
-                    partitions: int | None = None) -> DataFrame:
-    """Rows (by..., column, q, value) with pandas' linear interpolation; missing values ignored."""
+def quantile_rows(df: DataFrame, columns: list[str], probs: list[float], by: list[str] | None = None,
+                  partitions: int | None = None) -> DataFrame:
+    """Rows (__k0.. for the keys, __c column number, __q, __value); missing values ignored."""
     by = list(by or [])
-    spark = df.sparkSession
-    cols = _numeric_columns(df, columns)
-    entries = []
-    for c, dt in cols:
+    types = {f.name: f.dataType for f in df.schema.fields}
+    numbers = []
+    for c in columns:
         x = F.col(f"`{c}`")
-        if isinstance(dt, T.BooleanType):
-            x = x.cast("int")
-        x = x.cast("double")
-        entries.append(F.struct(F.lit(c).alias("column"), F.when(~F.isnan(x), x).alias("v")))
-    long = (df.select(*[F.col(f"`{b}`") for b in by], F.explode(F.array(*entries)).alias("e"))
-              .select(*[F.col(f"`{b}`") for b in by], "e.column", "e.v")
-              .filter(F.col("v").isNotNull()))
-    keys = [*by, "column"]
-    vc = long.groupBy(*keys, F.when(F.col("v") == 0, F.lit(0.0)).otherwise(F.col("v")).alias("v")) \
-             .agg(F.count(F.lit(1)).alias("n"))
-
-    nbuckets = 4 * (partitions or int(spark.conf.get("spark.sql.shuffle.partitions")))
-    # deterministic slices: equal-width buckets of each column's global range (one
-    # tiny aggregate, C rows to the driver); a hot group spans many slices
-    # one struct-valued scalar subquery with every column's min/max: the plan stays lazy
-    bounds = df.agg(F.struct(*[F.min(F.col(f"`{c}`").cast("double")).alias(f"lo{i}") for i, (c, _) in enumerate(cols)],
-                             *[F.max(F.col(f"`{c}`").cast("double")).alias(f"hi{i}") for i, (c, _) in enumerate(cols)])
-                    .alias("b")).scalar()
-    bucket = F.lit(0)
-    for i, (c, _) in enumerate(cols):
-        lo_v, hi_v = bounds.getField(f"lo{i}"), bounds.getField(f"hi{i}")
-        wb = F.when(hi_v > lo_v, F.width_bucket(F.col("v"), lo_v, hi_v, F.lit(nbuckets)))
-        bucket = F.when(F.col("column") == c, F.coalesce(wb, F.lit(0))).otherwise(bucket)
-    ranged = vc.withColumn("pid", bucket)
+        x = (x.cast("int") if isinstance(types[c], T.BooleanType) else x).cast("double")
+        numbers.append(F.when(~F.isnan(x), x))
+    n = 4 * (partitions or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    bounds = [sorted(set(b)) for b in quantile_bounds(df, numbers, n)]
+    entries = [F.struct(F.lit(i).alias("__c"), x.alias("__v"), slice_of(x, bounds[i]).alias("__pid"))
+               for i, x in enumerate(numbers)]
+    kn = [f"__k{i}" for i in range(len(by))]
+    long = (df.select(*[F.col(f"`{b}`").alias(k) for b, k in zip(by, kn)], F.explode(F.array(*entries)).alias("__e"))
+              .select(*kn, "__e.__c", "__e.__v", "__e.__pid").filter(F.col("__v").isNotNull()))
+    group = [*kn, "__c"]
+    vc = long.groupBy(*group, "__pid", F.when(F.col("__v") == 0, F.lit(0.0)).otherwise(F.col("__v")).alias("__v")) \
+             .agg(F.count(F.lit(1)).alias("__n"))
     # slice totals and their prefix offsets per group (small: slices x groups)
-    slices = ranged.groupBy(*keys, "pid").agg(F.sum("n").alias("slice_n"))
-    wg = Window.partitionBy(*keys).orderBy("pid")
-    slices = (slices.withColumn("offset", F.sum("slice_n").over(wg) - F.col("slice_n"))
-                    .withColumn("total", F.sum("slice_n").over(Window.partitionBy(*keys))))
-    # running count inside each slice (bounded by the slice)
-    ws = Window.partitionBy(*keys, "pid").orderBy("v").rowsBetween(Window.unboundedPreceding, 0)
-    ranked = ranged.withColumn("upto", F.sum("n").over(ws))
-    offsets = slices.drop("slice_n")
-    if not by:
-        # without groups the offsets table has at most (nbuckets + 2) x columns rows
-        offsets = F.broadcast(offsets)
-    ranked = ranked.join(offsets, [*keys, "pid"])
-    # global 0-based rank interval [start, end] of this value
-    ranked = (ranked.withColumn("end", F.col("offset") + F.col("upto") - 1)
-                    .withColumn("start", F.col("end") - F.col("n") + 1))
-
-    # every target (q, floor/ceil rank) in one pass over the ranked relation
+    slices = vc.groupBy(*group, "__pid").agg(F.sum("__n").alias("__size"))
+    slices = (slices.withColumn("__off", F.sum("__size").over(Window.partitionBy(*group).orderBy("__pid")) - F.col("__size"))
+                    .withColumn("__total", F.sum("__size").over(Window.partitionBy(*group))))
     targets = F.array(*[F.lit(float(q)) for q in probs])
-    pos = lambda q: (F.col("total") - 1) * q
-    hit = F.exists(targets, lambda q: ((F.col("start") <= F.floor(pos(q))) & (F.floor(pos(q)) <= F.col("end")))
-                   | ((F.col("start") <= F.ceil(pos(q))) & (F.ceil(pos(q)) <= F.col("end"))))
-    cand = ranked.filter(hit).select(*keys, "v", "start", "end", "total", F.explode(targets).alias("q"))
-    p = (F.col("total") - 1) * F.col("q")
-    hit_lo = (F.col("start") <= F.floor(p)) & (F.floor(p) <= F.col("end"))
-    hit_hi = (F.col("start") <= F.ceil(p)) & (F.ceil(p) <= F.col("end"))
-    picked = (cand.filter(hit_lo | hit_hi)
-                  .groupBy(*keys, "q")
-                  .agg(F.max(F.when(hit_lo, F.col("v"))).alias("v_lo"),
-                       F.max(F.when(hit_hi, F.col("v"))).alias("v_hi"),
-                       F.first(p - F.floor(p)).alias("frac")))
-    return picked.select(*keys, "q", (F.col("v_lo") + (F.col("v_hi") - F.col("v_lo")) * F.col("frac")).alias("value"))
+
+    def inside(start, end):
+        def hit(q):
+            p = (F.col("__total") - 1) * q
+            return ((start <= F.floor(p)) & (F.floor(p) <= end)) | ((start <= F.ceil(p)) & (F.ceil(p) <= end))
+        return hit
+
+    wanted = slices.filter(F.exists(targets, inside(F.col("__off"), F.col("__off") + F.col("__size") - 1)))
+    wanted = wanted.select(*[F.col(c).alias(f"w{c}") for c in [*group, "__pid"]], "__off", "__total")
+    if not by:
+        wanted = F.broadcast(wanted)      # at most two slices per probability and column
+    same = [F.col(c).eqNullSafe(F.col(f"w{c}")) for c in [*group, "__pid"]]
+    near = vc.join(wanted, reduce(lambda a, b: a & b, same)).drop(*[f"w{c}" for c in [*group, "__pid"]])
+    w = Window.partitionBy(*group, "__pid").orderBy("__v").rowsBetween(Window.unboundedPreceding, 0)
+    ranked = (near.withColumn("__end", F.col("__off") + F.sum("__n").over(w) - 1)
+                  .withColumn("__start", F.col("__end") - F.col("__n") + 1))
+    cand = (ranked.filter(F.exists(targets, inside(F.col("__start"), F.col("__end"))))
+                  .select(*group, "__v", "__start", "__end", "__total", F.explode(targets).alias("__q")))
+    p = (F.col("__total") - 1) * F.col("__q")
+    hit_lo = (F.col("__start") <= F.floor(p)) & (F.floor(p) <= F.col("__end"))
+    hit_hi = (F.col("__start") <= F.ceil(p)) & (F.ceil(p) <= F.col("__end"))
+    picked = (cand.filter(hit_lo | hit_hi).groupBy(*group, "__q")
+                  .agg(F.max(F.when(hit_lo, F.col("__v"))).alias("__lo"), F.max(F.when(hit_hi, F.col("__v"))).alias("__hi"),
+                       F.max(p - F.floor(p)).alias("__frac")))
+    return picked.select(*group, "__q",
+                         (F.col("__lo") + (F.col("__hi") - F.col("__lo")) * F.col("__frac")).alias("__value"))
 
 
-def quantile_columns(df: DataFrame, columns: list[str], probs: list[float], by: list[str] | None = None,
-                     name=lambda c, q: f"{c}_q{q}") -> DataFrame:
-    """Wide form: one row per group, one column per (column, q)."""
+def exact_quantiles(df: DataFrame, columns: list[str], probs: list[float], by: list[str] | None = None,
+                    partitions: int | None = None) -> DataFrame:
+    """Rows (by..., column, q, value) with pandas' linear interpolation; missing values ignored."""
     by = list(by or [])
-    long = exact_quantiles(df, columns, probs, by)
-    exprs = []
-    for c in columns:
-        for q in probs:
-            exprs.append(F.max(F.when((F.col("column") == c) & (F.col("q") == float(q)), F.col("value")))
-                         .alias(name(c, q)))
-    if by:
-        return long.groupBy(*[F.col(f"`{b}`") for b in by]).agg(*exprs)
-    return long.agg(*exprs)
+    rows = quantile_rows(df, columns, probs, by, partitions)
+    names = F.element_at(F.array(*[F.lit(c) for c in columns]), F.col("__c") + 1)
+    return rows.select(*[F.col(f"__k{i}").alias(b) for i, b in enumerate(by)], names.alias("column"),
+                       F.col("__q").alias("q"), F.col("__value").alias("value"))

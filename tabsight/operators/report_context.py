@@ -23,7 +23,8 @@ def sample_rows(tables: TableSet, n_head: int = 5, n_tail: int = 5) -> DataFrame
     """P9 for many tables: (table_name, part, pos, record) with each row as JSON (top-k per table)."""
     parts = []
     for name in tables:
-        ht = head_tail(tables[name], n_head, n_tail)
+        scan = tables.scan(name)
+        ht = head_tail(tables[name] if scan is None else scan, n_head, n_tail, scan)
         cols = [c for c in ht.columns if c not in ("part", "pos")]
         parts.append(ht.select(F.lit(name).alias("table_name"), "part", "pos",
                                F.to_json(F.struct(*[F.col(f"`{c}`") for c in cols])).alias("record")))

@@ -4,27 +4,35 @@ A plain ``Window.partitionBy(key)`` sends every row of a key to one task; with o
 key holding a third of the data that task is the job.  Here a running aggregate
 is a distributed prefix scan (A3, A15):
 
-1. slices: an equal-width bucket of the order column over its global range (a
-   deterministic function of the row), so a hot key spans many slices;
+1. slices of the order column with about equally many rows (:mod:`tabsight.operators.slices`), so a
+   hot key spans many slices;
 2. slice totals per (key, slice) -> a small table -> prefix offsets per key;
 3. the running aggregate inside each (key, slice) window, plus the slice's offset.
 
-Rolling sums/means/counts over the last ``n`` rows (A5) are differences of two
-prefix sums: the row's own prefix minus the prefix ``n`` positions earlier, found
-by an equi-join on (key, position), which hash-spreads a hot key as well.
+Rolling aggregates over the last ``n`` rows (A5) number the rows of each key by such a scan, cut
+them into blocks of consecutive positions and copy the last ``n - 1`` rows of a block into the next
+one: every window is computed from its own rows, never as a difference of prefixes.
+
+Null keys form a group of their own; missing values (null or NaN) are skipped.
 """
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
-from tabsight.catalog import ROW_ID, ntz_micros
+from tabsight.catalog import ROW_ID
+from tabsight.functions.aggregates import nan_as_null
+from tabsight.operators.slices import order_slices
 
 # Running aggregates of the planner vocabulary (pandas names).
 CUMULATIVE = ("cumsum", "cummax", "cummin", "cumprod", "cumcount")
 
+#: rows of a key that one rolling block holds
+BLOCK_ROWS = 1 << 16
+
 
 def _slice_agg(op: str, x: Column) -> Column:
     return {"cumsum": F.sum(x), "cumcount": F.count(x), "cummax": F.max(x), "cummin": F.min(x),
@@ -47,33 +55,6 @@ def _offset_agg(op: str, c: Column) -> Column:
             "cumprod": F.product(c)}[op]
 
 
-def _numeric_order(df: DataFrame, col: str) -> Column | None:
-    """The order column as a number (timestamps/dates as microseconds), or None."""
-    dt = df.schema[col].dataType
-    c = F.col(f"`{col}`")
-    if isinstance(dt, T.TimestampNTZType):
-        return ntz_micros(c).cast("double")
-    if isinstance(dt, T.TimestampType):
-        return F.unix_micros(c).cast("double")
-    if isinstance(dt, T.DateType):
-        return F.unix_date(c).cast("double")
-    if isinstance(dt, T.NumericType):
-        return c.cast("double")
-    return None
-
-
-def order_slices(df: DataFrame, order_col: str, buckets: int) -> Column:
-    """Deterministic slice id: equal-width bucket of the first order column over its
-    global range (a scalar subquery, so building the plan runs nothing).  Determinism
-    matters: a recomputed task after executor loss puts every row in the same slice."""
-    num = _numeric_order(df, order_col)
-    if num is None:
-        return F.lit(0)
-    b = df.agg(F.struct(F.min(num).alias("lo"), F.max(num).alias("hi")).alias("b")).scalar()
-    lo, hi = b.getField("lo"), b.getField("hi")
-    return F.coalesce(F.when(hi > lo, F.width_bucket(num, lo, hi, F.lit(buckets))), F.lit(0))
-
-
 def running_many(df: DataFrame, by: list[str], order: list[str], specs: list[tuple[str, str, str]],
                  partitions: int | None = None) -> DataFrame:
     """Several running aggregates ``(value, op, out)`` in one prefix scan.
@@ -84,26 +65,30 @@ def running_many(df: DataFrame, by: list[str], order: list[str], specs: list[tup
         if op not in CUMULATIVE:
             raise ValueError(f"unknown running aggregate '{op}'")
     spark = df.sparkSession
-    nbuckets = 4 * (partitions or int(spark.conf.get("spark.sql.shuffle.partitions")))
+    types = {f.name: f.dataType for f in df.schema.fields}
+    n = 4 * (partitions or int(spark.conf.get("spark.sql.shuffle.partitions")))
     tie = [ROW_ID] if ROW_ID in df.columns else []
     keys = [F.col(f"`{c}`") for c in by]
     ordc = [F.col(f"`{c}`") for c in order] + [F.col(t) for t in tie]
-    sliced = df.withColumn("__pid", order_slices(df, order[0], nbuckets))
-    tots = [_slice_agg(op, F.col(f"`{v}`")).alias(f"__tot{i}") for i, (v, op, _) in enumerate(specs)]
-    slices = sliced.groupBy(*keys, "__pid").agg(*tots)          # partial aggregation, small output
-    prev = Window.partitionBy(*keys).orderBy("__pid").rowsBetween(Window.unboundedPreceding, -1)
-    slices = slices.select(*keys, "__pid", *[
+    vals = [nan_as_null(F.col(f"`{v}`"), types[v]) for v, _, _ in specs]
+    sliced = df.withColumn("__pid", order_slices(df, order, n))
+    tots = [_slice_agg(op, x).alias(f"__tot{i}") for i, (x, (_, op, _)) in enumerate(zip(vals, specs))]
+    own = [k.alias(f"__k{i}") for i, k in enumerate(keys)]
+    slices = sliced.groupBy(*own, F.col("__pid").alias("__spid")).agg(*tots)      # partial aggregation, small output
+    names = [f"__k{i}" for i in range(len(by))]
+    prev = Window.partitionBy(*names).orderBy("__spid").rowsBetween(Window.unboundedPreceding, -1)
+    slices = slices.select(*names, "__spid", *[
         _offset_agg(op, F.col(f"__tot{i}")).over(prev).alias(f"__off{i}") for i, (_, op, _) in enumerate(specs)])
     inside = Window.partitionBy(*keys, "__pid").orderBy(*ordc).rowsBetween(Window.unboundedPreceding, 0)
-    res = sliced.select("*", *[_slice_agg(op, F.col(f"`{v}`")).over(inside).alias(f"__run{i}")
-                               for i, (v, op, _) in enumerate(specs)])
-    res = res.join(slices, [*by, "__pid"], "left")
-    for i, (v, op, out) in enumerate(specs):
+    res = sliced.select("*", *[_slice_agg(op, x).over(inside).alias(f"__run{i}")
+                               for i, (x, (_, op, _)) in enumerate(zip(vals, specs))])
+    same = [k.eqNullSafe(F.col(f"__k{i}")) for i, k in enumerate(keys)] + [F.col("__pid") == F.col("__spid")]
+    res = res.join(slices, reduce(lambda a, b: a & b, same), "left")
+    outs = {}
+    for i, (x, (_, op, out)) in enumerate(zip(vals, specs)):
         val = _combine(op, F.col(f"__off{i}"), F.col(f"__run{i}"))
-        if op != "cumcount":
-            val = F.when(F.col(f"`{v}`").isNotNull(), val)
-        res = res.withColumn(out, val)
-    return res.drop("__pid", *[f"__off{i}" for i in range(len(specs))], *[f"__run{i}" for i in range(len(specs))])
+        outs[out] = val if op == "cumcount" else F.when(x.isNotNull(), val)
+    return res.select(*[F.col(f"`{c}`") for c in df.columns if c not in outs], *[v.alias(o) for o, v in outs.items()])
 
 
 def running(df: DataFrame, by: list[str], order: list[str], value: str, op: str = "cumsum",
@@ -112,34 +97,34 @@ def running(df: DataFrame, by: list[str], order: list[str], value: str, op: str
     return running_many(df, by, order, [(value, op, out or f"{value}_{op}")], partitions)
 
 
-def positions(df: DataFrame, by: list[str], order: list[str], value: str,
-              partitions: int | None = None) -> DataFrame:
-    """Adds ``__pos`` (0-based position inside the key), ``__cs`` (prefix sum of value),
-    ``__cn`` (prefix count of non-missing values) in one distributed prefix scan."""
-    df = (df.withColumn("__one", F.lit(1))
-            .withColumn("__v0", F.coalesce(F.col(f"`{value}`").cast("double"), F.lit(0.0)))
-            .withColumn("__nn", F.col(f"`{value}`").isNotNull().cast("int")))
-    b = running_many(df, by, order, [("__one", "cumsum", "__pos1"), ("__v0", "cumsum", "__cs"),
-                                     ("__nn", "cumsum", "__cn")], partitions)
-    return b.withColumn("__pos", F.col("__pos1") - 1).drop("__one", "__pos1", "__v0", "__nn")
+def rolling_many(df: DataFrame, by: list[str], order: list[str], value: str, n: int, outs: dict[str, str],
+                 partitions: int | None = None, block_rows: int = BLOCK_ROWS) -> DataFrame:
+    """A5: rolling aggregates ``{out: op}`` (sum / mean / count) over the last ``n`` rows per key;
+    null until the window holds ``n`` non-missing values (pandas ``min_periods=n``)."""
+    for op in outs.values():
+        if op not in ("sum", "mean", "count"):
+            raise ValueError("rolling supports sum, mean and count")
+    size = max(n, block_rows)
+    keys = [F.col(f"`{c}`") for c in by]
+    numbered = running_many(df.withColumn("__one", F.lit(1)), by, order, [("__one", "cumcount", "__seq")], partitions)
+    pos = F.col("__seq") - 1
+    block = F.floor(pos / size)
+    spread = numbered.withColumn("__own", block).withColumn("__block", F.explode(
+        F.when(pos % size >= size - (n - 1), F.array(block, block + 1)).otherwise(F.array(block))))
+    w = Window.partitionBy(*keys, "__block").orderBy("__seq").rowsBetween(-(n - 1), 0)
+    x = nan_as_null(F.col(f"`{value}`"), df.schema[value].dataType).cast("double")
+    aggs = {"sum": F.sum, "mean": F.avg, "count": lambda c: F.count(c).cast("double")}
+    out = spread.select("*", F.count(x).over(w).alias("__n"),
+                        *[aggs[op](x).over(w).alias(f"__w{i}") for i, op in enumerate(outs.values())])
+    out = out.filter(F.col("__block") == F.col("__own"))
+    return out.select(*[F.col(f"`{c}`") for c in df.columns if c not in outs],
+                      *[F.when(F.col("__n") == n, F.col(f"__w{i}")).alias(o) for i, o in enumerate(outs)])
 
 
 def rolling(df: DataFrame, by: list[str], order: list[str], value: str, n: int, op: str = "mean",
             out: str | None = None, partitions: int | None = None) -> DataFrame:
-    """A5: rolling ``op`` (sum / mean / count) over the last ``n`` rows per key;
-    null until the window holds ``n`` non-missing values (pandas ``min_periods=n``)."""
-    if op not in ("sum", "mean", "count"):
-        raise ValueError("rolling supports sum, mean and count")
-    out = out or f"{value}_rolling_{op}"
-    p = positions(df, by, order, value, partitions)
-    back = p.select(*[F.col(f"`{c}`") for c in by], (F.col("__pos") + n).alias("__pos"),
-                    F.col("__cs").alias("__cs_b"), F.col("__cn").alias("__cn_b"))
-    j = p.join(back, [*by, "__pos"], "left")
-    s = F.col("__cs") - F.coalesce(F.col("__cs_b"), F.lit(0.0))
-    c = F.col("__cn") - F.coalesce(F.col("__cn_b"), F.lit(0))
-    full = (F.col("__pos") >= n - 1) & (c == n)
-    val = {"sum": s, "mean": s / c, "count": c.cast("double")}[op]
-    return j.withColumn(out, F.when(full, val)).drop("__pos", "__cs", "__cn", "__cs_b", "__cn_b")
+    """A5 for one rolling aggregate."""
+    return rolling_many(df, by, order, value, n, {out or f"{value}_rolling_{op}": op}, partitions)
 
 
 def top_k_per_group(df: DataFrame, by: list[str], order: list[Column], k: int, rank_col: str = "rank") -> DataFrame:

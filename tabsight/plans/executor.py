@@ -3,9 +3,10 @@
 A plan is the JSON dict a planner (LLM or the rule planner in ``plans.rules``)
 emits.  Each op becomes one DataFrame built from the DataFrame API; Catalyst is
 the optimizer (filters reach the Parquet scan, unused columns are pruned,
-``orderBy().limit()`` becomes a top-k).  Nothing runs until the caller asks for
-rows.  Build-time checks against the schema replace run-time failures, so one
-bad op never stops the others (Q6).
+``orderBy().limit()`` becomes a top-k).  Building an op runs small jobs only where its
+operators need them: value ranges of quantile columns, row counts of a table's files for
+file order.  Build-time checks against the schema replace run-time failures, and an op that
+cannot be analysed is an error of its own: one bad op never stops the others (Q6).
 
 Semantics kept from the reference (pandas):
 * ``!=`` keeps nulls; ``== null`` matches nothing; mismatched types -> no rows (==)
@@ -24,13 +25,15 @@ from __future__ import annotations
 from dataclasses import dataclass, field
 from functools import reduce
 
+from pyspark.errors import PySparkException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tabsight.catalog import ROW_ID, TableSet, data_columns
-from tabsight.functions.aggregates import PlanError, agg_expr, output_name
+from tabsight.catalog import ROW_ID, TableSet, data_columns, edge_rows
+from tabsight.functions.aggregates import PlanError
 from tabsight.functions.predicates import build_filter
+from tabsight.operators.grouped import function_call, grouped_aggregate, needs_file_order, present
 
 ISSUE_SCHEMA = "op string, severity string, message string"
 
@@ -111,6 +114,23 @@ def _q(name: str) -> Column:
     return F.col(f"`{name}`")
 
 
+def _named_columns(op: dict) -> set | None:
+    """Columns that an aggregating op names (with ``_row_id`` if a function needs file order); None for an op that
+    returns whole rows."""
+    aggs = op.get("aggregate") or op.get("agg_functions")
+    if not isinstance(aggs, dict):
+        return None
+    out = {c for c in aggs} | {g for g in _as_list(op.get("group_by") or op.get("groupby")) if isinstance(g, str)}
+    out |= {f.get("column") for f in _as_list(op.get("filters")) if isinstance(f, dict)}
+    functions = [f for fs in aggs.values() for f in _as_list(fs)]
+    try:
+        if needs_file_order(functions):
+            out.add(ROW_ID)
+    except PlanError:
+        pass    # reported when the op is built
+    return out
+
+
 def _order_cols(order: list[tuple[str, bool]]) -> list[Column]:
     """Sort columns with pandas null placement (last in both directions)."""
     return [_q(c).asc_nulls_last() if asc else _q(c).desc_nulls_last() for c, asc in order]
@@ -123,6 +143,7 @@ class PlanExecutor:
         self.tables = tables
         self.strict = strict
         self.reuse_scans = reuse_scans
+        self._shared: dict[str, DataFrame] = {}
 
     # ------------------------------------------------------------------ dispatch (Q1)
     def run(self, plan: dict) -> PlanRun:
@@ -157,34 +178,36 @@ class PlanExecutor:
         return run
 
     def _persist_shared(self, plan: dict) -> list[DataFrame]:
-        """Common scan reuse: a table (often a derived join) read by two or more ops is
-        persisted once (memory, spilling to disk; lost blocks are recomputed from the
-        deterministic lineage).  Call :meth:`PlanRun.release` when the results are used."""
+        """Common scan reuse: the columns that two or more aggregating ops of one table name are persisted once
+        (memory, spilling to disk; lost blocks are recomputed from the deterministic lineage).  Ops that return whole
+        rows keep their own pruned and pushed-down scan.  Call :meth:`PlanRun.release` when the results are used."""
         from pyspark import StorageLevel
         ops = plan.get("operations") or plan.get("aggregations") or []
-        refs: dict[str, int] = {}
+        used: dict[str, list[set]] = {}
         for op in ops if isinstance(ops, list) else []:
-            if isinstance(op, dict):
-                key = self.tables.resolve(op.get("table")) or self.tables.first()
-                refs[key] = refs.get(key, 0) + 1
-        shared = {k for k, n in refs.items() if k is not None and n >= 2}
-        if not shared:
-            return []
-        persisted = []
-        tables = dict(self.tables.items())
-        for k in shared:
-            tables[k] = tables[k].persist(StorageLevel.MEMORY_AND_DISK)
-            persisted.append(tables[k])
-        self.tables = TableSet(tables)
+            key = self.tables.resolve(op.get("table")) or self.tables.first() if isinstance(op, dict) else None
+            cols = _named_columns(op) if key is not None else None
+            if cols is not None:
+                used.setdefault(key, []).append(cols)
+        persisted, frames = [], {}
+        for k, sets in used.items():
+            if len(sets) < 2:
+                continue
+            ordered = any(ROW_ID in c for c in sets)
+            df = self.tables[k] if ordered else self.tables.plain(k)
+            keep = [c for c in df.columns if c == ROW_ID or any(c in s for s in sets)]
+            frames[k] = df.select(*[_q(c) for c in keep]).persist(StorageLevel.MEMORY_AND_DISK)
+            persisted.append(frames[k])
+        self._shared = frames
         return persisted
 
     def _safe(self, key: str, spec, issues) -> OpResult:
         try:
             return self.build(spec, key=key, issues=issues)
-        except PlanError as e:   # Q6: isolate the failing op
+        except (PlanError, PySparkException) as e:   # Q6: isolate the failing op
             return OpResult(key, None, spec.get("table") if isinstance(spec, dict) else None,
                             spec.get("type", "aggregation") if isinstance(spec, dict) else "aggregation",
-                            str(e))
+                            str(e).split("\n")[0])
 
     def _flexible(self, plan: dict) -> OpResult:
         """Q8: describe the first table's numeric columns, or return it untouched."""
@@ -215,9 +238,22 @@ class PlanExecutor:
         if not isinstance(spec, dict):
             raise PlanError(f"op must be an object, got {type(spec).__name__}")
         table = self.resolve(spec.get("table"), key, issues)
-        df = self.tables[table]
+        group = spec.get("group_by") or spec.get("groupby")
+        aggs = spec.get("aggregate") or spec.get("agg_functions")
+        wants = _named_columns(spec)
+        names = set(self.tables.plain(table).columns)
+        if group and wants is not None and not any(g in names for g in _as_list(group) if isinstance(g, str)):
+            wants = None     # G12: no valid key, the op returns whole rows
+        if table in self._shared and wants is not None:
+            df = self._shared[table]
+            full = self.tables.plain(table).schema
+        else:
+            df = self.tables[table] if wants is None or ROW_ID in wants else self.tables.plain(table)
+            full = df.schema
+            if not (group and aggs) and not aggs and not spec.get("filters") and not spec.get("sort"):
+                df = self._first_rows(table, df, spec.get("limit"))
         has_row_id = ROW_ID in df.columns
-        schema = T.StructType([f for f in df.schema.fields if f.name != ROW_ID])
+        schema = T.StructType([f for f in full.fields if f.name != ROW_ID])
 
         # filters (F1-F10): one conjunction, Catalyst pushes it to the scan
         preds = []
@@ -232,8 +268,6 @@ class PlanExecutor:
         if preds:
             df = df.filter(reduce(lambda a, b: a & b, preds))
 
-        group = spec.get("group_by") or spec.get("groupby")
-        aggs = spec.get("aggregate") or spec.get("agg_functions")
         order: list[tuple[str, bool]] = []
         kind = "pass"
         if group and aggs:
@@ -250,73 +284,51 @@ class PlanExecutor:
             order = [o for o in order if o[0] != ROW_ID]
         return OpResult(key, df, table, spec.get("type", "aggregation"), None, order)
 
-    def _aggregates(self, schema: T.StructType, aggs, has_row_id: bool, key, issues):
-        """(plain aggregate Columns, quantile specs, output names in plan order).
+    def _first_rows(self, table: str, df: DataFrame, limit) -> DataFrame:
+        """A bare ``limit`` over a file scan reads only the files that hold the first rows."""
+        scan = self.tables.scan(table)
+        if scan is None or isinstance(limit, bool) or not isinstance(limit, int) or limit < 0:
+            return df
+        return edge_rows(scan, limit, 0)
 
-        ``median``/``quantile`` are not Spark's ``percentile`` (which keeps a whole
-        group's values in one buffer) but the distributed exact quantiles."""
+    def _specs(self, schema: T.StructType, aggs, key, issues) -> list[tuple[str, str]]:
+        """Valid (column, function) pairs in plan order."""
         if not isinstance(aggs, dict):
             raise PlanError(f"aggregations must map column -> function(s), got {aggs!r}")
-        types = {f.name: f.dataType for f in schema.fields}
-        exprs, quants, order = [], [], []
+        names = {f.name for f in schema.fields}
+        out = []
         for col, funcs in aggs.items():
-            if col not in types:
+            if col not in names:
                 issues.append((key, "info", f"aggregate skipped: unknown column '{col}'"))
                 continue
             for fn in _as_list(funcs):
-                if not isinstance(fn, str):
-                    raise PlanError(f"aggregate function must be a name, got {fn!r}")
-                e = agg_expr(fn, col, types[col], ROW_ID if has_row_id else None)   # validates
-                name = output_name(col, fn)
-                order.append(name)
-                if fn.lower() in ("median", "quantile"):
-                    quants.append((col, 0.5, name))
-                else:
-                    exprs.append(e.alias(name))
-        return exprs, quants, order
-
-    @staticmethod
-    def _quantile_frame(df: DataFrame, quants, keys: list[str]) -> DataFrame:
-        from tabsight.operators.quantiles import exact_quantiles
-        cols = sorted({c for c, _, _ in quants})
-        probs = sorted({q for _, q, _ in quants})
-        long = exact_quantiles(df, cols, probs, by=keys)
-        picks = [F.max(F.when((F.col("column") == c) & (F.col("q") == float(q)), F.col("value"))).alias(n)
-                 for c, q, n in quants]
-        return long.groupBy(*[_q(k) for k in keys]).agg(*picks) if keys else long.agg(*picks)
+                function_call(fn)
+                out.append((col, fn))
+        return out
 
     def _grouped(self, df, schema, group, aggs, has_row_id, key, issues):
-        names = {f.name for f in schema.fields}
-        keys = [g for g in group if isinstance(g, str) and g in names]
+        types = {f.name: f.dataType for f in schema.fields}
+        keys = [g for g in group if isinstance(g, str) and g in types]
         for g in group:
             if g not in keys:
                 issues.append((key, "info", f"group column skipped: '{g}'"))
-        if not keys:   # G12: no valid key -> table unaggregated
+        if not keys:   # G12: no valid key -> table unaggregated (every column, in file order)
             issues.append((key, "info", "no valid group column: table returned unaggregated"))
             return df, [], "pass"
-        df = df.filter(reduce(lambda a, b: a & b, [_q(k).isNotNull() for k in keys]))  # G1
-        exprs, quants, order = self._aggregates(schema, aggs, has_row_id, key, issues)
-        if not exprs and not quants:   # G11
-            exprs, order = [F.count(F.lit(1)).alias("count")], ["count"]
-        out = df.groupBy(*[_q(k) for k in keys]).agg(*(exprs or [F.count(F.lit(1)).alias("__n")]))
-        if quants:
-            # both sides have one row per group: a join on the keys, no group in one task
-            out = out.join(self._quantile_frame(df, quants, keys), keys, "left")
-        out = out.select(*[_q(k) for k in keys], *[_q(n) for n in order])
+        df = df.filter(reduce(lambda a, b: a & b, [present(k, types[k]) for k in keys]))  # G1: null and NaN keys go
+        specs = self._specs(schema, aggs, key, issues)
+        if specs:
+            out = grouped_aggregate(df, keys, specs, ROW_ID if has_row_id else None)
+        else:   # G11
+            out = df.groupBy(*[_q(k) for k in keys]).agg(F.count(F.lit(1)).alias("count"))
         return out, [(k, True) for k in keys], "group"
 
     def _global(self, df, schema, aggs, has_row_id, key, issues):
-        exprs, quants, order = self._aggregates(schema, aggs, has_row_id, key, issues)
-        if not exprs and not quants:
+        specs = self._specs(schema, aggs, key, issues)
+        if not specs:
             # the reference returns an empty frame: no valid aggregate column
             return df.limit(0).select()
-        out = df.agg(*(exprs or [F.count(F.lit(1)).alias("__n")]))
-        if quants:
-            # one struct-valued scalar subquery carries every quantile of the one-row result
-            qf = self._quantile_frame(df, quants, [])
-            packed = qf.select(F.struct(*[_q(n) for _, _, n in quants]).alias("s")).scalar()
-            out = out.select("*", *[packed.getField(n).alias(n) for _, _, n in quants])
-        return out.select(*[_q(n) for n in order])
+        return grouped_aggregate(df, [], specs, ROW_ID if has_row_id else None)
 
     def _sort_limit(self, df: DataFrame, spec: dict, order: list[tuple[str, bool]], key, issues):
         sort_cfg = spec.get("sort")

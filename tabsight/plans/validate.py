@@ -9,10 +9,9 @@ Plan checking is schema-level work: no data is read.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
-
-from tabsight.catalog import TableSet, data_columns
-from tabsight.functions.aggregates import SUPPORTED_AGGS
+from tabsight.catalog import TableSet
+from tabsight.functions.aggregates import SUPPORTED_AGGS, PlanError
+from tabsight.operators.grouped import function_call
 
 # The planner constraints of the reference prompt.
 PROMPT_FUNCTIONS = ("sum", "mean", "count", "min", "max", "std", "median")
@@ -47,7 +46,7 @@ def validate_plan(plan: dict, tables: TableSet, strict_prompt: bool = True) -> l
         if tname is None:
             issues.append((key, "error", f"unknown table '{op.get('table')}'"))
             continue
-        cols = set(data_columns(tables[tname]))
+        cols = set(tables.plain(tname).columns)
         group = op.get("group_by") or op.get("groupby") or []
         group = [group] if isinstance(group, str) else list(group)
         for g in group:
@@ -62,7 +61,11 @@ def validate_plan(plan: dict, tables: TableSet, strict_prompt: bool = True) -> l
             if col not in cols:
                 issues.append((key, "error", f"unknown aggregate column '{col}'"))
             for fn in (fns if isinstance(fns, list) else [fns]):
-                if fn not in SUPPORTED_AGGS:
+                try:
+                    called = function_call(fn)[0]
+                except PlanError:
+                    called = None
+                if called not in (*SUPPORTED_AGGS, "nth"):
                     issues.append((key, "error", f"unsupported function '{fn}'"))
                 elif strict_prompt and fn not in PROMPT_FUNCTIONS:
                     issues.append((key, "warning", f"function '{fn}' is outside the planner's allowed list"))
@@ -89,6 +92,3 @@ def validate_plan(plan: dict, tables: TableSet, strict_prompt: bool = True) -> l
             issues.append((key, "warning", f"limit {limit} outside {MIN_LIMIT}-{MAX_LIMIT}"))
     return issues
 
-
-def issues_frame(spark: SparkSession, issues: list[tuple[str, str, str]]) -> DataFrame:
-    return spark.createDataFrame(issues, "op string, severity string, message string")

@@ -3,8 +3,8 @@
 The library never creates machine-local scratch space on a cluster: anything
 that must survive executor loss (staged ZIP members, lineage cuts, written
 intermediate tables) goes under ``spark.checkpoint.dir``.  Only when that
-setting is absent (unit tests, a laptop) do we create one under the local
-temp directory and register it on the session.
+setting is absent on a local master (unit tests, a laptop) do we create one under the local
+temp directory and register it on the session; on a cluster its absence is an error.
 """
 
 from __future__ import annotations
@@ -50,8 +50,10 @@ def checkpoint_root(spark: SparkSession) -> str:
     if not root:
         sc_dir = spark.sparkContext.getCheckpointDir()
         root = os.path.dirname(sc_dir) if sc_dir else None
+    if not root and not spark.sparkContext.master.startswith("local"):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
     if not root:
-        # unset (tests, a laptop): a fresh local folder, registered on the context only
+        # unset on a local master (tests, a laptop): a fresh local folder, registered on the context only
         # (Spark rejects runtime changes of core settings such as spark.checkpoint.dir)
         root = tempfile.mkdtemp(prefix="tabsight-ckpt-")
         _LOCAL_ROOTS[id(spark.sparkContext)] = root
@@ -64,3 +66,9 @@ def scratch_path(spark: SparkSession, kind: str) -> str:
     """A fresh, unique path below the shared checkpoint folder."""
     root = checkpoint_root(spark).rstrip("/")
     return f"{root}/tabsight/{kind}/{uuid.uuid4().hex}"
+
+
+def drop_path(spark: SparkSession, path: str) -> None:
+    """Remove a folder below the checkpoint folder, in whatever store it lies."""
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)

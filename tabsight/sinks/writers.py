@@ -14,6 +14,12 @@ import uuid
 from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
+from tabsight.session import drop_path
+
+#: quotes are doubled and backslashes are ordinary, as CSV readers other than Spark expect; text stays as it is
+CSV_OPTIONS = {"header": True, "quote": '"', "escape": '"', "emptyValue": "", "ignoreLeadingWhiteSpace": False,
+               "ignoreTrailingWhiteSpace": False}
+
 MANIFEST_SCHEMA = ("request_id string, created_at string, result_key string, path string, rows long, "
                    "columns array<string>, written boolean")
 
@@ -44,12 +50,14 @@ def write_results(spark: SparkSession, results: dict[str, DataFrame], prefix: st
         observed = df.observe(obs, F.count(F.lit(1)).alias("rows"))
         w = observed.write.mode("overwrite")
         if fmt == "csv":
-            w.option("header", True).csv(path)
+            w.options(**CSV_OPTIONS).csv(path)
         elif fmt == "json":
             w.json(path)
         else:
             w.parquet(path)
         n = obs.get.get("rows", 0)
+        if n == 0:
+            drop_path(spark, path)
         entries.append((rid, created, key, path, int(n), list(df.columns), n > 0))
     manifest = spark.createDataFrame(entries, MANIFEST_SCHEMA)
     manifest.coalesce(1).write.mode("overwrite").json(f"{prefix}/manifest.json")
@@ -71,8 +79,9 @@ def write_report_bundle(spark: SparkSession, name: str, df: DataFrame, prefix: s
            "insights": f"{prefix}/{name}/insights",
            "recommendations": f"{prefix}/{name}/recommendations"}
     df.write.mode("overwrite").parquet(out["original_data"])
-    describe(df).write.mode("overwrite").option("header", True).csv(out["summary_statistics"])
-    insights_frame(name, df).orderBy("seq").drop("seq").write.mode("overwrite").option("header", True) \
+    df = spark.read.parquet(out["original_data"])    # the sheets below read the written copy, not the source again
+    describe(df).write.mode("overwrite").options(**CSV_OPTIONS).csv(out["summary_statistics"])
+    insights_frame(name, df).orderBy("seq").drop("seq").write.mode("overwrite").options(**CSV_OPTIONS) \
         .csv(out["insights"])
-    recommendations_frame(df).write.mode("overwrite").option("header", True).csv(out["recommendations"])
+    recommendations_frame(df).write.mode("overwrite").options(**CSV_OPTIONS).csv(out["recommendations"])
     return out

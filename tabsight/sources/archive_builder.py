@@ -1,8 +1,8 @@
 """Build ZIP archives from tables (check and bench input, never the ingest path).
 
 All Spark: each member's text is one aggregate of its rows (``to_csv`` per row,
-lines in file order), one task per archive packs the members into ZIP bytes, and
-the resulting ``(path, content)`` frame is materialised with a reliable
+lines in file order), members are dealt over many archives, each packed into ZIP bytes in a group
+of its own, and the resulting ``(path, content)`` frame is materialised with a reliable
 ``checkpoint()`` in the shared checkpoint folder.  No Python file I/O, so it works
 on any cluster filesystem; :func:`tabsight.sources.zipfiles.ingest_archives` reads
 the frame exactly as it reads ``binaryFile`` output.
@@ -23,8 +23,9 @@ from tabsight.session import checkpoint_root
 ARCHIVE_SCHEMA = "path string, content binary"
 
 
-def member_texts(name: str, df: DataFrame, parts: int | None = None, split: Column | None = None) -> DataFrame:
-    """(member, text) of one table: one CSV text per member with a header line.
+def member_texts(name: str, df: DataFrame, parts: int | None = None, split: Column | None = None,
+                 by: Column | None = None) -> DataFrame:
+    """(member, text) of one table, with ``by`` also (path): one CSV text per member with a header line.
 
     ``split`` (a Column) makes one member per distinct value; ``parts`` splits the
     rows into that many members by a hash of their file position; default one member."""
@@ -36,12 +37,13 @@ def member_texts(name: str, df: DataFrame, parts: int | None = None, split: Colu
         key = F.format_string(f"{name}/part-%05d.csv", F.pmod(F.xxhash64(order), F.lit(parts)))
     else:
         key = F.lit(f"{name}.csv")
-    line = F.to_csv(F.struct(*[F.col(f"`{c}`") for c in cols]))
-    rows = df.select(key.alias("member"), order.alias("pos"), line.alias("line"))
+    line = F.to_csv(F.struct(*[F.col(f"`{c}`") for c in cols]), {"escape": '"', "quoteAll": "true"})
+    keys = ["member", "path"] if by is not None else ["member"]
+    rows = df.select(key.alias("member"), *([by] if by is not None else []), order.alias("pos"), line.alias("line"))
     body = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pos", "line"))), lambda x: x["line"]),
                         "\n")
     header = ",".join(cols)
-    return rows.groupBy("member").agg(F.concat(F.lit(header + "\n"), body, F.lit("\n")).alias("text"))
+    return rows.groupBy(*keys).agg(F.concat(F.lit(header + "\n"), body, F.lit("\n")).alias("text"))
 
 
 def _pack(pdf: pd.DataFrame) -> pd.DataFrame:
@@ -55,21 +57,34 @@ def _pack(pdf: pd.DataFrame) -> pd.DataFrame:
     return pd.DataFrame({"path": [pdf["path"].iloc[0]], "content": [buf.getvalue()]})
 
 
+ROWS_PER_MEMBER = 1000
+
+
 def build_archive_frame(spark: SparkSession, tables: dict[str, DataFrame], archive_name: str,
-                        extra: dict[str, bytes] | None = None, partitions: int | None = None,
-                        split: dict | None = None) -> DataFrame:
-    """One archive as a checkpointed ``(path, content)`` frame with the tables' members plus
-    ``extra`` raw members (name -> bytes; a name ending in '/' is a directory)."""
+                        extra: dict[str, bytes] | None = None, rows_per_member: int = ROWS_PER_MEMBER,
+                        members_per_archive: int = 20, split: dict | None = None, archive: Column | None = None) -> DataFrame:
+    """Archives as a checkpointed ``(path, content)`` frame: every table in members of about ``rows_per_member``
+    rows, the members dealt over archives of about ``members_per_archive`` of them, so both stay bounded however
+    large the tables are.  ``split`` (table -> Column) cuts one member per value instead, and ``archive`` (a Column of
+    the table) names the archive of a row.  ``extra`` raw members (name -> bytes; a name ending in '/' is a
+    directory) go into the archive ``archive_name``."""
     checkpoint_root(spark)
-    frames = [member_texts(n, df, partitions, (split or {}).get(n)).withColumn("raw", F.lit(None).cast("binary"))
-              for n, df in tables.items()]
+    frames = []
+    for n, df in tables.items():
+        cut = (split or {}).get(n)
+        if archive is not None:
+            one = member_texts(n, df, None, cut, by=archive.cast("string").alias("path"))
+        else:
+            parts = max(1, -(-df.count() // rows_per_member))
+            one = member_texts(n, df, parts, cut)
+            name = F.concat(F.lit(f"{n}-"), F.pmod(F.xxhash64("member"), F.lit(max(1, parts // members_per_archive)))
+                            .cast("string"), F.lit(".zip"))
+            one = one.withColumn("path", name)
+        frames.append(one.select("path", "member", "text").withColumn("raw", F.lit(None).cast("binary")))
     if extra:
-        frames.append(spark.createDataFrame([(m, None, bytearray(b)) for m, b in extra.items()],
-                                            "member string, text string, raw binary"))
+        frames.append(spark.createDataFrame([(archive_name, m, None, bytearray(b)) for m, b in extra.items()],
+                                            "path string, member string, text string, raw binary"))
     members = frames[0]
     for f in frames[1:]:
         members = members.unionByName(f)
-    # an archive is one file: its members meet in one group (bounded by the archive)
-    packed = (members.withColumn("path", F.lit(archive_name))
-                     .groupBy("path").applyInPandas(_pack, ARCHIVE_SCHEMA))
-    return packed.checkpoint(eager=True)
+    return members.groupBy("path").applyInPandas(_pack, ARCHIVE_SCHEMA).checkpoint(eager=True)

@@ -3,11 +3,15 @@
 Spark reads every column as a string (no ``inferSchema`` pass, no driver-side
 sampling); pandas' NA tokens become null; one aggregate over all columns decides
 each column's type from the whole column (int -> float -> bool -> string); a
-final projection casts.  Two scans of the files, both parallel and splittable.
+final projection casts.  Quotes are doubled inside quoted fields and backslashes are
+ordinary characters.  A text pass finds the files in which a line has an odd number of
+quotes (a quoted line break): these are read whole, all others stay splittable.
 
 pandas rules kept: dates stay strings, duplicate headers become ``a, a.1``, an int
-column with a missing value is float, short rows are padded with nulls and a row
-with more fields than the header fails the file.
+column with a missing value is float, integers beyond 64 bits stay text, short rows are
+padded with nulls and a row with more fields than the header fails the file.  Headers
+that differ in letter case only also get a suffix (``Sales, sales.1``): Spark cannot
+tell such names apart.
 """
 
 from __future__ import annotations
@@ -27,33 +31,42 @@ NA_TOKENS = ("", "#N/A", "#N/A N/A", "#NA", "-1.#IND", "-1.#QNAN", "-NaN", "-nan
 TRUE_TOKENS = ("True", "TRUE", "true")
 FALSE_TOKENS = ("False", "FALSE", "false")
 INT_PATTERN = r"^\s*[+-]?[0-9]+\s*$"
+#: what pandas reads as a float (Java would also take type suffixes such as 12D)
+FLOAT_PATTERN = r"(?i)^\s*[+-]?([0-9]+\.?[0-9]*|\.[0-9]+)(e[+-]?[0-9]+)?\s*$|^\s*[+-]?inf(inity)?\s*$"
 CORRUPT = "_corrupt_record"
+#: appended to a record to see where its last field lies
+_MARK = "\u0001end\u0001"
+
+
+def _options(sep: str, multiline: bool = False) -> dict:
+    return {"sep": sep, "quote": '"', "escape": '"', "nullValue": "\u0000", "multiLine": multiline}
 
 
 def dedupe_header(names: list[str]) -> list[str]:
-    """pandas ``mangle_dupe_cols``: the second ``a`` becomes ``a.1``, the third ``a.2``."""
+    """pandas ``mangle_dupe_cols``: the second ``a`` becomes ``a.1``, the third ``a.2``; letter case is ignored."""
     seen: dict[str, int] = {}
     out = []
     for n in names:
         n = "Unnamed: %d" % len(out) if n is None or n == "" else n
-        if n in seen:
-            k = seen[n]
+        low = n.lower()
+        if low in seen:
+            k = seen[low]
             cand = f"{n}.{k}"
-            while cand in seen:
+            while cand.lower() in seen:
                 k += 1
                 cand = f"{n}.{k}"
-            seen[n] = k + 1
-            seen[cand] = 1
+            seen[low] = k + 1
+            seen[cand.lower()] = 1
             out.append(cand)
         else:
-            seen[n] = 1
+            seen[low] = 1
             out.append(n)
     return out
 
 
 def read_header(spark: SparkSession, path: str, sep: str = ",") -> list[str]:
     """The header line of the first file, parsed by Spark's CSV tokenizer (a limit-1 read)."""
-    first = spark.read.option("header", False).option("sep", sep).csv(path).limit(1).collect()
+    first = spark.read.options(**_options(sep), header=False).csv(path).limit(1).collect()
     if not first:
         return []
     return dedupe_header([v for v in first[0]])
@@ -69,10 +82,23 @@ class CsvTable:
     df: DataFrame
     types: dict[str, str]                       # column -> int / float / bool / string
     issues: list[tuple[str, str, str]] = field(default_factory=list)   # (file, severity, message)
+    origin: tuple | None = None                 # (archive, member, compressed size) of an archive member
+    staging: str | None = None                  # folder that holds the staged member
+
+    @property
+    def ok(self) -> bool:
+        return not any(severity == "error" for _, severity, _ in self.issues)
 
 
 def _try_double(c: Column) -> Column:
-    return F.trim(c).try_cast("double")
+    t = F.trim(c)
+    number = F.when(t.rlike(r"(?i)^[+]?inf(inity)?$"), F.lit("Infinity")).when(
+        t.rlike(r"(?i)^-inf(inity)?$"), F.lit("-Infinity")).otherwise(t)
+    return F.when(c.rlike(FLOAT_PATTERN), number.try_cast("double"))
+
+
+def _try_long(c: Column) -> Column:
+    return F.when(c.rlike(INT_PATTERN), F.trim(c).try_cast("bigint"))
 
 
 def _type_exprs(columns: list[str]) -> list[Column]:
@@ -80,8 +106,9 @@ def _type_exprs(columns: list[str]) -> list[Column]:
     for i, c in enumerate(columns):
         v = F.col(f"`{c}`")
         exprs += [F.count(v).alias(f"n{i}"),
-                  F.count(F.when(v.rlike(INT_PATTERN), 1)).alias(f"i{i}"),
-                  F.count(_try_double(v)).alias(f"d{i}"),
+                  F.count(_try_long(v)).alias(f"i{i}"),
+                  # an integer beyond 64 bits keeps its column text
+                  F.count(F.when(~v.rlike(INT_PATTERN) | _try_long(v).isNotNull(), _try_double(v))).alias(f"d{i}"),
                   F.count(F.when(v.isin(*TRUE_TOKENS, *FALSE_TOKENS), 1)).alias(f"b{i}")]
     return exprs
 
@@ -110,9 +137,19 @@ def infer_types(df: DataFrame, columns: list[str]) -> DataFrame:
     return df.agg(*_type_exprs(columns)).select(_type_rows(columns)).select("e.*")
 
 
+def _kinds(header: list[str], row) -> dict[str, str]:
+    """Column kinds from one row of the type aggregates."""
+    out = {}
+    for i, h in enumerate(header):
+        n, ints, dbl, bools, total = row[f"n{i}"], row[f"i{i}"], row[f"d{i}"], row[f"b{i}"], row["__rows"]
+        out[h] = ("float" if n == 0 else "int" if ints == n == total else "float" if dbl == n
+                  else "bool" if bools == n == total else "string")
+    return out
+
+
 def cast_to(c: Column, kind: str) -> Column:
     if kind == "int":
-        return F.trim(c).cast("long")
+        return F.trim(c).try_cast("long")
     if kind == "float":
         return _try_double(c)
     if kind == "bool":
@@ -120,12 +157,49 @@ def cast_to(c: Column, kind: str) -> Column:
     return c
 
 
+def _too_long(n_columns: int, sep: str) -> Column:
+    """A record that the reader flagged has more fields than the header: a mark appended behind its last field does
+    not show among the first ``n_columns`` fields (counted by the CSV parser, so quotes are respected)."""
+    schema = ", ".join(f"c{i} string" for i in range(n_columns))
+    parsed = F.from_csv(F.concat(F.col(CORRUPT), F.lit(sep + _MARK)), schema,
+                        {"sep": sep, "quote": '"', "escape": '"', "nullValue": "\u0000"})
+    marks = F.array(*[F.coalesce(parsed.getField(f"c{i}"), F.lit("")) for i in range(n_columns)])
+    return F.col(CORRUPT).isNotNull() & ~F.array_contains(marks, _MARK)
+
+
+def _odd_quotes(line: Column) -> Column:
+    return (F.length(line) - F.length(F.replace(line, F.lit('"'), F.lit("")))) % 2 == 1
+
+
+def _read_strings(spark: SparkSession, path: str, sep: str, n_columns: int, multiline: DataFrame | bool,
+                  part_col: str | None = None) -> DataFrame:
+    """String columns c0.. plus the corrupt record.  ``multiline`` True or False for all files, or the one-column
+    frame of the file paths (or ``part_col`` values) to read whole."""
+    schema = T.StructType([T.StructField(f"c{i}", T.StringType()) for i in range(n_columns)]
+                          + [T.StructField(CORRUPT, T.StringType())])
+
+    def scan(whole: bool) -> DataFrame:
+        raw = (spark.read.options(**_options(sep, whole), header=True, enforceSchema=True, mode="PERMISSIVE",
+                                  columnNameOfCorruptRecord=CORRUPT).schema(schema).csv(path))
+        return raw.withColumn(ROW_ID, text_row_id(raw)) if isinstance(multiline, bool) else raw
+
+    if isinstance(multiline, bool):
+        return scan(multiline)
+    keys = [r[0] for r in multiline.collect()]   # file names: part of Spark's own file listing
+    if not keys:
+        raw = scan(False)
+        return raw.withColumn(ROW_ID, text_row_id(raw))
+    key = F.col(part_col) if part_col else F.col("_metadata.file_path")
+    parts = [raw.filter(key.isin(*keys) if whole else ~key.isin(*keys)).withColumn(ROW_ID, text_row_id(raw))
+             for whole, raw in ((False, scan(False)), (True, scan(True)))]
+    return parts[0].unionByName(parts[1])
+
+
 def read_csv_table(spark: SparkSession, path: str, sep: str = ",", with_row_id: bool = True,
-                   name: str | None = None, multiline: bool = False) -> CsvTable:
+                   name: str | None = None, multiline: bool | None = None) -> CsvTable:
     """Read one CSV file (or a directory of files sharing one header) like pandas.
 
-    ``multiline=False`` keeps files splittable (one task per block); set it for
-    files with quoted newlines inside fields (then one task reads one whole file)."""
+    ``multiline=None`` looks for quoted line breaks file by file; True or False decides for all files."""
     issues: list[tuple[str, str, str]] = []
     name = name or path
     header = read_header(spark, path, sep)
@@ -133,36 +207,25 @@ def read_csv_table(spark: SparkSession, path: str, sep: str = ",", with_row_id:
         issues.append((name, "error", "No columns to parse from file"))
         empty = spark.createDataFrame([], T.StructType([]))
         return CsvTable(empty, {}, issues)
-    schema = T.StructType([T.StructField(h, T.StringType()) for h in header] +
-                          [T.StructField(CORRUPT, T.StringType())])
-    raw = (spark.read.option("header", True).option("sep", sep).option("enforceSchema", True)
-           .option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", CORRUPT)
-           .option("nullValue", "\u0000").option("multiLine", multiline)
-           .schema(schema).csv(path))
-    if with_row_id:
-        raw = raw.withColumn(ROW_ID, text_row_id(raw))
-    cleaned = raw.select(*[na_to_null(F.col(f"`{h}`")).alias(h) for h in header], CORRUPT,
+    if multiline is None:
+        lines = spark.read.text(path)
+        multiline = lines.filter(_odd_quotes(F.col("value"))).select(F.col("_metadata.file_path").alias("f")).distinct()
+    raw = _read_strings(spark, path, sep, len(header), multiline)
+    cleaned = raw.select(*[na_to_null(F.col(f"c{i}")).alias(h) for i, h in enumerate(header)], CORRUPT,
                          *([ROW_ID] if with_row_id else []))
     # one job: type statistics of every column + S17 long rows (more fields than the
     # header fail the file, as pandas raises ParserError)
-    n_fields = F.size(F.split(F.col(CORRUPT), sep))
-    stats = cleaned.agg(*_type_exprs(header),
-                        F.count(F.when(F.col(CORRUPT).isNotNull() & (n_fields > len(header)), 1)).alias("__long"))
-    row = stats.first()
+    row = cleaned.agg(*_type_exprs(header), F.count(F.when(_too_long(len(header), sep), 1)).alias("__long")).first()
     if row["__long"] > 0:
         issues.append((name, "error", f"Error tokenizing data: {row['__long']} row(s) have more fields than "
                                       f"the header ({len(header)})"))
-    kinds = {}
-    for i, h in enumerate(header):
-        n, ints, dbl, bools, total = row[f"n{i}"], row[f"i{i}"], row[f"d{i}"], row[f"b{i}"], row["__rows"]
-        kinds[h] = ("float" if n == 0 else "int" if ints == n == total else "float" if dbl == n
-                    else "bool" if bools == n == total else "string")
+    kinds = _kinds(header, row)
     typed = cleaned.select(*[cast_to(F.col(f"`{h}`"), kinds[h]).alias(h) for h in header],
                            *([ROW_ID] if with_row_id else []))
     return CsvTable(typed, kinds, issues)
 
 
-def _parse_header_line(line: str | None, sep: str) -> list[str]:
+def parse_header_line(line: str | None, sep: str = ",") -> list[str]:
     import csv as _csv
     if line is None or line.strip() == "":
         return []
@@ -170,60 +233,41 @@ def _parse_header_line(line: str | None, sep: str) -> list[str]:
 
 
 def read_csv_members(spark: SparkSession, root: str, part_col: str, members: dict[str, str],
-                     sep: str = ",", multiline: bool = False) -> dict[str, CsvTable]:
+                     headers: dict[str, str], sep: str = ",") -> dict[str, CsvTable]:
     """Many CSV files staged as ``root/<part_col>=<id>/`` read with few jobs.
 
-    One text scan gives every member's header (``min_by`` over file order, per
-    member); members with the same header share one CSV read (partition pruning on
-    ``part_col``) and one statistics job grouped by member; each member's table is a
-    filtered projection of that read.  ``members`` maps id -> table name."""
-    lines = spark.read.text(root)
-    heads = (lines.filter(F.col(part_col).isin(*members))
-                  .withColumn("__pos", text_row_id(lines))
-                  .groupBy(part_col).agg(F.min_by("value", "__pos").alias("h"))
-                  .collect())                       # one row per member
-    header_of = {r[part_col]: _parse_header_line(r["h"], sep) for r in heads}
+    ``members`` maps id -> table name, ``headers`` id -> header line (known since the archive scan).  Members with the
+    same header share one CSV read (partition pruning on ``part_col``) and one statistics job grouped by member; each
+    member's table is a filtered projection of that read."""
+    odd = (spark.read.text(root).filter(F.col(part_col).isin(*members) & _odd_quotes(F.col("value")))
+           .select(part_col).distinct())
+    whole = {r[0] for r in odd.collect()}              # members with quoted line breaks
     out: dict[str, CsvTable] = {}
     groups: dict[tuple, list[str]] = {}
     for mid, name in members.items():
-        hdr = header_of.get(mid, [])
+        hdr = parse_header_line(headers.get(mid), sep)
         if not hdr:
             out[name] = CsvTable(spark.createDataFrame([], T.StructType([])), {},
                                  [(name, "error", "No columns to parse from file")])
             continue
-        groups.setdefault(tuple(hdr), []).append(mid)
-    for hdr, ids in groups.items():
+        groups.setdefault((mid in whole, tuple(hdr)), []).append(mid)
+    for (multi, hdr), ids in groups.items():
         header = list(hdr)
-        schema = T.StructType([T.StructField(h, T.StringType()) for h in header] +
-                              [T.StructField(CORRUPT, T.StringType())])
-        raw = (spark.read.option("header", True).option("sep", sep).option("enforceSchema", True)
-               .option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", CORRUPT)
-               .option("nullValue", "\u0000").option("multiLine", multiline).schema(schema).csv(root)
-               .filter(F.col(part_col).isin(*ids)))
-        raw = raw.withColumn(ROW_ID, text_row_id(raw))
-        cleaned = raw.select(F.col(part_col), *[na_to_null(F.col(f"`{h}`")).alias(h) for h in header],
-                             CORRUPT, ROW_ID)
-        n_fields = F.size(F.split(F.col(CORRUPT), sep))
-        stats = {r[part_col]: r for r in cleaned.groupBy(part_col).agg(
-            *_type_exprs(header),
-            F.count(F.when(F.col(CORRUPT).isNotNull() & (n_fields > len(header)), 1)).alias("__long")).collect()}
+        raw = _read_strings(spark, root, sep, len(header), multi).filter(F.col(part_col).isin(*ids))
+        cleaned = raw.select(F.col(part_col).alias("__member"),
+                             *[na_to_null(F.col(f"c{i}")).alias(h) for i, h in enumerate(header)], CORRUPT, ROW_ID)
+        stats = {r["__member"]: r for r in cleaned.groupBy("__member").agg(
+            *_type_exprs(header), F.count(F.when(_too_long(len(header), sep), 1)).alias("__long")).collect()}
         for mid in ids:
-            name = members[mid]
-            row = stats.get(mid)
-            issues = []
+            name, row, issues = members[mid], stats.get(mid), []
             if row is None:      # header only: an empty table, every column float (all missing)
                 kinds = {h: "float" for h in header}
             else:
                 if row["__long"] > 0:
                     issues.append((name, "error", f"Error tokenizing data: {row['__long']} row(s) have more "
                                                   f"fields than the header ({len(header)})"))
-                kinds = {}
-                for i, h in enumerate(header):
-                    n, ints, dbl, bools, total = (row[f"n{i}"], row[f"i{i}"], row[f"d{i}"], row[f"b{i}"],
-                                                  row["__rows"])
-                    kinds[h] = ("float" if n == 0 else "int" if ints == n == total else "float" if dbl == n
-                                else "bool" if bools == n == total else "string")
-            typed = cleaned.filter(F.col(part_col) == mid).select(
+                kinds = _kinds(header, row)
+            typed = cleaned.filter(F.col("__member") == mid).select(
                 *[cast_to(F.col(f"`{h}`"), kinds[h]).alias(h) for h in header], ROW_ID)
             out[name] = CsvTable(typed, kinds, issues)
     return out

@@ -5,8 +5,8 @@ from __future__ import annotations
 
 import os
 from dataclasses import dataclass, field
-from functools import reduce
 
+from pyspark.errors import PySparkException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -36,31 +36,47 @@ class IngestResult:
         """The run succeeds when at least one table was read and no file failed."""
         return bool(self.tables) and not any(sev == "error" for _, sev, _ in self.issues)
 
+    def add(self, name: str, table) -> None:
+        self.issues.extend(table.issues)
+        if table.ok:
+            self.tables[name] = table
 
-def ingest_paths(spark: SparkSession, paths: list[str]) -> IngestResult:
-    """Read every path by its kind (csv -> CSV reader, zip -> archive ingest);
-    any other extension is an error for that file and the run goes on (S17)."""
-    from tabsight.sources.csv import read_csv_table
-    from tabsight.sources.zipfiles import ingest_archives, read_archives
-    res = IngestResult()
-    for p in paths:
-        fname = os.path.basename(p.rstrip("/"))
+
+def ingest_paths(spark: SparkSession, paths: list[str], workers: int = 8) -> IngestResult:
+    """Read every path by its kind (csv -> CSV reader, zip -> archive ingest); any other extension, and any file
+    that cannot be read, is an error for that file and the run goes on (S17).
+
+    CSV files' jobs run ``workers`` at a time, all ZIP archives share one ingest.  Archive members are keyed
+    ``<archive path>#<member>``, CSV files by their name, or by their path when two have one name."""
+    from concurrent.futures import ThreadPoolExecutor
+
+    from tabsight.sources.csv import CsvTable, read_csv_table
+    from tabsight.sources.zipfiles import ingest_archives
+    res, csvs, zips = IngestResult(), [], []
+    names = [os.path.basename(p.rstrip("/")) for p in paths]
+    for p, fname in zip(paths, names):
         kind = fname.rsplit(".", 1)[-1].lower() if "." in fname else ""
-        if kind == "csv":
-            t = read_csv_table(spark, p, name=fname)
-            res.issues.extend(t.issues)
-            if not any(sev == "error" for _, sev, _ in t.issues):
-                res.tables[fname] = t
-        elif kind == "zip":
-            members, tables = ingest_archives(spark, read_archives(spark, p))
-            for r in members.filter(F.col("status").isin("error", "warning")).collect():
-                res.issues.append((f"{fname}#{r['member']}" if r["member"] else fname, r["status"], r["message"]))
-            for name, t in tables.items():
-                res.issues.extend(t.issues)
-                if not any(sev == "error" for _, sev, _ in t.issues):
-                    res.tables[name] = t
+        if kind in ("csv", "zip"):
+            (csvs if kind == "csv" else zips).append((p, fname if names.count(fname) == 1 else p))
         else:
             res.issues.append((fname, "error", f"Unsupported file type: {fname}"))
+
+    def read(item):
+        try:
+            return read_csv_table(spark, item[0], name=item[1])
+        except PySparkException as e:
+            return CsvTable(None, {}, [(item[1], "error", str(e).split("\n")[0])])
+
+    with ThreadPoolExecutor(max(1, workers)) as pool:
+        for (_, name), table in zip(csvs, pool.map(read, csvs)):
+            res.add(name, table)
+    if zips:
+        content = spark.read.format("binaryFile").load([p for p, _ in zips])
+        members, tables = ingest_archives(spark, content)
+        for r in members.filter(F.col("status").isin("error", "warning")).collect():
+            res.issues.append((f"{r['archive']}#{r['member']}" if r["member"] else r["archive"], r["status"], r["message"]))
+        for name, t in tables.items():
+            res.add(name, t)
     return res
 
 
@@ -98,6 +114,3 @@ def quick_text_summary(spark: SparkSession, path: str) -> DataFrame:
                          (F.col("lines") - 1).alias("rows"),
                          F.when(F.length("header") > 0, F.size(F.split("header", ","))).otherwise(0).alias("columns")))
 
-
-def union_tables(frames: list[DataFrame]) -> DataFrame:
-    return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), frames)

@@ -1,23 +1,22 @@
 """ZIP archives of CSV files (S8-S12, S17) at cluster scale.
 
 Archives come from ``spark.read.format("binaryFile")`` or from a payload column
-(:func:`tabsight.sources.payloads.route`).  One ``mapInPandas`` pass, one task per
-group of archives, lists every archive and applies the member rules:
+(:func:`tabsight.sources.payloads.route`).  One ``mapInPandas`` pass lists every archive and
+applies the member rules, one member at a time:
 
 * S8  keep ``*.csv`` (any case), drop directories and names starting with
   ``__MACOSX/`` or ``.`` (only the root: ``d/.x.csv`` is kept);
-* S9  sort the kept names and take the first ``max_files`` (warning beyond);
-* S10 members above ``max_bytes`` uncompressed are errors;
-* S11 members must decode as UTF-8 (else an error, the others go on); a good
-  member is written unchanged to a staging folder under ``spark.checkpoint.dir``.
-
-The scan result is checkpointed once (reliable checkpoint under
-``spark.checkpoint.dir``), then Spark's text writer stages every kept member as its
-own folder (``partitionBy(member_id)``) with the output commit protocol, so it
-works on any shared filesystem and survives executor loss.  Each staged member is
-a normal CSV file for the Spark reader (:func:`tabsight.sources.csv.read_csv_table`),
-so quoted newlines are handled by Spark, never by a Python line split.  The
-binary archive content is never shuffled.
+* S9  with ``max_files``: sort the kept names and take the first ones (warning beyond);
+* S10 with ``max_bytes``: larger members (uncompressed) are errors;
+* S11 members must be readable and decode as UTF-8 (else an error for that member, the others
+  go on); a good member is written unchanged to a staging folder under ``spark.checkpoint.dir``.
+
+Both limits are off by default: every member is read.  The scan result is checkpointed once
+(reliable checkpoint under ``spark.checkpoint.dir``), then Spark's text writer stages every kept
+member as its own folder (``partitionBy(member_id)``) with the output commit protocol.  Each
+staged member is a normal CSV file for the Spark reader, quoted line breaks included.  Tables are
+keyed by the archive's full path, so equal archive names in two folders stay apart.  The binary
+archive content is never shuffled.
 """
 
 from __future__ import annotations
@@ -31,79 +30,99 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tabsight.session import checkpoint_root, scratch_path
+from tabsight.session import checkpoint_root, drop_path, scratch_path
 
-# The reference's per-archive limits and messages.
-MAX_FILES = 20
-MAX_BYTES = 50 * 1024 * 1024
+# The reference's per-archive limits (opt-in here) and messages.
+LIBRARY_MAX_FILES = 20
+LIBRARY_MAX_BYTES = 50 * 1024 * 1024
 MSG_BAD_ZIP = "Invalid or corrupted ZIP file"
 MSG_NO_CSV = "No CSV files found in ZIP archive"
 MSG_TOO_MANY = "ZIP contains {n} CSV files, processing only first {k}"
 MSG_TOO_LARGE = "CSV file '{m}' is too large ({n} bytes)"
 MSG_BAD_UTF8 = "Cannot decode CSV file '{m}' - invalid encoding"
+MSG_BAD_MEMBER = "Error reading '{m}' from ZIP: {e}"
 
 MEMBER_SCHEMA = ("archive string, member string, is_dir boolean, file_size long, compress_size long, "
-                 "kept boolean, status string, message string, member_id string, text string")
+                 "kept boolean, status string, message string, member_id string, header string, text string")
 
 
 def keep_member(name: str, is_dir: bool) -> bool:
-    """S8 on one name (also used as a Column rule in :func:`member_filter`)."""
+    """S8 on one name."""
     return (not is_dir and name.lower().endswith(".csv")
             and not name.startswith("__MACOSX/") and not name.startswith("."))
 
 
-def member_filter(member, is_dir):
-    """S8 as a Column predicate over a member listing."""
-    return (~is_dir & F.lower(member).endswith(".csv")
-            & ~member.startswith("__MACOSX/") & ~member.startswith("."))
-
-
 def member_id(archive: str, member: str) -> str:
     """Filesystem-safe id of one member (a staging folder name)."""
     return "m" + hashlib.sha1(f"{archive}#{member}".encode("utf-8")).hexdigest()[:20]
 
 
-def _scan(batches, max_files: int, max_bytes: int, with_text: bool):
+_NAMES = [c.split()[0] for c in MEMBER_SCHEMA.split(", ")]
+
+
+def _first_line(text: str) -> str:
+    """The first line that is not blank (pandas skips blank lines before the header)."""
+    for line in io.StringIO(text):
+        if line.strip():
+            return line.rstrip("\r\n")
+    return ""
+
+
+def _members(archive: str, content, max_files: int | None, max_bytes: int | None, with_text: bool):
+    """Rows of one archive, one member in memory at a time."""
+    def note(status: str, message: str):
+        return (archive, None, None, None, None, False, status, message, None, None, None)
+
+    try:
+        zf = zipfile.ZipFile(io.BytesIO(content))
+        infos = zf.infolist()
+    except (zipfile.BadZipFile, TypeError, ValueError, OSError, EOFError, NotImplementedError):
+        yield note("error", MSG_BAD_ZIP)
+        return
+    names = sorted(i.filename for i in infos if keep_member(i.filename, i.is_dir()))
+    chosen = set(names[:max_files])
+    if not names:
+        yield note("error", MSG_NO_CSV)
+    elif max_files is not None and len(names) > max_files:
+        yield note("warning", MSG_TOO_MANY.replace("{n}", str(len(names))).replace("{k}", str(max_files)))
+    for info in infos:
+        name = info.filename
+        row = [archive, name, info.is_dir(), info.file_size, info.compress_size, False, "skipped", None,
+               member_id(archive, name), None, None]
+        if name in chosen:
+            if max_bytes is not None and info.file_size > max_bytes:
+                row[6:8] = ["error", MSG_TOO_LARGE.replace("{m}", name).replace("{n}", str(info.file_size))]
+            else:
+                try:
+                    text = zf.read(name).decode("utf-8")
+                except UnicodeDecodeError:
+                    row[6:8] = ["error", MSG_BAD_UTF8.replace("{m}", name)]
+                except Exception as e:   # S17: damaged, encrypted or unsupported member; the others go on
+                    row[6:8] = ["error", MSG_BAD_MEMBER.replace("{m}", name).replace("{e}", str(e))]
+                else:
+                    row[5], row[6], row[9] = True, "ok", _first_line(text)
+                    row[10] = text if with_text else None
+        elif keep_member(name, info.is_dir()):
+            row[6:8] = ["skipped", f"beyond the first {max_files} CSV files"]
+        yield tuple(row)
+
+
+def _scan(batches, max_files: int | None, max_bytes: int | None, with_text: bool):
     for pdf in batches:
-        out = []
         for archive, content in zip(pdf["archive"], pdf["content"]):
-            try:
-                zf = zipfile.ZipFile(io.BytesIO(content))
-                infos = zf.infolist()
-            except (zipfile.BadZipFile, TypeError, ValueError):
-                out.append((archive, None, None, None, None, False, "error", MSG_BAD_ZIP, None, None))
-                continue
-            names = sorted(i.filename for i in infos if keep_member(i.filename, i.is_dir()))
-            chosen = set(names[:max_files])
-            if not names:
-                out.append((archive, None, None, None, None, False, "error", MSG_NO_CSV, None, None))
-            elif len(names) > max_files:
-                out.append((archive, None, None, None, None, False, "warning",
-                            MSG_TOO_MANY.replace("{n}", str(len(names))).replace("{k}", str(max_files)),
-                            None, None))
-            for info in infos:
-                name = info.filename
-                row = [archive, name, info.is_dir(), info.file_size, info.compress_size, False, "skipped",
-                       None, member_id(archive, name), None]
-                if name in chosen:
-                    if info.file_size > max_bytes:
-                        row[6:8] = ["error", MSG_TOO_LARGE.replace("{m}", name).replace("{n}", str(info.file_size))]
-                    else:
-                        try:
-                            text = zf.read(name).decode("utf-8")
-                        except UnicodeDecodeError:
-                            row[6:8] = ["error", MSG_BAD_UTF8.replace("{m}", name)]
-                        else:
-                            row[5], row[6] = True, "ok"
-                            row[9] = text if with_text else None
-                elif keep_member(name, info.is_dir()):
-                    row[6:8] = ["skipped", f"beyond the first {max_files} CSV files"]
-                out.append(tuple(row))
-        yield pd.DataFrame(out, columns=[c.split()[0] for c in MEMBER_SCHEMA.split(", ")])
+            held, size = [], 0
+            for row in _members(archive, content, max_files, max_bytes, with_text):
+                held.append(row)
+                size += len(row[10] or "")
+                if size > 16 << 20 or len(held) >= 10_000:
+                    yield pd.DataFrame(held, columns=_NAMES)
+                    held, size = [], 0
+            if held:
+                yield pd.DataFrame(held, columns=_NAMES)
 
 
 def scan_archives(archives: DataFrame, archive_col: str = "path", content_col: str = "content",
-                  max_files: int = MAX_FILES, max_bytes: int = MAX_BYTES, with_text: bool = False) -> DataFrame:
+                  max_files: int | None = None, max_bytes: int | None = None, with_text: bool = False) -> DataFrame:
     """Member listing with rule outcomes (one row per member plus archive-level rows);
     ``with_text`` adds the decoded text of every kept member."""
     src = archives.select(F.col(archive_col).alias("archive"), F.col(content_col).alias("content"))
@@ -116,12 +135,13 @@ def read_archives(spark: SparkSession, path: str) -> DataFrame:
 
 
 def ingest_archives(spark: SparkSession, archives: DataFrame, archive_col: str = "path",
-                    content_col: str = "content", max_files: int = MAX_FILES, max_bytes: int = MAX_BYTES):
+                    content_col: str = "content", max_files: int | None = None, max_bytes: int | None = None):
     """Stage the kept members, then read each with the CSV reader.
 
-    Returns ``(members, tables)``: the member listing DataFrame (without text) and a
-    dict ``archive#member -> CsvTable`` (S12 original name).  The listing comes to
-    the driver: its size is the number of members, not their content."""
+    Returns ``(members, tables)``: the member listing DataFrame (without text) and a dict
+    ``<archive path>#<member> -> CsvTable``; a table's ``origin`` holds its provenance (S12).  The listing comes to
+    the driver: its size is the number of members, not their content.  The staged members lie in
+    ``tables[...].staging`` below the checkpoint folder until :func:`release` removes them."""
     from tabsight.sources.csv import read_csv_members
     checkpoint_root(spark)
     staging = scratch_path(spark, "zip-members")
@@ -129,16 +149,26 @@ def ingest_archives(spark: SparkSession, archives: DataFrame, archive_col: str =
     members = members.checkpoint(eager=True)          # archives are read once
     (members.filter(F.col("kept")).select("member_id", "text")
             .write.partitionBy("member_id").text(staging))
-    listing = members.drop("text").collect()
-    kept = {r["member_id"]: f"{os.path.basename(r['archive'])}#{r['member']}" for r in listing if r["kept"]}
-    tables = read_csv_members(spark, staging, "member_id", kept) if kept else {}
-    return members.drop("text"), tables
-
-
-def provenance(df: DataFrame, archive: str, member: str, compress_size: int | None,
-               uploaded_at=None) -> DataFrame:
-    """Provenance columns of a table read from an archive member."""
-    return df.select("*", F.lit(f"{os.path.basename(archive)}#{member}").alias("original_name"),
-                     F.lit(True).alias("from_zip"), F.lit(os.path.basename(archive)).alias("zip_file"),
-                     F.lit(compress_size).cast("long").alias("compressed_size"),
-                     F.lit(uploaded_at).cast("timestamp").alias("uploaded_at"))
+    listing = [r for r in members.drop("text").collect() if r["kept"]]
+    kept = {r["member_id"]: f"{r['archive']}#{r['member']}" for r in listing}
+    heads = {r["member_id"]: r["header"] for r in listing}
+    tables = read_csv_members(spark, staging, "member_id", kept, heads) if kept else {}
+    for r in listing:
+        t = tables[kept[r["member_id"]]]
+        t.origin, t.staging = (r["archive"], r["member"], r["compress_size"]), staging
+    return members.drop("text", "header"), tables
+
+
+def release(spark: SparkSession, tables: dict) -> None:
+    """Remove the staged members of an ingest once its tables are no longer needed."""
+    for root in {t.staging for t in tables.values() if t.staging}:
+        drop_path(spark, root)
+
+
+def provenance(table, uploaded_at=None) -> DataFrame:
+    """The table of an archive member with its provenance columns."""
+    archive, member, compress_size = table.origin
+    return table.df.select("*", F.lit(f"{os.path.basename(archive)}#{member}").alias("original_name"),
+                           F.lit(True).alias("from_zip"), F.lit(os.path.basename(archive)).alias("zip_file"),
+                           F.lit(compress_size).cast("long").alias("compressed_size"),
+                           F.lit(uploaded_at).cast("timestamp").alias("uploaded_at"))

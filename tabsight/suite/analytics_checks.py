@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from tabsight.operators.analytics import (correlation, efficiency, growth, join_along, ranking, resample,
                                           share, time_patterns, two_key_matrix, versus_average,
                                           zscore_anomalies)
-from tabsight.operators.windows import rolling, running_many, top_k_per_group
+from tabsight.operators.windows import rolling_many, running_many, top_k_per_group
 from tabsight.suite.base import register, rounded, tables
 from tabsight.suite.views import SALES_SQL, sales_view
 
@@ -32,6 +32,62 @@ def a3(spark, sf_dir):
     return rounded(r.select("event_id", "user_id", "value_cumsum", "value_cummax", "value_cummin", "value_cumcount"))
 
 
+_NULL_KEY = """(SELECT d.doc_id, l.quality AS k, CASE WHEN d.doc_id % 97 = 0 THEN NULL ELSE d.n_chars / 1000.0 END AS v
+   FROM documents d LEFT JOIN labels l ON d.doc_id = l.doc_id)"""
+
+
+def _null_keys(spark, sf_dir):
+    """documents with labels: null keys for most rows, NaN values, one key holding most rows."""
+    t = tables(spark, sf_dir, "documents", "labels")
+    d = t["documents"].select("doc_id", "n_chars", "_row_id").join(
+        t.plain("labels").select("doc_id", F.col("quality").alias("k")), "doc_id", "left")
+    return d.withColumn("v", F.when(F.col("doc_id") % 97 == 0, F.lit(float("nan"))).otherwise(F.col("n_chars") / 1000.0))
+
+
+@register("A3_A5_windows_with_null_keys_and_nan_values", f"""
+SELECT doc_id, ROUND(CASE WHEN v IS NOT NULL THEN SUM(v) OVER w END, 4) AS v_cumsum,
+       ROUND(CASE WHEN v IS NOT NULL THEN SUM(LN(1 + v / 1000)) OVER w END, 4) AS log_cumprod,
+       ROUND(CASE WHEN COUNT(v) OVER r = 4 THEN SUM(v) OVER r END, 4) AS v_rolling
+FROM {_NULL_KEY} x
+WINDOW w AS (PARTITION BY k ORDER BY doc_id ROWS UNBOUNDED PRECEDING),
+       r AS (PARTITION BY k ORDER BY doc_id ROWS BETWEEN 3 PRECEDING AND CURRENT ROW)""")
+def a3_nulls(spark, sf_dir):
+    d = _null_keys(spark, sf_dir).withColumn("f", 1 + F.col("v") / 1000)
+    r = running_many(d, ["k"], ["doc_id"], [("v", "cumsum", "v_cumsum"), ("f", "cumprod", "p")])
+    r = rolling_many(r, ["k"], ["doc_id"], "v", 4, {"v_rolling": "sum"}, block_rows=64)
+    return rounded(r.select("doc_id", "v_cumsum", F.log("p").alias("log_cumprod"), "v_rolling"))
+
+
+@register("A5_rolling_after_a_huge_value", """
+SELECT event_id, ROUND(CASE WHEN COUNT(*) OVER w = 3 THEN SUM(v) OVER w END, 4) AS v_rolling
+FROM (SELECT event_id, user_id, ts, CASE WHEN event_id = 0 THEN 1e17 ELSE value END AS v FROM events) e
+WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id ROWS BETWEEN 2 PRECEDING AND CURRENT ROW)""")
+def a5_huge(spark, sf_dir):
+    ev = tables(spark, sf_dir, "events")["events"]
+    ev = ev.withColumn("v", F.when(F.col("event_id") == 0, F.lit(1e17)).otherwise(F.col("value")))
+    return rounded(rolling_many(ev, ["user_id"], ["ts"], "v", 3, {"v_rolling": "sum"}).select("event_id", "v_rolling"))
+
+
+@register("A6_resample_drops_null_keys", f"""
+WITH agg AS (SELECT k, DATE_TRUNC('day', TIMESTAMP '2024-01-01' + INTERVAL (doc_id % 9) DAY) AS period, COUNT(*) AS n
+             FROM {_NULL_KEY} x WHERE k IS NOT NULL GROUP BY 1, 2),
+cal AS (SELECT k, UNNEST(GENERATE_SERIES(MIN(period), MAX(period), INTERVAL 1 DAY)) AS period FROM agg GROUP BY k)
+SELECT cal.k, CAST(cal.period AS TIMESTAMP) AS period, COALESCE(n, 0) AS doc_id_count
+FROM cal LEFT JOIN agg ON cal.k = agg.k AND cal.period = agg.period""")
+def a6_nulls(spark, sf_dir):
+    d = _null_keys(spark, sf_dir).withColumn("day", F.expr(
+        "timestamp_ntz'2024-01-01 00:00:00' + make_dt_interval(cast(doc_id % 9 as int))"))
+    return resample(d, "day", "D", {"doc_id": ["count"]}, by=["k"])
+
+
+@register("A13_rank_text_within_groups", """
+SELECT p_partkey, CAST(RANK() OVER (PARTITION BY p_size ORDER BY p_type) AS INT) AS rank,
+       CAST(DENSE_RANK() OVER (PARTITION BY p_size ORDER BY p_type) AS INT) AS dense_rank FROM part""")
+def a13_text(spark, sf_dir):
+    return ranking(tables(spark, sf_dir, "part").plain("part"), "p_type", by=["p_size"], ascending=True).select(
+        "p_partkey", "rank", "dense_rank")
+
+
 @register("A5_rolling_mean_3_per_user", """
 SELECT event_id,
        ROUND(CASE WHEN COUNT(value) OVER w = 3 THEN AVG(value) OVER w END, 4) AS value_rolling_mean,
@@ -40,8 +96,7 @@ FROM events
 WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id ROWS BETWEEN 2 PRECEDING AND CURRENT ROW)""")
 def a5(spark, sf_dir):
     ev = tables(spark, sf_dir, "events")["events"]
-    r = rolling(ev, ["user_id"], ["ts"], "value", 3, "mean")
-    r = rolling(r, ["user_id"], ["ts"], "value", 3, "sum")
+    r = rolling_many(ev, ["user_id"], ["ts"], "value", 3, {"value_rolling_mean": "mean", "value_rolling_sum": "sum"})
     return rounded(r.select("event_id", "value_rolling_mean", "value_rolling_sum"))
 
 

@@ -11,17 +11,18 @@ from pyspark.sql import functions as F
 
 from tabsight.functions.names import file_kind, logical_table_name
 from tabsight.session import scratch_path
+from tabsight.sinks.writers import CSV_OPTIONS
 from tabsight.sources.archive_builder import build_archive_frame
 from tabsight.sources.csv import infer_types, read_csv_table
-from tabsight.sources.files import quick_text_summary
-from tabsight.sources.payloads import csv_lines, parse_payload_rows, route
-from tabsight.sources.zipfiles import ingest_archives, scan_archives
+from tabsight.sources.files import ingest_paths, outcome_summary, quick_text_summary
+from tabsight.sources.payloads import csv_records, long_row_issues, parse_payload_rows, payload_types, route
+from tabsight.sources.zipfiles import ingest_archives, provenance, scan_archives
 from tabsight.suite.base import register, rounded, tables
 from tabsight.suite.profile_checks import DRIVER_SCHEMA
 
 
 def _write_csv(df, path):
-    df.write.option("header", True).mode("overwrite").csv(path)
+    df.write.options(**CSV_OPTIONS).mode("overwrite").csv(path)
     return path
 
 
@@ -33,12 +34,27 @@ def s1(spark, sf_dir):
 
 
 @register("S1_csv_read_orders_typed", """
-SELECT o_orderkey, o_custkey, o_orderstatus, ROUND(o_totalprice, 4) AS o_totalprice, o_orderpriority FROM orders""")
+SELECT o_orderkey, o_custkey, o_orderstatus, ROUND(o_totalprice, 4) AS o_totalprice,
+       STRFTIME(o_orderdate, '%Y-%m-%d %H:%M:%S') AS o_orderdate, o_orderpriority FROM orders""")
 def s1b(spark, sf_dir):
-    o = tables(spark, sf_dir, "orders")["orders"].select("o_orderkey", "o_custkey", "o_orderstatus",
-                                                         "o_totalprice", "o_orderpriority")
-    path = _write_csv(o, scratch_path(spark, "csv"))
-    return rounded(read_csv_table(spark, path).df.drop("_row_id"))
+    o = tables(spark, sf_dir, "orders").plain("orders")
+    o = o.withColumn("o_orderdate", F.date_format("o_orderdate", "yyyy-MM-dd HH:mm:ss"))
+    return rounded(read_csv_table(spark, _write_csv(o, scratch_path(spark, "csv"))).df.drop("_row_id"))
+
+
+@register("S1_csv_quoted_text_documents", "SELECT doc_id, text, lang, source, n_chars FROM documents")
+def s1c(spark, sf_dir):
+    d = tables(spark, sf_dir, "documents").plain("documents")
+    return read_csv_table(spark, _write_csv(d, scratch_path(spark, "csv"))).df.drop("_row_id")
+
+
+@register("S1_csv_quotes_and_backslashes", r"""
+SELECT conv_id, turn, role, '"' || text || '\",' || chr(10) || '"x' AS text FROM conversations""")
+def s1d(spark, sf_dir):
+    c = tables(spark, sf_dir, "conversations").plain("conversations")
+    hard = F.concat(F.lit('"'), F.col("text"), F.lit('\\",\n"x'))
+    path = _write_csv(c.select("conv_id", "turn", "role", hard.alias("text")), scratch_path(spark, "csv"))
+    return read_csv_table(spark, path).df.drop("_row_id")
 
 
 def _inference_sql(t: str) -> str:
@@ -70,30 +86,75 @@ def s2b(spark, sf_dir):
     return infer_types(s, s.columns)
 
 
-_PAYLOAD_COLS = ("o_orderkey", "o_custkey", "o_orderstatus", "o_totalprice")
+@register("S2_type_suffixes_and_wide_integers_stay_text", """
+SELECT CAST(l_orderkey AS VARCHAR) || 'D' AS sku, '9999999999' || CAST(10000000000 + l_orderkey AS VARCHAR) AS wide,
+       COUNT(*) AS n FROM lineitem GROUP BY l_orderkey""")
+def s2c(spark, sf_dir):
+    li = tables(spark, sf_dir, "lineitem").plain("lineitem")
+    s = li.select(F.concat(F.col("l_orderkey").cast("string"), F.lit("D")).alias("sku"),
+                  F.concat(F.lit("9999999999"), (F.lit(10000000000) + F.col("l_orderkey")).cast("string")).alias("wide"))
+    back = read_csv_table(spark, _write_csv(s, scratch_path(spark, "csv"))).df
+    return back.groupBy("sku", "wide").agg(F.count(F.lit(1)).alias("n"))
+
+
+_ORDER_COLS = ("o_orderkey", "o_custkey", "o_orderstatus", "o_totalprice", "o_orderdate", "o_orderpriority")
 
 
 def _order_payloads(spark, sf_dir):
     """CSV payloads of about 200 orders each (buckets of the primary key, so their size is
-    bounded whatever the skew of other columns); every other payload is base64."""
+    bounded whatever the skew of other columns); every other payload is base64, and every
+    third one has its columns in reverse order."""
     o = tables(spark, sf_dir, "orders")["orders"]
     n = F.greatest(F.lit(1), F.floor(o.agg(F.count(F.lit(1))).scalar() / 200)).cast("long")
-    line = F.to_csv(F.struct(*[F.col(c) for c in _PAYLOAD_COLS]))
-    per = (o.select((F.col("o_orderkey") % n).alias("bucket"), F.col("_row_id"), line.alias("line"))
-            .groupBy("bucket")
+    o = o.withColumn("o_orderdate", F.date_format("o_orderdate", "yyyy-MM-dd")).withColumn("bucket", F.col("o_orderkey") % n)
+    opts = {"escape": '"'}
+    line = F.when(F.col("bucket") % 3 == 0, F.to_csv(F.struct(*[F.col(c) for c in reversed(_ORDER_COLS)]), opts)).otherwise(
+        F.to_csv(F.struct(*[F.col(c) for c in _ORDER_COLS]), opts))
+    per = (o.select("bucket", F.col("_row_id"), line.alias("line")).groupBy("bucket")
             .agg(F.array_sort(F.collect_list(F.struct("_row_id", "line"))).alias("ls")))
-    text = F.concat(F.lit(",".join(_PAYLOAD_COLS) + "\n"), F.array_join(F.transform("ls", lambda x: x["line"]), "\n"))
+    head = F.when(F.col("bucket") % 3 == 0, F.lit(",".join(reversed(_ORDER_COLS)))).otherwise(F.lit(",".join(_ORDER_COLS)))
+    text = F.concat(head, F.lit("\n"), F.array_join(F.transform("ls", lambda x: x["line"]), "\n"))
     return per.select(F.col("bucket").alias("request_id"),
                       F.when(F.col("bucket") % 2 == 0, text).alias("csv_data"),
                       F.when(F.col("bucket") % 2 == 1, F.base64(F.encode(text, "UTF-8"))).alias("csv_base64"))
 
 
 @register("S3_S4_S7_csv_payloads", """
-SELECT o_orderkey, o_custkey, o_orderstatus, ROUND(o_totalprice, 4) AS o_totalprice FROM orders""")
+SELECT o_orderkey, o_custkey, o_orderstatus, ROUND(o_totalprice, 4) AS o_totalprice,
+       STRFTIME(o_orderdate, '%Y-%m-%d') AS o_orderdate, o_orderpriority FROM orders""")
 def s3(spark, sf_dir):
-    routed = route(_order_payloads(spark, sf_dir))
-    rows = parse_payload_rows(csv_lines(routed), list(_PAYLOAD_COLS))
-    return rounded(rows.drop("request_id", "line_no"))
+    records = csv_records(route(_order_payloads(spark, sf_dir)))
+    parts = [parse_payload_rows(records, list(h)).select(*_ORDER_COLS) for h in (_ORDER_COLS, tuple(reversed(_ORDER_COLS)))]
+    return rounded(parts[0].unionByName(parts[1]))
+
+
+@register("S3_payload_types_per_request", """
+WITH n AS (SELECT GREATEST(1, FLOOR(COUNT(*) / 200)) AS n FROM orders),
+r AS (SELECT DISTINCT o_orderkey % n AS request_id FROM orders, n),
+c AS (SELECT * FROM (VALUES ('o_orderkey', 0, 'int'), ('o_custkey', 1, 'int'), ('o_orderstatus', 2, 'string'),
+      ('o_totalprice', 3, 'float'), ('o_orderdate', 4, 'string'), ('o_orderpriority', 5, 'string')) t(col, pos, inferred))
+SELECT CAST(request_id AS BIGINT) AS request_id, CAST(CASE WHEN request_id % 3 = 0 THEN 5 - pos ELSE pos END AS INT) AS ordinal,
+       col AS column, inferred FROM r, c""")
+def s3b(spark, sf_dir):
+    return payload_types(csv_records(route(_order_payloads(spark, sf_dir))))
+
+
+@register("S3_S4_bad_payloads_are_isolated", """
+SELECT request_id, CASE WHEN request_id % 4 = 1 THEN 'Invalid base64 CSV data'
+                        WHEN request_id % 4 = 2 THEN 'Error tokenizing data: 1 row(s) have more fields than the header (2)' END AS message
+FROM (SELECT c_custkey AS request_id FROM customer) r""")
+def s3c(spark, sf_dir):
+    c = tables(spark, sf_dir, "customer").plain("customer")
+    good = F.concat(F.lit('a,b\n"x\ny",1\n"he said ""hi"", ok",'), F.col("c_nationkey").cast("string"), F.lit("\n"))
+    long = F.concat(good, F.lit("1,2,3\n"))
+    kind = F.col("c_custkey") % 4
+    reqs = c.select(F.col("c_custkey").alias("request_id"),
+                    F.when(kind == 0, good).when(kind == 2, long).alias("csv_data"),
+                    F.when(kind == 1, F.base64(F.unhex(F.lit("612C620AFFFE")))).when(
+                        kind == 3, F.base64(F.encode(good, "UTF-8"))).alias("csv_base64"))
+    routed = route(reqs)
+    issues = long_row_issues(csv_records(routed)).select("request_id", F.col("message").alias("long"))
+    return routed.join(issues, "request_id", "left").select("request_id", F.coalesce("error", "long").alias("message"))
 
 
 @register("S7_payload_routing_counts", """
@@ -109,22 +170,20 @@ def s7(spark, sf_dir):
 def _zip_payload_udf(pdf: pd.DataFrame) -> pd.DataFrame:
     buf = io.BytesIO()
     with zipfile.ZipFile(buf, "w", zipfile.ZIP_DEFLATED) as zf:
-        body = "o_orderkey,o_custkey,o_totalprice\n" + "\n".join(
-            f"{a},{b},{c!r}" for a, b, c in zip(pdf["o_orderkey"], pdf["o_custkey"], pdf["o_totalprice"]))
-        zf.writestr(f"orders_{int(pdf['bucket'].iloc[0])}.csv", body)
-    data = buf.getvalue()
-    return pd.DataFrame({"bucket": [int(pdf["bucket"].iloc[0])], "zip": [data]})
+        bucket = int(pdf["bucket"].iloc[0])
+        zf.writestr(f"orders_{bucket}.csv", pdf.drop(columns="bucket").to_csv(index=False))
+    return pd.DataFrame({"bucket": [bucket], "zip": [buf.getvalue()]})
 
 
 @register("S5_S6_S8_S11_zip_payloads", """
-SELECT o_orderkey, o_custkey, ROUND(o_totalprice, 4) AS o_totalprice FROM orders""")
+SELECT o_orderkey, o_custkey, o_orderstatus, ROUND(o_totalprice, 4) AS o_totalprice,
+       STRFTIME(o_orderdate, '%Y-%m-%d') AS o_orderdate, o_orderpriority FROM orders""")
 def s5(spark, sf_dir):
     o = tables(spark, sf_dir, "orders").plain("orders")
-    n = o.count()
     # hash buckets of a unique key: about 200 rows per payload whatever the skew
-    buckets = max(1, n // 200)
-    b = o.select("o_orderkey", "o_custkey", "o_totalprice",
-                 F.pmod(F.xxhash64("o_orderkey"), F.lit(buckets)).alias("bucket"))
+    buckets = F.greatest(F.lit(1), F.floor(o.agg(F.count(F.lit(1))).scalar() / 200)).cast("long")
+    b = o.withColumn("o_orderdate", F.date_format("o_orderdate", "yyyy-MM-dd")).withColumn(
+        "bucket", F.pmod(F.xxhash64("o_orderkey"), buckets))
     zips = b.groupBy("bucket").applyInPandas(_zip_payload_udf, "bucket long, zip binary")
     reqs = zips.select(F.col("bucket").alias("request_id"),
                        F.when(F.col("bucket") % 2 == 0, F.decode("zip", "ISO-8859-1")).alias("zip_data"),
@@ -132,9 +191,8 @@ def s5(spark, sf_dir):
     routed = route(reqs)
     members = scan_archives(routed.withColumn("archive", F.col("request_id").cast("string")),
                             "archive", "zip_bytes", with_text=True)
-    lines = csv_lines(members.filter("kept").withColumnRenamed("member_id", "request_id"), "request_id", "text")
-    rows = parse_payload_rows(lines, ["o_orderkey", "o_custkey", "o_totalprice"])
-    return rounded(rows.drop("request_id", "line_no"))
+    records = csv_records(members.filter("kept").withColumnRenamed("member_id", "request_id"), "request_id", "text")
+    return rounded(parse_payload_rows(records, list(_ORDER_COLS)).drop("request_id", "line_no"))
 
 
 _EXTRA = {
@@ -146,6 +204,7 @@ _EXTRA = {
     "Two.CSV": b"x\n1\n2\n",
     "empty.csv": b"",
     "bad.csv": b"name\n\xff\xfe\xfa\n",
+    "quoted.csv": b'a,b\n"x\ny",1\n"he said ""hi"", ok",2\n"C:\\dir\\",3\n',
 }
 
 
@@ -159,6 +218,7 @@ UNION ALL SELECT 'region', 'ok', COUNT(*), 2 FROM region
 UNION ALL SELECT 'supplier', 'ok', COUNT(*), 4 FROM supplier
 UNION ALL SELECT 'd/.h2.csv', 'ok', 1, 2
 UNION ALL SELECT 'Two.CSV', 'ok', 2, 1
+UNION ALL SELECT 'quoted.csv', 'ok', 3, 2
 UNION ALL SELECT 'empty.csv', 'error', NULL, NULL
 UNION ALL SELECT 'bad.csv', 'error', NULL, NULL
 UNION ALL SELECT '__MACOSX/region.csv', 'skipped', NULL, NULL
@@ -167,16 +227,16 @@ UNION ALL SELECT 'docs/', 'skipped', NULL, NULL
 UNION ALL SELECT 'docs/readme.txt', 'skipped', NULL, NULL""")
 def s8(spark, sf_dir):
     t = tables(spark, sf_dir, "nation", "region", "supplier")
-    archives = build_archive_frame(spark, {n: t[n] for n in ("nation", "region", "supplier")}, "tables.zip",
-                                   extra=_EXTRA, partitions=2)
+    archives = build_archive_frame(spark, {n: t[n] for n in ("nation", "region", "supplier")}, "tables.zip", extra=_EXTRA)
     members, read = ingest_archives(spark, archives)
-    counts = []
+    parts = [spark.createDataFrame([], "member string, rows long, columns int")]
     for name, tab in read.items():
-        member = name.split("#", 1)[1]
-        bad = any(sev == "error" for _, sev, _ in tab.issues)
-        n = None if bad else tab.df.count()
-        counts.append((member, n, None if bad else len(tab.types)))
-    cnt = spark.createDataFrame(counts, "member string, rows long, columns int")
+        if tab.ok:
+            parts.append(tab.df.agg(F.count(F.lit(1)).alias("rows")).select(
+                F.lit(name.split("#", 1)[1]).alias("member"), "rows", F.lit(len(tab.types)).alias("columns")))
+    cnt = parts[0]
+    for p in parts[1:]:
+        cnt = cnt.unionByName(p)
     rows = (members.filter(F.col("member").isNotNull()).join(cnt, "member", "left")
                    .withColumn("status", F.when((F.col("status") == "ok") & F.col("rows").isNull(), F.lit("error"))
                                           .otherwise(F.col("status"))))
@@ -184,27 +244,76 @@ def s8(spark, sf_dir):
                 .agg(F.sum("rows").alias("rows"), F.max("columns").alias("columns")))
 
 
+_SUPPLIER_ARCHIVE = "floor(s_suppkey / 1000)"
+
+
+def _supplier_archives(spark, sf_dir):
+    """Archives of 1000 suppliers in 25 members each; all archives of odd number are called a/r<n>.zip, the others b/r<n>.zip
+    with the number halved, so that names repeat across folders."""
+    s = tables(spark, sf_dir, "supplier").plain("supplier")
+    no = F.floor(F.col("s_suppkey") / 1000)
+    name = F.concat(F.when(no % 2 == 1, F.lit("a/r")).otherwise(F.lit("b/r")), F.floor(no / 2).cast("string"), F.lit(".zip"))
+    return build_archive_frame(spark, {"supplier": s}, "many.zip", split={"supplier": F.col("s_suppkey") % 25}, archive=name)
+
+
+@register("S9_all_members_of_equally_named_archives", """
+SELECT s_suppkey, s_name, CAST(s_nationkey AS BIGINT) AS s_nationkey, ROUND(s_acctbal, 4) AS s_acctbal FROM supplier""")
+def s9a(spark, sf_dir):
+    _, read = ingest_archives(spark, _supplier_archives(spark, sf_dir))
+    out = None
+    for t in read.values():
+        out = t.df if out is None else out.unionByName(t.df)
+    return rounded(out.drop("_row_id"))
+
+
 @register("S9_S10_member_cap_and_size_limit", """
-WITH m AS (SELECT COUNT(DISTINCT s_suppkey % 25) AS n FROM supplier)
-SELECT 'ok' AS status, LEAST(n, 20) AS members FROM m
-UNION ALL SELECT 'skipped', n - 20 FROM m WHERE n > 20
-UNION ALL SELECT 'warning', 1 FROM m WHERE n > 20""")
+WITH m AS (SELECT FLOOR(s_suppkey / 1000) AS a, COUNT(DISTINCT s_suppkey % 25) AS n FROM supplier GROUP BY 1)
+SELECT 'ok' AS status, CAST(SUM(LEAST(n, 20)) AS BIGINT) AS members FROM m
+UNION ALL SELECT 'skipped', CAST(SUM(n - 20) AS BIGINT) FROM m WHERE n > 20 HAVING COUNT(*) > 0
+UNION ALL SELECT 'warning', COUNT(*) FROM m WHERE n > 20 HAVING COUNT(*) > 0""")
 def s9(spark, sf_dir):
-    s = tables(spark, sf_dir, "supplier").plain("supplier")
-    archives = build_archive_frame(spark, {"supplier": s}, "many.zip", split={"supplier": F.col("s_suppkey") % 25})
-    listing = scan_archives(archives)
+    listing = scan_archives(_supplier_archives(spark, sf_dir), max_files=20)
     return listing.groupBy("status").agg(F.count(F.lit(1)).alias("members"))
 
 
 @register("S10_member_size_cap_error", """
-SELECT 'error' AS status, COUNT(*) AS members FROM (SELECT 1 FROM customer LIMIT 1)""")
+SELECT 'error' AS status, COUNT(DISTINCT FLOOR(c_custkey / 200)) AS members FROM customer""")
 def s10(spark, sf_dir):
     c = tables(spark, sf_dir, "customer").plain("customer")
-    archives = build_archive_frame(spark, {"customer": c}, "big.zip", partitions=1)
-    listing = scan_archives(archives, max_bytes=1024)
+    archives = build_archive_frame(spark, {"customer": c}, "big.zip", split={"customer": F.floor(F.col("c_custkey") / 200)},
+                                   archive=F.concat(F.floor(F.col("c_custkey") / 2000).cast("string"), F.lit(".zip")))
+    listing = scan_archives(archives, max_bytes=16)
     return listing.filter(F.col("member").isNotNull()).groupBy("status").agg(F.count(F.lit(1)).alias("members"))
 
 
+@register("S12_member_provenance", """
+SELECT n_nationkey, n_name, 'nation-0.zip#nation/part-00000.csv' AS original_name, TRUE AS from_zip, 'nation-0.zip' AS zip_file
+FROM nation""")
+def s12(spark, sf_dir):
+    t = tables(spark, sf_dir, "nation")
+    _, read = ingest_archives(spark, build_archive_frame(spark, {"nation": t["nation"]}, "x.zip"))
+    table = next(iter(read.values()))
+    rows = provenance(table).filter("compressed_size > 0")
+    return rows.select(F.col("n_nationkey").cast("int").alias("n_nationkey"), "n_name", "original_name", "from_zip", "zip_file")
+
+
+@register("S13_S18_ingest_paths_outcome", """
+SELECT 3 AS total_reports, 2 AS errors, 0 AS warnings, TRUE AS has_errors, FALSE AS has_warnings, FALSE AS success,
+       (SELECT COUNT(*) FROM customer) + (SELECT COUNT(*) FROM supplier) + (SELECT COUNT(*) FROM part) AS rows_read""")
+def s13(spark, sf_dir):
+    t = tables(spark, sf_dir, "customer", "supplier", "part")
+    root = scratch_path(spark, "paths")
+    for n in t:
+        _write_csv(t.plain(n), f"{root}/{n}.csv")
+    read = ingest_paths(spark, [f"{root}/{n}.csv" for n in t] + [f"{root}/missing.csv", f"{root}/notes.txt"])
+    total = None
+    for tab in read.tables.values():
+        n = tab.df.select(F.lit(1).alias("one"))
+        total = n if total is None else total.unionByName(n)
+    out = outcome_summary(read.issues_df(spark), len(read.tables))
+    return out.withColumn("rows_read", total.agg(F.count(F.lit(1)).alias("n")).scalar())
+
+
 @register("S15_S16_kind_and_table_name_rules", r"""
 SELECT page_id,
        CASE WHEN STRPOS(url, '.') = 0 THEN 'unknown'
@@ -213,7 +322,7 @@ SELECT page_id,
        LOWER(REGEXP_REPLACE(REGEXP_REPLACE(url, '\.[^.]*$', ''), '[^a-zA-Z0-9]+', '_', 'g')) AS table_name
 FROM pages""")
 def s15(spark, sf_dir):
-    p = tables(spark, sf_dir, "pages")["pages"]
+    p = tables(spark, sf_dir, "pages").plain("pages")
     return p.select("page_id", file_kind(F.col("url")).alias("kind"), logical_table_name(F.col("url")).alias("table_name"))
 
 

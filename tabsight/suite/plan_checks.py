@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from tabsight.catalog import TableSet
 from tabsight.plans.executor import PlanExecutor
@@ -149,12 +150,66 @@ def f9(spark, sf_dir):
         "group_by": ["o_orderstatus"], "aggregate": {"o_orderkey": "count"}})
 
 
-@register("F10_type_mismatch_eq_no_rows", """
-SELECT o_orderstatus, COUNT(o_orderkey) AS o_orderkey_count FROM orders WHERE FALSE GROUP BY o_orderstatus""")
+@register("F10_type_mismatch_beside_a_real_filter", """
+SELECT 'mismatch_eq' AS step, CAST(NULL AS VARCHAR) AS o_orderstatus, COUNT(*) AS rows FROM orders WHERE FALSE
+HAVING COUNT(*) > 0
+UNION ALL SELECT 'mismatch_ne', o_orderstatus, COUNT(*) FROM orders WHERE o_totalprice > 1000 GROUP BY o_orderstatus
+UNION ALL SELECT 'int_eq_true', o_orderstatus, COUNT(*) FROM orders WHERE o_custkey = 1 GROUP BY o_orderstatus
+UNION ALL SELECT 'int_ne_true', o_orderstatus, COUNT(*) FROM orders WHERE o_custkey <> 1 GROUP BY o_orderstatus""")
 def f10(spark, sf_dir):
-    return _op(tables(spark, sf_dir, "orders"), {
-        "table": "orders", "filters": [{"column": "o_totalprice", "operator": "==", "value": "high"}],
-        "group_by": ["o_orderstatus"], "aggregate": {"o_orderkey": "count"}})
+    t = tables(spark, sf_dir, "orders")
+    steps = {"mismatch_eq": [{"column": "o_totalprice", "operator": "==", "value": "high"},
+                             {"column": "o_totalprice", "operator": ">", "value": 1000}],
+             "mismatch_ne": [{"column": "o_totalprice", "operator": "!=", "value": "high"},
+                             {"column": "o_totalprice", "operator": ">", "value": 1000}],
+             "int_eq_true": [{"column": "o_custkey", "operator": "==", "value": True}],
+             "int_ne_true": [{"column": "o_custkey", "operator": "!=", "value": True}]}
+    out = None
+    for name, filters in steps.items():
+        r = _op(t, {"table": "orders", "filters": filters, "group_by": ["o_orderstatus"], "aggregate": {"nope": "sum"}})
+        r = r.select(F.lit(name).alias("step"), "o_orderstatus", F.col("count").alias("rows"))
+        out = r if out is None else out.unionByName(r)
+    return out
+
+
+@register("Q4_Q6_run_summary_with_bad_ops", """
+SELECT 'operation_1' AS op, 'orders' AS table, COUNT(DISTINCT o_orderstatus) AS rows, FALSE AS failed FROM orders
+UNION ALL SELECT 'operation_2', 'orders', NULL, TRUE
+UNION ALL SELECT 'operation_3', 'orders', NULL, TRUE
+UNION ALL SELECT 'operation_4', 'orders', COUNT(DISTINCT o_orderpriority), FALSE FROM orders
+UNION ALL SELECT 'operation_5', NULL, NULL, TRUE""")
+def q4(spark, sf_dir):
+    t = tables(spark, sf_dir, "orders")
+    run = PlanExecutor(t).run({"operations": [
+        {"table": "orders", "groupby": ["o_orderstatus"], "agg_functions": {"o_totalprice": "sum"}},
+        {"table": "orders", "groupby": ["o_orderstatus"], "agg_functions": {"o_orderpriority": "sum"}},
+        {"table": "orders", "filters": [{"column": "o_totalprice", "operator": ">", "value": "x"}]},
+        {"table": "orders", "groupby": ["o_orderpriority"], "agg_functions": {"o_totalprice": "median"}},
+        "not an op"]})
+    return run.summary_df(spark).select("op", "table", "rows", F.col("error").isNotNull().alias("failed"))
+
+
+@register("Q5_run_metadata", """
+SELECT 2 AS tables_processed, 2 AS aggregations_executed,
+       (SELECT COUNT(*) FROM orders) + (SELECT COUNT(*) FROM customer) AS total_rows_processed""")
+def q5(spark, sf_dir):
+    t = tables(spark, sf_dir, "orders", "customer")
+    run = PlanExecutor(t).run({"operations": [
+        {"table": "orders", "groupby": ["o_orderstatus"], "agg_functions": {"o_totalprice": "sum"}},
+        {"table": "customer", "limit": 3}]})
+    return run.metadata_df(spark)
+
+
+@register("A20_plan_validation_issues", """
+SELECT 'plan' AS op, 'warning' AS severity, COUNT(*) AS issues FROM region WHERE r_regionkey = 0
+UNION ALL SELECT 'operation_1', 'error', COUNT(DISTINCT c_mktsegment) - COUNT(DISTINCT c_mktsegment) + 2 FROM customer
+UNION ALL SELECT 'operation_1', 'warning', 3 FROM region WHERE r_regionkey = 0""")
+def a20(spark, sf_dir):
+    from tabsight.plans.validate import validate_plan
+    t = tables(spark, sf_dir, "customer", "region")
+    issues = validate_plan({"operations": [{"table": "customer", "groupby": ["nope"], "agg_functions": {"c_acctbal": ["skew", "bad"]}}]}, t)
+    df = spark.createDataFrame(issues, "op string, severity string, message string")
+    return df.groupBy("op", "severity").agg(F.count(F.lit(1)).alias("issues"))
 
 
 @register("G1_null_group_key_dropped", f"""
@@ -202,14 +257,72 @@ def g8(spark, sf_dir):
         "table": "orders", "groupby": ["o_orderpriority"], "agg_functions": {"o_totalprice": "median"}})
 
 
+@register("G8_median_keys_with_reserved_looking_names", """
+SELECT o_orderpriority AS n, o_orderstatus AS "a.1", ROUND(MEDIAN(CASE WHEN o_orderkey % 50 = 0 THEN NULL
+       WHEN o_orderkey = (SELECT MIN(o_orderkey) FROM orders) THEN 1e15 ELSE o_totalprice END), 4) AS v_median
+FROM orders GROUP BY 1, 2""")
+def g8_names(spark, sf_dir):
+    o = tables(spark, sf_dir, "orders").plain("orders")
+    first = o.agg(F.min("o_orderkey")).scalar()
+    v = (F.when(F.col("o_orderkey") % 50 == 0, F.lit(float("nan"))).when(F.col("o_orderkey") == first, F.lit(1e15))
+         .otherwise(F.col("o_totalprice")))
+    t = TableSet({"t": o.select(F.col("o_orderpriority").alias("n"), F.col("o_orderstatus").alias("a.1"), v.alias("v"))})
+    return rounded(PlanExecutor(t).build({"table": "t", "groupby": ["n", "a.1"], "agg_functions": {"v": "median"}}).df)
+
+
+@register("G1_nan_group_key_dropped", """
+SELECT l_discount AS k, COUNT(*) AS l_orderkey_count FROM lineitem WHERE l_discount <> 0.05 GROUP BY 1""")
+def g1_nan(spark, sf_dir):
+    li = tables(spark, sf_dir, "lineitem").plain("lineitem")
+    k = F.when(F.col("l_discount") == 0.05, F.lit(float("nan"))).otherwise(F.col("l_discount"))
+    t = TableSet({"t": li.select(k.alias("k"), "l_orderkey")})
+    return PlanExecutor(t).build({"table": "t", "groupby": ["k"], "agg_functions": {"l_orderkey": "count"}}).df
+
+
+@register("G18_G21_order_functions_on_several_files", """
+SELECT o_orderstatus, ROUND(ARG_MIN(o_totalprice, o_orderkey), 4) AS o_totalprice_first,
+       ROUND(ARG_MAX(o_totalprice, o_orderkey), 4) AS o_totalprice_last,
+       ARG_MAX(o_rownum, o_totalprice) AS o_totalprice_idxmax
+FROM (SELECT *, ROW_NUMBER() OVER (ORDER BY o_orderkey) - 1 AS o_rownum FROM orders) o GROUP BY o_orderstatus""")
+def g18_files(spark, sf_dir):
+    from tabsight.session import scratch_path
+    path = scratch_path(spark, "orders-in-files")
+    tables(spark, sf_dir, "orders").plain("orders").repartitionByRange(7, "o_orderkey").sortWithinPartitions(
+        "o_orderkey").write.parquet(path)
+    t = TableSet({}, {"orders": spark.read.parquet(path)})
+    return _op(t, {"table": "orders", "groupby": ["o_orderstatus"],
+                   "agg_functions": {"o_totalprice": ["first", "last", "idxmax"]}})
+
+
+@register("A2_nth_row_of_group", """
+SELECT o_orderpriority, ROUND(o_totalprice, 4) AS "o_totalprice_nth(2)" FROM orders
+QUALIFY ROW_NUMBER() OVER (PARTITION BY o_orderpriority ORDER BY o_orderkey) = 3""")
+def a2_nth(spark, sf_dir):
+    return _op(tables(spark, sf_dir, "orders"), {
+        "table": "orders", "groupby": ["o_orderpriority"], "agg_functions": {"o_totalprice": "nth(2)"}})
+
+
+@register("G19_quantile_with_probability", """
+SELECT l_linestatus, ROUND(QUANTILE_CONT(l_extendedprice, 0.9), 4) AS "l_extendedprice_quantile(0.9)"
+FROM lineitem GROUP BY l_linestatus""")
+def g19_q(spark, sf_dir):
+    return _op(tables(spark, sf_dir, "lineitem"), {
+        "table": "lineitem", "groupby": ["l_linestatus"], "agg_functions": {"l_extendedprice": "quantile(0.9)"}})
+
+
 @register("G9_G10_multi_functions_unknown_column", """
-SELECT o_orderstatus, ROUND(SUM(o_totalprice), 4) AS o_totalprice_sum, ROUND(MAX(o_totalprice), 4) AS o_totalprice_max,
+SELECT o_orderstatus, CAST(SUM(CAST(o_totalprice AS DECIMAL(18,2))) AS DOUBLE) AS o_totalprice_sum,
+       CAST(MAX(CAST(o_totalprice AS DECIMAL(18,2))) AS DOUBLE) AS o_totalprice_max,
        COUNT(DISTINCT o_custkey) AS o_custkey_nunique
 FROM orders GROUP BY o_orderstatus""")
 def g9(spark, sf_dir):
-    return _op(tables(spark, sf_dir, "orders"), {
+    o = tables(spark, sf_dir, "orders").plain("orders")
+    # money as decimal: the sum does not depend on the order of the rows
+    t = TableSet({"orders": o.withColumn("o_totalprice", F.col("o_totalprice").cast("decimal(18,2)"))})
+    out = _op(t, {
         "table": "orders", "groupby": ["o_orderstatus"],
         "agg_functions": {"o_totalprice": ["sum", "max"], "not_a_column": "sum", "o_custkey": "nunique"}})
+    return out.withColumns({c: F.col(c).cast("double") for c in ("o_totalprice_sum", "o_totalprice_max")})
 
 
 @register("G11_group_size_when_no_valid_aggregate", """

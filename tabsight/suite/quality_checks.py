@@ -81,9 +81,18 @@ def _table_warnings_sql() -> str:
     return "\nUNION ALL\n".join(parts)
 
 
-@register("X5_X6_table_shape_warnings", _table_warnings_sql())
+_WIDE = 51
+
+@register("X5_X6_table_shape_warnings", _table_warnings_sql() + f"""
+UNION ALL SELECT 'wide', 'warning', 'Large number of columns ({_WIDE}) - verify CSV format is correct' FROM orders HAVING COUNT(*) > 0
+UNION ALL SELECT 'narrow', 'warning', 'CSV has very few columns - verify data is structured correctly' FROM orders HAVING COUNT(*) > 0
+UNION ALL SELECT 'none', 'warning', 'CSV file contains no data rows' FROM orders WHERE o_totalprice < 0 HAVING COUNT(*) = 0""")
 def x5(spark, sf_dir):
-    return table_warnings(tables(spark, sf_dir))
+    t = tables(spark, sf_dir)
+    o = t.plain("orders")
+    return table_warnings(t.replaced({
+        "wide": o.select(*[F.col("o_orderkey").alias(f"c{i}") for i in range(_WIDE)]),
+        "narrow": o.select("o_orderkey"), "none": o.filter("o_totalprice < 0")}))
 
 
 _KPI = [("orders", "o_totalprice"), ("part", "p_retailprice"), ("lineitem", "l_extendedprice")]
@@ -167,6 +176,38 @@ def x12b(spark, sf_dir):
     return date_ranges(s).select("column", "value")
 
 
+def _formatted(spark, sf_dir, pattern):
+    o = tables(spark, sf_dir, "orders")["orders"]
+    return o.select(F.date_format("o_orderdate", pattern).alias("order_date"), "_row_id")
+
+
+_DAY_RANGE = "STRFTIME(MIN(o_orderdate), '%Y-%m-%d 00:00:00') || ' to ' || STRFTIME(MAX(o_orderdate), '%Y-%m-%d 00:00:00')"
+
+
+@register("X12_X13_us_and_month_name_dates", f"""
+SELECT 'lenient' AS rule, {_DAY_RANGE} AS us, {_DAY_RANGE} AS named FROM orders
+UNION ALL SELECT 'strict', {_DAY_RANGE}, {_DAY_RANGE} FROM orders""")
+def x12_formats(spark, sf_dir):
+    us, named = (_formatted(spark, sf_dir, p) for p in ("MM/dd/yyyy", "dd-MMM-yyyy"))
+    rows = []
+    for rule, fn in (("lenient", date_ranges), ("strict", strict_date_range)):
+        one = fn(us).select(F.col("value").alias("us"))
+        rows.append(one.select(F.lit(rule).alias("rule"), "us", fn(named).select("value").scalar().alias("named")))
+    return rows[0].unionByName(rows[1])
+
+
+@register("X2_X14_us_dates_give_no_alert", f"""
+SELECT 'File Information' AS Category, 'File Name' AS Metric, 'us' AS Value, 0 AS seq
+UNION ALL SELECT 'File Information', 'Total Rows', CAST(COUNT(*) AS VARCHAR), 10 FROM orders
+UNION ALL SELECT 'File Information', 'Total Columns', '1', 11
+UNION ALL SELECT 'Key Insights', 'order_date Range', {_DAY_RANGE}, 200 FROM orders
+UNION ALL SELECT 'Alert (Info)', 'Data Quality',
+       CAST(COUNT(*) - COUNT(DISTINCT STRFTIME(o_orderdate, '%m/%d/%Y')) AS VARCHAR) || ' duplicate rows found', 301 FROM orders
+       HAVING COUNT(*) > COUNT(DISTINCT STRFTIME(o_orderdate, '%m/%d/%Y'))""")
+def x14_us(spark, sf_dir):
+    return insights_frame("us", _formatted(spark, sf_dir, "MM/dd/yyyy"))
+
+
 @register("X13_strict_date_range", """
 SELECT 'Date Range' AS metric, CAST(MIN(o_orderdate) AS VARCHAR) || ' to ' || CAST(MAX(o_orderdate) AS VARCHAR) AS value
 FROM orders""")
@@ -175,12 +216,13 @@ def x13(spark, sf_dir):
 
 
 @register("X13_strict_date_range_bad_value_no_insight", """
-SELECT 'Date Range' AS metric, 'x' AS value FROM orders WHERE FALSE""")
+SELECT COUNT(*) AS rows, 0 AS insights FROM orders""")
 def x13b(spark, sf_dir):
     o = tables(spark, sf_dir, "orders")["orders"]
     s = o.select(F.when(F.col("o_orderkey") == 7, F.lit("bad"))
-                 .otherwise(F.date_format("o_orderdate", "yyyy-MM-dd")).alias("ship_date"))
-    return strict_date_range(s)
+                 .otherwise(F.date_format("o_orderdate", "yyyy-MM-dd")).alias("ship_date"), "_row_id")
+    found = strict_date_range(s).agg(F.count(F.lit(1)).alias("n")).scalar()
+    return o.agg(F.count(F.lit(1)).alias("rows")).select("rows", found.alias("insights"))
 
 
 @register("X14_insights_rows_orders", f"""

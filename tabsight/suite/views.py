@@ -11,17 +11,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tabsight.catalog import ROW_ID, TableSet
-from tabsight.operators.joins import join_dimension
 
 
 def sales_view(t: TableSet) -> DataFrame:
     orders = t["orders"]
-    customer = t["customer"].select("c_custkey", "c_nationkey", "c_mktsegment")
-    nation = t["nation"].select(F.col("n_nationkey").alias("c_nationkey"), "n_name")
+    customer = t.plain("customer").select("c_custkey", "c_nationkey", "c_mktsegment")
+    nation = t.plain("nation").select(F.col("n_nationkey").alias("c_nationkey"), "n_name")
     # orders x customer: both grow with the data -> shuffle join on the key
     oc = orders.join(customer, orders["o_custkey"] == customer["c_custkey"])
-    # nation: broadcast only after its size is checked
-    ocn = join_dimension(oc, nation, "c_nationkey")
+    ocn = oc.join(nation, "c_nationkey")
     return ocn.select(
         F.col("o_orderkey").alias("order_id"),
         F.col("o_orderdate").alias("date"),
@@ -36,7 +34,7 @@ def sales_view(t: TableSet) -> DataFrame:
 
 def doc_labels_view(t: TableSet) -> DataFrame:
     docs = t["documents"].select("doc_id", "lang", "source", "n_chars", ROW_ID)
-    return docs.join(t["labels"].select("doc_id", "quality", "toxic"), "doc_id", "left")
+    return docs.join(t.plain("labels").select("doc_id", "quality", "toxic"), "doc_id", "left")
 
 
 SALES_SQL = """(SELECT o_orderkey AS order_id, o_orderdate AS date, n_name AS location,

@@ -23,9 +23,10 @@ def test_ingest_paths_routes_and_reports(spark, tmp_path):
     (tmp_path / "notes.txt").write_text("hello")
     paths = [str(good), str(long_row), str(tmp_path / "pack.zip"), str(tmp_path / "notes.txt")]
     res = ingest_paths(spark, paths)
-    assert set(res.tables) == {"Sales Data.csv", "pack.zip#m1.csv"}
+    pack = "file:" + str(tmp_path / "pack.zip")
+    assert set(res.tables) == {"Sales Data.csv", f"{pack}#m1.csv"}
     sev = {(f, s) for f, s, _ in res.issues}
-    assert ("notes.txt", "error") in sev and ("pack.zip#broken.csv", "error") in sev
+    assert ("notes.txt", "error") in sev and (f"{pack}#broken.csv", "error") in sev
     assert any(f == "bad.csv" and s == "error" for f, s in sev)
     assert not res.success()
     summary = outcome_summary(res.issues_df(spark), len(res.tables)).collect()[0]
@@ -42,6 +43,7 @@ def test_write_results_manifest_and_bundle(spark, tmp_path):
     prefix, rid = report_prefix(str(tmp_path))
     assert "/reports/" in prefix and rid.startswith("req_") and len(rid.split("_")[-1]) == 8
     manifest = {r["result_key"]: r for r in write_results(spark, {"r1": df, "r2": empty}, prefix, rid).collect()}
+    assert not os.path.exists(f"{prefix}/data/r2_data.csv")
     assert manifest["r1"]["rows"] == 2 and manifest["r1"]["written"] and not manifest["r2"]["written"]
     back = spark.read.option("header", True).csv(f"{prefix}/data/r1_data.csv")
     assert back.columns == ["k", "v"] and back.count() == 2
@@ -52,3 +54,18 @@ def test_write_results_manifest_and_bundle(spark, tmp_path):
     assert [r["statistic"] for r in stats] == ["count", "mean", "std", "min", "25%", "50%", "75%", "max"]
     recs = [json.loads(r["record"]) for r in records(df).collect()]
     assert recs == [{"k": "a", "v": 1.5}, {"k": "b", "v": 2.5}]
+
+
+def test_streaming_ingest_reads_csv_and_zip(spark, tmp_path):
+    from tabsight.streaming.folder_ingest import run_folder_ingest
+    inbox = tmp_path / "in"
+    inbox.mkdir()
+    (inbox / "a.csv").write_text("k,v\n1,2\n3,4\n")
+    (inbox / "long.csv").write_text("k,v\n1,2,3\n")
+    buf = io.BytesIO()
+    with zipfile.ZipFile(buf, "w") as zf:
+        zf.writestr("m.csv", "x\n1\n")
+    (inbox / "p.zip").write_bytes(buf.getvalue())
+    prof = run_folder_ingest(spark, str(inbox), str(tmp_path / "out"), max_files_per_trigger=2)
+    assert {r["source_name"] for r in prof.select("source_name").distinct().collect()} == {"a.csv", "p.zip#m.csv"}
+    assert spark.read.parquet(str(tmp_path / "out" / "issues")).filter("severity = 'error'").count() == 1

@@ -11,17 +11,17 @@ from tabsight.functions.aggregates import PlanError
 from tabsight.plans.executor import PlanExecutor
 from tabsight.plans.validate import validate_plan
 
-# F3 rows (item sales sample) and F4 rows (multi-location sample), as (columns, rows).
-F3 = (["date", "item_name", "category", "quantity_sold", "unit_price", "total_revenue", "labor_cost"],
-      [("2024-01-01", "Burger Deluxe", "Entrees", 45, 12.99, 584.55, 150.00),
-       ("2024-01-01", "Caesar Salad", "Salads", 23, 8.99, 206.77, 45.00),
-       ("2024-01-01", "Craft Beer", "Beverages", 67, 5.99, 401.33, 25.00),
-       ("2024-01-02", "Burger Deluxe", "Entrees", 52, 12.99, 675.48, 160.00),
-       ("2024-01-02", "Caesar Salad", "Salads", 18, 8.99, 161.82, 35.00)])
+# small samples of two kinds: items with prices, and locations with one repeated key
+F3 = (["day", "item", "category", "quantity", "price", "total_revenue", "labor"],
+      [("2023-05-02", "Soup", "Starters", 12, 4.50, 54.00, 9.00),
+       ("2023-05-02", "Pasta", "Mains", 30, 11.25, 337.50, 60.00),
+       ("2023-05-02", "Tea", "Drinks", 41, 2.75, 112.75, 8.00),
+       ("2023-05-03", "Pasta", "Mains", 26, 11.25, 292.50, 55.00),
+       ("2023-05-03", "Soup", "Starters", 9, 4.50, 40.50, 7.50)])
 F4 = (["Date", "Sales", "Location", "Category", "Orders"],
-      [("2024-01-01", 1500, "NYC", "Food", 50), ("2024-01-02", 1800, "LA", "Drinks", 60),
-       ("2024-01-03", 1200, "Chicago", "Food", 40), ("2024-01-04", 2100, "NYC", "Food", 70),
-       ("2024-01-05", 1900, "Miami", "Drinks", 65)])
+      [("2023-06-01", 700, "Oslo", "Food", 31), ("2023-06-02", 950, "Bern", "Drinks", 44),
+       ("2023-06-03", 400, "Rome", "Food", 18), ("2023-06-04", 1300, "Oslo", "Food", 52),
+       ("2023-06-05", 1050, "Lyon", "Drinks", 47)])
 
 
 def _tables(spark, name, fx, with_pos=True):
@@ -42,7 +42,7 @@ def test_f3_group_by_category(spark):
                                  "agg_functions": {"total_revenue": ["sum", "mean", "count"]}})
     assert res.df.columns == ["category", "total_revenue_sum", "total_revenue_mean", "total_revenue_count"]
     got = {r[0]: (round(r[1], 3), round(r[2], 3), r[3]) for r in res.ordered().collect()}
-    assert got == {"Beverages": (401.33, 401.33, 1), "Entrees": (1260.03, 630.015, 2), "Salads": (368.59, 184.295, 2)}
+    assert got == {"Drinks": (112.75, 112.75, 1), "Mains": (630.0, 315.0, 2), "Starters": (94.5, 47.25, 2)}
 
 
 def test_f4_groups_and_top2(spark):
@@ -50,17 +50,17 @@ def test_f4_groups_and_top2(spark):
     ex = PlanExecutor(t)
     loc = ex.build({"table": "restaurant_test_data", "groupby": ["Location"],
                     "agg_functions": {"Sales": ["sum", "mean", "count"]}}).ordered()
-    assert _rows(loc) == [("Chicago", 1200, 1200.0, 1), ("LA", 1800, 1800.0, 1), ("Miami", 1900, 1900.0, 1),
-                          ("NYC", 3600, 1800.0, 2)]
+    assert _rows(loc) == [("Bern", 950, 950.0, 1), ("Lyon", 1050, 1050.0, 1), ("Oslo", 2000, 1000.0, 2),
+                          ("Rome", 400, 400.0, 1)]
     cat = ex.build({"table": "restaurant_test_data", "groupby": ["Category"],
                     "agg_functions": {"Sales": ["sum", "mean", "median", "std"]}}).ordered().collect()
-    assert (cat[0][0], cat[0][1], cat[0][3]) == ("Drinks", 3700, 1850.0)
+    assert (cat[0][0], cat[0][1], cat[0][3]) == ("Drinks", 2000, 1000.0)
     assert math.isclose(cat[0][4], 70.7107, abs_tol=1e-4)
-    assert (cat[1][0], cat[1][1], cat[1][3]) == ("Food", 4800, 1500.0)
+    assert (cat[1][0], cat[1][1], cat[1][3]) == ("Food", 2400, 700.0)
     assert math.isclose(cat[1][4], 458.2576, abs_tol=1e-4)
     top = ex.build({"table": "restaurant_test_data", "groupby": ["Location"], "agg_functions": {"Sales": ["sum"]},
                     "sort": [{"column": "Sales_sum", "ascending": False}], "limit": 2}).df
-    assert [r[0] for r in top.collect()] == ["NYC", "Miami"]
+    assert [r[0] for r in top.collect()] == ["Oslo", "Lyon"]
 
 
 def test_single_row_std_is_null(spark):
@@ -164,3 +164,28 @@ def test_reuse_scans_persists_shared_table(spark):
     assert run.results["operation_1"].df.count() == 4 and run.results["operation_2"].df.count() == 2
     run.release()
     assert run.persisted == []
+
+
+def test_an_op_that_cannot_be_analysed_stops_alone(spark):
+    t = TableSet({"t": spark.createDataFrame([(1, [1]), (2, [2])], "k int, a array<int>")})
+    run = PlanExecutor(t).run({"operations": [{"table": "t", "groupby": ["k"], "agg_functions": {"a": "any"}},
+                                              {"table": "t", "groupby": ["k"], "agg_functions": {"k": "sum"}}]})
+    assert run.results["operation_1"].error and run.results["operation_2"].df.count() == 2
+
+
+def test_row_numbers_over_many_files(spark, tmp_path):
+    from tabsight.catalog import edge_rows, with_row_numbers
+    path = str(tmp_path / "many")
+    spark.range(1000).repartitionByRange(20, "id").sortWithinPartitions("id").write.parquet(path)
+    scan = spark.read.parquet(path)
+    assert with_row_numbers(scan).filter("_row_id <> id").count() == 0
+    edge = edge_rows(scan, 3, 2)
+    assert sorted(r["id"] for r in edge.collect()) == [0, 1, 2, 998, 999] and len(edge.inputFiles()) >= 1
+
+
+def test_rule_plan_lists_what_it_leaves_out(spark):
+    from tabsight.plans.rules import rule_plan
+    rows = [(f"k{i}", "ab"[i % 2], i, i * 2.0) for i in range(60)]
+    t = TableSet({"t": spark.createDataFrame(rows, "name string, grp string, sales_total int, price double")})
+    plan = rule_plan(t, max_ops=1)
+    assert len(plan["operations"]) == 1 and {s[1] for s in plan["skipped"]} == {"name", "price_by_grp"}
