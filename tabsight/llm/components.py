@@ -19,19 +19,29 @@ def _toward_minimum(links: DataFrame) -> DataFrame:
 
 def connected_components(stage: Stage, links: DataFrame) -> DataFrame:
     """``links`` (a, b) -> (node, label) for every node that is not its component's smallest; label is the smallest."""
-    now = stage.put(links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v"))
-                    .filter("u != v").distinct())
+    now, _ = stage.put_counted(links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v"))
+                               .filter("u != v").distinct(), "u", "v")
     seen = None
     while True:
         both = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        large = (_toward_minimum(both).filter("v > u")
-                 .select(F.col("v").alias("u"), F.least("u", "m").alias("v")).distinct())
+        large = _toward_minimum(both).filter("v > u").select(F.col("v").alias("u"), F.least("u", "m").alias("v"))
         near = _toward_minimum(large)
         small = near.select("u", F.col("m").alias("v")).union(near.filter("v != m").select("v", "m")).distinct()
-        nxt = stage.put(small)
-        mark = nxt.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
+        nxt, mark = stage.put_counted(small, "u", "v")
         stage.drop(now)
         now = nxt
         if mark == seen:
             return now.select(F.col("u").alias("node"), F.col("v").alias("label"))
         seen = mark
+
+
+def joined_labels(stage: Stage, labels: DataFrame, more: DataFrame) -> DataFrame:
+    """``labels`` after further links (a, b): only the labels that they join are walked again."""
+    def of(col: str) -> DataFrame:
+        return labels.select(F.col("node").alias(col), F.col("label").alias(f"l{col}"))
+
+    ends = more.join(of("a"), "a", "left").join(of("b"), "b", "left").select(
+        F.coalesce("la", "a").alias("a"), F.coalesce("lb", "b").alias("b"))
+    top = connected_components(stage, ends)
+    lifted = labels.join(top.select(F.col("node").alias("label"), F.col("label").alias("higher")), "label", "left")
+    return lifted.select("node", F.coalesce("higher", "label").alias("label")).unionByName(top)

@@ -6,8 +6,8 @@
 3. Star phase: in every bucket each representative is a candidate with the bucket's smallest one.  Candidates whose
    sketches' XOR population count exceeds :func:`popcount_cut` are dropped (a true link fails with probability < 1e-9);
    the others are compared on their full sets.  Components of the confirmed links label the representatives.
-4. Block phase: buckets that still hold several labels are dealt into chunks of about ``chunk`` members, every two chunks
-   of a bucket meet in one block, and pairs with different labels that pass the sketch test are compared on full sets;
+4. Block phase: buckets that still hold several labels are dealt into chunks of about ``chunk`` members and
+   ``chunk_shingles`` shingles (so a block's memory is bounded), every two chunks of a bucket meet in one block, and pairs with different labels that pass the sketch test are compared on full sets;
    a block reports only links between parts that it has not yet joined.  So every candidate pair of every bucket is
    either in one component already or has been tested, and no step emits the pairs of a group.
 5. Components of all confirmed links.
@@ -29,7 +29,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tabsight.llm.components import connected_components
+from tabsight.llm.components import connected_components, joined_labels
 from tabsight.llm.staging import Stage, from_iid, iid
 from tabsight.llm.textbatch import mix64, split_words, text_slices, word_hashes
 
@@ -258,7 +258,7 @@ def _block_links(cut: int, bands: int, percent: int):
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, width: int = 5, percent: int = 80, bands: int = BANDS,
-                    rows: int = ROWS, chunk: int = 512) -> DataFrame:
+                    rows: int = ROWS, chunk: int = 2048, chunk_shingles: int = 1 << 21) -> DataFrame:
     """(doc_id, n_shingles, component_id, kept) per row of ``docs``: documents whose shingle sets have a Jaccard
     similarity of at least ``percent`` / 100 are linked; a component is named after its smallest doc_id."""
     stage = Stage(spark, "neardup")
@@ -266,10 +266,10 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, width: int = 5, percen
     prof = stage.put(document_profiles(docs, width, bands, rows))
     classes = stage.put(prof.filter("n_shingles > 0").groupBy("d1", "d2").agg(F.min("doc").alias("rep")))
     reps = (prof.filter("n_shingles > 0").join(classes.withColumn("doc", F.col("rep")), ["d1", "d2", "doc"])
-            .select("doc", "bands", *_SKETCH))
+            .select("doc", "n_shingles", "bands", *_SKETCH))
     reps = stage.put(reps)
 
-    keyed = reps.select("doc", F.explode("bands").alias("key"))
+    keyed = reps.select("doc", "n_shingles", F.explode("bands").alias("key"))
     hubs = keyed.groupBy("key").agg(F.min("doc").alias("hub"), F.max("doc").alias("top"))
     shared = stage.put(keyed.join(hubs.filter("hub != top").drop("top"), "key"))
     full = docs.select(iid().alias("doc"), F.col("text").cast("string").alias("text")).join(
@@ -284,21 +284,24 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, width: int = 5, percen
     links = stage.put(_confirmed(star, sets, percent))
     labels = connected_components(stage, links)
 
-    marked = (shared.select("key", "doc").join(labels, shared["doc"] == labels["node"], "left")
-              .select("key", "doc", F.coalesce("label", "doc").alias("label")))
+    marked = (shared.select("key", "doc", "n_shingles").join(labels, shared["doc"] == labels["node"], "left")
+              .select("key", "doc", "n_shingles", F.coalesce("label", "doc").alias("label")))
     marked = stage.put(marked)
-    mixed = (marked.groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.count(F.lit(1)).alias("n"))
-             .filter("lo != hi").select("key", F.ceil(F.col("n") / chunk).alias("chunks")))
+    mixed = (marked.groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.count(F.lit(1)).alias("n"),
+                                       F.sum("n_shingles").alias("size"))
+             .filter("lo != hi")
+             .select("key", F.ceil(F.greatest(F.col("n") / chunk, F.col("size") / chunk_shingles)).alias("chunks")))
     members = (marked.join(mixed, "key")
                .withColumn("c", F.pmod(F.xxhash64("doc"), F.col("chunks")))
                .withColumn("other", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("chunks") - 1)))
                .select("key", F.least("c", "other").alias("i"), F.greatest("c", "other").alias("j"), "c", "doc", "label"))
-    block = members.join(reps, "doc").repartition("key", "i", "j").sortWithinPartitions("key", "i", "j", "doc")
+    block = members.join(reps.drop("n_shingles"), "doc").repartition("key", "i", "j").sortWithinPartitions("key", "i", "j", "doc")
     kind = block.schema
     needed = stage.put(block.mapInArrow(_block_members(cut, bands), kind))
     block = needed.join(sets, "doc").repartition("key", "i", "j").sortWithinPartitions("key", "i", "j", "doc")
-    more = stage.put(block.mapInArrow(_block_links(cut, bands, percent), "a bigint, b bigint"))
-    labels = connected_components(stage, links.unionByName(more))
+    more, (n_more, _) = stage.put_counted(block.mapInArrow(_block_links(cut, bands, percent), "a bigint, b bigint"), "a", "b")
+    if n_more:
+        labels = joined_labels(stage, labels, more)
 
     rep_label = classes.join(labels, classes["rep"] == labels["node"], "left").select(
         "d1", "d2", F.coalesce("label", "rep").alias("component"))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from tabsight.session import scratch_path
@@ -30,6 +30,14 @@ class Stage:
         out._stage_path = path
         return out
 
+    def put_counted(self, df: DataFrame, *columns: str) -> tuple[DataFrame, tuple]:
+        """``put``, and (rows, checksum of ``columns``) observed while writing."""
+        seen = Observation(f"rows{self._n}")
+        out = self.put(df.observe(seen, F.count(F.lit(1)).alias("n"),
+                                  F.sum(F.xxhash64(*columns).cast("decimal(38,0)")).alias("sum")))
+        got = seen.get
+        return out, (got["n"], got["sum"])
+
     def drop(self, *frames: DataFrame) -> None:
         for f in frames:
             remove_path(self.spark, f._stage_path)
