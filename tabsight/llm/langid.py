@@ -18,11 +18,12 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tabsight.llm.staging import from_iid, iid
-from tabsight.llm.textbatch import char_grams, mix64, split_words, text_slices
+from tabsight.llm.textbatch import gram_chunks, mix64, split_words, text_slices
 
 ORDERS = (1, 2, 3)
 MIN_SHARE = 2e-6
@@ -66,16 +67,16 @@ def gram_counts(docs: DataFrame) -> DataFrame:
                 doc, word, words = split_words(texts)
                 if not len(word):
                     continue
-                w, g = char_grams(words, ORDERS)
-                uniq, inv = np.unique(g, return_inverse=True)
                 own = code[lo:lo + len(texts)][doc]
-                for k in np.unique(own):
-                    n = np.bincount(word[own == k], minlength=len(words))
-                    c = np.bincount(inv, weights=n[w], minlength=len(uniq)).astype(np.int64)
-                    at = np.flatnonzero(c)
-                    yield pa.RecordBatch.from_arrays(
-                        [pa.repeat(langs.dictionary[int(k)], len(at)), pa.array(uniq[at].view(np.int64)), pa.array(c[at])],
-                        names=["lang", "gram", "n"])
+                times = {k: np.bincount(word[own == k], minlength=len(words)) for k in np.unique(own).tolist()}
+                for w, g in gram_chunks(words, ORDERS):
+                    uniq, inv = np.unique(g, return_inverse=True)
+                    for k, n in times.items():
+                        c = np.bincount(inv, weights=n[w], minlength=len(uniq)).astype(np.int64)
+                        at = np.flatnonzero(c)
+                        yield pa.RecordBatch.from_arrays(
+                            [pa.repeat(langs.dictionary[k], len(at)), pa.array(uniq[at].view(np.int64)), pa.array(c[at])],
+                            names=["lang", "gram", "n"])
 
     part = docs.select(F.col("text").cast("string").alias("text"), F.col("lang").cast("string").alias("lang")).mapInArrow(
         run, "lang string, gram bigint, n bigint")
@@ -121,15 +122,17 @@ def predict_languages(docs: DataFrame, model: LanguageFilter) -> DataFrame:
                 doc, word, words = split_words(texts)
                 hits, total, letter = np.zeros((k, n)), np.zeros(n), np.zeros(n)
                 if len(word):
-                    has = np.fromiter((any(map(str.isalpha, w)) for w in words.to_pylist()), dtype=float, count=len(words))
+                    has = pc.match_substring_regex(words, r"\pL").to_numpy(zero_copy_only=False)
                     letter = np.bincount(doc, weights=has[word], minlength=n)
-                    w, g = char_grams(words, ORDERS)
-                    total = np.bincount(doc, weights=np.bincount(w, minlength=len(words))[word], minlength=n)
-                    mask = model.lookup(g) if k else None
+                    grams, found, kind = np.zeros(len(words)), np.zeros((k, len(words))), model.slices.dtype.type
+                    for w, g in gram_chunks(words, ORDERS):
+                        grams += np.bincount(w, minlength=len(words))
+                        mask = model.lookup(g)
+                        for i in range(k):
+                            found[i] += np.bincount(w, weights=(mask >> kind(i)) & kind(1), minlength=len(words))
+                    total = np.bincount(doc, weights=grams[word], minlength=n)
                     for i in range(k):
-                        bit = (mask >> model.slices.dtype.type(i)) & model.slices.dtype.type(1)
-                        per_word = np.bincount(w, weights=bit, minlength=len(words))
-                        hits[i] = np.bincount(doc, weights=per_word[word], minlength=n)
+                        hits[i] = np.bincount(doc, weights=found[i][word], minlength=n)
                 if k:
                     f = model.false_rate[:, None]
                     share = np.clip((hits - f * total) / np.maximum((1 - f) * total, 1e-9), 0, 1)

@@ -41,10 +41,11 @@ def split_words(texts: pa.Array):
 def mix64(h: np.ndarray) -> np.ndarray:
     """Finaliser of a 64-bit hash (uint64 in, uint64 out)."""
     h = h ^ (h >> np.uint64(30))
-    h = h * np.uint64(0xBF58476D1CE4E5B9)
-    h = h ^ (h >> np.uint64(27))
-    h = h * np.uint64(0x94D049BB133111EB)
-    return h ^ (h >> np.uint64(31))
+    h *= np.uint64(0xBF58476D1CE4E5B9)
+    h ^= h >> np.uint64(27)
+    h *= np.uint64(0x94D049BB133111EB)
+    h ^= h >> np.uint64(31)
+    return h
 
 
 def word_hashes(words: pa.Array) -> np.ndarray:
@@ -54,30 +55,41 @@ def word_hashes(words: pa.Array) -> np.ndarray:
     return np.fromiter((f(w) for w in words.cast(pa.large_binary()).to_pylist()), dtype=np.uint64, count=len(words))
 
 
+#: distinct words whose n-grams are in memory at a time
+GRAM_WORDS = 1 << 16
+
+
+def gram_chunks(words: pa.Array, orders: tuple[int, ...]):
+    """Character n-grams of `` word `` (one space on either side), lower-cased: (word index, 64-bit n-gram hash) arrays, in
+    chunks of ``GRAM_WORDS`` words and one order each.
+
+    Grams of different orders hash differently; an n-gram that is the lone space is left out."""
+    for lo in range(0, len(words), GRAM_WORDS):
+        part = words.slice(lo, GRAM_WORDS)
+        one = pa.ListArray.from_arrays(pa.array([0, len(part)], pa.int32()), part.cast(pa.string()))
+        text = "\x00 " + pc.binary_join(one, " \x00 ")[0].as_py().lower() + " \x00"
+        cp = np.frombuffer(text.encode("utf-32-le", "replace"), dtype=np.uint32).astype(np.uint64)
+        stop = cp == 0
+        owner = np.cumsum(stop, dtype=np.int64) + (lo - 1)
+        for n in orders:
+            m = len(cp) - n + 1
+            if m <= 0:
+                continue
+            h, bad = np.full(m, n, dtype=np.uint64), stop[:m].copy()
+            for j in range(n):
+                h *= np.uint64(0x9E3779B97F4A7C15)
+                h += cp[j:j + m]
+                if j:
+                    bad |= stop[j:j + m]
+            if n == 1:
+                bad |= cp == 32
+            ok = ~bad
+            yield owner[:m][ok], mix64(h[ok])
+
+
 def char_grams(words: pa.Array, orders: tuple[int, ...]):
-    """Character n-grams of `` word `` (one space on either side): (word index per n-gram, 64-bit n-gram hash).
-
-    The words are lower-cased.  Grams of different orders hash differently; an n-gram that is the
-    lone space is left out."""
-    text = "\x00" + "".join(f" {w} \x00" for w in words.to_pylist()).lower()
-    cp = np.frombuffer(text.encode("utf-32-le", "replace"), dtype=np.uint32).astype(np.uint64)
-    stop = cp == 0
-    owner = np.cumsum(stop) - 1
-    out_w, out_h = [], []
-    for n in orders:
-        if len(cp) < n:
-            continue
-        m = len(cp) - n + 1
-        h = np.full(m, n, dtype=np.uint64)
-        bad = np.zeros(m, dtype=bool)
-        for j in range(n):
-            h = h * np.uint64(0x9E3779B97F4A7C15) + cp[j:j + m]
-            bad |= stop[j:j + m]
-        if n == 1:
-            bad |= cp[:m] == 32
-        ok = ~bad
-        out_w.append(owner[:m][ok])
-        out_h.append(mix64(h[ok]))
-    if not out_w:
+    """All of :func:`gram_chunks` at once."""
+    got = list(gram_chunks(words, orders))
+    if not got:
         return np.zeros(0, np.int64), np.zeros(0, np.uint64)
-    return np.concatenate(out_w), np.concatenate(out_h)
+    return np.concatenate([w for w, _ in got]), np.concatenate([h for _, h in got])

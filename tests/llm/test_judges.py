@@ -60,7 +60,8 @@ def test_quality_ratio_is_the_documented_mean(spark):
     feats = {i: Counter() for i, _ in rows}
     for i, t in rows:
         for w in t.split():
-            feats[i].update(word_features(pa.array([w]), BUCKETS)[1].tolist())
+            for _, h in word_features(pa.array([w]), BUCKETS):
+                feats[i].update(h.tolist())
     raw, target = sum(feats.values(), Counter()), feats[1]
     n_raw, n_target = sum(raw.values()) + 0.5 * BUCKETS, sum(target.values()) + 0.5 * BUCKETS
     for i, c in feats.items():
