@@ -283,3 +283,63 @@ def p17(spark, sf_dir):
     types = F.array_join(F.array_sort(F.transform(F.map_entries("semantic_types"),
                                                    lambda e: F.concat(e["key"], F.lit(":"), e["value"]))), "|")
     return ctx.select("key", "row_count", types.alias("types"))
+
+
+def _pk_sql() -> str:
+    parts = []
+    for t, cols in DRIVER_SCHEMA.items():
+        for c, _ in cols:
+            parts.append(f"SELECT '{t}' AS file_name, '{c}' AS column_name FROM {t} "
+                         f"HAVING COUNT(*) = COUNT({c}) AND COUNT(DISTINCT {c}) = COUNT(*)")
+    return "\nUNION ALL\n".join(parts)
+
+
+@register("P13_catalog_primary_keys", _pk_sql())
+def p13_keys(spark, sf_dir):
+    from tabsight.operators.report_context import extract_catalog
+    return extract_catalog(tables(spark, sf_dir))["primary_key_candidates"].select("file_name", "column_name")
+
+
+_SAMPLED = {t: k for t, k in KEY_ORDERED.items() if t in ("region", "nation", "customer", "supplier", "part", "orders", "labels")}
+
+
+@register("P13_catalog_sample_rows", "\nUNION ALL\n".join(
+    f"SELECT '{t}' AS table_name, part, CAST(pos AS INT) AS pos, CAST(k AS VARCHAR) AS key FROM ("
+    f"SELECT 'head' AS part, ROW_NUMBER() OVER (ORDER BY {k}) - 1 AS pos, {k} AS k FROM {t} QUALIFY pos < 5 UNION ALL "
+    f"SELECT 'tail', ROW_NUMBER() OVER (ORDER BY {k}) - 1 - (COUNT(*) OVER () - LEAST(5, COUNT(*) OVER ())) AS pos, {k} FROM {t} "
+    f"QUALIFY pos >= 0) x" for t, k in _SAMPLED.items()))
+def p13_samples(spark, sf_dir):
+    from tabsight.operators.report_context import sample_rows
+    rows = sample_rows(tables(spark, sf_dir, *_SAMPLED))
+    key = F.lit(None).cast("string")
+    for t, k in _SAMPLED.items():
+        key = F.when(F.col("table_name") == t, F.get_json_object("record", f"$.{k}")).otherwise(key)
+    return rows.select("table_name", "part", "pos", key.alias("key"))
+
+
+@register("P14_light_catalog_content", "\nUNION ALL\n".join(
+    f"SELECT '{t}' AS report, '{c}' AS column_name, {_dtype_sql(c, typ)} AS dtype, COUNT(DISTINCT {c}) AS unique_count, "
+    f"(SELECT STRING_AGG(v, '|' ORDER BY fk) FROM (SELECT CAST({c} AS VARCHAR) AS v, MIN({k}) AS fk FROM {t} "
+    f"WHERE {c} IS NOT NULL GROUP BY 1 ORDER BY fk LIMIT 5)) AS samples FROM {t}"
+    for t, k in _SAMPLED.items() for c, typ in DRIVER_SCHEMA[t]))
+def p14_content(spark, sf_dir):
+    from tabsight.operators.report_context import light_catalog
+    out = light_catalog(tables(spark, sf_dir, *_SAMPLED))
+    return out.select("report", "column_name", "dtype", "unique_count", F.array_join("sample_values", "|").alias("samples"))
+
+
+@register("P18_result_context_first_rows", """
+SELECT 'operation_1' AS key, STRING_AGG(location, '|' ORDER BY total DESC, location) AS first_rows FROM (
+  SELECT n_name AS location, SUM(o_totalprice) AS total FROM orders JOIN customer ON o_custkey = c_custkey
+  JOIN nation ON c_nationkey = n_nationkey WHERE o_orderstatus IS DISTINCT FROM 'F'
+  GROUP BY 1 ORDER BY total DESC, location LIMIT 3)""")
+def p18_rows(spark, sf_dir):
+    from tabsight.catalog import TableSet
+    from tabsight.operators.report_context import result_context
+    from tabsight.plans.executor import PlanExecutor
+    from tabsight.suite.plan_checks import FLAGSHIP_PLAN
+    from tabsight.suite.views import sales_view
+    t = TableSet({"sales": sales_view(tables(spark, sf_dir, "orders", "customer", "nation"))})
+    ctx = result_context(PlanExecutor(t).run({"operations": [FLAGSHIP_PLAN]}).results)
+    names = F.transform("sample_data", lambda r: F.get_json_object(r, "$.location"))
+    return ctx.select("key", F.array_join(names, "|").alias("first_rows"))
