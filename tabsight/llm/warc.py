@@ -80,7 +80,7 @@ class VolumeWriter:
         if self.out is None or self.size >= self.volume_bytes:
             self.close()
             self.names.append(f"{self.prefix}-{len(self.names):05d}.warc.gz")
-            self.out, self.size = self.store.open_output_stream(f"{self.folder}/{self.names[-1]}"), 0
+            self.out, self.size = self.store.open_output_stream(f"{self.folder}/{self.names[-1]}", compression=None), 0
         text = "WARC/1.1\r\n" + "".join(f"{k}: {v}\r\n" for k, v in head) + f"Content-Length: {len(block)}\r\n\r\n"
         z = zlib.compressobj(1, zlib.DEFLATED, 31)
         data = z.compress(text.encode() + block + b"\r\n\r\n") + z.flush()
@@ -202,7 +202,8 @@ def _volumes(batches, root: str):
     for b in batches:
         for row in b.to_pylist():
             store, folder = open_store(root)
-            with store.open_input_stream(f"{folder}/{row['name']}") as raw, gzip.GzipFile(fileobj=raw) as stream:
+            # the members are gzip already: no codec by file name
+            with store.open_input_stream(f"{folder}/{row['name']}", compression=None) as raw, gzip.GzipFile(fileobj=raw) as stream:
                 try:
                     for at, (head, block) in enumerate(parse_records(stream)):
                         yield row["part"], row["volume"], at, head, block

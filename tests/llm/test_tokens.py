@@ -143,7 +143,9 @@ def test_sentencepiece_hard_texts(spark, hard_docs):
     alphabet = ["a", "b", "th", "er", " ", "  ", "▁", "\n", ".", "é", "日", "😀", "1", "in", "▁▁", "ing"]
     for _ in range(60):
         batch = ["".join(rnd.choice(alphabet) for _ in range(rnd.randint(0, 40))) for _ in range(20)]
-        assert [np.frombuffer(x, "<u4").tolist() for x in enc.encode(batch)] == [sp.encode(t) for t in batch]
+        flat, offs = enc.encode(pa.array(batch, pa.large_string()))
+        assert [flat[a:b].tolist() for a, b in zip(offs[:-1], offs[1:])] == [sp.encode(t) for t in batch]
+        assert enc.decode(flat, offs) == [t.replace("▁", " ") for t in batch]
 
 
 def test_unigram_lattice_takes_the_best_sum(tmp_path):
