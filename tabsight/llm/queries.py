@@ -43,15 +43,6 @@ def piece_vocabulary() -> str:
     return public_tokenizers.path("piece_bpe_32k.model")
 
 
-def ids_crc32(ids: str):
-    """CRC-32 of an array<int> column's values as little-endian unsigned 32-bit integers."""
-    swapped = F.transform(F.col(ids), lambda i: F.hex(i.cast("bigint")))
-    word = F.transform(swapped, lambda h: F.lpad(h, 8, "0"))
-    little = F.transform(word, lambda h: F.concat(F.substring(h, 7, 2), F.substring(h, 5, 2),
-                                                  F.substring(h, 3, 2), F.substring(h, 1, 2)))
-    return F.crc32(F.unhex(F.array_join(little, "")))
-
-
 _OP1 = """
 WITH p AS (SELECT page_id, encode(coalesce(html, '')) AS body FROM pages),
 d AS (SELECT page_id, octet_length(body) AS payload_bytes, sha256(body) AS payload_digest FROM p),
@@ -152,12 +143,9 @@ def op6_quality_ratio(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @_register("op7_sentencepiece")
 def op7_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Per document: ids of the whole text, their CRC-32, and the CRC-32 of the text decoded from the ids."""
-    from tabsight.llm.spiece import decode_pieces, encode_pieces
-    path = piece_vocabulary()
-    out = decode_pieces(encode_pieces(_table(spark, sf_dir, "documents"), path), path)
-    return out.select("doc_id", F.size("ids").cast("bigint").alias("n_tokens"), ids_crc32("ids").alias("ids_crc32"),
-                      F.crc32(F.col("decoded").cast("binary")).alias("decoded_crc32"))
+    """Per document: the number of ids of the whole text, their CRC-32, and that of the text decoded from them."""
+    from tabsight.llm.spiece import encode_pieces
+    return encode_pieces(_table(spark, sf_dir, "documents"), piece_vocabulary(), ("n_tokens", "ids_crc32", "decoded_crc32"))
 
 
 @_register("op8_language_masks")

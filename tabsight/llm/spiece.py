@@ -18,14 +18,17 @@ from __future__ import annotations
 import gc
 import re
 import struct
+import zlib
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tabsight.llm.staging import from_iid, iid, process_cache
 from tabsight.llm.textbatch import text_slices
+from tabsight.llm.wordtok import gathered, patched
 
 _P = 0x9E3779B97F4A7C15
 _M = (1 << 64) - 1
@@ -76,6 +79,9 @@ class PieceModel:
         self.len_of = np.zeros(len(self.pieces), dtype=np.int64)
         for p, i in self.ids.items():
             self.hash_of[i], self.len_of[i] = _hash(p), len(p)
+        #: which low hash bits occur among the keys: most substrings are no piece and need no search
+        self.filter = np.zeros(1 << 20, dtype=bool)
+        self.filter[(self.keys & np.uint64((1 << 20) - 1)).astype(np.int64)] = True
         self.power = np.array([pow(_P, k, 1 << 64) for k in range(self.longest + 1)], dtype=np.uint64)
         if self.bpe:
             self._merge_trees()
@@ -111,8 +117,12 @@ class PieceModel:
 
     def find(self, h: np.ndarray) -> np.ndarray:
         """Piece ids of substring hashes, _NONE where there is none."""
-        k = np.minimum(np.searchsorted(self.keys, h), len(self.keys) - 1)
-        return np.where(self.keys[k] == h, self.key_ids[k], _NONE)
+        out = np.full(h.shape, _NONE, dtype=np.int64)
+        at = np.nonzero(self.filter[(h & np.uint64((1 << 20) - 1)).astype(np.int64)])
+        near = h[at]
+        k = np.minimum(np.searchsorted(self.keys, near), len(self.keys) - 1)
+        out[at] = np.where(self.keys[k] == near, self.key_ids[k], _NONE)
+        return out
 
     def stays_apart(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
         """Whether merging the texts of pieces a and b together leaves them as they are.
@@ -226,16 +236,6 @@ class PieceModel:
             out[r] = ids
         return out
 
-    def decode(self, ids) -> str:
-        """Text of piece ids: pieces joined, byte pieces as UTF-8, the marker as a space, without the added first space."""
-        out = bytearray()
-        for i in ids:
-            kind = self.types[i]
-            out += bytes([int(self.pieces[i][3:5], 16)]) if kind == 6 else (
-                " ⁇ " if kind == 2 else "" if kind == 3 else self.pieces[i].replace(_SPACE, " ")).encode("utf-8")
-        text = out.decode("utf-8", "replace")
-        return text[1:] if self.prefix and text.startswith(" ") else text
-
 
 class PieceEncoder:
     """Whole-text encoder with a bounded two-generation word cache per worker process."""
@@ -244,25 +244,47 @@ class PieceEncoder:
         self.model, self.cap = model, cache_words
         self.new: dict[str, bytes] = {}
         self.old: dict[str, bytes] = {}
+        pieces = [bytes([int(p[3:5], 16)]) if t == 6 else b" \xe2\x81\x87 " if t == 2 else b"" if t == 3 else
+                  p.replace(_SPACE, " ").encode() for p, t in zip(model.pieces, model.types)]
+        self.text_size = np.array([len(p) for p in pieces], dtype=np.int64)
+        self.text_start = np.cumsum(self.text_size) - self.text_size
+        self.text_pool = np.frombuffer(b"".join(pieces), dtype=np.uint8)
+
+    @classmethod
+    def shared(cls, model: PieceModel, path: str) -> "PieceEncoder":
+        cache = process_cache()
+        if ("pieces", path) not in cache:
+            cache["pieces", path] = cls(model)
+        return cache["pieces", path]
 
-    def _words(self, text: str) -> list[str]:
-        if not text:
-            return []
-        return _WORDS.findall((_SPACE if self.model.prefix else "") + text.replace(" ", _SPACE))
-
-    def _unseen(self, words: set) -> set:
+    def _unseen(self, words) -> list:
         """Words of neither cache generation; those of the old one move to the new."""
-        miss = set()
-        for w in words.difference(self.new):
-            v = self.old.get(w)
+        new, old, miss = self.new, self.old, []
+        for w in words:
+            v = old.get(w)
             if v is None:
-                miss.add(w)
+                miss.append(w)
             else:
-                self.new[w] = v
+                new[w] = v
         return miss
 
-    def encode(self, texts: list[str | None]) -> list[bytes]:
-        """Ids of each text as bytes of little-endian unsigned 32-bit integers."""
+    def _learn(self, words) -> None:
+        new, touch = self.new, self.model.touch
+        tails, whole = [], set()
+        for w in self._unseen([w for w in words if w not in new]):
+            if len(w) > 1 and w[-1] in ".,;:!?" and w[-2:] not in touch:
+                tails.append(w)
+            else:
+                whole.add(w)
+        whole.update(self._unseen({x for w in tails for x in (w[:-1], w[-1])}.difference(new, whole)))
+        whole = list(whole)
+        for w, ids in zip(whole, self.model.encode_words(whole)):
+            new[w] = struct.pack(f"<{len(ids)}I", *ids)
+        for w in tails:
+            new[w] = new[w[:-1]] + new[w[-1]]
+
+    def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """All ids (uint32) of a large_string array without nulls, and each text's offsets in them."""
         was = gc.isenabled()
         gc.disable()    # millions of small acyclic objects: the cycle collector would only walk them
         try:
@@ -271,57 +293,84 @@ class PieceEncoder:
             if was:
                 gc.enable()
 
-    def _encode(self, texts: list[str | None]) -> list[bytes]:
-        split = [self._words(t) for t in texts]
-        miss = self._unseen(set().union(*split))
-        tails = {w: (w[:-1], w[-1]) for w in miss if len(w) > 1 and w[-1] in ".,;:!?" and w[-2:] not in self.model.touch}
-        parts = self._unseen({x for cut in tails.values() for x in cut})
-        whole = list({*parts, *miss.difference(tails)})
-        for w, ids in zip(whole, self.model.encode_words(whole)):
-            self.new[w] = struct.pack(f"<{len(ids)}I", *ids)
-        for w, (head, tail) in tails.items():
-            self.new[w] = self.new[head] + self.new[tail]
-        out = [b"".join(map(self.new.__getitem__, w)) for w in split]
+    def _encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        kind, mark = texts.type, _SPACE if self.model.prefix else ""
+        self.new.setdefault("", b"")
+        # runs of spaces stay together in front of their word: such texts are cut by the pattern
+        odd = pc.or_(pc.or_(pc.match_substring(texts, "  "), pc.match_substring(texts, _SPACE)), pc.starts_with(texts, " "))
+        odd = odd.to_numpy(zero_copy_only=False)
+        whole = {}
+        for i in np.flatnonzero(odd).tolist():
+            words = _WORDS.findall(mark + texts[i].as_py().replace(" ", _SPACE))
+            self._learn(set(words))
+            whole[i] = np.frombuffer(b"".join(map(self.new.__getitem__, words)), "<u4")
+        empty = pc.equal(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False)
+        plain = pc.if_else(pa.array(odd | empty), pa.scalar("", kind),
+                           pc.binary_join_element_wise(pa.scalar(mark, kind), texts, pa.scalar("", kind)))
+        plain = pc.replace_substring(pc.replace_substring(plain, " ", " " + _SPACE), "\n", " \n ")
+        parts = pc.split_pattern(plain, " ")
+        enc = parts.flatten().dictionary_encode()
+        words = enc.dictionary.to_pylist()
+        self._learn(words)
+        ids = list(map(self.new.__getitem__, words))
         if len(self.new) > self.cap:
             self.old, self.new = self.new, {}
+        return patched(*gathered(ids, enc.indices.to_numpy(), parts.offsets.to_numpy()), whole)
+
+    def decode(self, flat: np.ndarray, offs: np.ndarray) -> list[str]:
+        """Texts of ids: pieces and byte pieces joined, without the added first space."""
+        n = self.text_size[flat]
+        ends = np.concatenate([[0], np.cumsum(n)])
+        data = self.text_pool[np.repeat(self.text_start[flat] - ends[:-1], n) + np.arange(ends[-1])].tobytes()
+        cuts, out = ends[offs].tolist(), []
+        for s, e in zip(cuts[:-1], cuts[1:]):
+            out.append(data[s + (self.model.prefix and data[s:s + 1] == b" " and e > s):e].decode("utf-8", "replace"))
         return out
 
 
-def encode_pieces(docs: DataFrame, model_path: str) -> DataFrame:
-    """(doc_id, ids array<int>) of every whole text."""
+_OUTPUTS = {"ids": "array<int>", "n_tokens": "bigint", "ids_crc32": "bigint", "decoded": "string", "decoded_crc32": "bigint"}
+
+
+def encode_pieces(docs: DataFrame, model_path: str, outputs: tuple[str, ...] = ("ids",)) -> DataFrame:
+    """doc_id and ``outputs`` of every whole text: ids, n_tokens, ids_crc32 (of the ids as little-endian unsigned 32-bit
+    integers), decoded (the text decoded from the ids) and decoded_crc32 (of its UTF-8 bytes)."""
     model = PieceModel(model_path)
 
+    def column(name, enc, flat, offs):
+        cuts = list(zip(offs[:-1].tolist(), offs[1:].tolist()))
+        if name == "ids":
+            return pa.ListArray.from_arrays(offs.astype(np.int32), pa.array(flat.astype(np.int32)))
+        if name == "n_tokens":
+            return pa.array(np.diff(offs))
+        if name == "ids_crc32":
+            return pa.array([zlib.crc32(flat[s:e]) for s, e in cuts], pa.int64())
+        texts = enc.decode(flat, offs)
+        return (pa.array(texts, pa.string()) if name == "decoded" else
+                pa.array([zlib.crc32(t.encode("utf-8")) for t in texts], pa.int64()))
+
     def run(batches):
-        cache = process_cache()
-        if ("pieces", model_path) not in cache:
-            cache["pieces", model_path] = PieceEncoder(model)
-        enc = cache["pieces", model_path]
+        enc = PieceEncoder.shared(model, model_path)
         for b in batches:
-            for lo, texts in text_slices(b):
-                part = b.slice(lo, len(texts))
-                data = enc.encode(texts.to_pylist())
-                flat = np.frombuffer(b"".join(data), "<u4").astype(np.int32)
-                offs = np.concatenate([[0], np.cumsum([len(d) // 4 for d in data])]).astype(np.int32)
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.ListArray.from_arrays(offs, pa.array(flat))],
-                                                 names=["doc_id", "ids"])
+            for lo, texts in text_slices(b, max_bytes=4 << 20):
+                flat, offs = enc.encode(texts)
+                yield pa.RecordBatch.from_arrays([b.column(0).slice(lo, len(texts)), *[column(c, enc, flat, offs) for c in outputs]],
+                                                 names=["doc_id", *outputs])
 
-    return docs.select(iid().alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(
-        run, "doc_id bigint, ids array<int>").withColumn("doc_id", from_iid("doc_id"))
+    schema = ", ".join(["doc_id bigint", *[f"{c} {_OUTPUTS[c]}" for c in outputs]])
+    return docs.select(iid().alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, schema).withColumn(
+        "doc_id", from_iid("doc_id"))
 
 
 def decode_pieces(encoded: DataFrame, model_path: str) -> DataFrame:
-    """``encoded`` with ``decoded`` added; pieces are joined per document by one table lookup."""
-    model = PieceModel(model_path)
-    table = [bytes([int(p[3:5], 16)]) if t == 6 else b" \xe2\x81\x87 " if t == 2 else b"" if t == 3 else
-             p.replace(_SPACE, " ").encode() for p, t in zip(model.pieces, model.types)]
-    skip, fields = model.prefix, [f"`{n}` {t}" for n, t in encoded.dtypes]
+    """``encoded`` (with ``ids``) with ``decoded`` added; null ids give an empty text."""
+    model, fields = PieceModel(model_path), [f"`{n}` {t}" for n, t in encoded.dtypes]
 
     def run(batches):
+        enc = PieceEncoder.shared(model, model_path)
         for b in batches:
-            out = []
-            for ids in b.column(b.schema.get_field_index("ids")):
-                raw = b"".join(map(table.__getitem__, ids.values.to_pylist())) if ids.is_valid else b""
-                out.append((raw[1:] if skip and raw.startswith(b" ") else raw).decode("utf-8", "replace"))
+            col = pc.fill_null(b.column(b.schema.get_field_index("ids")), pa.scalar([], pa.list_(pa.int32())))
+            offs = col.offsets.to_numpy()
+            out = enc.decode(col.values.to_numpy()[offs[0]:offs[-1]].astype(np.int64), offs - offs[0])
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(out, pa.string())], names=[*b.schema.names, "decoded"])
 
     return encoded.mapInArrow(run, ", ".join([*fields, "decoded string"]))

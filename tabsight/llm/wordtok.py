@@ -24,6 +24,26 @@ CACHE_WORDS = 500_000
 _LETTERS = frozenset(b"abcdefghijklmnopqrstuvwxyz")
 
 
+def gathered(ids: list, idx: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Flat ids of texts, and each text's offsets in them: ``ids`` (bytes of uint32) per distinct word, ``idx`` the words of
+    all texts, ``offs`` the texts' offsets in ``idx``."""
+    size = np.fromiter(map(len, ids), dtype=np.int64, count=len(ids)) // 4
+    first = np.cumsum(size) - size
+    pool = np.frombuffer(b"".join(ids), "<u4")
+    n = size[idx]
+    ends = np.concatenate([[0], np.cumsum(n)])
+    flat = pool[np.repeat(first[idx] - ends[:-1], n) + np.arange(ends[-1])]
+    return flat, ends[offs - offs[0]]
+
+
+def patched(flat: np.ndarray, offs: np.ndarray, whole: dict) -> tuple[np.ndarray, np.ndarray]:
+    """The same with the ids of some texts (by number) replaced."""
+    if not whole:
+        return flat, offs
+    pieces = [whole.get(i, flat[s:e]) for i, (s, e) in enumerate(zip(offs[:-1].tolist(), offs[1:].tolist()))]
+    return np.concatenate(pieces), np.concatenate([[0], np.cumsum([len(p) for p in pieces])])
+
+
 class WordTokenizer:
     """Encodes texts to uint32 ids; equal to ``Tokenizer.encode(text, add_special_tokens=False).ids``.
 
@@ -129,15 +149,4 @@ class WordTokenizer:
         ids = list(map(self.new.__getitem__, words))
         if len(self.new) > self.cap:
             self.old, self.new = self.new, {}
-        size = np.fromiter(map(len, ids), dtype=np.int64, count=len(ids)) // 4
-        first = np.cumsum(size) - size
-        pool, idx = np.frombuffer(b"".join(ids), "<u4"), enc.indices.to_numpy()
-        n = size[idx]
-        ends = np.concatenate([[0], np.cumsum(n)])
-        flat = pool[np.repeat(first[idx] - ends[:-1], n) + np.arange(ends[-1])]
-        offs = parts.offsets.to_numpy()
-        offs = ends[offs - offs[0]]
-        if not whole:
-            return flat, offs
-        pieces = [whole.get(i, flat[s:e]) for i, (s, e) in enumerate(zip(offs[:-1].tolist(), offs[1:].tolist()))]
-        return np.concatenate(pieces), np.concatenate([[0], np.cumsum([len(p) for p in pieces])])
+        return patched(*gathered(ids, enc.indices.to_numpy(), parts.offsets.to_numpy()), whole)
