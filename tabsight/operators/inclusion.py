@@ -4,12 +4,13 @@ P11 is a unary inclusion-dependency search in the style of SINDY (Kruse,
 Papenbrock, Naumann, 2015): for every value, the set S(v) of columns holding it;
 column A is included in B iff B is in S(v) for every value v of A.  Here the
 attribute sets are bit masks (one ``long`` per 64 columns), so the whole search
-is two partially-aggregated ``groupBy``s and no pair list is ever emitted:
+is partially-aggregated ``groupBy``s and no pair list is ever emitted:
 
 1. ``groupBy(value) -> bit_or(1 << column_id)``: the set of columns holding the value.  One hash
    aggregate with fixed-width buffers and map-side combining (a value filling a third of all rows
    collapses before the shuffle), the only shuffle of the data;
-2. each value's set is expanded into its columns: ``groupBy(A) -> count, bit_and(mask)`` gives the
+2. ``groupBy(set) -> count``: few different sets are left, whatever the data;
+3. each set is expanded into its columns: ``groupBy(A) -> sum, bit_and(mask)`` gives the
    distinct count of A and the columns that hold every value of A.
 
 The reference keeps pairs with
@@ -107,11 +108,13 @@ def inclusion_dependencies(tables: TableSet, names: list[str] | None = None) ->
     masks = [F.bit_or(F.when(F.floor(F.col("cid") / WORD) == w, F.expr(f"shiftleft(1L, cid % {WORD})"))
                       .otherwise(F.lit(0).cast("long"))).alias(f"m{w}") for w in range(n_words)]
     per_value = long.groupBy(*VALUE_KEYS).agg(*masks)
-    # 2. per column A: intersection of the sets of all its values, plus its distinct count
+    # 2. values with the same set of columns count together; the few different sets are expanded into their columns
+    words = [f"m{w}" for w in range(n_words)]
+    sets = per_value.groupBy(*words).agg(F.count(F.lit(1)).alias("n"))
     members = F.explode(F.array(*[F.when(F.getbit(F.col(f"m{cid // WORD}"), F.lit(cid % WORD)) == 1, F.lit(cid))
                                   for cid, *_ in cat])).alias("a")
-    per_col = (per_value.select(members, *[f"m{w}" for w in range(n_words)]).filter(F.col("a").isNotNull())
-               .groupBy("a").agg(F.count(F.lit(1)).alias("n_a"), *[F.bit_and(f"m{w}").alias(f"m{w}") for w in range(n_words)]))
+    per_col = (sets.select(members, "n", *words).filter(F.col("a").isNotNull())
+               .groupBy("a").agg(F.sum("n").alias("n_a"), *[F.bit_and(w).alias(w) for w in words]))
 
     # 3. decode the surviving bits into (A, B) pairs; n(B) comes from the same relation
     schema = spark.createDataFrame([(cid, t, c) for cid, t, c, _ in cat],

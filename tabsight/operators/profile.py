@@ -196,6 +196,8 @@ def first_samples(vc: DataFrame, cat: DataFrame, tables: TableSet, names: list[s
     # pushed below the aggregation and stop the two consumers sharing one exchange
     top = vc.withColumn("rk", F.row_number().over(w)).filter((F.col("rk") <= k) & (F.col("cid") < ROWS_BASE))
     top = top.join(F.broadcast(cat.select("cid", "kind")), "cid")   # schema-sized side
+    # the rows that hold hashed samples: at most k per column, one broadcast for all tables
+    keys = top.filter(F.col("vs").startswith(_HASH_MARK)).select(F.col("first_row").alias("kat")).distinct()
     parts = []
     for t in names:
         if ROW_ID not in tables[t].columns:
@@ -204,15 +206,10 @@ def first_samples(vc: DataFrame, cat: DataFrame, tables: TableSet, names: list[s
                 if table == t and dt is not None and typed_value(F.col("x"), dt)[0] == K_TEXT]
         if not cols:
             continue
-        cells = F.explode(F.array(*[
-            F.when(F.length(value_text(F.col(f"`{c}`"), dt)) > LONG_TEXT,
-                   F.struct(F.lit(cid).alias("tcid"), value_text(F.col(f"`{c}`"), dt).alias("whole")))
-            for cid, c, dt in cols])).alias("e")
-        # the broadcast side has at most k rows per column of the table
-        rows = top.filter(F.col("cid").isin(*[cid for cid, _, _ in cols]) & F.col("vs").startswith(_HASH_MARK)).select(
-            F.col("cid").alias("wcid"), F.col("first_row").alias("__at"))
-        near = tables[t].join(F.broadcast(rows.select("__at").distinct()), F.col(ROW_ID) == F.col("__at"))
-        parts.append(near.select("__at", cells).select("__at", "e.tcid", "e.whole").filter(F.col("tcid").isNotNull()))
+        near = tables[t].join(F.broadcast(keys), F.col(ROW_ID) == F.col("kat"), "left_semi")
+        cells = F.explode(F.array(*[F.struct(F.lit(cid).alias("tcid"), value_text(F.col(f"`{c}`"), dt).alias("whole"))
+                                    for cid, c, dt in cols])).alias("e")
+        parts.append(near.select(F.col(ROW_ID).alias("__at"), cells).select("__at", "e.tcid", "e.whole"))
     if parts:
         whole = reduce(lambda a, b: a.unionByName(b), parts)
         top = top.join(F.broadcast(whole), (F.col("cid") == F.col("tcid")) & (F.col("first_row") == F.col("__at"))

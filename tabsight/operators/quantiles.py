@@ -38,14 +38,17 @@ def quantile_rows(df: DataFrame, columns: list[str], probs: list[float], by: lis
         numbers.append(F.when(~F.isnan(x), x))
     n = 4 * (partitions or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     bounds = [sorted(set(b)) for b in quantile_bounds(df, numbers, n)]
-    entries = [F.struct(F.lit(i).alias("__c"), x.alias("__v"), slice_of(x, bounds[i]).alias("__pid"))
-               for i, x in enumerate(numbers)]
+    entries = [F.struct(F.lit(i).alias("__c"), x.alias("__v")) for i, x in enumerate(numbers)]
     kn = [f"__k{i}" for i in range(len(by))]
     long = (df.select(*[F.col(f"`{b}`").alias(k) for b, k in zip(by, kn)], F.explode(F.array(*entries)).alias("__e"))
-              .select(*kn, "__e.__c", "__e.__v", "__e.__pid").filter(F.col("__v").isNotNull()))
+              .select(*kn, "__e.__c", "__e.__v").filter(F.col("__v").isNotNull()))
     group = [*kn, "__c"]
-    vc = long.groupBy(*group, "__pid", F.when(F.col("__v") == 0, F.lit(0.0)).otherwise(F.col("__v")).alias("__v")) \
+    vc = long.groupBy(*group, F.when(F.col("__v") == 0, F.lit(0.0)).otherwise(F.col("__v")).alias("__v")) \
              .agg(F.count(F.lit(1)).alias("__n"))
+    pid = F.lit(0)
+    for i, b in enumerate(bounds):
+        pid = F.when(F.col("__c") == i, slice_of(F.col("__v"), b)).otherwise(pid)
+    vc = vc.withColumn("__pid", pid)
     # slice totals and their prefix offsets per group (small: slices x groups)
     slices = vc.groupBy(*group, "__pid").agg(F.sum("__n").alias("__size"))
     slices = (slices.withColumn("__off", F.sum("__size").over(Window.partitionBy(*group).orderBy("__pid")) - F.col("__size"))
