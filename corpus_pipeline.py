@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
 
-from tabsight.llm.langid import identify_languages  # noqa: E402
+from tabsight.llm.langid import identify_languages, score_limits  # noqa: E402
 from tabsight.llm.linededup import dedup_lines  # noqa: E402
 from tabsight.llm.oddsketch import near_duplicates  # noqa: E402
 from tabsight.llm.packing import pack_documents  # noqa: E402
@@ -22,9 +22,6 @@ from tabsight.llm.quality import judge_quality  # noqa: E402
 from tabsight.llm.queries import word_vocabulary  # noqa: E402
 from tabsight.llm.staging import Stage, iid, remove_path  # noqa: E402
 
-#: share of a document's n-grams that its language must explain
-MIN_LANGUAGE_SCORE = 0.2
-
 
 def _keep(docs: DataFrame, verdict: DataFrame) -> DataFrame:
     """Rows of ``docs`` whose id has a kept row in ``verdict`` (doc_id, kept); null ids count as one id."""
@@ -33,9 +30,15 @@ def _keep(docs: DataFrame, verdict: DataFrame) -> DataFrame:
 
 
 def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without a letter, or whose best language explains too few of their n-grams, go."""
-    verdict = identify_languages(docs)
-    return _keep(docs, verdict.select("doc_id", ((F.col("lang_pred") != "und") & (F.col("score") >= MIN_LANGUAGE_SCORE)).alias("kept")))
+    """Documents without a letter, or of whose 3-grams the best language explains less than its limit, go."""
+    verdict = Stage(spark, "language").put(identify_languages(docs, carry=("lang",)))
+    limits, other = score_limits(verdict)
+    limit = F.lit(other)
+    if limits:
+        rows = spark.createDataFrame(list(limits.items()), "lang_pred string, limit double")
+        verdict = verdict.join(F.broadcast(rows), "lang_pred", "left")
+        limit = F.coalesce("limit", limit)
+    return _keep(docs, verdict.select("doc_id", ((F.col("lang_pred") != "und") & (F.col("score") >= limit)).alias("kept")))
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -3,7 +3,10 @@
 Every language has a Bloom filter of its characteristic character n-grams.  The filters are bit-sliced: one array of
 ``slots`` integers whose bit L belongs to language L, so that one probe (the AND of ``probes`` slots) returns the set of
 all languages that hold an n-gram.  A document's verdict: per language the population count of its bit over all n-grams,
-corrected for that language's false-positive rate, largest first (ties: smaller language name).
+corrected for that language's false-positive rate, largest first (ties: smaller language name).  The score is the winner's
+corrected share of the 3-grams alone: single letters and most letter pairs belong to every language of a script, so they
+tell languages apart but say nothing about whether a text is in one of them.  :func:`score_limits` turns the scores of
+held-out documents into a limit per language.
 
 An n-gram belongs to a language if its share of that language's n-grams is at least ``min_share`` and at least
 ``ratio`` of its largest share in any language.  ``min_share`` bounds a language's n-grams by 1 / min_share, so the
@@ -21,15 +24,20 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tabsight.llm.staging import from_iid, iid
 from tabsight.llm.textbatch import gram_chunks, mix64, split_words, text_slices
 
 ORDERS = (1, 2, 3)
+#: the order whose n-grams make the score
+SCORE_ORDER = 3
 MIN_SHARE = 2e-6
 RATIO = 0.25
 SLOTS = 1 << 21
 PROBES = 3
+#: a language must explain this part of what it explains of its median held-out document: a text half in it still passes
+LIMIT_PART = 0.5
 #: languages beyond the most frequent ones share no bit
 MAX_LANGUAGES = 64
 
@@ -109,8 +117,9 @@ def learn_filters(train: DataFrame, min_share: float = MIN_SHARE, ratio: float =
     return LanguageFilter(names, slices, fill ** probes, probes)
 
 
-def predict_languages(docs: DataFrame, model: LanguageFilter) -> DataFrame:
-    """(doc_id, lang_pred, score) of every whole text; score is the winner's corrected share of the text's n-grams."""
+def predict_languages(docs: DataFrame, model: LanguageFilter, carry: tuple[str, ...] = ()) -> DataFrame:
+    """(doc_id, lang_pred, score, ``carry`` columns) of every whole text; score is the winner's corrected share of the
+    text's n-grams of order ``SCORE_ORDER``."""
     k = len(model.languages)
     names = np.array([*model.languages, "und"], dtype=object)
 
@@ -120,33 +129,40 @@ def predict_languages(docs: DataFrame, model: LanguageFilter) -> DataFrame:
             for lo, texts in text_slices(b):
                 n = len(texts)
                 doc, word, words = split_words(texts)
-                hits, total, letter = np.zeros((k, n)), np.zeros(n), np.zeros(n)
+                hits, total, letter = np.zeros((2, k, n)), np.zeros((2, n)), np.zeros(n)   # all orders, SCORE_ORDER
                 if len(word):
                     has = pc.match_substring_regex(words, r"\pL").to_numpy(zero_copy_only=False)
                     letter = np.bincount(doc, weights=has[word], minlength=n)
-                    grams, found, kind = np.zeros(len(words)), np.zeros((k, len(words))), model.slices.dtype.type
-                    for w, g in gram_chunks(words, ORDERS):
-                        grams += np.bincount(w, minlength=len(words))
-                        mask = model.lookup(g)
+                    kind = model.slices.dtype.type
+                    for order in ORDERS:
+                        grams, found = np.zeros(len(words)), np.zeros((k, len(words)))
+                        for w, g in gram_chunks(words, (order,)):
+                            grams += np.bincount(w, minlength=len(words))
+                            mask = model.lookup(g)
+                            for i in range(k):
+                                found[i] += np.bincount(w, weights=(mask >> kind(i)) & kind(1), minlength=len(words))
+                        to = slice(0, 2 if order == SCORE_ORDER else 1)
+                        total[to] += np.bincount(doc, weights=grams[word], minlength=n)
                         for i in range(k):
-                            found[i] += np.bincount(w, weights=(mask >> kind(i)) & kind(1), minlength=len(words))
-                    total = np.bincount(doc, weights=grams[word], minlength=n)
-                    for i in range(k):
-                        hits[i] = np.bincount(doc, weights=found[i][word], minlength=n)
+                            hits[to, i] += np.bincount(doc, weights=found[i][word], minlength=n)
                 if k:
                     f = model.false_rate[:, None]
-                    share = np.clip((hits - f * total) / np.maximum((1 - f) * total, 1e-9), 0, 1)
-                    best = share.argmax(axis=0)
-                    score = share[best, np.arange(n)]
+                    share = np.clip((hits - f * total[:, None]) / np.maximum((1 - f) * total[:, None], 1e-9), 0, 1)
+                    best = share[0].argmax(axis=0)
+                    score = share[1, best, np.arange(n)]
                 else:
                     best, score = np.zeros(n, dtype=int), np.zeros(n)
                 none = (letter == 0) | (k == 0)
                 yield pa.RecordBatch.from_arrays(
                     [ids.slice(lo, n), pa.array(names[np.where(none, k, best)], pa.string()),
-                     pa.array(np.where(none, 0.0, score))], names=["doc_id", "lang_pred", "score"])
+                     pa.array(np.where(none, 0.0, score)),
+                     *(b.column(b.schema.get_field_index(c)).slice(lo, n) for c in carry)],
+                    names=["doc_id", "lang_pred", "score", *carry])
 
-    return docs.select(iid().alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(
-        run, "doc_id bigint, lang_pred string, score double").withColumn("doc_id", from_iid("doc_id"))
+    rows = docs.select(iid().alias("doc_id"), F.col("text").cast("string").alias("text"), *carry)
+    schema = T.StructType([T.StructField("doc_id", T.LongType()), T.StructField("lang_pred", T.StringType()),
+                           T.StructField("score", T.DoubleType()), *(rows.schema[c] for c in carry)])
+    return rows.mapInArrow(run, schema).withColumn("doc_id", from_iid("doc_id"))
 
 
 def held_out():
@@ -154,7 +170,18 @@ def held_out():
     return F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 == 0, F.lit(False))
 
 
-def identify_languages(docs: DataFrame, train: DataFrame | None = None) -> DataFrame:
+def score_limits(predicted: DataFrame) -> tuple[dict[str, float], float]:
+    """Smallest score that counts as the language, and the limit of languages without a correct held-out document.
+
+    ``predicted`` holds doc_id, lang, lang_pred and score.  A limit is ``LIMIT_PART`` of the median score of the language's
+    correctly labelled held-out documents (the median, as junk may be labelled too); the others take the smallest limit."""
+    known = predicted.filter(held_out() & (F.col("lang") == F.col("lang_pred")))
+    rows = known.groupBy("lang").agg(F.percentile_approx("score", 0.5).alias("mid")).collect()   # one row a language
+    limits = {r["lang"]: LIMIT_PART * r["mid"] for r in rows}
+    return limits, min(limits.values(), default=LIMIT_PART)
+
+
+def identify_languages(docs: DataFrame, train: DataFrame | None = None, carry: tuple[str, ...] = ()) -> DataFrame:
     """Learn from the documents that are not held out (or from ``train``) and predict all of ``docs``."""
     model = learn_filters((docs if train is None else train).filter(~held_out()))
-    return predict_languages(docs, model)
+    return predict_languages(docs, model, carry)

@@ -43,3 +43,22 @@ def test_stages_take_hard_and_empty_tables(spark, hard_docs):
         for table in (hard_docs, hard_docs.limit(0)):
             out = fn(spark, table, SF)
             assert out.count() <= 400 and (name == "best_fit_packing" or out.columns == hard_docs.columns)
+
+
+def test_language_stage_drops_gibberish_and_unlearned_languages(spark):
+    """Planted rows of sf0.01: random letters, hex strings, Polish, Finnish and Italian go, every clean document stays."""
+    import random
+    from pyspark.sql import functions as F
+    sf, rnd = "/root/testdata/sf0.01", random.Random(5)
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    words = lambda abc, n: " ".join("".join(rnd.choice(abc) for _ in range(rnd.randint(2, 9))) for _ in range(n))
+    texts = ([words("abcdefghijklmnopqrstuvwxyz", 60) for _ in range(8)] + [words("bcdfghjklmnpqrstvwxz", 40) for _ in range(8)]
+             + [" ".join(f"{rnd.getrandbits(128):032x}" for _ in range(20)) for _ in range(4)]
+             + ["Wszyscy ludzie rodzą się wolni i równi pod względem swej godności i swych praw. Są oni obdarzeni rozumem",
+                "Kaikki ihmiset syntyvät vapaina ja tasavertaisina arvoltaan ja oikeuksiltaan. Heille on annettu järki",
+                "Tutti gli esseri umani nascono liberi ed eguali in dignità e diritti. Essi sono dotati di ragione"])
+    planted = spark.createDataFrame([(10 ** 9 + i, t, "en" if i % 2 else None) for i, t in enumerate(texts)],
+                                    "doc_id long, text string, lang string")
+    both = docs.unionByName(planted, allowMissingColumns=True)
+    left = {r["doc_id"] for r in P.language_stage(spark, both, sf).select("doc_id").collect()}
+    assert left == {r["doc_id"] for r in docs.filter(F.col("text").rlike("\\p{L}")).select("doc_id").collect()}
