@@ -1,8 +1,8 @@
 """Language ID with language-bitmask n-gram filters.
 
-Every language has a Bloom filter of its characteristic character n-grams.  The filters are bit-sliced: one array of
-``slots`` integers whose bit L belongs to language L, so that one probe (the AND of ``probes`` slots) returns the set of
-all languages that hold an n-gram.  A document's verdict: per language the population count of its bit over all n-grams,
+Every language has a Bloom filter of its characteristic character n-grams.  The filters are bit-sliced: arrays of
+``slots`` integers, one array per 64 languages, so that language L has bit L % 64 of array L // 64 and one probe of an
+array (the AND of ``probes`` slots) returns all of its languages that hold an n-gram.  Every learned language has a bit.  A document's verdict: per language the population count of its bit over all n-grams,
 corrected for that language's false-positive rate, largest first (ties: smaller language name).  The score is the winner's
 corrected share of the 3-grams alone: single letters and most letter pairs belong to every language of a script, so they
 tell languages apart but say nothing about whether a text is in one of them.  :func:`score_limits` turns the scores of
@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tabsight.llm.staging import from_iid, iid
-from tabsight.llm.textbatch import gram_chunks, mix64, split_words, text_slices
+from tabsight.llm.textbatch import SLICE_BYTES, gram_chunks, mix64, split_words, text_slices
 
 ORDERS = (1, 2, 3)
 #: the order whose n-grams make the score
@@ -38,23 +38,26 @@ SLOTS = 1 << 21
 PROBES = 3
 #: a language must explain this part of what it explains of its median held-out document: a text half in it still passes
 LIMIT_PART = 0.5
-#: languages beyond the most frequent ones share no bit
-MAX_LANGUAGES = 64
+#: languages of one array
+WORD_BITS = 64
+#: text bytes times languages that one vectorised step counts (slices get smaller beyond 8 languages)
+COUNT_BYTES = 8 * SLICE_BYTES
 
 
 @dataclass
 class LanguageFilter:
-    """Bit-sliced filters of the languages (sorted names); ``false_rate[L]`` is filter L's chance of a false hit."""
+    """Bit-sliced filters of the languages (sorted names); ``slices`` is arrays x slots, ``false_rate[L]`` is filter L's
+    chance of a false hit."""
     languages: list[str]
     slices: np.ndarray
     false_rate: np.ndarray
     probes: int = PROBES
 
-    def lookup(self, grams: np.ndarray) -> np.ndarray:
-        """Bitmask of the languages that hold each n-gram hash."""
-        mask = None
+    def lookup(self, grams: np.ndarray, word: int = 0) -> np.ndarray:
+        """Bitmask of the languages of array ``word`` that hold each n-gram hash."""
+        mask, slices = None, self.slices[word]
         for j in range(self.probes):
-            m = self.slices[probe_slot(grams, j, len(self.slices))]
+            m = slices[probe_slot(grams, j, len(slices))]
             mask = m if mask is None else mask & m
         return mask
 
@@ -76,11 +79,17 @@ def gram_counts(docs: DataFrame) -> DataFrame:
                 if not len(word):
                     continue
                 own = code[lo:lo + len(texts)][doc]
-                times = {k: np.bincount(word[own == k], minlength=len(words)) for k in np.unique(own).tolist()}
+                times = {}
+                for k in np.unique(own).tolist():   # only the words that the language has
+                    n = np.bincount(word[own == k], minlength=len(words))
+                    times[k] = (at := np.flatnonzero(n)), n[at]
+                dense = np.zeros(len(words), dtype=np.int64)
                 for w, g in gram_chunks(words, ORDERS):
                     uniq, inv = np.unique(g, return_inverse=True)
-                    for k, n in times.items():
-                        c = np.bincount(inv, weights=n[w], minlength=len(uniq)).astype(np.int64)
+                    for k, (has, n) in times.items():
+                        dense[has] = n
+                        c = np.bincount(inv, weights=dense[w], minlength=len(uniq)).astype(np.int64)
+                        dense[has] = 0
                         at = np.flatnonzero(c)
                         yield pa.RecordBatch.from_arrays(
                             [pa.repeat(langs.dictionary[k], len(at)), pa.array(uniq[at].view(np.int64)), pa.array(c[at])],
@@ -96,24 +105,24 @@ def learn_filters(train: DataFrame, min_share: float = MIN_SHARE, ratio: float =
     """Learn the filters from every document of ``train`` that has a text and a language."""
     counts = gram_counts(train.filter(F.col("text").isNotNull() & F.col("lang").isNotNull())).persist()
     totals = counts.groupBy("lang").agg(F.sum("n").alias("total"))
-    rows = totals.orderBy(F.desc("total"), "lang").limit(MAX_LANGUAGES).collect()
+    rows = totals.orderBy("lang").collect()   # one row a language
     names = sorted(r["lang"] for r in rows)
+    bit = {name: i for i, name in enumerate(names)}
     share = counts.join(F.broadcast(totals.sparkSession.createDataFrame(
-        [(r["lang"], r["total"], names.index(r["lang"])) for r in rows], "lang string, total bigint, bit int")), "lang")
+        [(r["lang"], r["total"], bit[r["lang"]]) for r in rows], "lang string, total bigint, bit int")), "lang")
     share = share.withColumn("share", F.col("n") / F.col("total")).filter(F.col("share") >= min_share)
     best = share.groupBy("gram").agg(F.max("share").alias("best"),
                                      F.collect_list(F.struct("bit", "share")).alias("langs"))
-    sets = best.select("gram", F.expr(f"transform(filter(langs, x -> x.share >= {ratio} * best), x -> x.bit)").alias("bits"))
-    got = sets.collect()   # at most languages / min_share rows
+    sets = best.select("gram", F.explode(F.expr(f"transform(filter(langs, x -> x.share >= {ratio} * best), x -> x.bit)")).alias("bit"))
+    got = sets.toArrow()   # at most languages / min_share rows of 12 bytes
     counts.unpersist()
-    kind = next(k for k, n in ((np.uint8, 8), (np.uint16, 16), (np.uint32, 32), (np.uint64, 64)) if len(names) <= n)
-    slices = np.zeros(slots, dtype=kind)
-    if got:
-        grams = np.array([r["gram"] for r in got], dtype=np.int64).view(np.uint64)
-        masks = np.array([sum(1 << b for b in r["bits"]) for r in got], dtype=np.uint64).astype(kind)
-        for j in range(probes):
-            np.bitwise_or.at(slices, probe_slot(grams, j, slots), masks)
-    fill = np.array([np.count_nonzero(slices & kind(1 << i)) / slots for i in range(len(names))])
+    grams, bits = got["gram"].to_numpy().view(np.uint64), got["bit"].to_numpy()
+    kind = next((k for k, n in ((np.uint8, 8), (np.uint16, 16), (np.uint32, 32)) if len(names) <= n), np.uint64)
+    slices = np.zeros((max(1, -(-len(names) // WORD_BITS)), slots), dtype=kind)
+    mask = np.left_shift(np.uint64(1), (bits % WORD_BITS).astype(np.uint64)).astype(kind)
+    for j in range(probes):
+        np.bitwise_or.at(slices, (bits // WORD_BITS, probe_slot(grams, j, slots)), mask)
+    fill = np.array([np.count_nonzero(slices[i // WORD_BITS] & kind(1 << i % WORD_BITS)) / slots for i in range(len(names))])
     return LanguageFilter(names, slices, fill ** probes, probes)
 
 
@@ -126,7 +135,7 @@ def predict_languages(docs: DataFrame, model: LanguageFilter, carry: tuple[str,
     def run(batches):
         for b in batches:
             ids = b.column(b.schema.get_field_index("doc_id"))
-            for lo, texts in text_slices(b):
+            for lo, texts in text_slices(b, max_bytes=min(SLICE_BYTES, COUNT_BYTES // max(k, 1))):
                 n = len(texts)
                 doc, word, words = split_words(texts)
                 hits, total, letter = np.zeros((2, k, n)), np.zeros((2, n)), np.zeros(n)   # all orders, SCORE_ORDER
@@ -138,9 +147,10 @@ def predict_languages(docs: DataFrame, model: LanguageFilter, carry: tuple[str,
                         grams, found = np.zeros(len(words)), np.zeros((k, len(words)))
                         for w, g in gram_chunks(words, (order,)):
                             grams += np.bincount(w, minlength=len(words))
-                            mask = model.lookup(g)
                             for i in range(k):
-                                found[i] += np.bincount(w, weights=(mask >> kind(i)) & kind(1), minlength=len(words))
+                                if i % WORD_BITS == 0:
+                                    mask = model.lookup(g, i // WORD_BITS)
+                                found[i] += np.bincount(w, weights=(mask >> kind(i % WORD_BITS)) & kind(1), minlength=len(words))
                         to = slice(0, 2 if order == SCORE_ORDER else 1)
                         total[to] += np.bincount(doc, weights=grams[word], minlength=n)
                         for i in range(k):

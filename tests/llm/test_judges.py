@@ -106,6 +106,18 @@ def test_language_filters_return_every_language_of_a_gram(spark):
     assert got[1][0] == "x" and got[5][0] == "z" and [got[i] for i in (2, 3, 4)] == [("und", 0.0)] * 3
 
 
+def test_more_languages_than_one_word_has_bits(spark):
+    """150 languages, each with letters of its own; the last one has the fewest n-grams."""
+    abc = [chr(0x4E00 + i) for i in range(600)]
+    text = lambda i: " ".join("".join(abc[4 * i:4 * i + 4]) for _ in range(300 - i))
+    rows = [(i, text(i), f"l{i:03d}") for i in range(150)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    model = learn_filters(docs)
+    assert model.languages == [x for _, _, x in rows] and model.slices.shape[0] == 3
+    got = {r["doc_id"]: (r["lang_pred"], r["score"]) for r in predict_languages(docs, model).collect()}
+    assert all(got[i][0] == x and got[i][1] > 0.99 for i, _, x in rows)
+
+
 def test_language_hard_rows(spark, hard_docs):
     model = learn_filters(hard_docs)
     rows = predict_languages(hard_docs, model).collect()
