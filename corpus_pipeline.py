@@ -20,31 +20,35 @@ from tabsight.llm.oddsketch import near_duplicates  # noqa: E402
 from tabsight.llm.packing import pack_documents  # noqa: E402
 from tabsight.llm.quality import judge_quality  # noqa: E402
 from tabsight.llm.queries import word_vocabulary  # noqa: E402
-from tabsight.llm.staging import Stage, iid, remove_path  # noqa: E402
+from tabsight.llm.staging import Stage, iid, remove_path, text_tie  # noqa: E402
 
 
 def _keep(docs: DataFrame, verdict: DataFrame) -> DataFrame:
-    """Rows of ``docs`` whose id has a kept row in ``verdict`` (doc_id, kept); null ids count as one id."""
-    kept = verdict.filter("kept").select(iid().alias("__doc")).distinct()
-    return docs.withColumn("__doc", iid()).join(kept, "__doc", "left_semi").select(*docs.columns)
+    """Rows of ``docs`` whose id and text have a kept row in ``verdict`` (doc_id, tie, kept)."""
+    kept = verdict.filter("kept").select(iid().alias("__doc"), F.col("tie").alias("__tie")).distinct()
+    return _keyed(docs).join(kept, ["__doc", "__tie"], "left_semi").select(*docs.columns)
+
+
+def _keyed(docs: DataFrame) -> DataFrame:
+    return docs.withColumn("__doc", iid()).withColumn("__tie", text_tie())
 
 
 def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without a letter, or of whose 3-grams the best language explains less than its limit, go."""
-    verdict = Stage(spark, "language").put(identify_languages(docs, carry=("lang",)))
+    verdict = Stage(spark, "language").put(identify_languages(docs.withColumn("tie", text_tie()), carry=("lang", "tie")))
     limits, other = score_limits(verdict)
     limit = F.lit(other)
     if limits:
         rows = spark.createDataFrame(list(limits.items()), "lang_pred string, limit double")
         verdict = verdict.join(F.broadcast(rows), "lang_pred", "left")
         limit = F.coalesce("limit", limit)
-    return _keep(docs, verdict.select("doc_id", ((F.col("lang_pred") != "und") & (F.col("score") >= limit)).alias("kept")))
+    return _keep(docs, verdict.select("doc_id", "tie", ((F.col("lang_pred") != "und") & (F.col("score") >= limit)).alias("kept")))
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that fail the base rules or the likelihood ratio go."""
     labels = spark.read.parquet(f"{sf_dir.rstrip('/')}/labels.parquet")
-    return _keep(docs, judge_quality(spark, docs, labels).select("doc_id", "kept"))
+    return _keep(docs, judge_quality(spark, docs.withColumn("tie", text_tie()), labels, carry=("tie",)))
 
 
 def line_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -58,7 +62,11 @@ def line_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def near_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each near-duplicate group stays (five-word shingles, similarity 0.8)."""
-    return _keep(docs, near_duplicates(spark, docs, width=5, percent=80).select("doc_id", "kept"))
+    verdict = near_duplicates(spark, docs, width=5, percent=80, ties=True)
+    out = _keep(docs, verdict)
+    if not verdict.groupBy("doc_id", "tie").count().filter("count > 1").isEmpty():
+        out = _keyed(out).dropDuplicates(["__doc", "__tie"]).select(*docs.columns)   # one of the exact repeats of a row
+    return out
 
 
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -9,6 +9,9 @@ one run of the next level, so a line is rewritten once per level and a batch mee
 The survivors also say which document owns which line: a document's eligible lines stay where the document owns them.
 A hot line is one row per task after the map-side minimum, and a document is joined with its own lines only.
 
+Null ids come before all others; each row without an id is a document of its own, told apart by a hash of its text (the
+tie, null for rows with an id), and the smallest tie owns a line.
+
 Null or empty text is one empty line.  Lines whose key is shorter than ``min_chars`` code points always stay.  Rows that
 repeat a doc_id count as the same document.  An empty table gives no rows.
 """
@@ -24,7 +27,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tabsight.llm.staging import Stage, iid, remove_path
+from tabsight.llm.staging import Stage, iid, remove_path, text_tie
 
 #: white space that a line's key loses at both ends: space and \x09-\x0D
 _BLANK = b" \t\n\x0b\x0c\r"
@@ -50,8 +53,13 @@ def lines_of(text: Column) -> Column:
     return F.split(F.coalesce(text.cast("string"), F.lit("")), "\n", -1)
 
 
+def _owner() -> list[Column]:
+    """Smallest holder: NULL_ID is the smallest doc and only its rows have a tie, so the two minima are of one row."""
+    return [F.min("doc").alias("doc"), F.min("tie").alias("tie")]
+
+
 class LineRuns:
-    """The levelled runs.  ``add`` takes one batch of (h1, h2, doc) rows and returns the rows that the batch owns."""
+    """The levelled runs.  ``add`` takes one batch of (h1, h2, doc, tie) rows and returns the rows that the batch owns."""
 
     def __init__(self, spark: SparkSession, stage: Stage, buckets: int, fanout: int = 4):
         self.spark, self.stage, self.buckets, self.fanout = spark, stage, buckets, fanout
@@ -75,7 +83,7 @@ class LineRuns:
         remove_path(self.spark, self.stage.path(name))
 
     def add(self, lines: DataFrame) -> DataFrame:
-        new = lines.groupBy("h1", "h2").agg(F.min("doc").alias("doc"))
+        new = lines.groupBy("h1", "h2").agg(*_owner())
         for level in reversed(self.levels):
             for run in level:
                 new = new.join(self.spark.table(run).select("h1", "h2").hint("merge"), ["h1", "h2"], "left_anti")
@@ -83,7 +91,7 @@ class LineRuns:
         if not self.levels:
             self.levels.append([])
         self.levels[0].append(run)
-        own = self.spark.read.schema("h1 bigint, h2 bigint, doc bigint").parquet(self.stage.path(run))
+        own = self.spark.read.schema("h1 bigint, h2 bigint, doc bigint, tie bigint").parquet(self.stage.path(run))
         return self._compacted(own)
 
     def _compacted(self, own: DataFrame) -> DataFrame:
@@ -109,17 +117,17 @@ def dedup_lines(spark: SparkSession, docs: DataFrame, min_chars: int = 10, batch
     Eligible lines stay only in the smallest doc_id that holds them; the others stay, joined by ``\\n``."""
     stage = Stage(spark, "linededup")
     docs = docs.drop("kept_text", "n_lines", "n_dropped")
-    ident = iid()
+    ident, tie = iid(), F.when(F.col("doc_id").isNull(), text_tie())
     cuts = (docs.select(ident.alias("doc")).approxQuantile("doc", [i / batches for i in range(1, batches)], 0.01)
             if batches > 1 else [])
     batch = F.lit(0)
     for c in cuts:
         batch = batch + (F.col("doc") > F.lit(int(c))).cast("int")
-    lines = (docs.select(ident.alias("doc"), F.explode(lines_of(F.col("text"))).alias("line"))
-             .select("doc", line_key(F.col("line")).alias("key")).filter(F.char_length("key") >= min_chars)
-             .select("doc", F.xxhash64("key").alias("h1"), F.xxhash64(F.lit(_SALT), F.col("key")).alias("h2"),
+    lines = (docs.select(ident.alias("doc"), tie.alias("tie"), F.explode(lines_of(F.col("text"))).alias("line"))
+             .select("doc", "tie", line_key(F.col("line")).alias("key")).filter(F.char_length("key") >= min_chars)
+             .select("doc", "tie", F.xxhash64("key").alias("h1"), F.xxhash64(F.lit(_SALT), F.col("key")).alias("h2"),
                      batch.alias("batch")))
-    lines = stage.put(lines.groupBy("batch", "h1", "h2").agg(F.min("doc").alias("doc")), ["batch"])
+    lines = stage.put(lines.groupBy("batch", "h1", "h2").agg(*_owner()), ["batch"])
     runs = LineRuns(spark, stage, int(spark.conf.get("spark.sql.shuffle.partitions")), fanout)
     owned = None
     for b in range(batches):
@@ -127,9 +135,10 @@ def dedup_lines(spark: SparkSession, docs: DataFrame, min_chars: int = 10, batch
         owned = got if owned is None else owned.unionByName(got)
     runs.close()
     stage.drop(lines)
-    owned = (owned.groupBy(F.col("doc").alias("__doc"))
+    owned = (owned.groupBy(F.col("doc").alias("__doc"), F.coalesce("tie", F.lit(0)).alias("__tie"))
              .agg(F.collect_list("h1").alias("__own1"), F.collect_list("h2").alias("__own2")))
-    joined = docs.withColumn("__doc", ident).join(owned, "__doc", "left").select(*docs.columns, "__own1", "__own2")
+    joined = (docs.withColumn("__doc", ident).withColumn("__tie", F.coalesce(tie, F.lit(0)))
+              .join(owned, ["__doc", "__tie"], "left").select(*docs.columns, "__own1", "__own2"))
     names, added = docs.columns, ["kept_text", "n_lines", "n_dropped"]
     schema = T.StructType([*docs.schema.fields, T.StructField("kept_text", T.StringType()),
                            T.StructField("n_lines", T.LongType()), T.StructField("n_dropped", T.LongType())])

@@ -2,7 +2,7 @@
 
 1. Each task turns whole texts into sets of distinct word shingles (64-bit hashes), takes ``samples`` MinHash values and
    folds them into a parity bitmap of ``bits`` bits (the odd sketch).  ``bands`` groups of the samples become bucket keys.
-2. Documents with equal sets collapse into one class, represented by its smallest id.
+2. Rows get a number; rows with equal sets collapse into one class, represented by its smallest row number.
 3. Star phase: in every bucket each representative is a candidate with the bucket's smallest one.  Candidates whose
    sketches' XOR population count exceeds :func:`popcount_cut` are dropped (a true link fails with probability < 1e-9);
    the others are compared on their full sets.  Components of the confirmed links label the representatives.
@@ -14,8 +14,10 @@
 
 A pair at the threshold of 0.8 shares no band with probability (1 - 0.8^4)^32 < 5e-8 with the defaults.
 
-Text without words (or null) has the empty set and is linked with nothing.  Rows that repeat a doc_id are judged
-each by its own text; where their texts differ, links of an id that represents a class count for all of its texts.  An empty table gives no rows.
+Everything between goes by row number; the id only orders and names: a component is named after its smallest id (null
+ids come first) and keeps one row, the first by (id, text hash, row number).  So rows without an id, and rows that repeat
+an id, are documents of their own.  Text without words (or null) has the empty set and is linked with nothing.  An empty
+table gives no rows.
 """
 
 from __future__ import annotations
@@ -30,7 +32,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tabsight.llm.components import connected_components, joined_labels
-from tabsight.llm.staging import Stage, from_iid, iid
+from tabsight.llm.staging import Stage, from_iid, iid, text_tie
 from tabsight.llm.textbatch import mix64, split_words, text_slices, word_hashes
 
 BANDS, ROWS = 32, 4
@@ -109,11 +111,11 @@ def estimated_jaccard(popcount: np.ndarray, samples: int, bits: int) -> np.ndarr
 
 
 def document_profiles(docs: DataFrame, width: int, bands: int, rows: int) -> DataFrame:
-    """(doc, n_shingles, set hashes, bucket keys, sketch) per document; keys and sketch are null for empty sets."""
+    """(id, tie, n_shingles, set hashes, bucket keys, sketch) per row; keys and sketch are null for empty sets."""
 
     def run(batches):
         for b in batches:
-            ids = b.column(b.schema.get_field_index("doc"))
+            ids, ties = _col(b, "id"), _col(b, "tie")
             for lo, texts in text_slices(b):
                 flat, offs = shingle_sets(texts, width)
                 n = np.diff(offs)
@@ -132,13 +134,13 @@ def document_profiles(docs: DataFrame, width: int, bands: int, rows: int) -> Dat
                 pick = pa.array(row, mask=row < 0)
                 keys = pa.ListArray.from_arrays(np.arange(0, key.size + 1, bands, dtype=np.int32),
                                                 pa.array(key.view(np.int64).ravel()))
-                cols = [ids.slice(lo, len(n)), pa.array(n.astype(np.int64)), pa.array(dig[:, 0]), pa.array(dig[:, 1]),
+                cols = [ids.slice(lo, len(n)), ties.slice(lo, len(n)), pa.array(n.astype(np.int64)), pa.array(dig[:, 0]), pa.array(dig[:, 1]),
                         keys.take(pick)]
                 cols += [pa.array(np.ascontiguousarray(sk[:, i]).view(np.int64)).take(pick) for i in range(_WORDS)]
-                yield pa.RecordBatch.from_arrays(cols, names=["doc", "n_shingles", "d1", "d2", "bands", *_SKETCH])
+                yield pa.RecordBatch.from_arrays(cols, names=["id", "tie", "n_shingles", "d1", "d2", "bands", *_SKETCH])
 
-    return docs.select(iid().alias("doc"), F.col("text").cast("string").alias("text")).mapInArrow(
-        run, "doc bigint, n_shingles bigint, d1 bigint, d2 bigint, bands array<bigint>, "
+    return docs.select(iid().alias("id"), text_tie().alias("tie"), F.col("text").cast("string").alias("text")).mapInArrow(
+        run, "id bigint, tie bigint, n_shingles bigint, d1 bigint, d2 bigint, bands array<bigint>, "
              + ", ".join(f"{s} bigint" for s in _SKETCH))
 
 
@@ -258,23 +260,26 @@ def _block_links(cut: int, bands: int, percent: int):
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, width: int = 5, percent: int = 80, bands: int = BANDS,
-                    rows: int = ROWS, chunk: int = 2048, chunk_shingles: int = 1 << 21) -> DataFrame:
-    """(doc_id, n_shingles, component_id, kept) per row of ``docs``: documents whose shingle sets have a Jaccard
+                    rows: int = ROWS, chunk: int = 2048, chunk_shingles: int = 1 << 21, ties: bool = False) -> DataFrame:
+    """(doc_id, n_shingles, component_id, kept) and, with ``ties``, tie (the text's hash) per row of ``docs``: documents whose shingle sets have a Jaccard
     similarity of at least ``percent`` / 100 are linked; a component is named after its smallest doc_id."""
     stage = Stage(spark, "neardup")
     cut = popcount_cut(bands * rows, BITS, percent / 100)
-    prof = stage.put(document_profiles(docs, width, bands, rows))
-    classes = stage.put(prof.filter("n_shingles > 0").groupBy("d1", "d2").agg(F.min("doc").alias("rep")))
-    reps = (prof.filter("n_shingles > 0").join(classes.withColumn("doc", F.col("rep")), ["d1", "d2", "doc"])
-            .select("doc", "n_shingles", "bands", *_SKETCH))
+    prof = stage.put(document_profiles(docs, width, bands, rows).withColumn("doc", F.monotonically_increasing_id()))
+    classes = stage.put(prof.filter("n_shingles > 0").groupBy("d1", "d2").agg(
+        F.min("doc").alias("rep"), F.min(F.struct("id", "tie", "doc")).alias("first")))
+    reps = (prof.filter("n_shingles > 0").join(classes.select("d1", "d2", F.col("rep").alias("doc")), ["d1", "d2", "doc"])
+            .select("doc", "id", "tie", "n_shingles", "bands", *_SKETCH))
     reps = stage.put(reps)
 
     keyed = reps.select("doc", "n_shingles", F.explode("bands").alias("key"))
     hubs = keyed.groupBy("key").agg(F.min("doc").alias("hub"), F.max("doc").alias("top"))
     shared = stage.put(keyed.join(hubs.filter("hub != top").drop("top"), "key"))
-    full = docs.select(iid().alias("doc"), F.col("text").cast("string").alias("text")).join(
-        shared.select("doc").distinct(), "doc", "left_semi")
-    sets = stage.put(document_sets(full, width))
+    texts = docs.select(iid().alias("id"), text_tie().alias("tie"), F.col("text").cast("string").alias("text"))
+    full = texts.join(reps.select("doc", "id", "tie").join(shared.select("doc").distinct(), "doc", "left_semi"), ["id", "tie"])
+    if not prof.groupBy("id", "tie").count().filter("count > 1").isEmpty():
+        full = full.dropDuplicates(["id", "tie"])   # exact repeats of a row
+    sets = stage.put(document_sets(full.select("doc", "text"), width))
 
     star = shared.filter("doc != hub").select("hub", "doc").distinct()
     sketch = reps.select("doc", *_SKETCH)
@@ -295,7 +300,7 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, width: int = 5, percen
                .withColumn("c", F.pmod(F.xxhash64("doc"), F.col("chunks")))
                .withColumn("other", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("chunks") - 1)))
                .select("key", F.least("c", "other").alias("i"), F.greatest("c", "other").alias("j"), "c", "doc", "label"))
-    block = members.join(reps.drop("n_shingles"), "doc").repartition("key", "i", "j").sortWithinPartitions("key", "i", "j", "doc")
+    block = members.join(reps.select("doc", "bands", *_SKETCH), "doc").repartition("key", "i", "j").sortWithinPartitions("key", "i", "j", "doc")
     kind = block.schema
     needed = stage.put(block.mapInArrow(_block_members(cut, bands), kind))
     block = needed.join(sets, "doc").repartition("key", "i", "j").sortWithinPartitions("key", "i", "j", "doc")
@@ -303,15 +308,17 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, width: int = 5, percen
     if n_more:
         labels = joined_labels(stage, labels, more)
 
-    rep_label = classes.join(labels, classes["rep"] == labels["node"], "left").select(
-        "d1", "d2", F.coalesce("label", "rep").alias("component"))
+    named = classes.join(labels, classes["rep"] == labels["node"], "left").select(
+        "d1", "d2", "first", F.coalesce("label", "rep").alias("label"))
+    rep_label = named.select("d1", "d2", "label").join(named.groupBy("label").agg(F.min("first").alias("first")), "label")
     out = stage.put(
-        prof.filter("n_shingles > 0").select("doc", "n_shingles", "d1", "d2").join(rep_label, ["d1", "d2"])
-        .select("doc", "n_shingles", "component")
-        .unionByName(prof.filter("n_shingles = 0").select("doc", "n_shingles", F.col("doc").alias("component"))))
+        prof.filter("n_shingles > 0").select("id", "tie", "doc", "n_shingles", "d1", "d2").join(rep_label, ["d1", "d2"])
+        .select("id", "tie", "n_shingles", F.col("first.id").alias("component"), (F.col("doc") == F.col("first.doc")).alias("kept"))
+        .unionByName(prof.filter("n_shingles = 0").select("id", "tie", "n_shingles", F.col("id").alias("component"),
+                                                          F.lit(True).alias("kept"))))
     stage.drop(prof, classes, reps, shared, sets, links, marked, needed, more)
-    return out.select(from_iid("doc").alias("doc_id"), "n_shingles", from_iid("component").alias("component_id"),
-                      (F.col("doc") == F.col("component")).alias("kept"))
+    return out.select(from_iid("id").alias("doc_id"), "n_shingles", from_iid("component").alias("component_id"), "kept",
+                      *(["tie"] if ties else []))
 
 
 def _confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:

@@ -181,3 +181,45 @@ def test_connected_components_paths_and_stars(spark):
         first = connected_components(stage, spark.createDataFrame(shape[:cut], "a long, b long"))
         both = joined_labels(stage, first, spark.createDataFrame(shape[cut:], "a long, b long"))
         assert {r["node"]: r["label"] for r in both.collect()} == got
+
+
+def _third_null(seed=2):
+    """Rows of which a third have no id: shared lines, near copies and exact repeats within and across them."""
+    rnd = random.Random(seed)
+    base = [[f"w{rnd.randint(0, 5000)}" for _ in range(120)] for _ in range(4)]
+    rows = []
+    for i in range(150):
+        t = list(base[i % 4])
+        for _ in range(rnd.choice([0, 1, 2, 60])):
+            t[rnd.randrange(120)] = f"e{rnd.randint(0, 10 ** 6)}"
+        rows.append((None if i % 3 == 0 else i, " ".join(t) + f"\nthis line is shared by group {i % 5}\nown line of row number {i}"))
+    rows += [(None, rows[0][1]), (None, rows[0][1]), (1, rows[1][1]), (1, rows[2][1] + " again"), (None, None), (None, "")]
+    return rows
+
+
+def test_line_runs_with_a_third_of_the_ids_null(spark):
+    rows = _third_null()
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = [(r["doc_id"], r["kept_text"], r["text"]) for r in dedup_lines(spark, df, batches=3).collect()]
+    assert Counter((i, t) for i, _, t in got) == Counter(rows)
+    holders = defaultdict(set)
+    for i, kept, t in got:
+        for line in kept.split("\n"):
+            if len(line) >= 10:
+                holders[line].add((i, t if i is None else None))   # a null-id document is its text
+    assert set(holders) == {x for _, t in rows for x in (t or "").split("\n") if len(x) >= 10}
+    low = {k: min((float("-inf") if i is None else i) for i, t in rows if k in (t or "").split("\n")) for k in holders}
+    assert all(len(h) == 1 and [float("-inf") if i is None else i for i, _ in h] == [low[k]] for k, h in holders.items())
+
+
+def test_near_duplicates_with_a_third_of_the_ids_null(spark):
+    rows = _third_null()
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    out = near_duplicates(spark, df, width=4, ties=True).collect()
+    order = sorted(range(len(rows)), key=lambda k: (rows[k][0] is not None, rows[k][0] or 0))
+    comp = brute_components([(k, rows[j][1]) for k, j in enumerate(order)], 4)   # rows numbered by id
+    want = Counter((rows[j][0], comp[k][0], rows[order[comp[k][1]]][0]) for k, j in enumerate(order))
+    assert Counter((r["doc_id"], r["n_shingles"], r["component_id"]) for r in out) == want
+    full = [r for r in out if r["n_shingles"]]
+    assert sum(r["kept"] for r in full) == len({c for n, c in comp.values() if n})   # one row a component
+    assert all(r["kept"] for r in out if not r["n_shingles"])

@@ -62,3 +62,15 @@ def test_language_stage_drops_gibberish_and_unlearned_languages(spark):
     both = docs.unionByName(planted, allowMissingColumns=True)
     left = {r["doc_id"] for r in P.language_stage(spark, both, sf).select("doc_id").collect()}
     assert left == {r["doc_id"] for r in docs.filter(F.col("text").rlike("\\p{L}")).select("doc_id").collect()}
+
+
+def test_stages_judge_rows_without_an_id_one_by_one(spark):
+    """Null-id rows: gibberish goes though others stay, and of near copies and exact repeats one row stays."""
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    text = max((r["text"] for r in docs.filter("lang = 'en'").collect() if r["text"]), key=len)
+    rows = [(None, text, "en"), (None, text, "en"), (None, text + " again", "en"), (None, "xqzv kjwq zzxv qkwj vvqx", "en")]
+    nulls = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    both = docs.unionByName(nulls, allowMissingColumns=True)
+    kept = [r["text"] for r in P.language_stage(spark, both, SF).filter("doc_id IS NULL").collect()]
+    assert sorted(kept) == sorted([text, text, text + " again"])
+    assert [r["text"].startswith(text) for r in P.near_stage(spark, nulls.filter("text NOT LIKE 'xqzv%'"), SF).collect()] == [True]
