@@ -166,3 +166,27 @@ def op9_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op10_odd_sketches(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tabsight.llm.oddsketch import near_duplicates
     return near_duplicates(spark, _table(spark, sf_dir, "documents"), width=4, percent=80)
+
+
+@_register("op11_target_alignment")
+def op11_target_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tabsight.llm.staging import Stage
+    from tabsight.llm.turns import audit_conversations, damaged, repaired_digests
+    order = ("file_name", "row_index")      # turns of equal number stay in file order
+    turns = damaged(_table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text", "_metadata.file_name",
+                                                                  "_metadata.row_index"), order)
+    audits = Stage(spark, "audits").put(audit_conversations(spark, turns, order, "present"))
+    digests = repaired_digests(turns, audits, order, "present")
+    return audits.join(digests, audits.conv_id.eqNullSafe(digests.conv)).drop("conv")
+
+
+@_register("op12_transducer_lexicon")
+def op12_transducer_lexicon(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tabsight.llm.lexicon import encoding_digests
+    return encoding_digests(spark, _table(spark, sf_dir, "documents"), word_vocabulary())
+
+
+@_register("op13_difference_cover_runs")
+def op13_difference_cover_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tabsight.llm.periodic import planted_period, run_digests
+    return run_digests(_table(spark, sf_dir, "documents"), planted_period)
