@@ -1,7 +1,7 @@
 """BPE encoding and decoding by a minimal acyclic transducer of frequent words, with exact merging of all others.
 
-1. :func:`frequent_words` counts the white-space-separated words of all documents; the ``max_words`` most frequent ones
-   (a bound that does not grow with the corpus) are encoded and compiled by :func:`build_transducer`: an acyclic automaton
+1. :func:`frequent_words` counts the white-space-separated words of all documents; the most frequent ones (at most
+   ``max_words``, a bound that does not grow with the corpus) are encoded and compiled by :func:`build_transducer`: an acyclic automaton
    over UTF-8 bytes whose arcs carry token ids, pushed as near to the start as the words allow, so that equal remainders
    share their states.  Byte 0 ends a word.
 2. The automaton is one flat file below the shared folder; tasks memory-map it (a store that cannot be mapped is read
@@ -404,8 +404,8 @@ def folded(texts: pa.Array) -> pa.Array:
     return pc.if_else(odd, texts, lower) if pc.any(odd).as_py() else lower
 
 
-def frequent_words(docs: DataFrame, max_words: int = MAX_WORDS) -> DataFrame:
-    """The most frequent words of all texts (word binary, n), lower-cased; ties by the smaller word."""
+def word_counts(docs: DataFrame) -> DataFrame:
+    """(word binary, n) of all words of all texts, lower-cased, up to ``MAX_WORD_BYTES`` and without special tokens."""
     def count(batches):
         for b in batches:
             for _, texts in text_slices(b):
@@ -414,12 +414,27 @@ def frequent_words(docs: DataFrame, max_words: int = MAX_WORDS) -> DataFrame:
 
     words = docs.select(F.col("text").cast("string").alias("text")).mapInArrow(count, "word binary, n bigint")
     words = words.filter((F.length("word") > 0) & (F.length("word") <= MAX_WORD_BYTES) & ~F.contains("word", F.lit(b"<|")))
-    return words.groupBy("word").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "word").limit(max_words)
+    return words.groupBy("word").agg(F.sum("n").alias("n"))
+
+
+def frequent_words(spark: SparkSession, docs: DataFrame, max_words: int = MAX_WORDS) -> DataFrame:
+    """The words (word binary, n) that occur at least as often as the smallest limit that at most ``max_words`` words reach;
+    limits are 1, 2, 4, ... with 16 geometric steps between.  The driver sees one row a step."""
+    counts = Stage(spark, "words").put(word_counts(docs))
+    step = F.floor(F.log2("n") * 16).cast("int")
+    reach, least = 0, None
+    for r in sorted(counts.groupBy(step.alias("step")).agg(F.count(F.lit(1)).alias("words"), F.min("n").alias("n")).collect(),
+                    key=lambda r: -r["step"]):
+        reach += r["words"]
+        if reach > max_words:
+            break
+        least = r["n"]
+    return counts.filter(F.col("n") >= least) if least is not None else counts.limit(0)
 
 
 def write_lexicon(spark: SparkSession, docs: DataFrame, tokenizer_path: str, max_words: int = MAX_WORDS) -> str:
     """Compile the corpus's frequent words; the file's place below the shared folder."""
-    words = sorted(bytes(r["word"]) for r in frequent_words(docs, max_words).collect() if b"\0" not in r["word"])
+    words = sorted(bytes(r["word"]) for r in frequent_words(spark, docs, max_words).collect() if b"\0" not in r["word"])
     flat, offs = LexiconEncoder(MergeModel.shared(tokenizer_path)).word_ids(pa.array(words, pa.large_binary()))
     flat, offs = flat.tolist(), offs.tolist()
     data = transducer_bytes(build_transducer(words, [tuple(flat[a:b]) for a, b in zip(offs[:-1], offs[1:])]))

@@ -251,13 +251,18 @@ def test_lexicon_query_and_hard_rows(spark, docs, hard_docs, library):
 
 
 def test_frequent_words_counts_all_rows(spark, hard_docs):
-    got = {bytes(r["word"]).decode(): r["n"] for r in lexicon.frequent_words(hard_docs, 10 ** 6).collect()}
+    got = {bytes(r["word"]).decode(): r["n"] for r in lexicon.word_counts(hard_docs).collect()}
     exp = {}
     for r in hard_docs.collect():
         for w in WORD.findall(r["text"] or ""):
             if "<|" not in w and len(w.encode()) <= 64:
                 exp[w.lower()] = exp.get(w.lower(), 0) + 1
     assert got == exp
+    for most in (0, 5, 100, 10 ** 6):
+        top = {bytes(r["word"]).decode(): r["n"] for r in lexicon.frequent_words(spark, hard_docs, most).collect()}
+        assert len(top) <= most and all(exp[w] == n for w, n in top.items())
+        assert not top or max((n for w, n in exp.items() if w not in top), default=0) < min(top.values())
+    assert len(top) == len(exp)
 
 
 # -- periodic runs --------------------------------------------------------------------------------------------------
