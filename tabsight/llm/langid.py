@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tabsight.llm.staging import from_iid, iid
-from tabsight.llm.textbatch import SLICE_BYTES, gram_chunks, mix64, split_words, text_slices
+from tabsight.llm.textbatch import SLICE_BYTES, gram_chunks, lean, mix64, split_words, text_slices
 
 ORDERS = (1, 2, 3)
 #: the order whose n-grams make the score
@@ -70,6 +70,7 @@ def probe_slot(grams: np.ndarray, j: int, slots: int) -> np.ndarray:
 def gram_counts(docs: DataFrame) -> DataFrame:
     """(lang, gram, n): n-gram counts per language over the whole texts of ``docs`` (text, lang)."""
 
+    @lean
     def run(batches):
         for b in batches:
             langs = b.column(b.schema.get_field_index("lang")).dictionary_encode()
@@ -126,53 +127,62 @@ def learn_filters(train: DataFrame, min_share: float = MIN_SHARE, ratio: float =
     return LanguageFilter(names, slices, fill ** probes, probes)
 
 
-def predict_languages(docs: DataFrame, model: LanguageFilter, carry: tuple[str, ...] = ()) -> DataFrame:
-    """(doc_id, lang_pred, score, ``carry`` columns) of every whole text; score is the winner's corrected share of the
-    text's n-grams of order ``SCORE_ORDER``."""
-    k = len(model.languages)
+def _best_languages(model: LanguageFilter, texts: pa.Array) -> tuple[pa.Array, np.ndarray]:
+    """(language, score) of a slice of texts."""
+    k, n = len(model.languages), len(texts)
     names = np.array([*model.languages, "und"], dtype=object)
-
+    doc, word, words = split_words(texts)
+    hits, total, letter = np.zeros((2, k, n)), np.zeros((2, n)), np.zeros(n)   # all orders, SCORE_ORDER
+    if len(word):
+        has = pc.match_substring_regex(words, r"\pL").to_numpy(zero_copy_only=False)
+        letter = np.bincount(doc, weights=has[word], minlength=n)
+        kind = model.slices.dtype.type
+        for order in ORDERS:
+            grams, found = np.zeros(len(words)), np.zeros((k, len(words)))
+            for w, g in gram_chunks(words, (order,)):
+                grams += np.bincount(w, minlength=len(words))
+                for i in range(k):
+                    if i % WORD_BITS == 0:
+                        mask = model.lookup(g, i // WORD_BITS)
+                    found[i] += np.bincount(w, weights=(mask >> kind(i % WORD_BITS)) & kind(1), minlength=len(words))
+            to = slice(0, 2 if order == SCORE_ORDER else 1)
+            total[to] += np.bincount(doc, weights=grams[word], minlength=n)
+            for i in range(k):
+                hits[to, i] += np.bincount(doc, weights=found[i][word], minlength=n)
+    if k:
+        f = model.false_rate[:, None]
+        share = np.clip((hits - f * total[:, None]) / np.maximum((1 - f) * total[:, None], 1e-9), 0, 1)
+        best = share[0].argmax(axis=0)
+        score = share[1, best, np.arange(n)]
+    else:
+        best, score = np.zeros(n, dtype=int), np.zeros(n)
+    none = (letter == 0) | (k == 0)
+    return pa.array(names[np.where(none, k, best)], pa.string()), np.where(none, 0.0, score)
+
+
+def tag_languages(docs: DataFrame, model: LanguageFilter, pred: str = "lang_pred", score: str = "score") -> DataFrame:
+    """All columns of ``docs`` and two more (columns of those names are replaced), in one pass: whole rows go through the
+    task that judges them.  The score is the winner's corrected share of the text's n-grams of order ``SCORE_ORDER``."""
+    docs = docs.drop(pred, score)
+    docs = docs.withColumn("text", F.col("text").cast("string"))
+    slice_bytes = min(SLICE_BYTES, COUNT_BYTES // max(len(model.languages), 1))
+
+    @lean
     def run(batches):
         for b in batches:
-            ids = b.column(b.schema.get_field_index("doc_id"))
-            for lo, texts in text_slices(b, max_bytes=min(SLICE_BYTES, COUNT_BYTES // max(k, 1))):
-                n = len(texts)
-                doc, word, words = split_words(texts)
-                hits, total, letter = np.zeros((2, k, n)), np.zeros((2, n)), np.zeros(n)   # all orders, SCORE_ORDER
-                if len(word):
-                    has = pc.match_substring_regex(words, r"\pL").to_numpy(zero_copy_only=False)
-                    letter = np.bincount(doc, weights=has[word], minlength=n)
-                    kind = model.slices.dtype.type
-                    for order in ORDERS:
-                        grams, found = np.zeros(len(words)), np.zeros((k, len(words)))
-                        for w, g in gram_chunks(words, (order,)):
-                            grams += np.bincount(w, minlength=len(words))
-                            for i in range(k):
-                                if i % WORD_BITS == 0:
-                                    mask = model.lookup(g, i // WORD_BITS)
-                                found[i] += np.bincount(w, weights=(mask >> kind(i % WORD_BITS)) & kind(1), minlength=len(words))
-                        to = slice(0, 2 if order == SCORE_ORDER else 1)
-                        total[to] += np.bincount(doc, weights=grams[word], minlength=n)
-                        for i in range(k):
-                            hits[to, i] += np.bincount(doc, weights=found[i][word], minlength=n)
-                if k:
-                    f = model.false_rate[:, None]
-                    share = np.clip((hits - f * total[:, None]) / np.maximum((1 - f) * total[:, None], 1e-9), 0, 1)
-                    best = share[0].argmax(axis=0)
-                    score = share[1, best, np.arange(n)]
-                else:
-                    best, score = np.zeros(n, dtype=int), np.zeros(n)
-                none = (letter == 0) | (k == 0)
-                yield pa.RecordBatch.from_arrays(
-                    [ids.slice(lo, n), pa.array(names[np.where(none, k, best)], pa.string()),
-                     pa.array(np.where(none, 0.0, score)),
-                     *(b.column(b.schema.get_field_index(c)).slice(lo, n) for c in carry)],
-                    names=["doc_id", "lang_pred", "score", *carry])
+            for lo, texts in text_slices(b, max_bytes=slice_bytes):
+                best, scores = _best_languages(model, texts)
+                part = b.slice(lo, len(texts))
+                yield pa.RecordBatch.from_arrays([*part.columns, best, pa.array(scores)], names=[*b.schema.names, pred, score])
 
+    schema = T.StructType([*docs.schema, T.StructField(pred, T.StringType()), T.StructField(score, T.DoubleType())])
+    return docs.mapInArrow(run, schema)
+
+
+def predict_languages(docs: DataFrame, model: LanguageFilter, carry: tuple[str, ...] = ()) -> DataFrame:
+    """(doc_id, lang_pred, score, ``carry`` columns) of every whole text."""
     rows = docs.select(iid().alias("doc_id"), F.col("text").cast("string").alias("text"), *carry)
-    schema = T.StructType([T.StructField("doc_id", T.LongType()), T.StructField("lang_pred", T.StringType()),
-                           T.StructField("score", T.DoubleType()), *(rows.schema[c] for c in carry)])
-    return rows.mapInArrow(run, schema).withColumn("doc_id", from_iid("doc_id"))
+    return tag_languages(rows, model).select(from_iid("doc_id").alias("doc_id"), "lang_pred", "score", *carry)
 
 
 def held_out():
@@ -180,13 +190,14 @@ def held_out():
     return F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 == 0, F.lit(False))
 
 
-def score_limits(predicted: DataFrame) -> tuple[dict[str, float], float]:
+def score_limits(predicted: DataFrame, pred: str = "lang_pred", score: str = "score") -> tuple[dict[str, float], float]:
     """Smallest score that counts as the language, and the limit of languages without a correct held-out document.
 
-    ``predicted`` holds doc_id, lang, lang_pred and score.  A limit is ``LIMIT_PART`` of the median score of the language's
-    correctly labelled held-out documents (the median, as junk may be labelled too); the others take the smallest limit."""
-    known = predicted.filter(held_out() & (F.col("lang") == F.col("lang_pred")))
-    rows = known.groupBy("lang").agg(F.percentile_approx("score", 0.5).alias("mid")).collect()   # one row a language
+    ``predicted`` holds doc_id, lang, and the columns ``pred`` and ``score``.  A limit is ``LIMIT_PART`` of the median score of
+    the language's correctly labelled held-out documents (the median, as junk may be labelled too); the others take the
+    smallest limit."""
+    known = predicted.filter(held_out() & (F.col("lang") == F.col(pred)))
+    rows = known.groupBy("lang").agg(F.percentile_approx(score, 0.5).alias("mid")).collect()   # one row a language
     limits = {r["lang"]: LIMIT_PART * r["mid"] for r in rows}
     return limits, min(limits.values(), default=LIMIT_PART)
 

@@ -24,7 +24,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tabsight.llm.staging import Stage, from_iid, iid
-from tabsight.llm.textbatch import text_slices
+from tabsight.llm.textbatch import lean, text_slices
 from tabsight.llm.wordtok import WordTokenizer
 
 _PIECES = "doc_id bigint, piece int, start bigint, length bigint, ids_crc32 bigint, chunk int, lrank bigint"
@@ -34,6 +34,7 @@ def token_pieces(docs: DataFrame, tokenizer_path: str, end_id: int, max_len: int
     """One row per piece of at most ``max_len`` ids; ``lrank`` numbers the pieces of equal length within ``chunk``."""
     end = np.array([end_id], "<u4").tobytes()
 
+    @lean
     def run(batches):
         from pyspark import TaskContext
         tok, chunk, seen = WordTokenizer.shared(tokenizer_path), TaskContext.get().partitionId(), {}
