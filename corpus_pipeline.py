@@ -14,41 +14,32 @@ from pyspark.sql import functions as F
 
 sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
 
-from tabsight.llm.langid import identify_languages, score_limits  # noqa: E402
+from tabsight.llm.langid import held_out, learn_filters, score_limits, tag_languages  # noqa: E402
 from tabsight.llm.linededup import dedup_lines  # noqa: E402
 from tabsight.llm.oddsketch import near_duplicates  # noqa: E402
 from tabsight.llm.packing import pack_documents  # noqa: E402
-from tabsight.llm.quality import judge_quality  # noqa: E402
+from tabsight.llm.quality import keep_quality, learn_quality  # noqa: E402
 from tabsight.llm.queries import word_vocabulary  # noqa: E402
 from tabsight.llm.staging import Stage, iid, remove_path, text_tie  # noqa: E402
 
 
-def _keep(docs: DataFrame, verdict: DataFrame) -> DataFrame:
-    """Rows of ``docs`` whose id and text have a kept row in ``verdict`` (doc_id, tie, kept)."""
-    kept = verdict.filter("kept").select(iid().alias("__doc"), F.col("tie").alias("__tie")).distinct()
-    return _keyed(docs).join(kept, ["__doc", "__tie"], "left_semi").select(*docs.columns)
-
-
-def _keyed(docs: DataFrame) -> DataFrame:
-    return docs.withColumn("__doc", iid()).withColumn("__tie", text_tie())
-
-
 def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without a letter, or of whose 3-grams the best language explains less than its limit, go."""
-    verdict = Stage(spark, "language").put(identify_languages(docs.withColumn("tie", text_tie()), carry=("lang", "tie")))
-    limits, other = score_limits(verdict)
+    names = ("__lang_pred", "__lang_score")
+    tagged = Stage(spark, "language").put(tag_languages(docs, learn_filters(docs.filter(~held_out())), *names))
+    limits, other = score_limits(tagged, *names)
     limit = F.lit(other)
     if limits:
-        rows = spark.createDataFrame(list(limits.items()), "lang_pred string, limit double")
-        verdict = verdict.join(F.broadcast(rows), "lang_pred", "left")
-        limit = F.coalesce("limit", limit)
-    return _keep(docs, verdict.select("doc_id", "tie", ((F.col("lang_pred") != "und") & (F.col("score") >= limit)).alias("kept")))
+        rows = spark.createDataFrame(list(limits.items()), "__lang_pred string, __limit double")
+        limit = F.coalesce("__limit", limit)
+        tagged = tagged.join(F.broadcast(rows), "__lang_pred", "left")   # one row a learned language
+    return tagged.filter((F.col("__lang_pred") != "und") & (F.col("__lang_score") >= limit)).select(*docs.columns)
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that fail the base rules or the likelihood ratio go."""
     labels = spark.read.parquet(f"{sf_dir.rstrip('/')}/labels.parquet")
-    return _keep(docs, judge_quality(spark, docs.withColumn("tie", text_tie()), labels, carry=("tie",)))
+    return keep_quality(docs, learn_quality(spark, docs, labels))
 
 
 def line_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -63,10 +54,14 @@ def line_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def near_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each near-duplicate group stays (five-word shingles, similarity 0.8)."""
     verdict = near_duplicates(spark, docs, width=5, percent=80, ties=True)
-    out = _keep(docs, verdict)
-    if not verdict.groupBy("doc_id", "tie").count().filter("count > 1").isEmpty():
-        out = _keyed(out).dropDuplicates(["__doc", "__tie"]).select(*docs.columns)   # one of the exact repeats of a row
-    return out
+    keyed = docs.withColumn("__doc", iid()).withColumn("__tie", text_tie())
+    rows = verdict.groupBy(iid().alias("__doc"), F.col("tie").alias("__tie")).agg(F.max("kept").alias("kept"), F.count(F.lit(1)).alias("n"))
+    odd = Stage(spark, "copies").put(rows.filter(~F.col("kept") | (F.col("n") > 1)))
+    gone = odd.filter(~F.col("kept")).select("__doc", "__tie")
+    out = keyed.join(gone, ["__doc", "__tie"], "left_anti")     # few rows: broadcast where their files are small enough
+    if not odd.filter("kept").isEmpty():
+        out = out.dropDuplicates(["__doc", "__tie"])   # one of the exact repeats of a row
+    return out.select(*docs.columns)
 
 
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
