@@ -33,7 +33,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tabsight.llm.staging import Stage, open_store, process_cache
-from tabsight.llm.textbatch import text_slices
+from tabsight.llm.textbatch import folded, lean, text_slices
 
 #: frequent words in the automaton
 MAX_WORDS = 1 << 17
@@ -41,9 +41,6 @@ MAX_WORDS = 1 << 17
 #: longer words are not worth a place in it
 MAX_WORD_BYTES = 64
 
-#: a special token is one only as it is written; and lower h, j, t, w, y compose with these marks, upper ones do not
-_AS_WRITTEN = "<[|]|[\u0308\u030a\u030c\u0331]"
-
 #: how the tokenizer cuts a normalised text (fixed value of the public file)
 SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 
@@ -397,15 +394,9 @@ def _filled(n, flat, offs, miss, mflat, moffs):
     return spans(np.concatenate([flat, mflat]), first, size), np.concatenate([[0], np.cumsum(size)])
 
 
-def folded(texts: pa.Array) -> pa.Array:
-    """Texts with A-Z lower-cased where that changes no id."""
-    odd = pc.match_substring_regex(texts, _AS_WRITTEN)
-    lower = pc.ascii_lower(texts)
-    return pc.if_else(odd, texts, lower) if pc.any(odd).as_py() else lower
-
-
 def word_counts(docs: DataFrame) -> DataFrame:
     """(word binary, n) of all words of all texts, lower-cased, up to ``MAX_WORD_BYTES`` and without special tokens."""
+    @lean
     def count(batches):
         for b in batches:
             for _, texts in text_slices(b):
@@ -477,6 +468,7 @@ def _mapped(spark, docs, tokenizer_path, max_words, lexicon, schema, fn) -> Data
     kinds = {"bigint": pa.int64(), "string": pa.string(), "array<int>": pa.list_(pa.int32())}
     cols = [c.split() for c in schema.split(", ")]
 
+    @lean
     def run(batches):
         enc = LexiconEncoder(MergeModel.shared(tokenizer_path), Transducer.open(uri))
         for b in batches:

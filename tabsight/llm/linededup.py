@@ -9,11 +9,12 @@ one run of the next level, so a line is rewritten once per level and a batch mee
 The survivors also say which document owns which line: a document's eligible lines stay where the document owns them.
 A hot line is one row per task after the map-side minimum, and a document is joined with its own lines only.
 
-Null ids come before all others; each row without an id is a document of its own, told apart by a hash of its text (the
-tie, null for rows with an id), and the smallest tie owns a line.
+Null ids come before all others.  Rows without an id, and rows that share one, are documents of their own, told apart by a
+hash of their text (the tie); the smallest tie owns a line.  Rows equal in id and text are one document given
+several times: they keep the same lines.
 
-Null or empty text is one empty line.  Lines whose key is shorter than ``min_chars`` code points always stay.  Rows that
-repeat a doc_id count as the same document.  An empty table gives no rows.
+Null or empty text is one empty line.  Lines whose key is shorter than ``min_chars`` code points always stay.  Input columns
+named like the added ones are replaced, others pass through.  An empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -27,7 +28,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tabsight.llm.staging import Stage, iid, remove_path, text_tie
+from tabsight.llm.staging import Stage, iid, remove_path
 
 #: white space that a line's key loses at both ends: space and \x09-\x0D
 _BLANK = b" \t\n\x0b\x0c\r"
@@ -53,16 +54,25 @@ def lines_of(text: Column) -> Column:
     return F.split(F.coalesce(text.cast("string"), F.lit("")), "\n", -1)
 
 
-def _owner() -> list[Column]:
-    """Smallest holder: NULL_ID is the smallest doc and only its rows have a tie, so the two minima are of one row."""
-    return [F.min("doc").alias("doc"), F.min("tie").alias("tie")]
+def _tie(text: Column) -> Column:
+    """60 bits of the text's SHA-256 (null as empty), a hash that SQL engines share."""
+    return F.conv(F.substring(F.sha2(F.coalesce(text.cast("string"), F.lit("")), 256), 1, 15), 16, 10).cast("bigint")
+
+
+def _owner(tied: bool) -> list[Column]:
+    """Smallest holder.  Where ids are unique only NULL_ID, the smallest doc, has ties (null elsewhere), so two minima are
+    of one row."""
+    if not tied:
+        return [F.min("doc").alias("doc"), F.min("tie").alias("tie")]
+    who = F.min(F.struct("doc", "tie"))
+    return [who["doc"].alias("doc"), who["tie"].alias("tie")]
 
 
 class LineRuns:
     """The levelled runs.  ``add`` takes one batch of (h1, h2, doc, tie) rows and returns the rows that the batch owns."""
 
-    def __init__(self, spark: SparkSession, stage: Stage, buckets: int, fanout: int = 4):
-        self.spark, self.stage, self.buckets, self.fanout = spark, stage, buckets, fanout
+    def __init__(self, spark: SparkSession, stage: Stage, buckets: int, fanout: int = 4, tied: bool = True):
+        self.spark, self.stage, self.buckets, self.fanout, self.tied = spark, stage, buckets, fanout, tied
         self.levels: list[list[str]] = []
         self.names: list[str] = []
 
@@ -83,7 +93,7 @@ class LineRuns:
         remove_path(self.spark, self.stage.path(name))
 
     def add(self, lines: DataFrame) -> DataFrame:
-        new = lines.groupBy("h1", "h2").agg(*_owner())
+        new = lines.groupBy("h1", "h2").agg(*_owner(self.tied))
         for level in reversed(self.levels):
             for run in level:
                 new = new.join(self.spark.table(run).select("h1", "h2").hint("merge"), ["h1", "h2"], "left_anti")
@@ -117,7 +127,8 @@ def dedup_lines(spark: SparkSession, docs: DataFrame, min_chars: int = 10, batch
     Eligible lines stay only in the smallest doc_id that holds them; the others stay, joined by ``\\n``."""
     stage = Stage(spark, "linededup")
     docs = docs.drop("kept_text", "n_lines", "n_dropped")
-    ident, tie = iid(), F.when(F.col("doc_id").isNull(), text_tie())
+    tied = not docs.filter("doc_id IS NOT NULL").groupBy(iid().alias("doc")).count().filter("count > 1").isEmpty()
+    ident, tie = iid(), _tie(F.col("text")) if tied else F.when(F.col("doc_id").isNull(), _tie(F.col("text")))
     cuts = (docs.select(ident.alias("doc")).approxQuantile("doc", [i / batches for i in range(1, batches)], 0.01)
             if batches > 1 else [])
     batch = F.lit(0)
@@ -127,13 +138,15 @@ def dedup_lines(spark: SparkSession, docs: DataFrame, min_chars: int = 10, batch
              .select("doc", "tie", line_key(F.col("line")).alias("key")).filter(F.char_length("key") >= min_chars)
              .select("doc", "tie", F.xxhash64("key").alias("h1"), F.xxhash64(F.lit(_SALT), F.col("key")).alias("h2"),
                      batch.alias("batch")))
-    lines = stage.put(lines.groupBy("batch", "h1", "h2").agg(*_owner()), ["batch"])
-    runs = LineRuns(spark, stage, int(spark.conf.get("spark.sql.shuffle.partitions")), fanout)
+    lines = stage.put(lines.groupBy("batch", "h1", "h2").agg(*_owner(tied)), ["batch"])
+    runs = LineRuns(spark, stage, int(spark.conf.get("spark.sql.shuffle.partitions")), fanout, tied)
     owned = None
-    for b in range(batches):
-        got = runs.add(lines.filter(F.col("batch") == b).drop("batch"))
-        owned = got if owned is None else owned.unionByName(got)
-    runs.close()
+    try:
+        for b in range(batches):
+            got = runs.add(lines.filter(F.col("batch") == b).drop("batch"))
+            owned = got if owned is None else owned.unionByName(got)
+    finally:
+        runs.close()    # also after a failed job: no table stays in the catalogue
     stage.drop(lines)
     owned = (owned.groupBy(F.col("doc").alias("__doc"), F.coalesce("tie", F.lit(0)).alias("__tie"))
              .agg(F.collect_list("h1").alias("__own1"), F.collect_list("h2").alias("__own2")))

@@ -48,8 +48,8 @@ WITH p AS (SELECT page_id, encode(coalesce(html, '')) AS body FROM pages),
 d AS (SELECT page_id, octet_length(body) AS payload_bytes, sha256(body) AS payload_digest FROM p),
 f AS (SELECT payload_digest, min(page_id) AS first FROM d WHERE payload_bytes >= 100 GROUP BY 1)
 SELECT d.page_id, d.payload_bytes, d.payload_digest,
-       CASE WHEN f.first IS NOT NULL AND f.first <> d.page_id THEN 'revisit' ELSE 'response' END AS record_type,
-       CASE WHEN f.first <> d.page_id THEN f.first END AS refers_to
+       CASE WHEN f.first IS NOT NULL AND f.first IS DISTINCT FROM d.page_id THEN 'revisit' ELSE 'response' END AS record_type,
+       CASE WHEN f.first IS DISTINCT FROM d.page_id THEN f.first END AS refers_to
 FROM d LEFT JOIN f USING (payload_digest)
 """
 
@@ -114,15 +114,18 @@ def op4_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 _OP5 = """
-WITH l AS (SELECT doc_id, unnest(string_split(coalesce(text, ''), chr(10))) AS line,
-                  generate_subscripts(string_split(coalesce(text, ''), chr(10)), 1) AS pos FROM documents),
+WITH d AS (SELECT row_number() OVER () AS rid, doc_id, coalesce(doc_id, -9223372036854775808) AS doc, coalesce(text, '') AS text,
+                  doc_id IS NULL OR count(*) OVER (PARTITION BY doc_id) > 1 AS tied FROM documents),
+t AS (SELECT rid, doc_id, {'doc': doc, 'tie': CASE WHEN tied THEN ('0x' || substr(sha256(text), 1, 15))::BIGINT ELSE 0 END} AS who, text FROM d),
+l AS (SELECT rid, doc_id, who, unnest(string_split(text, chr(10))) AS line,
+             generate_subscripts(string_split(text, chr(10)), 1) AS pos FROM t),
 k AS (SELECT *, translate(regexp_replace(regexp_replace(line, '^[\\x20\\x09-\\x0D]+', ''), '[\\x20\\x09-\\x0D]+$', ''),
                           'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS key FROM l),
-f AS (SELECT key, min(doc_id) AS first FROM k WHERE length(key) >= 10 GROUP BY 1),
-m AS (SELECT k.*, f.first IS NOT NULL AND f.first <> k.doc_id AS dropped FROM k LEFT JOIN f USING (key))
-SELECT doc_id, count(*) AS n_lines, count(*) FILTER (WHERE dropped) AS n_dropped,
+f AS (SELECT key, min(who) AS first FROM k WHERE length(key) >= 10 GROUP BY 1),
+m AS (SELECT k.*, f.first IS NOT NULL AND f.first <> k.who AS dropped FROM k LEFT JOIN f USING (key))
+SELECT any_value(doc_id) AS doc_id, count(*) AS n_lines, count(*) FILTER (WHERE dropped) AS n_dropped,
        sha256(coalesce(string_agg(line, chr(10) ORDER BY pos) FILTER (WHERE NOT dropped), '')) AS kept_sha256
-FROM m GROUP BY doc_id
+FROM m GROUP BY rid
 """
 
 

@@ -22,9 +22,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tabsight.llm.staging import Stage, from_iid, iid, open_store
-from tabsight.llm.textbatch import text_slices
+from tabsight.llm.textbatch import lean, text_slices
 from tabsight.llm.wordtok import WordTokenizer
 
+#: largest id that 16 bits hold
+MAX_NARROW = (1 << 16) - 1
+
 #: sequences per record batch
 BATCH_ROWS = 256
 
@@ -113,13 +116,20 @@ class PartReader:
 
 
 def write_token_files(spark: SparkSession, docs: DataFrame, tokenizer_path: str, end_id: int = 2,
-                      seq_len: int = 2048, wide: bool = False, parts: int | None = None) -> TokenFiles:
+                      seq_len: int = 2048, wide: bool | None = None, parts: int | None = None) -> TokenFiles:
     """Encode every document (+ ``end_id``) in ascending doc_id order into parts below the shared folder.
 
-    ``wide`` stores 32-bit ids; the default 16 bits hold vocabularies of up to 65,536 ids."""
+    ``wide`` stores 32-bit ids, False 16-bit ones (an error if the vocabulary or ``end_id`` does not fit); by default the
+    largest id decides."""
+    top = max(end_id, WordTokenizer.shared(tokenizer_path).top_id)
+    if wide is None:
+        wide = top > MAX_NARROW
+    elif not wide and top > MAX_NARROW:
+        raise ValueError(f"id {top} does not fit in 16 bits")
     stage = Stage(spark, "tokenfile")
     root = stage.path("parts")
 
+    @lean
     def run(batches):
         from pyspark import TaskContext
         tok, part = WordTokenizer.shared(tokenizer_path), TaskContext.get().partitionId()

@@ -9,8 +9,11 @@ Reading: each task streams whole volumes.  Unsegmented records are decoded on th
 ordered by number, checked against the total length and decoded.  A record that fails a check comes back with its
 ``error`` and no payload; the others are unaffected.
 
-Null html is an empty payload.  Payloads under ``min_revisit`` bytes are always responses.  Rows that repeat a page_id
-are written as often as they occur.  File names hold a random part; only files that the manifest names count.
+Null html is an empty payload.  Payloads under ``min_revisit`` bytes are always responses.  A row without a page_id owns no
+payload: it revisits the smallest id that holds its payload, and is a response where only such rows hold it.  Rows that
+repeat a page_id are written as often as they occur, those of the smallest id all as responses.  Extra columns are not
+read, whatever their names; an empty table gives no volume and no rows.  A payload must fit in a task's memory.  File names
+hold a random part; only files that the manifest names count.
 """
 
 from __future__ import annotations
@@ -115,8 +118,11 @@ def write_archives(spark: SparkSession, pages: DataFrame, min_revisit: int = MIN
     rows = pages.select(F.coalesce(F.col("page_id").cast("bigint"), F.lit(NULL_ID)).alias("page_id"),
                         F.coalesce(F.col("url").cast("string"), F.lit("")).alias("url"), body.alias("body"),
                         F.sha2(body, 256).alias("digest"))
-    first = (rows.filter(F.octet_length("body") >= min_revisit).groupBy("digest").agg(F.min("page_id").alias("first")))
-    rows = rows.join(first, "digest", "left")
+    first = (rows.filter((F.octet_length("body") >= min_revisit) & (F.col("page_id") != NULL_ID))
+             .groupBy("digest").agg(F.min("page_id").alias("first")))
+    # payloads that are always responses meet no key: an empty page is no hot group
+    small = F.octet_length("body") < min_revisit
+    rows = rows.filter(~small).join(first, "digest", "left").unionByName(rows.filter(small).withColumn("first", F.lit(None).cast("bigint")))
 
     def run(batches):
         from pyspark import TaskContext

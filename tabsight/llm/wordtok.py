@@ -17,6 +17,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 from tabsight.llm.staging import process_cache
+from tabsight.llm.textbatch import folded
 
 #: words per cache generation; two generations live at a time
 CACHE_WORDS = 500_000
@@ -55,8 +56,10 @@ class WordTokenizer:
         from tokenizers import Tokenizer
         self.tok = Tokenizer.from_file(path)
         vocab = self.tok.get_vocab()
+        #: largest id of the vocabulary
+        self.top_id = max(vocab.values())
         #: ids that end a run of letters; a word of letters only is one run
-        self.ends = np.zeros(max(vocab.values()) + 1, dtype=bool)
+        self.ends = np.zeros(self.top_id + 1, dtype=bool)
         self.ends[[i for t, i in vocab.items() if t.endswith("</w>")]] = True
         self.cap = cache_words
         self.new: dict[bytes, bytes] = {}
@@ -141,7 +144,7 @@ class WordTokenizer:
                  for i in np.flatnonzero(special).tolist()}
         if whole:
             texts = pc.if_else(pa.array(special), pa.scalar("", texts.type), texts)
-        parts = pc.ascii_split_whitespace(pc.ascii_lower(texts))
+        parts = pc.ascii_split_whitespace(folded(texts))
         enc = parts.flatten().dictionary_encode()
         words = enc.dictionary.cast(pa.large_binary()).to_pylist()
         self.new.setdefault(b"", b"")
