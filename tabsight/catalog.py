@@ -6,6 +6,7 @@ from __future__ import annotations
 import os
 import re
 from collections.abc import Iterator, Mapping
+from urllib.parse import unquote
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -71,9 +72,19 @@ def edge_rows(df: DataFrame, n_head: int, n_tail: int) -> DataFrame:
     return part.filter((F.col(ROW_ID) < n_head) | (F.col(ROW_ID) >= total - n_tail))
 
 
+def _plain_path(path: str) -> str:
+    """A file's path as :func:`_row_path` gives it: ``inputFiles`` and the metadata column spell one file differently."""
+    return re.sub("^file:/+", "file:/", unquote(path))
+
+
+def _row_path() -> Column:
+    decoded = F.coalesce(F.try_url_decode(F.replace(_file_path(), F.lit("+"), F.lit("%2B"))), _file_path())
+    return F.regexp_replace(decoded, "^file:/+", "file:/")
+
+
 def _file_ordinal(df: DataFrame) -> Column:
     """Ordinal of a text scan's file in its sorted file list."""
-    files = sorted(set(df.inputFiles()))
+    files = sorted({_plain_path(f) for f in df.inputFiles()})
     if len(files) <= 1:
         return F.lit(0).cast("decimal(38,0)")
     return _search(files, 0).cast("decimal(38,0)")
@@ -84,7 +95,7 @@ def _search(files: list[str], base: int) -> Column:
     if len(files) == 1:
         return F.lit(base)
     half = len(files) // 2
-    return F.when(_file_path() < files[half], _search(files[:half], base)).otherwise(_search(files[half:], base + half))
+    return F.when(_row_path() < files[half], _search(files[:half], base)).otherwise(_search(files[half:], base + half))
 
 
 def text_row_id(df: DataFrame) -> Column:

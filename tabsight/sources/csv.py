@@ -4,8 +4,8 @@ Spark reads every column as a string (no ``inferSchema`` pass, no driver-side
 sampling); pandas' NA tokens become null; one aggregate over all columns decides
 each column's type from the whole column (int -> float -> bool -> string); a
 final projection casts.  Quotes are doubled inside quoted fields and backslashes are
-ordinary characters.  A text pass finds the files in which a line has an odd number of
-quotes (a quoted line break): these are read whole, all others stay splittable.
+ordinary characters.  Every file is split over tasks: a text pass finds the files with a quoted
+line break, whose lines :mod:`tabsight.sources.quoted` joins to records for Spark's ``from_csv``.
 
 pandas rules kept: dates stay strings, duplicate headers become ``a, a.1``, an int
 column with a missing value is float, integers beyond 64 bits stay text, short rows are
@@ -23,6 +23,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tabsight.catalog import ROW_ID, text_row_id
+from tabsight.sources.quoted import ends_inside, file_id, quoted_records, split_states
 
 # pandas' default NA tokens (read_csv ``na_values`` default list).
 NA_TOKENS = ("", "#N/A", "#N/A N/A", "#NA", "-1.#IND", "-1.#QNAN", "-NaN", "-nan", "1.#IND", "1.#QNAN",
@@ -65,11 +66,14 @@ def dedupe_header(names: list[str]) -> list[str]:
 
 
 def read_header(spark: SparkSession, path: str, sep: str = ",") -> list[str]:
-    """The header line of the first file, parsed by Spark's CSV tokenizer (a limit-1 read)."""
-    first = spark.read.options(**_options(sep), header=False).csv(path).limit(1).collect()
-    if not first:
+    """The names of the first file's header record (a limit-1 read)."""
+    line = spark.read.option("lineSep", "\n").text(path).filter(F.btrim("value", F.lit(" \t\r")) != "").head()
+    if line is None:
         return []
-    return dedupe_header([v for v in first[0]])
+    if ends_inside(line[0], False, sep):      # a name with a line break
+        first = spark.read.options(**_options(sep, True), header=False).csv(path).limit(1).collect()
+        return dedupe_header([v for v in first[0]])
+    return parse_header_line(line[0].rstrip("\r").removeprefix("\ufeff"), sep)
 
 
 def na_to_null(c: Column) -> Column:
@@ -167,39 +171,46 @@ def _too_long(n_columns: int, sep: str) -> Column:
     return F.col(CORRUPT).isNotNull() & ~F.array_contains(marks, _MARK)
 
 
-def _odd_quotes(line: Column) -> Column:
-    return (F.length(line) - F.length(F.replace(line, F.lit('"'), F.lit("")))) % 2 == 1
+def _schema(n_columns: int) -> T.StructType:
+    return T.StructType([T.StructField(f"c{i}", T.StringType()) for i in range(n_columns)] + [T.StructField(CORRUPT, T.StringType())])
 
 
-def _read_strings(spark: SparkSession, path: str, sep: str, n_columns: int, multiline: DataFrame | bool,
-                  part_col: str | None = None) -> DataFrame:
-    """String columns c0.. plus the corrupt record.  ``multiline`` True or False for all files, or the one-column
-    frame of the file paths (or ``part_col`` values) to read whole."""
-    schema = T.StructType([T.StructField(f"c{i}", T.StringType()) for i in range(n_columns)]
-                          + [T.StructField(CORRUPT, T.StringType())])
+def _parse_options(sep: str, multiline: bool) -> dict:
+    return {**_options(sep, multiline), "mode": "PERMISSIVE", "columnNameOfCorruptRecord": CORRUPT}
 
-    def scan(whole: bool) -> DataFrame:
-        raw = (spark.read.options(**_options(sep, whole), header=True, enforceSchema=True, mode="PERMISSIVE",
-                                  columnNameOfCorruptRecord=CORRUPT).schema(schema).csv(path))
-        return raw.withColumn(ROW_ID, text_row_id(raw)) if isinstance(multiline, bool) else raw
 
-    if isinstance(multiline, bool):
-        return scan(multiline)
-    keys = [r[0] for r in multiline.collect()]   # file names: part of Spark's own file listing
-    if not keys:
-        raw = scan(False)
-        return raw.withColumn(ROW_ID, text_row_id(raw))
-    key = F.col(part_col) if part_col else F.col("_metadata.file_path")
-    parts = [raw.filter(key.isin(*keys) if whole else ~key.isin(*keys)).withColumn(ROW_ID, text_row_id(raw))
-             for whole, raw in ((False, scan(False)), (True, scan(True)))]
-    return parts[0].unionByName(parts[1])
+def _plain(spark: SparkSession, path: str, sep: str, n_columns: int) -> DataFrame:
+    """String columns c0.., the corrupt record and the row number of files without a quoted line break."""
+    raw = spark.read.options(**_parse_options(sep, False), header=True, enforceSchema=True).schema(_schema(n_columns)).csv(path)
+    return raw.withColumn(ROW_ID, text_row_id(raw))
+
+
+def _glued(spark: SparkSession, path: str, sep: str, n_columns: int, states: DataFrame, chosen: Column,
+           tag: str | None = None) -> DataFrame:
+    """The same of files with quoted line breaks, and ``tag``."""
+    rows = quoted_records(spark, path, states, chosen, sep, tag).filter(~F.col("first"))
+    options = {k: str(v).lower() if isinstance(v, bool) else v for k, v in _parse_options(sep, True).items()}
+    parsed = rows.select(F.from_csv("value", _schema(n_columns).simpleString()[len("struct<"):-1].replace(":", " "), options).alias("r"),
+                         F.col("rid").alias(ROW_ID), "tag")
+    return parsed.select("r.*", ROW_ID, *([F.col("tag").alias(tag)] if tag else []))
+
+
+def _read_strings(spark: SparkSession, path: str, sep: str, n_columns: int, states: DataFrame | None) -> DataFrame:
+    """String columns c0.., the corrupt record and row numbers of all files; ``states``: see :func:`split_states`."""
+    ids = [r[0] for r in states.filter("opens").select("fid").distinct().collect()] if states is not None else []
+    if not ids:     # numbers of files: part of Spark's own file listing
+        return _plain(spark, path, sep, n_columns)
+    whole = _glued(spark, path, sep, n_columns, states, F.col("fid").isin(*ids))
+    raw = spark.read.options(**_parse_options(sep, False), header=True, enforceSchema=True).schema(_schema(n_columns)).csv(path)
+    rest = raw.filter(~file_id().isin(*ids)).withColumn(ROW_ID, text_row_id(raw))
+    return rest.unionByName(whole)
 
 
 def read_csv_table(spark: SparkSession, path: str, sep: str = ",", with_row_id: bool = True,
-                   name: str | None = None, multiline: bool | None = None) -> CsvTable:
+                   name: str | None = None, multiline: bool = True) -> CsvTable:
     """Read one CSV file (or a directory of files sharing one header) like pandas.
 
-    ``multiline=None`` looks for quoted line breaks file by file; True or False decides for all files."""
+    ``multiline=False`` promises that no quoted field holds a line break and saves the pass that looks for them."""
     issues: list[tuple[str, str, str]] = []
     name = name or path
     header = read_header(spark, path, sep)
@@ -207,10 +218,7 @@ def read_csv_table(spark: SparkSession, path: str, sep: str = ",", with_row_id:
         issues.append((name, "error", "No columns to parse from file"))
         empty = spark.createDataFrame([], T.StructType([]))
         return CsvTable(empty, {}, issues)
-    if multiline is None:
-        lines = spark.read.text(path)
-        multiline = lines.filter(_odd_quotes(F.col("value"))).select(F.col("_metadata.file_path").alias("f")).distinct()
-    raw = _read_strings(spark, path, sep, len(header), multiline)
+    raw = _read_strings(spark, path, sep, len(header), split_states(spark, path, sep) if multiline else None)
     cleaned = raw.select(*[na_to_null(F.col(f"c{i}")).alias(h) for i, h in enumerate(header)], CORRUPT,
                          *([ROW_ID] if with_row_id else []))
     # one job: type statistics of every column + S17 long rows (more fields than the
@@ -239,9 +247,8 @@ def read_csv_members(spark: SparkSession, root: str, part_col: str, members: dic
     ``members`` maps id -> table name, ``headers`` id -> header line (known since the archive scan).  Members with the
     same header share one CSV read (partition pruning on ``part_col``) and one statistics job grouped by member; each
     member's table is a filtered projection of that read."""
-    odd = (spark.read.text(root).filter(F.col(part_col).isin(*members) & _odd_quotes(F.col("value")))
-           .select(part_col).distinct())
-    whole = {r[0] for r in odd.collect()}              # members with quoted line breaks
+    states = split_states(spark, root, sep, tag=part_col)
+    whole = {r[0] for r in states.filter("opens").select("tag").distinct().collect()}     # members with quoted line breaks
     out: dict[str, CsvTable] = {}
     groups: dict[tuple, list[str]] = {}
     for mid, name in members.items():
@@ -253,7 +260,8 @@ def read_csv_members(spark: SparkSession, root: str, part_col: str, members: dic
         groups.setdefault((mid in whole, tuple(hdr)), []).append(mid)
     for (multi, hdr), ids in groups.items():
         header = list(hdr)
-        raw = _read_strings(spark, root, sep, len(header), multi).filter(F.col(part_col).isin(*ids))
+        raw = (_glued(spark, root, sep, len(header), states, F.col("tag").isin(*ids), part_col) if multi
+               else _plain(spark, root, sep, len(header)).filter(F.col(part_col).isin(*ids)))
         cleaned = raw.select(F.col(part_col).alias("__member"),
                              *[na_to_null(F.col(f"c{i}")).alias(h) for i, h in enumerate(header)], CORRUPT, ROW_ID)
         stats = {r["__member"]: r for r in cleaned.groupBy("__member").agg(
