@@ -51,7 +51,7 @@ def ingest_paths(spark: SparkSession, paths: list[str], workers: int = 8) -> Ing
     from concurrent.futures import ThreadPoolExecutor
 
     from tabsight.sources.csv import CsvTable, read_csv_table
-    from tabsight.sources.zipfiles import ingest_archives
+    from tabsight.sources.zipfiles import ingest_archive_files
     res, csvs, zips = IngestResult(), [], []
     names = [os.path.basename(p.rstrip("/")) for p in paths]
     for p, fname in zip(paths, names):
@@ -71,8 +71,7 @@ def ingest_paths(spark: SparkSession, paths: list[str], workers: int = 8) -> Ing
         for (_, name), table in zip(csvs, pool.map(read, csvs)):
             res.add(name, table)
     if zips:
-        content = spark.read.format("binaryFile").load([p for p, _ in zips])
-        members, tables = ingest_archives(spark, content)
+        members, tables = ingest_archive_files(spark, [p for p, _ in zips])
         for r in members.filter(F.col("status").isin("error", "warning")).collect():
             res.issues.append((f"{r['archive']}#{r['member']}" if r["member"] else r["archive"], r["status"], r["message"]))
         for name, t in tables.items():

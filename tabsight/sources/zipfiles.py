@@ -1,8 +1,9 @@
 """ZIP archives of CSV files (S8-S12, S17) at cluster scale.
 
-Archives come from ``spark.read.format("binaryFile")`` or from a payload column
-(:func:`tabsight.sources.payloads.route`).  One ``mapInPandas`` pass lists every archive and
-applies the member rules, one member at a time:
+Archives that are files are read in pieces, of any size (:func:`ingest_archive_files`,
+:mod:`tabsight.sources.zipranges`); archives in cells come from a payload column
+(:func:`tabsight.sources.payloads.route`): one ``mapInPandas`` pass lists every archive.  The member rules are
+the same, and members are read one at a time:
 
 * S8  keep ``*.csv`` (any case), drop directories and names starting with
   ``__MACOSX/`` or ``.`` (only the root: ``d/.x.csv`` is kept);
@@ -27,7 +28,7 @@ import os
 import zipfile
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tabsight.session import checkpoint_root, drop_path, scratch_path
@@ -57,6 +58,10 @@ def member_id(archive: str, member: str) -> str:
     return "m" + hashlib.sha1(f"{archive}#{member}".encode("utf-8")).hexdigest()[:20]
 
 
+def _member_id(archive: Column, member: Column) -> Column:
+    return F.concat(F.lit("m"), F.substring(F.sha1(F.concat(archive, F.lit("#"), member)), 1, 20))
+
+
 _NAMES = [c.split()[0] for c in MEMBER_SCHEMA.split(", ")]
 
 
@@ -136,27 +141,91 @@ def read_archives(spark: SparkSession, path: str) -> DataFrame:
 
 def ingest_archives(spark: SparkSession, archives: DataFrame, archive_col: str = "path",
                     content_col: str = "content", max_files: int | None = None, max_bytes: int | None = None):
-    """Stage the kept members, then read each with the CSV reader.
+    """S8-S12 for archives in cells (payload columns): stage the kept members, then read each with the CSV reader.
 
     Returns ``(members, tables)``: the member listing DataFrame (without text) and a dict
     ``<archive path>#<member> -> CsvTable``; a table's ``origin`` holds its provenance (S12).  The listing comes to
     the driver: its size is the number of members, not their content.  The staged members lie in
     ``tables[...].staging`` below the checkpoint folder until :func:`release` removes them."""
-    from tabsight.sources.csv import read_csv_members
     checkpoint_root(spark)
-    staging = scratch_path(spark, "zip-members")
     members = scan_archives(archives, archive_col, content_col, max_files, max_bytes, with_text=True)
     members = members.checkpoint(eager=True)          # archives are read once
-    (members.filter(F.col("kept")).select("member_id", "text")
-            .write.partitionBy("member_id").text(staging))
-    listing = [r for r in members.drop("text").collect() if r["kept"]]
+    return _staged_tables(spark, members.drop("text"), members.filter("kept").select("member_id", "text"))
+
+
+def scan_archive_files(spark: SparkSession, path: str | list[str], max_files: int | None = None,
+                       max_bytes: int | None = None) -> tuple[DataFrame, DataFrame]:
+    """S8-S12 for archives that are files, of any size: (listing like :func:`scan_archives`, texts (member_id, seq, text)).
+
+    Archives are read in pieces and members are inflated as streams (:mod:`tabsight.sources.zipranges`)."""
+    from tabsight.sources import zipranges as Z
+    pieces, names = Z.archive_pieces(spark, path), Z.archive_names(spark, path)
+    root = scratch_path(spark, "zip-scan")
+
+    def stage(df: DataFrame, name: str) -> DataFrame:
+        df.write.parquet(f"{root}/{name}")
+        return spark.read.schema(df.schema).parquet(f"{root}/{name}")
+
+    entries = stage(Z.directory_entries(pieces), "entries")
+    ranges = stage(Z.member_ranges(entries, max_files, max_bytes), "ranges")
+    texts = stage(Z.member_texts(pieces, ranges.filter("wanted")), "texts")
+    ends = texts.filter("seq = 0").select("fid", "at", F.coalesce("error", F.lit("")).alias("error"), "header")
+    name, keep = F.col("member"), Z.keep_rule(F.col("member"))
+    ranged = ranges.join(ends, ["fid", "at"], "left")
+    error = F.when(~F.col("wanted"), None).otherwise(F.coalesce("error", F.lit(Z.MSG_NO_HEADER)))     # no slice: it lies nowhere
+    status = (F.when(F.col("again"), "skipped").when(F.col("over"), "skipped").when(F.col("large"), "error").when(~keep, "skipped")
+              .when(error == "", "ok").otherwise("error"))
+
+    def said(template: str, **values) -> Column:
+        text = F.lit(template)
+        for k, v in values.items():
+            text = F.replace(text, F.lit("{%s}" % k), v)
+        return text
+
+    message = (F.when(F.col("again"), "replaced by a later member of the same name")
+               .when(F.col("over"), f"beyond the first {max_files} CSV files")
+               .when(F.col("large"), said(MSG_TOO_LARGE, m=name, n=F.col("file_size").cast("string")))
+               .when(~keep | (error == ""), F.lit(None)).when(error == "utf-8", said(MSG_BAD_UTF8, m=name))
+               .otherwise(said(MSG_BAD_MEMBER, m=name, e=error)))
+    rows = ranged.join(names, "fid").select(
+        "archive", "member", F.endswith(name, F.lit("/")).alias("is_dir"), "file_size", "compress_size", (status == "ok").alias("kept"),
+        status.alias("status"), message.alias("message"), _member_id(F.col("archive"), name).alias("member_id"), "header", "fid", "at")
+    # one or no row per archive: unreadable, without a CSV member, or with more of them than the cap
+    csvs = ranges.groupBy("fid").agg(F.count(F.when(keep & ~F.col("again"), 1)).alias("n"))
+    state = entries.groupBy("fid").agg(F.max(F.col("status") == "bad").alias("bad"))
+    per = names.join(csvs, "fid", "left").join(state, "fid", "left").withColumn("n", F.coalesce("n", F.lit(0)))
+    unread = F.coalesce("bad", F.lit(True))      # no row at all: an empty file
+    note = F.when(unread, MSG_BAD_ZIP).when(F.col("n") == 0, MSG_NO_CSV)
+    if max_files is not None:
+        note = note.when(F.col("n") > max_files, said(MSG_TOO_MANY, n=F.col("n").cast("string"), k=F.lit(str(max_files))))
+    notes = per.select("archive", note.alias("message"), F.when(unread | (F.col("n") == 0), "error").otherwise("warning").alias("status"))
+    notes = notes.filter("message IS NOT NULL").select(
+        "archive", *(F.lit(None).cast(t).alias(c) for c, t in (("member", "string"), ("is_dir", "boolean"), ("file_size", "bigint"),
+                                                               ("compress_size", "bigint"))), F.lit(False).alias("kept"), "status", "message",
+        F.lit(None).cast("string").alias("member_id"), F.lit(None).cast("string").alias("header"))
+    ids = rows.filter("kept").select("fid", "at", "member_id")
+    return rows.drop("fid", "at").unionByName(notes), texts.filter("seq > 0").join(ids, ["fid", "at"]).select("member_id", "seq", "text")
+
+
+def ingest_archive_files(spark: SparkSession, path: str | list[str], max_files: int | None = None, max_bytes: int | None = None):
+    """:func:`ingest_archives` for a folder of archives, or the archive files given, whatever their size."""
+    members, texts = scan_archive_files(spark, path, max_files, max_bytes)
+    # a member's rows stay in order within one file: the writer keeps an order that is there
+    return _staged_tables(spark, members, texts.repartition("member_id").sortWithinPartitions("member_id", "seq").select("member_id", "text"))
+
+
+def _staged_tables(spark: SparkSession, members: DataFrame, texts: DataFrame):
+    from tabsight.sources.csv import read_csv_members
+    staging = scratch_path(spark, "zip-members")
+    texts.write.partitionBy("member_id").text(staging)
+    listing = [r for r in members.collect() if r["kept"]]
     kept = {r["member_id"]: f"{r['archive']}#{r['member']}" for r in listing}
     heads = {r["member_id"]: r["header"] for r in listing}
     tables = read_csv_members(spark, staging, "member_id", kept, heads) if kept else {}
     for r in listing:
         t = tables[kept[r["member_id"]]]
         t.origin, t.staging = (r["archive"], r["member"], r["compress_size"]), staging
-    return members.drop("text", "header"), tables
+    return members.drop("header"), tables
 
 
 def release(spark: SparkSession, tables: dict) -> None:
