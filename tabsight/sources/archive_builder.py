@@ -88,3 +88,21 @@ def build_archive_frame(spark: SparkSession, tables: dict[str, DataFrame], archi
     for f in frames[1:]:
         members = members.unionByName(f)
     return members.groupBy("path").applyInPandas(_pack, ARCHIVE_SCHEMA).checkpoint(eager=True)
+
+
+def write_archive_files(spark: SparkSession, archives: DataFrame, root: str) -> str:
+    """Write a ``(path, content)`` frame as files ``root/<path>`` on shared storage; returns ``root``."""
+    def run(batches):
+        import pyarrow as pa
+        from pyarrow import fs
+        local = "://" not in root or root.startswith("file:")
+        store, base = (fs.LocalFileSystem(), "/" + root.removeprefix("file:").lstrip("/")) if local else fs.FileSystem.from_uri(root)
+        for b in batches:
+            for path, content in zip(*(b.column(k).to_pylist() for k in range(2))):
+                store.create_dir(f"{base}/{path}".rpartition("/")[0], recursive=True)
+                with store.open_output_stream(f"{base}/{path}") as out:
+                    out.write(content)
+            yield pa.RecordBatch.from_arrays([b.column(0)], names=["path"])
+
+    archives.select("path", "content").mapInArrow(run, "path string").count()
+    return root

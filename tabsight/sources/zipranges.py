@@ -28,9 +28,14 @@ from pyspark.sql import functions as F
 
 from tabsight.session import scratch_path
 
-PIECE_BYTES = 1 << 20
-#: output text of one row
-CHUNK_BYTES = 4 << 20
+#: small cells: readers hold thousands of rows at a time
+PIECE_BYTES = 8 << 10
+#: output text of one row (or one longer line)
+CHUNK_BYTES = 16 << 10
+#: offsets that members and pieces meet by
+BIN_BYTES = 1 << 20
+#: bytes of one Arrow batch
+BATCH_BYTES = 4 << 20
 #: end record, its comment, and the ZIP64 records before it
 TAIL_BYTES = 22 + 65_535 + 20 + 56
 MSG_NO_HEADER = "member header not found"
@@ -54,26 +59,30 @@ def archive_pieces(spark: SparkSession, path: str | list[str]) -> DataFrame:
                        F.col("value").cast("binary").alias("data"))
 
     def run(batches):
-        key, rel, held, size = None, 0, [], 0
+        key, rel, held, size, out = None, 0, [], 0, []
 
-        def flush():
+        def piece():
             nonlocal rel, held, size
-            out = _batch([(*key, rel, size, b"\n".join(held) + b"\n")], _PIECE)
+            out.append((*key, rel, size, b"\n".join(held) + b"\n"))
             rel, held, size = rel + size, [], 0
-            return out
 
         for b in batches:
             for fid, block, data in zip(*(b.column(k).to_pylist() for k in range(3))):
                 if (fid, block) != key:
                     if held:
-                        yield flush()
+                        piece()
                     key, rel = (fid, block), 0
                 held.append(data)
                 size += len(data) + 1
                 if size >= PIECE_BYTES:
-                    yield flush()
+                    piece()
+                    if len(out) >= BATCH_BYTES // PIECE_BYTES:
+                        yield _batch(out, _PIECE)
+                        out.clear()
         if held:
-            yield flush()
+            piece()
+        if out:
+            yield _batch(out, _PIECE)
 
     root = f"{scratch_path(spark, 'zip-pieces')}/pieces"
     lines.mapInArrow(run, _PIECE).write.parquet(root)
@@ -98,8 +107,7 @@ def _end_record(tail: bytes, start: int) -> tuple[int, int, int]:
         raise ValueError("no end record")
     size, off = struct.unpack_from("<II", tail, k + 12)
     end = start + k
-    if (0xFFFFFFFF in (size, off) or struct.unpack_from("<H", tail, k + 10)[0] == 0xFFFF) and k >= 76 and tail[k - 20:k - 16] == b"PK\6\7" \
-            and tail[k - 76:k - 72] == b"PK\6\6":
+    if k >= 76 and tail[k - 20:k - 16] == b"PK\6\7" and tail[k - 76:k - 72] == b"PK\6\6":     # the wide record stands before it
         size, off = struct.unpack_from("<QQ", tail, k - 76 + 40)
         end = start + k - 76
     return end - size, size, end - size - off
@@ -288,7 +296,7 @@ def member_texts(pieces: DataFrame, wanted: DataFrame) -> DataFrame:
     """Text of the ``wanted`` members (fid, at, until, crc, compress_size, file_size): rows of whole lines with ``seq`` 1, 2, ...
     (the line feed behind each row is left out), and one row with ``seq`` 0, the ``error`` and the first line that is not blank."""
     want = wanted.select("fid", "at", "until", "crc", "compress_size", "file_size")
-    bins = lambda lo, hi: F.explode(F.sequence(F.floor(lo / PIECE_BYTES), F.floor((hi - 1) / PIECE_BYTES)))
+    bins = lambda lo, hi: F.explode(F.sequence(F.floor(lo / BIN_BYTES), F.floor((hi - 1) / BIN_BYTES)))
     spread = want.filter("until > at").select("*", bins(F.col("at"), F.col("until")).alias("bin"))
     keys = pieces.select("fid", "off", "size", bins(F.col("off"), F.col("off") + F.col("size")).alias("bin"))
     met = keys.join(spread, ["fid", "bin"]).filter((F.col("at") < F.col("off") + F.col("size")) & (F.col("until") > F.col("off")))
@@ -303,7 +311,7 @@ def member_texts(pieces: DataFrame, wanted: DataFrame) -> DataFrame:
                     lo, hi = max(m["at"] - off, 0), min(m["until"] - off, len(data))
                     out.append((fid, m["at"], m["crc"], m["compress_size"], m["file_size"], off + lo, data[lo:hi]))
                     size += hi - lo
-                    if size >= 4 * PIECE_BYTES:
+                    if size >= BATCH_BYTES:
                         yield _batch(out, slice_schema)
                         out, size = [], 0
             if out:
@@ -322,7 +330,7 @@ def member_texts(pieces: DataFrame, wanted: DataFrame) -> DataFrame:
                 for row in now.feed(data):
                     held.append(row)
                     size += len(row[3])
-                    if size >= CHUNK_BYTES:
+                    if size >= BATCH_BYTES:
                         yield _batch(held, _TEXT)
                         held, size = [], 0
                 if len(held) >= 1024:

@@ -12,11 +12,11 @@ from pyspark.sql import functions as F
 from tabsight.functions.names import file_kind, logical_table_name
 from tabsight.session import scratch_path
 from tabsight.sinks.writers import CSV_OPTIONS
-from tabsight.sources.archive_builder import build_archive_frame
+from tabsight.sources.archive_builder import build_archive_frame, write_archive_files
 from tabsight.sources.csv import infer_types, read_csv_table
 from tabsight.sources.files import ingest_paths, outcome_summary, quick_text_summary
 from tabsight.sources.payloads import csv_records, long_row_issues, parse_payload_rows, payload_types, route
-from tabsight.sources.zipfiles import ingest_archives, provenance, scan_archives
+from tabsight.sources.zipfiles import ingest_archives, provenance, scan_archive_files, scan_archives
 from tabsight.suite.base import register, rounded, tables
 from tabsight.suite.profile_checks import DRIVER_SCHEMA
 
@@ -244,22 +244,19 @@ def s8(spark, sf_dir):
                 .agg(F.sum("rows").alias("rows"), F.max("columns").alias("columns")))
 
 
-_SUPPLIER_ARCHIVE = "floor(s_suppkey / 1000)"
-
-
-def _supplier_archives(spark, sf_dir):
-    """Archives of 1000 suppliers in 25 members each; all archives of odd number are called a/r<n>.zip, the others b/r<n>.zip
+def _supplier_archives(spark, sf_dir, members):
+    """Archives of 50 suppliers in so many members each; all archives of odd number are called a/r<n>.zip, the others b/r<n>.zip
     with the number halved, so that names repeat across folders."""
     s = tables(spark, sf_dir, "supplier").plain("supplier")
-    no = F.floor(F.col("s_suppkey") / 1000)
+    no = F.floor((F.col("s_suppkey") - 1) / 50)
     name = F.concat(F.when(no % 2 == 1, F.lit("a/r")).otherwise(F.lit("b/r")), F.floor(no / 2).cast("string"), F.lit(".zip"))
-    return build_archive_frame(spark, {"supplier": s}, "many.zip", split={"supplier": F.col("s_suppkey") % 25}, archive=name)
+    return build_archive_frame(spark, {"supplier": s}, "many.zip", split={"supplier": F.col("s_suppkey") % members}, archive=name)
 
 
 @register("S9_all_members_of_equally_named_archives", """
 SELECT s_suppkey, s_name, CAST(s_nationkey AS BIGINT) AS s_nationkey, ROUND(s_acctbal, 4) AS s_acctbal FROM supplier""")
 def s9a(spark, sf_dir):
-    _, read = ingest_archives(spark, _supplier_archives(spark, sf_dir))
+    _, read = ingest_archives(spark, _supplier_archives(spark, sf_dir, 5))
     out = None
     for t in read.values():
         out = t.df if out is None else out.unionByName(t.df)
@@ -267,15 +264,33 @@ def s9a(spark, sf_dir):
 
 
 @register("S9_S10_member_cap_and_size_limit", """
-WITH m AS (SELECT FLOOR(s_suppkey / 1000) AS a, COUNT(DISTINCT s_suppkey % 25) AS n FROM supplier GROUP BY 1)
+WITH m AS (SELECT FLOOR((s_suppkey - 1) / 50) AS a, COUNT(DISTINCT s_suppkey % 25) AS n FROM supplier GROUP BY 1)
 SELECT 'ok' AS status, CAST(SUM(LEAST(n, 20)) AS BIGINT) AS members FROM m
 UNION ALL SELECT 'skipped', CAST(SUM(n - 20) AS BIGINT) FROM m WHERE n > 20 HAVING COUNT(*) > 0
 UNION ALL SELECT 'warning', COUNT(*) FROM m WHERE n > 20 HAVING COUNT(*) > 0""")
 def s9(spark, sf_dir):
-    listing = scan_archives(_supplier_archives(spark, sf_dir), max_files=20)
+    listing = scan_archives(_supplier_archives(spark, sf_dir, 25), max_files=20)
     return listing.groupBy("status").agg(F.count(F.lit(1)).alias("members"))
 
 
+@register("S8_S11_archive_files_read_by_member", """
+SELECT 'c' || CAST(FLOOR(c_custkey / 3000) AS BIGINT) || '.zip' AS archive, 'customer/part=' || CAST(FLOOR(c_custkey / 100) AS BIGINT) || '.csv' AS member,
+       COUNT(*) AS records, SUM(c_custkey) AS keys, 'ok' AS status
+FROM customer GROUP BY 1, 2""")
+def s11_files(spark, sf_dir):
+    """Archives that are files, read in pieces: every record of every member, its key, and the listing."""
+    c = tables(spark, sf_dir, "customer").plain("customer")
+    frame = build_archive_frame(spark, {"customer": c}, "x.zip", split={"customer": F.floor(F.col("c_custkey") / 100)},
+                                archive=F.concat(F.lit("c"), F.floor(F.col("c_custkey") / 3000).cast("string"), F.lit(".zip")))
+    members, texts = scan_archive_files(spark, write_archive_files(spark, frame, scratch_path(spark, "zip-files")))
+    lines = texts.select("member_id", F.posexplode(F.split("text", "\n")).alias("pos", "line"), "seq")
+    lines = lines.filter("seq > 1 OR pos > 0")        # the first line is the header
+    key = F.from_csv("line", "c_custkey bigint", {"quote": '"', "escape": '"'})["c_custkey"]
+    got = lines.groupBy("member_id").agg(F.count(F.lit(1)).alias("records"), F.sum(key).alias("keys"))
+    return members.filter("member IS NOT NULL").join(got, "member_id").select(
+        F.element_at(F.split("archive", "/"), -1).alias("archive"), "member", "records", "keys", "status")
+
+
 @register("S10_member_size_cap_error", """
 SELECT 'error' AS status, COUNT(DISTINCT FLOOR(c_custkey / 200)) AS members FROM customer""")
 def s10(spark, sf_dir):
