@@ -74,3 +74,11 @@ def money_text(x: Column) -> Column:
     where Python rounds the binary value (-> .48); the texts are built on
     aggregated rows, so a vectorized pandas UDF gives exact parity at no cost."""
     return _vectorized(_money2)(x.cast("double"))
+
+
+# Parts of the names of date columns.
+DATE_NAME_KEYWORDS = ("date", "time", "created", "updated")
+
+
+def is_date_named(name: str) -> bool:
+    return any(k in name.lower() for k in DATE_NAME_KEYWORDS)

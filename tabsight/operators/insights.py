@@ -16,10 +16,10 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tabsight.catalog import ROW_ID, TableSet, data_columns
-from tabsight.functions.dates import parsed_date
-from tabsight.functions.names import fill, fixed2_text, money_text
+from tabsight.functions.dates import date_zone, parsed_date
+from tabsight.functions.names import fill, fixed2_text, is_date_named, money_text
 from tabsight.operators.profile import row_counts
-from tabsight.operators.quality import duplicate_alert, is_date_named
+from tabsight.operators.quality import duplicate_alert
 from tabsight.operators.quantiles import exact_quantiles
 
 # Keyword lists, limits and texts of the reference's insight rules.
@@ -103,9 +103,10 @@ def sales_insight(df: DataFrame) -> DataFrame:
                     fixed2_text(F.col("median")).alias("median"))
 
 
-def _ts_text(c: Column) -> Column:
-    """pandas ``str(Timestamp)``: seconds, plus the fraction only when it is non-zero."""
-    return c.cast("timestamp_ntz").cast("string")
+def _ts_text(c: Column, zone: str = "") -> Column:
+    """pandas ``str(Timestamp)``: seconds, plus six digits of the fraction when it is not zero, plus the column's offset."""
+    ts = c.cast("timestamp_ntz")
+    return F.concat(F.regexp_replace(F.date_format(ts, "yyyy-MM-dd HH:mm:ss.SSSSSS"), r"\.000000$", ""), F.lit(zone))
 
 
 def date_columns(df: DataFrame) -> list[str]:
@@ -133,11 +134,11 @@ def date_ranges(df: DataFrame) -> DataFrame:
     wide = df.agg(*exprs)
     rows = wide.select(F.explode(F.array(*[
         F.struct(F.lit(c).alias("column"), F.lit(i).alias("ordinal"),
-                 F.col(f"lo{i}").alias("lo"), F.col(f"hi{i}").alias("hi"))
+                 F.col(f"lo{i}").alias("lo"), F.col(f"hi{i}").alias("hi"), F.lit(date_zone(df, c)).alias("zone"))
         for i, c in enumerate(cols)])).alias("e")).select("e.*")
     return (rows.filter(F.col("lo").isNotNull())
                 .select("column", "ordinal",
-                        F.concat(_ts_text(F.col("lo")), F.lit(" to "), _ts_text(F.col("hi"))).alias("value")))
+                        F.concat(_ts_text(F.col("lo")), "zone", F.lit(" to "), _ts_text(F.col("hi")), "zone").alias("value")))
 
 
 def strict_date_range(df: DataFrame) -> DataFrame:
@@ -148,11 +149,11 @@ def strict_date_range(df: DataFrame) -> DataFrame:
         return spark.createDataFrame([], "metric string, value string")
     c = names[0]
     raw = F.col(f"`{c}`")
-    p = parsed_date(df, c)
+    p, zone = parsed_date(df, c), date_zone(df, c)
     return (df.agg(F.count(raw).alias("n"), F.count(p).alias("ok"), F.min(p).alias("lo"), F.max(p).alias("hi"))
               .filter((F.col("n") == F.col("ok")) & F.col("lo").isNotNull())
               .select(F.lit("Date Range").alias("metric"),
-                      F.concat(_ts_text(F.col("lo")), F.lit(" to "), _ts_text(F.col("hi"))).alias("value")))
+                      F.concat(_ts_text(F.col("lo"), zone), F.lit(" to "), _ts_text(F.col("hi"), zone)).alias("value")))
 
 
 def insights_frame(name: str, df: DataFrame, processed_at: str | None = None) -> DataFrame:
@@ -188,7 +189,8 @@ def insights_frame(name: str, df: DataFrame, processed_at: str | None = None) ->
              for j, c in enumerate(kpis)]
     rows += [F.struct(F.lit("Key Insights").alias("Category"), F.lit(f"{c} Range").alias("Metric"),
                       F.when(F.col(f"__lo{k}").isNotNull(),
-                             F.concat(_ts_text(F.col(f"__lo{k}")), F.lit(" to "), _ts_text(F.col(f"__hi{k}"))))
+                             F.concat(_ts_text(F.col(f"__lo{k}"), date_zone(df, c)), F.lit(" to "),
+                                      _ts_text(F.col(f"__hi{k}"), date_zone(df, c))))
                       .alias("Value"), F.lit(200 + k).alias("seq"))
              for k, c in enumerate(dcols)]
     hot = [F.when((F.col("__rows") > 0) & (F.col(f"__m{i}") * 100.0 / F.col("__rows") > MISSING_ALERT_PERCENT),

@@ -15,7 +15,7 @@ from pyspark.sql import types as T
 
 from tabsight.catalog import ROW_ID, TableSet, data_columns
 from tabsight.functions.dates import parsed_date
-from tabsight.functions.names import fill
+from tabsight.functions.names import fill, is_date_named
 from tabsight.operators.profile import is_missing, row_counts
 
 # Rule thresholds and message texts of the reference.
@@ -23,7 +23,6 @@ MISSING_ALERT_PERCENT = 20          # X2: alert when a column misses more than 2
 MISSING_WARNING_FRACTION = 0.5      # X3: warning when a column misses more than half the rows
 MAX_COLUMNS = 50                    # X6
 MIN_COLUMNS = 2                     # X6
-DATE_NAME_KEYWORDS = ("date", "time", "created", "updated")
 MSG_HIGH_MISSING = "High missing values detected in: {columns}"
 MSG_DUPLICATES = "{n} duplicate rows found"
 MSG_EMPTY = "CSV file contains no data rows"
@@ -37,10 +36,6 @@ def _fields(df: DataFrame):
     return [f for f in df.schema.fields if f.name != ROW_ID]
 
 
-def is_date_named(name: str) -> bool:
-    return any(k in name.lower() for k in DATE_NAME_KEYWORDS)
-
-
 def coerced_missing(df: DataFrame, f: T.StructField) -> Column:
     """Missing after the reference's date coercion: a date-named string column counts
     unparseable values as missing (X2 is computed after ``to_datetime(errors='coerce')``)."""
