@@ -95,33 +95,49 @@ def _offset_minutes(zone: Column) -> Column:
     return F.when(F.upper(zone) == "Z", 0).when(F.startswith(zone, F.lit("-")), -size).otherwise(size)
 
 
-def _read(c: Column, pattern: str, home: int | None = None) -> Column:
-    """``c`` in the layout of ``pattern``, else null; with ``home`` as wall-clock time at that offset (minutes)."""
-    have = _groups(pattern)
-    fields = F.split(F.regexp_replace(c, pattern, "|".join(f"${{{n}}}" if n in have else "" for n in _FIELDS)), r"\|", -1)
+def _assembled(fields: Column, have: set[str], home: int | None) -> Column:
+    """A time from an array of ``_FIELDS`` as text (empty: not in the layout); ``have``: the fields that may be filled."""
     part = {n: F.nullif(fields[k], F.lit("")) for k, n in enumerate(_FIELDS)}
-    today = F.current_date()
-    year, month, day = part["Y"], part["m"], part["d"]
+    today, year, month, day = F.current_date(), part["Y"], part["m"], part["d"]
     if "y" in have:
         near = F.lit(2000) + part["y"].cast("int")
-        year = F.when(near >= F.year(today) + 50, near - 100).when(near < F.year(today) - 50, near + 100).otherwise(near).cast("string")
+        near = F.when(near >= F.year(today) + 50, near - 100).when(near < F.year(today) - 50, near + 100).otherwise(near)
+        year = F.coalesce(year, near.cast("string"))
     if "b" in have:
         table = F.create_map(*(F.lit(x) for k, m in enumerate(MONTHS) for x in (m[:3], str(k + 1))))
-        month = F.element_at(table, F.lower(F.substring(part["b"], 1, 3)))
-    if not have & {"Y", "y"}:
-        year, month, day = F.year(today).cast("string"), F.month(today).cast("string"), F.dayofmonth(today).cast("string")
-    text = F.concat(year, F.lit("-"), F.coalesce(month, F.lit("1")), F.lit("-"), F.coalesce(day, F.lit("1")), F.lit(" "),
-                    F.coalesce(part["H"], F.lit("0")), F.lit(":"), F.coalesce(part["M"], F.lit("0")), F.lit(":"),
-                    F.coalesce(part["S"], F.lit("0")), F.lit("."), F.coalesce(part["f"], F.lit("0")))
-    out = text.try_cast("timestamp_ntz")
+        month = F.coalesce(month, F.element_at(table, F.lower(F.substring(part["b"], 1, 3))))
+    date = F.concat_ws("-", year, F.coalesce(month, F.lit("1")), F.coalesce(day, F.lit("1")))
+    date = F.when(year.isNull() & F.coalesce(month, day).isNull(), today.cast("string")).when(year.isNotNull(), date)
+    clock = F.concat(*(x for n, mark in (("H", " "), ("M", ":"), ("S", ":"), ("f", ".")) for x in (F.lit(mark), F.coalesce(part[n], F.lit("0")))))
+    out = F.concat(date, clock).try_cast("timestamp_ntz")
     if "p" in have:
-        half, p = F.expr("INTERVAL '12' HOUR"), F.lower(part["p"])
-        hour = part["H"].cast("int")
-        out = F.when((p == "pm") & (hour < 12), out + half).when((p == "am") & (hour == 12), out - half).when(
-            p.isNotNull() & ((hour > 12) | (hour == 0)), F.lit(None)).otherwise(out)
+        p, hour = F.lower(part["p"]), part["H"].cast("int")
+        shift = F.when((p == "pm") & (hour < 12), 12).when((p == "am") & (hour == 12), -12).otherwise(0)
+        # an hour that no half of the day has gives null
+        shift = F.when(p.isNull() | hour.between(1, 12), shift)
+        out = out + F.make_dt_interval(F.lit(0), shift)
     if home is not None and "z" in have:
         out = out + F.make_dt_interval(F.lit(0), F.lit(0), F.lit(home) - _offset_minutes(part["z"]))
-    return F.when(c.rlike(pattern), out)
+    return F.when(fields.isNotNull(), out)
+
+
+def _written(c: Column, pattern: str) -> Column:
+    """The fields of ``c``, in a fixed order, or null if it is not in the layout."""
+    here = _groups(pattern)
+    return F.when(c.rlike(pattern), F.regexp_replace(c, pattern, "|".join(f"${{{n}}}" if n in here else "" for n in _FIELDS)))
+
+
+def _read(c: Column, pattern: str, home: int | None = None) -> Column:
+    """``c`` in one layout, else null; with ``home`` as wall-clock time at that offset (minutes)."""
+    return _assembled(F.split(_written(c, pattern), r"\|", -1), _groups(pattern), home)
+
+
+def _read_free(c: Column) -> Column:
+    """``c`` in the first layout of the free grammar that matches, else null."""
+    fields = F.split(F.coalesce(*(_written(c, p) for p in FREE)), r"\|", -1)
+    have = set().union(*map(_groups, FREE))
+    # bound once: the fields stand in the assembly many times
+    return F.transform(F.array(fields), lambda x: _assembled(x, have, None))[0]
 
 
 def _layout_of(first: str) -> str | None:
@@ -182,7 +198,7 @@ def parse_like(c: Column, first: str | None) -> Column:
     pattern = compile_layout(fmt) if fmt else None
     if pattern is not None:
         return _read(text, pattern, _zone_minutes(first))
-    return F.coalesce(*[_read(text, p) for p in FREE])
+    return _read_free(text)
 
 
 def parsed_date(df: DataFrame, col: str) -> Column:

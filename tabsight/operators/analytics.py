@@ -28,44 +28,53 @@ def _c(name: str) -> Column:
     return F.col(f"`{name}`")
 
 
+def _free(names: list[str], *wanted: str) -> None:
+    """An output column must not take the name of a column that stays."""
+    clash = [w for w in wanted if w.lower() in {n.lower() for n in names}]
+    if clash:
+        raise ValueError(f"output column '{clash[0]}' is already a column; choose another name")
+
+
 def resample(df: DataFrame, time_col: str, grain: str, aggs: dict[str, list[str]], by: list[str] | None = None,
-             fill_empty: bool = True) -> DataFrame:
-    """Totals per time bucket (``period`` = bucket start), optionally per ``by``.
+             fill_empty: bool = True, out: str = "period") -> DataFrame:
+    """Totals per time bucket (``out`` = bucket start), optionally per ``by``.
 
     Empty buckets between the first and last bucket come back with count 0 / sum 0
     (pandas ``resample``): the bucket calendar is built from the aggregated min/max
     with ``sequence`` (size = number of buckets) and left-joined."""
     by = list(by or [])
+    _free(by, out)
     unit = GRAINS[grain]
     types = {f.name: f.dataType for f in df.schema.fields}
-    period = F.date_trunc(unit, _c(time_col).cast("timestamp_ntz")).cast("timestamp_ntz")
+    bucket = F.date_trunc(unit, _c(time_col).cast("timestamp_ntz")).cast("timestamp_ntz")
     specs = [(col, fn) for col, fns in aggs.items() for fn in (fns if isinstance(fns, list) else [fns])]
-    rows = df.filter(_c(time_col).isNotNull()).withColumn("period", period)
+    rows = df.filter(_c(time_col).isNotNull()).withColumn("__bucket", bucket)
     for b in by:   # pandas drops rows whose group key is missing
         rows = rows.filter(present(b, types[b]))
-    agg = grouped_aggregate(rows, [*by, "period"], specs, ROW_ID if ROW_ID in df.columns else None)
+    agg = grouped_aggregate(rows, [*by, "__bucket"], specs, ROW_ID if ROW_ID in df.columns else None)
+    values = [c for c in agg.columns if c not in (*by, "__bucket")]
+    _free(values, out)
     if not fill_empty:
-        return agg
+        return agg.select(*[_c(b) for b in by], F.col("__bucket").alias(out), *[_c(c) for c in values])
     # each group's own calendar between its first and last bucket (pandas groupby+resample)
-    bounds = agg.groupBy(*[_c(b) for b in by]).agg(F.min("period").alias("lo"), F.max("period").alias("hi"))
+    bounds = agg.groupBy(*[_c(b) for b in by]).agg(F.min("__bucket").alias("__lo"), F.max("__bucket").alias("__hi"))
     calendar = bounds.select(*[_c(b) for b in by],
-                             F.explode(F.sequence("lo", "hi", F.expr(f"INTERVAL {STEP[unit]}"))).alias("period"))
-    full = calendar.join(agg, [*by, "period"], "left")
+                             F.explode(F.sequence("__lo", "__hi", F.expr(f"INTERVAL {STEP[unit]}"))).alias("__bucket"))
+    full = calendar.join(agg, [*by, "__bucket"], "left")
     zero_cols = {output_name(col, fn) for col, fn in specs if fn in ("sum", "count", "size", "nunique")}
-    return full.select(*[_c(b) for b in by], "period",
-                       *[(F.coalesce(_c(c), F.lit(0)).alias(c) if c in zero_cols else _c(c)) for c in agg.columns
-                         if c not in (*by, "period")])
+    return full.select(*[_c(b) for b in by], F.col("__bucket").alias(out),
+                       *[F.coalesce(_c(c), F.lit(0)).alias(c) if c in zero_cols else _c(c) for c in values])
 
 
 def growth(df: DataFrame, period_col: str, value_col: str, by: list[str] | None = None,
-           out: str = "growth_pct") -> DataFrame:
+           out: str = "growth_pct", previous: str = "previous") -> DataFrame:
     """Period-over-period change in percent on an aggregated series (``lag``;
     ``try_divide`` -> null when the previous value is 0 or missing)."""
     by = list(by or [])
+    _free(df.columns, out, previous)
     w = Window.partitionBy(*[_c(b) for b in by]).orderBy(_c(period_col))
-    prev = F.lag(_c(value_col)).over(w)
-    return (df.withColumn("previous", prev)
-              .withColumn(out, F.try_divide(_c(value_col) - F.col("previous"), F.col("previous")) * 100))
+    return (df.withColumn(previous, F.lag(_c(value_col)).over(w))
+              .withColumn(out, F.try_divide(_c(value_col) - _c(previous), _c(previous)) * 100))
 
 
 def versus_average(df: DataFrame, key: str, value: str, agg: str = "sum", out: str = "vs_avg_pct") -> DataFrame:

@@ -97,37 +97,44 @@ def _long_values(tables: TableSet, cat) -> DataFrame:
     return reduce(lambda a, b: a.unionByName(b), parts).filter(F.col("domain").isNotNull())
 
 
-def inclusion_dependencies(tables: TableSet, names: list[str] | None = None) -> DataFrame:
-    """(dep_table, dep_column, ref_table, ref_column, dep_distinct, ref_distinct)."""
-    spark = tables.spark
-    cat = column_catalog(tables, names)
-    n_words = max(1, (len(cat) + WORD - 1) // WORD)
-    long = _long_values(tables, cat)
+def contained_pairs(long: DataFrame, keys: tuple[str, ...], n_columns: int) -> DataFrame:
+    """(a, b, n_a, n_b): every value of column number ``a`` is one of ``b`` (a differs from b), with their distinct counts.
 
+    ``long`` has (cid, keys...), one row per value and column; its shuffle by value is the only one of the data."""
+    n_words = max(1, (n_columns + WORD - 1) // WORD)
+    words = [f"m{w}" for w in range(n_words)]
     # 1. per value: the set of columns holding it, as bit masks
     masks = [F.bit_or(F.when(F.floor(F.col("cid") / WORD) == w, F.expr(f"shiftleft(1L, cid % {WORD})"))
                       .otherwise(F.lit(0).cast("long"))).alias(f"m{w}") for w in range(n_words)]
-    per_value = long.groupBy(*VALUE_KEYS).agg(*masks)
+    per_value = long.groupBy(*keys).agg(*masks)
     # 2. values with the same set of columns count together; the few different sets are expanded into their columns
-    words = [f"m{w}" for w in range(n_words)]
     sets = per_value.groupBy(*words).agg(F.count(F.lit(1)).alias("n"))
     members = F.explode(F.array(*[F.when(F.getbit(F.col(f"m{cid // WORD}"), F.lit(cid % WORD)) == 1, F.lit(cid))
-                                  for cid, *_ in cat])).alias("a")
+                                  for cid in range(n_columns)])).alias("a")
     per_col = (sets.select(members, "n", *words).filter(F.col("a").isNotNull())
                .groupBy("a").agg(F.sum("n").alias("n_a"), *[F.bit_and(w).alias(w) for w in words]))
-
-    # 3. decode the surviving bits into (A, B) pairs; n(B) comes from the same relation
-    schema = spark.createDataFrame([(cid, t, c) for cid, t, c, _ in cat],
-                                   "cid int, table_name string, column_name string")
+    # 3. decode the surviving bits into (a, b); n_b comes from the same relation
     bit_ids = F.explode(F.sequence(F.lit(0), F.lit(n_words * WORD - 1))).alias("b")
-    cand = per_col.select("a", "n_a", *[f"m{w}" for w in range(n_words)], bit_ids)
+    cand = per_col.select("a", "n_a", *words, bit_ids)
     word_of_b = F.floor(F.col("b") / WORD)
     chosen = reduce(lambda acc, w: acc.when(word_of_b == w, F.col(f"m{w}")), range(1, n_words),
                     F.when(word_of_b == 0, F.col("m0")))
     cand = (cand.withColumn("word", chosen)
                 .filter((F.expr(f"shiftright(word, b % {WORD}) & 1") == 1) & (F.col("b") != F.col("a"))))
     sizes = per_col.select(F.col("a").alias("b"), F.col("n_a").alias("n_b"))
-    pairs = cand.select("a", "b", "n_a").join(sizes, "b").filter(F.col("n_a") < F.col("n_b"))
+    return cand.select("a", "b", "n_a").join(sizes, "b").select("a", "b", "n_a", "n_b")
+
+
+def inclusion_dependencies(tables: TableSet, names: list[str] | None = None, proper: bool = True) -> DataFrame:
+    """(dep_table, dep_column, ref_table, ref_column, dep_distinct, ref_distinct); ``proper=False`` also lists
+    columns with equal sets of values."""
+    spark = tables.spark
+    cat = column_catalog(tables, names)
+    schema = spark.createDataFrame([(cid, t, c) for cid, t, c, _ in cat],
+                                   "cid int, table_name string, column_name string")
+    pairs = contained_pairs(_long_values(tables, cat), VALUE_KEYS, len(cat))
+    if proper:
+        pairs = pairs.filter(F.col("n_a") < F.col("n_b"))
     # the column catalogue has one row per column (schema-sized): a bounded broadcast
     A = schema.select(F.col("cid").alias("a"), F.col("table_name").alias("dep_table"),
                       F.col("column_name").alias("dep_column"))

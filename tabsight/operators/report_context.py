@@ -16,7 +16,7 @@ from pyspark.sql import types as T
 from tabsight.catalog import ROW_ID, TableSet, data_columns
 from tabsight.operators.inclusion import inclusion_dependencies, joinable_columns
 from tabsight.operators.profile import head_tail, profile_columns, profile_tables
-from tabsight.operators.quality import DATE_NAME_KEYWORDS
+from tabsight.functions.names import DATE_NAME_KEYWORDS
 
 
 def sample_rows(tables: TableSet, n_head: int = 5, n_tail: int = 5) -> DataFrame:

@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tabsight.catalog import ROW_ID, TableSet, data_columns, edge_rows
-from tabsight.functions.aggregates import PlanError
+from tabsight.functions.aggregates import PlanError, nan_as_null
 from tabsight.functions.predicates import build_filter
 from tabsight.operators.grouped import function_call, grouped_aggregate, needs_file_order, present
 
@@ -55,7 +55,7 @@ class OpResult:
         """Result in the order the reference would list its records."""
         if self.df is None:
             raise PlanError(self.error or "no result")
-        return self.df.orderBy(*_order_cols(self.order)) if self.order else self.df
+        return self.df.orderBy(*_order_cols(self.df, self.order)) if self.order else self.df
 
 
 @dataclass
@@ -131,9 +131,13 @@ def _named_columns(op: dict) -> set | None:
     return out
 
 
-def _order_cols(order: list[tuple[str, bool]]) -> list[Column]:
-    """Sort columns with pandas null placement (last in both directions)."""
-    return [_q(c).asc_nulls_last() if asc else _q(c).desc_nulls_last() for c, asc in order]
+def _order_cols(df: DataFrame, order: list[tuple[str, bool]]) -> list[Column]:
+    """Sort columns with pandas' placement of missing values, NaN included: last in both directions."""
+    out = []
+    for c, asc in order:
+        x = nan_as_null(_q(c), df.schema[c].dataType)
+        out.append(x.asc_nulls_last() if asc else x.desc_nulls_last())
+    return out
 
 
 class PlanExecutor:
@@ -351,7 +355,7 @@ class PlanExecutor:
         if limit is not None:
             if isinstance(limit, bool) or not isinstance(limit, int) or limit < 0:
                 raise PlanError(f"limit must be a non-negative integer, got {limit!r}")
-            df = (df.orderBy(*_order_cols(order)) if order else df).limit(limit)
+            df = (df.orderBy(*_order_cols(df, order)) if order else df).limit(limit)
         return df, order
 
 

@@ -256,3 +256,26 @@ def a19(spark, sf_dir):
                    "o_custkey", "c_custkey")
     return rounded(j.groupBy("c_mktsegment").agg(F.count(F.lit(1)).alias("orders"),
                                                   F.sum("o_totalprice").alias("revenue")))
+
+
+@register("A3_running_sum_by_a_key_beyond_double_precision", """
+SELECT o_orderkey, SUM(o_custkey) OVER (ORDER BY 1152921504606846976 - o_orderkey ROWS UNBOUNDED PRECEDING)::BIGINT AS running,
+       CASE WHEN COUNT(*) OVER r = 3 THEN SUM(o_custkey) OVER r END::DOUBLE AS rolling
+FROM orders WINDOW r AS (ORDER BY 1152921504606846976 - o_orderkey ROWS BETWEEN 2 PRECEDING AND CURRENT ROW)""")
+def a3_wide_keys(spark, sf_dir):
+    o = tables(spark, sf_dir, "orders").plain("orders").select("o_orderkey", "o_custkey", (F.lit(1 << 60) - F.col("o_orderkey")).alias("at"))
+    r = running_many(o, [], ["at"], [("o_custkey", "cumsum", "running")])
+    return rolling_many(r, [], ["at"], "o_custkey", 3, {"rolling": "sum"}).select("o_orderkey", "running", "rolling")
+
+
+def _rank_sql(key, text, table):
+    return (f"SELECT {key} AS id, '{table}' AS of, CAST(RANK() OVER (ORDER BY {text} DESC) AS INT) AS rank, "
+            f"CAST(DENSE_RANK() OVER (ORDER BY {text} DESC) AS INT) AS dense_rank FROM {table} WHERE {text} IS NOT NULL")
+
+
+@register("A13_rank_texts_with_a_shared_beginning", f"{_rank_sql('c_custkey', 'c_name', 'customer')} UNION ALL {_rank_sql('page_id', 'url', 'pages')}")
+def a13_prefix(spark, sf_dir):
+    t = tables(spark, sf_dir, "customer", "pages")
+    out = [ranking(t.plain(n).filter(F.col(c).isNotNull()), c).select(F.col(k).alias("id"), F.lit(n).alias("of"), "rank", "dense_rank")
+           for n, k, c in (("customer", "c_custkey", "c_name"), ("pages", "page_id", "url"))]
+    return out[0].unionByName(out[1])

@@ -520,3 +520,28 @@ def a4(spark, sf_dir):
                     {"column": "o_orderstatus", "operator": "isin", "value": ["O", "P"]},
                     {"column": "o_orderpriority", "operator": "not_in", "value": ["5-LOW"]}],
         "groupby": ["o_orderpriority"], "agg_functions": {"o_orderkey": "count", "o_totalprice": "sum"}})
+
+
+_NAN_PRICES = "(SELECT o_orderkey, CASE WHEN o_orderkey % 7 = 0 THEN NULL ELSE o_totalprice END AS price FROM orders)"
+
+
+@register("T1_T2_T3_missing_prices_sort_last", " UNION ALL ".join(f"""
+SELECT * FROM (SELECT '{way}' AS way, o_orderkey, ROUND(price, 4) AS price FROM {_NAN_PRICES} x ORDER BY price {way} NULLS LAST, o_orderkey {way} LIMIT 25)"""
+                                                                  for way in ("ASC", "DESC")) + f"""
+UNION ALL SELECT * FROM (SELECT 'group', o_custkey, ROUND(MAX(CASE WHEN o_custkey % 3 = 0 THEN NULL ELSE o_totalprice END), 4) AS price FROM orders
+                         GROUP BY o_custkey ORDER BY MAX(CASE WHEN o_custkey % 3 = 0 THEN NULL ELSE o_totalprice END) DESC NULLS LAST LIMIT 5)""")
+def t_nan(spark, sf_dir):
+    """NaN prices, both directions with a limit, and a group-by whose top groups are all NaN."""
+    o = tables(spark, sf_dir, "orders").plain("orders")
+    nan = F.lit(float("nan"))
+    t = TableSet({"o": o.select("o_orderkey", F.when(F.col("o_orderkey") % 7 == 0, nan).otherwise(F.col("o_totalprice")).alias("price")),
+                  "g": o.select("o_custkey", F.when(F.col("o_custkey") % 3 == 0, nan).otherwise(F.col("o_totalprice")).alias("price"))})
+    out = []
+    for way, asc in (("ASC", True), ("DESC", False)):
+        spec = {"table": "o", "sort": [{"column": "price", "ascending": asc}, {"column": "o_orderkey", "ascending": asc}], "limit": 25}
+        out.append(PlanExecutor(t).build(spec).df.select(F.lit(way).alias("way"), "o_orderkey", "price"))
+    top = PlanExecutor(t).build({"table": "g", "groupby": ["o_custkey"], "agg_functions": {"price": ["max"]},
+                                 "sort": {"column": "price_max", "ascending": False}, "limit": 5}).df
+    out.append(top.select(F.lit("group").alias("way"), F.col("o_custkey").alias("o_orderkey"), F.col("price_max").alias("price")))
+    both = out[0].unionByName(out[1]).unionByName(out[2])
+    return rounded(both.withColumn("price", F.nanvl("price", F.lit(None).cast("double"))))

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from tabsight.catalog import DRIVER_TABLES
+from tabsight.catalog import DRIVER_TABLES, TableSet
 from tabsight.operators.inclusion import inclusion_dependencies, joinable_columns
 from tabsight.operators.profile import head_tail, profile_columns, profile_tables
 from tabsight.suite.base import register, rounded, tables
@@ -343,3 +343,46 @@ def p18_rows(spark, sf_dir):
     ctx = result_context(PlanExecutor(t).run({"operations": [FLAGSHIP_PLAN]}).results)
     names = F.transform("sample_data", lambda r: F.get_json_object(r, "$.location"))
     return ctx.select("key", F.array_join(names, "|").alias("first_rows"))
+
+
+def _pair_key_sql(table: str, columns: list[str]) -> str:
+    """Pairs of columns that are a key while neither column is one and none misses a value."""
+    one = ", ".join(f"COUNT(DISTINCT {c}) AS d_{c}, COUNT({c}) AS n_{c}" for c in columns)
+    pairs = " UNION ALL ".join(
+        f"SELECT '{table}' AS table_name, '{a},{b}' AS columns FROM one WHERE n_{a} = n AND n_{b} = n AND d_{a} < n AND d_{b} < n "
+        f"AND (SELECT COUNT(*) FROM (SELECT DISTINCT {a}, {b} FROM {table})) = n"
+        for k, a in enumerate(columns) for b in columns[k + 1:])
+    return f"SELECT * FROM (WITH one AS (SELECT COUNT(*) AS n, {one} FROM {table}) {pairs})"
+
+
+_PAIR_TABLES = {t: [c for c, _ in DRIVER_SCHEMA[t]] for t in ("lineitem", "conversations", "orders", "labels", "customer")}
+
+
+@register("P10_two_column_keys", " UNION ALL ".join(_pair_key_sql(t, c) for t, c in _PAIR_TABLES.items()))
+def p10_pairs(spark, sf_dir):
+    from tabsight.operators.composite import composite_keys
+    got = composite_keys(tables(spark, sf_dir, *_PAIR_TABLES))
+    return got.select("table_name", F.concat_ws(",", "columns").alias("columns"))
+
+
+_REF_PAIRS = [(a, b) for a in ("conv_id", "turn", "role", "text") for b in ("conv_id", "turn", "role", "text") if a != b]
+
+
+@register("P11_two_column_foreign_keys", """
+WITH replies AS (SELECT DISTINCT conv_id AS thread, turn - 1 AS answers FROM conversations WHERE turn > 0),
+one AS (SELECT COUNT(*) AS n, COUNT(DISTINCT conv_id) AS conv_id, COUNT(DISTINCT turn) AS turn, COUNT(DISTINCT role) AS role,
+               COUNT(DISTINCT text) AS text FROM conversations)
+""" + " UNION ALL ".join(f"""
+SELECT 'replies' AS dep_table, 'thread,answers' AS dep_columns, '{a},{b}' AS ref_columns, (SELECT COUNT(*) FROM replies) AS dep_distinct,
+       (SELECT COUNT(*) FROM (SELECT DISTINCT {a}, {b} FROM conversations)) AS ref_distinct
+FROM one WHERE ref_distinct = n AND one.{a} < n AND one.{b} < n AND NOT EXISTS (
+    SELECT 1 FROM replies r WHERE NOT EXISTS (SELECT 1 FROM conversations c WHERE CAST(c.{a} AS VARCHAR) = CAST(r.thread AS VARCHAR)
+                                                                        AND CAST(c.{b} AS VARCHAR) = CAST(r.answers AS VARCHAR)))"""
+                                   for a, b in _REF_PAIRS if "role" not in (a, b) and "text" not in (a, b)))
+def p11_pairs(spark, sf_dir):
+    from tabsight.operators.composite import composite_inclusions
+    c = tables(spark, sf_dir, "conversations").plain("conversations")
+    replies = c.filter("turn > 0").select(F.col("conv_id").alias("thread"), (F.col("turn") - 1).alias("answers"))
+    got = composite_inclusions(TableSet({"conversations": c, "replies": replies}))
+    return got.filter("ref_table = 'conversations'").select("dep_table", F.concat_ws(",", "dep_columns").alias("dep_columns"),
+                                                            F.concat_ws(",", "ref_columns").alias("ref_columns"), "dep_distinct", "ref_distinct")

@@ -264,3 +264,27 @@ def x15(spark, sf_dir):
        + str(sum(len(c) for c in DRIVER_SCHEMA.values()))]))
 def x16(spark, sf_dir):
     return combined_summary(tables(spark, sf_dir))
+
+
+_CLOCKED = "STRFTIME(MIN({0}), '%Y-%m-%d %H:%M:%S') || '{1} to ' || STRFTIME(MAX({0}), '%Y-%m-%d %H:%M:%S') || '{1}'"
+_AT = "o_orderdate + INTERVAL 1 MINUTE * (o_orderkey % 1440)"
+#: date_format pattern of the column, the value's time of day kept or not, zone of the range
+_LAYOUT_CHECKS = {"us_clock_date": ("MM/dd/yyyy hh:mm a", True, ""), "short_year_date": ("dd-MMM-yy", False, ""),
+                  "weekday_date": ("EEE, dd MMM yyyy", False, ""), "zoned_date": ("yyyy-MM-dd'T'HH:mm:ss'+02:00'", True, "+02:00"),
+                  "month_name_date": ("MMMM d, yyyy", False, ""), "compact_date": ("yyyyMMdd'T'HHmmss", True, "")}
+
+
+@register("X2_X12_X13_layouts_of_one_column", " UNION ALL ".join(
+    f"SELECT '{name}' AS column, {_CLOCKED.format(_AT if clock else 'o_orderdate', zone)} AS value, {_CLOCKED.format(_AT if clock else 'o_orderdate', zone)} AS strict, 0 AS missing FROM orders"
+    for name, (_, clock, zone) in _LAYOUT_CHECKS.items()))
+def x_layouts(spark, sf_dir):
+    """One layout a column: the lenient range, the strict range, and no value missing after coercion."""
+    o = tables(spark, sf_dir, "orders")["orders"]
+    at = F.col("o_orderdate").cast("timestamp_ntz") + F.make_dt_interval(F.lit(0), F.lit(0), (F.col("o_orderkey") % 1440).cast("int"))
+    out = None
+    for name, (pattern, clock, _) in _LAYOUT_CHECKS.items():
+        df = o.select(F.date_format(at if clock else F.col("o_orderdate"), pattern).alias(name), "_row_id")
+        one = date_ranges(df).select("column", "value").withColumn("strict", strict_date_range(df).select("value").scalar())
+        one = one.withColumn("missing", missing_counts(df, True).select("missing").scalar().cast("int"))
+        out = one if out is None else out.unionByName(one)
+    return out

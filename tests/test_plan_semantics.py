@@ -1,8 +1,8 @@
-"""pandas-parity of the plan executor on the reference's sample rows (FIXTURES.md F3-F5)
-and the edge cases measured there."""
+"""Plan executor against pandas on tables made for what each test needs: nulls, NaN, ties, single rows."""
 
 import math
 
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -11,17 +11,10 @@ from tabsight.functions.aggregates import PlanError
 from tabsight.plans.executor import PlanExecutor
 from tabsight.plans.validate import validate_plan
 
-# small samples of two kinds: items with prices, and locations with one repeated key
-F3 = (["day", "item", "category", "quantity", "price", "total_revenue", "labor"],
-      [("2023-05-02", "Soup", "Starters", 12, 4.50, 54.00, 9.00),
-       ("2023-05-02", "Pasta", "Mains", 30, 11.25, 337.50, 60.00),
-       ("2023-05-02", "Tea", "Drinks", 41, 2.75, 112.75, 8.00),
-       ("2023-05-03", "Pasta", "Mains", 26, 11.25, 292.50, 55.00),
-       ("2023-05-03", "Soup", "Starters", 9, 4.50, 40.50, 7.50)])
-F4 = (["Date", "Sales", "Location", "Category", "Orders"],
-      [("2023-06-01", 700, "Oslo", "Food", 31), ("2023-06-02", 950, "Bern", "Drinks", 44),
-       ("2023-06-03", 400, "Rome", "Food", 18), ("2023-06-04", 1300, "Oslo", "Food", 52),
-       ("2023-06-05", 1050, "Lyon", "Drinks", 47)])
+#: parcels: a null weight, a NaN fee, a tie in the totals, a depot of one row and an empty lane
+PARCELS = (["depot", "lane", "kilos", "fee"],
+           [("north", "air", 4, 2.5), ("north", "sea", 10, float("nan")), ("east", None, 3, 8.0), ("west", "air", 7, 0.5),
+            ("east", "sea", None, 1.25), ("north", "air", 6, 2.5), ("west", "rail", 13, 4.0), ("south", "sea", 20, 9.75)])
 
 
 def _tables(spark, name, fx, with_pos=True):
@@ -36,31 +29,43 @@ def _rows(df):
     return [tuple(r) for r in df.collect()]
 
 
-def test_f3_group_by_category(spark):
-    t = _tables(spark, "sales_data", F3)
-    res = PlanExecutor(t).build({"table": "sales_data", "groupby": ["category"],
-                                 "agg_functions": {"total_revenue": ["sum", "mean", "count"]}})
-    assert res.df.columns == ["category", "total_revenue_sum", "total_revenue_mean", "total_revenue_count"]
-    got = {r[0]: (round(r[1], 3), round(r[2], 3), r[3]) for r in res.ordered().collect()}
-    assert got == {"Drinks": (112.75, 112.75, 1), "Mains": (630.0, 315.0, 2), "Starters": (94.5, 47.25, 2)}
-
-
-def test_f4_groups_and_top2(spark):
-    t = _tables(spark, "restaurant_test_data", F4)
-    ex = PlanExecutor(t)
-    loc = ex.build({"table": "restaurant_test_data", "groupby": ["Location"],
-                    "agg_functions": {"Sales": ["sum", "mean", "count"]}}).ordered()
-    assert _rows(loc) == [("Bern", 950, 950.0, 1), ("Lyon", 1050, 1050.0, 1), ("Oslo", 2000, 1000.0, 2),
-                          ("Rome", 400, 400.0, 1)]
-    cat = ex.build({"table": "restaurant_test_data", "groupby": ["Category"],
-                    "agg_functions": {"Sales": ["sum", "mean", "median", "std"]}}).ordered().collect()
-    assert (cat[0][0], cat[0][1], cat[0][3]) == ("Drinks", 2000, 1000.0)
-    assert math.isclose(cat[0][4], 70.7107, abs_tol=1e-4)
-    assert (cat[1][0], cat[1][1], cat[1][3]) == ("Food", 2400, 700.0)
-    assert math.isclose(cat[1][4], 458.2576, abs_tol=1e-4)
-    top = ex.build({"table": "restaurant_test_data", "groupby": ["Location"], "agg_functions": {"Sales": ["sum"]},
-                    "sort": [{"column": "Sales_sum", "ascending": False}], "limit": 2}).df
-    assert [r[0] for r in top.collect()] == ["Oslo", "Lyon"]
+def _frame():
+    cols, rows = PARCELS
+    return pd.DataFrame(rows, columns=cols)
+
+
+def test_groups_equal_pandas(spark):
+    t = _tables(spark, "parcels", PARCELS)
+    res = PlanExecutor(t).build({"table": "parcels", "groupby": ["depot"], "agg_functions": {"kilos": ["sum", "mean", "count", "median", "std"],
+                                                                                           "fee": ["sum", "max"]}})
+    assert res.df.columns == ["depot", "kilos_sum", "kilos_mean", "kilos_count", "kilos_median", "kilos_std", "fee_sum", "fee_max"]
+    want = _frame().groupby("depot").agg({"kilos": ["sum", "mean", "count", "median", "std"], "fee": ["sum", "max"]}).reset_index()
+    for got, exp in zip(_rows(res.ordered()), want.itertuples(index=False)):
+        assert got[0] == exp[0] and len(got) == len(exp)
+        for x, y in zip(got[1:], exp[1:]):
+            assert (x is None and pd.isna(y)) or math.isclose(x, y, abs_tol=1e-9)
+
+
+def test_null_group_and_tied_totals(spark):
+    ex = PlanExecutor(_tables(spark, "parcels", PARCELS))
+    lanes = ex.build({"table": "parcels", "groupby": ["lane"], "agg_functions": {"kilos": ["sum"]},
+                      "sort": [{"column": "kilos_sum", "ascending": False}], "limit": 2}).df
+    assert _rows(lanes) == [("sea", 30), ("air", 17)]
+    depots = ex.build({"table": "parcels", "groupby": ["depot"], "agg_functions": {"kilos": ["sum"]},
+                       "sort": {"column": "kilos_sum", "ascending": False}}).df      # north, south and west tie: by key
+    got = _rows(PlanExecutor(TableSet({"d": depots})).build({"table": "d", "sort": {"column": "kilos_sum", "ascending": False}, "limit": 9}).df)
+    assert sorted(got) == [("east", 3), ("north", 20), ("south", 20), ("west", 20)] and got[-1] == ("east", 3)
+
+
+@pytest.mark.parametrize("ascending", [True, False])
+@pytest.mark.parametrize("limit", [1, 3, 7, 8])
+def test_missing_values_sort_last_both_ways(spark, ascending, limit):
+    rows = [(k, v) for k, v in enumerate([1.0, float("nan"), 3.0, None, -2.0, float("inf"), float("nan"), 3.0])]
+    t = TableSet({"t": spark.createDataFrame(rows, "k int, v double")})
+    got = PlanExecutor(t).build({"table": "t", "sort": {"column": "v", "ascending": ascending}, "limit": limit}).df.collect()
+    want = pd.DataFrame(rows, columns=["k", "v"]).sort_values("v", ascending=ascending)["v"].head(limit)
+    clean = lambda v: None if v is None or v != v else v
+    assert [clean(r["v"]) for r in got] == [clean(v) for v in want]
 
 
 def test_single_row_std_is_null(spark):
@@ -147,21 +152,20 @@ def test_semantic_types_and_result_context(spark):
                                "order_date string, name string, v double, flag boolean")
     got = {r["column"]: r["semantic_type"] for r in semantic_types(df).collect()}
     assert got == {"order_date": "temporal", "name": "nominal", "v": "quantitative", "flag": "quantitative"}
-    t = _tables(spark, "restaurant_test_data", F4)
-    run = PlanExecutor(t).run({"operations": [{"table": "restaurant_test_data", "groupby": ["Location"],
-                                               "agg_functions": {"Sales": ["sum"]}}]})
+    t = _tables(spark, "parcels", PARCELS)
+    run = PlanExecutor(t).run({"operations": [{"table": "parcels", "groupby": ["depot"], "agg_functions": {"kilos": ["sum"]}}]})
     ctx = result_context(run.results).collect()[0]
-    assert ctx["row_count"] == 4 and ctx["columns"] == ["Location", "Sales_sum"]
-    assert len(ctx["sample_data"]) == 3 and ctx["semantic_types"]["Location"] == "nominal"
+    assert ctx["row_count"] == 4 and ctx["columns"] == ["depot", "kilos_sum"]
+    assert len(ctx["sample_data"]) == 3 and ctx["semantic_types"]["depot"] == "nominal"
 
 
 def test_reuse_scans_persists_shared_table(spark):
-    t = _tables(spark, "restaurant_test_data", F4)
-    plan = {"operations": [{"table": "restaurant_test_data", "groupby": ["Location"], "agg_functions": {"Sales": "sum"}},
-                           {"table": "restaurant_test_data", "groupby": ["Category"], "agg_functions": {"Sales": "sum"}}]}
+    t = _tables(spark, "parcels", PARCELS)
+    plan = {"operations": [{"table": "parcels", "groupby": ["depot"], "agg_functions": {"kilos": "sum"}},
+                           {"table": "parcels", "groupby": ["lane"], "agg_functions": {"kilos": "sum"}}]}
     run = PlanExecutor(t, reuse_scans=True).run(plan)
     assert len(run.persisted) == 1
-    assert run.results["operation_1"].df.count() == 4 and run.results["operation_2"].df.count() == 2
+    assert run.results["operation_1"].df.count() == 4 and run.results["operation_2"].df.count() == 3
     run.release()
     assert run.persisted == []
 

@@ -5,6 +5,7 @@ import random
 
 import numpy as np
 import pandas as pd
+import pytest
 from pyspark.sql import functions as F
 
 from tabsight.catalog import TableSet
@@ -156,3 +157,47 @@ def test_distributed_ranking_matches_pandas(spark):
         for i, a, b in zip(pdf["id"], mn, dn):
             want = (None, None) if np.isnan(a) else (int(a), int(b))
             assert got[i] == want
+
+
+def test_order_keys_beyond_double_precision(spark):
+    """Running and rolling sums by a bigint above 2^53 in reverse file order, and by a decimal of 30 digits."""
+    from tabsight.operators.windows import rolling, running
+    n = 1000
+    df = spark.range(n).select((F.lit(2 ** 60) + F.lit(n) - F.col("id")).alias("at"), F.col("id").alias("v"),
+                               (F.lit(10 ** 18).cast("decimal(30,2)") * 1000 + F.col("id")).cast("decimal(30,2)").alias("dec")).withColumn("_row_id", F.col("v"))
+    got = {r["at"]: r["s"] for r in running(df, [], ["at"], "v", out="s", partitions=4).collect()}
+    total = 0
+    for k in range(n - 1, -1, -1):
+        total += k
+        assert got[2 ** 60 + n - k] == total
+    roll = {r["v"]: r["s"] for r in rolling(df, [], ["at"], "v", 3, "sum", "s", partitions=4).collect()}
+    assert all(roll[k] == (3 * k + 3 if k + 2 < n else None) for k in range(n))
+    dec = {r["v"]: r["s"] for r in running(df, [], ["dec"], "v", out="s", partitions=4).collect()}
+    assert all(dec[k] == k * (k + 1) // 2 for k in range(n))
+
+
+def test_text_with_a_shared_beginning_spreads_over_slices(spark):
+    from tabsight.operators.analytics import ranking
+    from tabsight.operators.slices import order_slices
+    n = 16
+    df = spark.range(4000).select(F.concat(F.lit("https://www.example.com/a/long/common/path/"), F.col("id").cast("string")).alias("url"))
+    sizes = [r["count"] for r in df.select(order_slices(df, ["url"], n).alias("s")).groupBy("s").count().collect()]
+    assert len(sizes) > n / 2 and max(sizes) < 3 / n * 4000
+    hot = df.withColumn("url", F.when(F.expr("length(url) % 2 = 0"), "https://www.example.com/hot").otherwise(F.col("url"))).withColumn(
+        "_row_id", F.monotonically_increasing_id())
+    sizes = [r["count"] for r in hot.select(order_slices(hot, ["url"], n).alias("s")).groupBy("s").count().collect()]
+    assert max(sizes) < 3 / n * 4000
+    want = {u: k + 1 for k, u in enumerate(sorted(r["url"] for r in df.collect()))}
+    assert {r["url"]: r["rank"] for r in ranking(df, "url", ascending=True).collect()} == want
+
+
+def test_resample_and_growth_reserve_their_names(spark):
+    from tabsight.operators.analytics import growth, resample
+    df = spark.createDataFrame([("a", "2024-01-01", 1), ("a", "2024-01-03", 2)], "period string, d string, v int").withColumn("d", F.to_timestamp("d"))
+    with pytest.raises(ValueError):
+        resample(df, "d", "D", {"v": ["sum"]}, by=["period"])
+    got = resample(df, "d", "D", {"v": ["sum"]}, by=["period"], out="day").orderBy("day").collect()
+    assert [(r["period"], r["v_sum"]) for r in got] == [("a", 1), ("a", 0), ("a", 2)]
+    with pytest.raises(ValueError):
+        growth(df.withColumn("previous", F.lit(0)), "d", "v")
+    assert growth(df.withColumn("previous", F.lit(7)), "d", "v", previous="before").columns[-3:] == ["previous", "before", "growth_pct"]
