@@ -5,13 +5,14 @@ every column in a single scan.  Job 2 (value-count relation, all tables at once)
 ``vc(table, column, value, n, first_row)`` from an ``explode`` of
 (column, value) pairs and one ``groupBy`` with map-side partial aggregation, so
 a value that fills a third of a column is combined before the shuffle.  Distinct
-counts, primary-key candidates and first-seen samples are read off ``vc``;
-samples use ``row_number() <= 5`` which Spark plans as a partial
-``WindowGroupLimit`` before the exchange (no column is collected into one task).
+counts and primary-key candidates are read off ``vc``.  Samples come from the first rows of a table's first file where
+they show five values there; only the other columns are grouped once more with their first rows, and
+``row_number() <= 5`` is planned as a partial ``WindowGroupLimit`` before the exchange.
 """
 
 from __future__ import annotations
 
+import re
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
@@ -22,6 +23,8 @@ from tabsight.catalog import (ROW_ID, ROW_ID_TYPE, TableSet, data_columns, edge_
                               ntz_from_micros, ntz_micros)
 
 SAMPLE_SIZE = 5
+#: rows at the beginning of a table in which samples are looked for first
+PREFIX_ROWS = 500
 
 
 def pandas_dtype(dt: T.DataType, has_nulls: Column) -> Column:
@@ -144,8 +147,9 @@ def column_ids(tables: TableSet, names: list[str]) -> list[tuple[int, str, str,
     return out
 
 
-def value_counts(tables: TableSet, names: list[str] | None = None, with_first_row: bool = True) -> DataFrame:
-    """vc(cid, vl, vd, vs, n, first_row) over all given tables in one shuffle.
+def value_counts(tables: TableSet, names: list[str] | None = None, with_first_row: bool = True,
+                 only: set[int] | None = None) -> DataFrame | None:
+    """vc(cid, vl, vd, vs, n, first_row) over all given tables in one shuffle; ``only``: these column ids (None if empty).
 
     ``cid`` is an integer column id (see :func:`column_ids`); values are typed
     primitives, so keys are narrow and every buffer is fixed-width: the aggregation
@@ -156,12 +160,14 @@ def value_counts(tables: TableSet, names: list[str] | None = None, with_first_ro
     cat = column_ids(tables, names)
     parts = []
     for ti, name in enumerate(names):
+        if only is not None and not any(t == name and cid in only for cid, t, *_ in cat):
+            continue
         df = tables[name] if with_first_row else tables.plain(name)
         has_order = with_first_row and ROW_ID in df.columns
         pairs = [F.struct(F.lit(ROWS_BASE + ti).alias("cid"), F.lit(0).cast("long").alias("vl"),
-                          F.lit(None).cast("double").alias("vd"), F.lit(None).cast("string").alias("vs"))]
+                          F.lit(None).cast("double").alias("vd"), F.lit(None).cast("string").alias("vs"))] if only is None else []
         for cid, t, col, _, dt in cat:
-            if t != name or dt is None:
+            if t != name or dt is None or (only is not None and cid not in only):
                 continue
             c = F.col(f"`{col}`")
             kind, vl, vd, vs = typed_value(c, dt)
@@ -172,6 +178,8 @@ def value_counts(tables: TableSet, names: list[str] | None = None, with_first_ro
         row_id = F.col(ROW_ID) if has_order else F.lit(None).cast(ROW_ID_TYPE)
         long = df.select(F.explode(F.array(*pairs)).alias("p"), row_id.alias("row_id")).select("p.*", "row_id")
         parts.append(long.filter(F.col("cid").isNotNull()))
+    if not parts:
+        return None
     long = reduce(lambda a, b: a.unionByName(b), parts)
     return long.groupBy("cid", "vl", "vd", "vs").agg(F.count(F.lit(1)).alias("n"),
                                                      F.min("row_id").alias("first_row"))
@@ -187,7 +195,44 @@ def catalogue_frame(tables: TableSet, names: list[str]) -> DataFrame:
                                        "type_class string, orderable boolean")
 
 
-def first_samples(vc: DataFrame, cat: DataFrame, tables: TableSet, names: list[str], k: int = SAMPLE_SIZE) -> DataFrame:
+def prefix_samples(tables: TableSet, names: list[str], k: int = SAMPLE_SIZE, rows: int = PREFIX_ROWS) -> dict[int, list[str]]:
+    """P8 from the first rows of file scans: column id -> its first ``k`` distinct values, for columns that show ``k`` of them
+    there, and for all columns of a table that ends there.  One small job reads the beginning of each table's first file;
+    its row numbers are checked, so a column is listed only if these are the table's first rows."""
+    cat, parts = column_ids(tables, names), []
+    for ti, name in enumerate(names):
+        scan = tables.scan(name)
+        if scan is None or not scan.columns:
+            continue
+        files = sorted({re.sub("^file:/+", "file:/", f) for f in scan.inputFiles()})
+        if not files:
+            continue
+        at = F.col("_metadata.row_index")
+        cells = []
+        for cid, t, c, _, dt in cat:
+            if t == name and dt is not None:
+                kind, vl, vd, vs = typed_value(F.col(f"`{c}`"), dt)
+                text = typed_text(F.lit(kind), vl, vd, vs)
+                cells.append((cid, F.when(~is_missing(F.col(f"`{c}`"), dt), text)))
+        head = scan.select(at.alias("__at"), F.col("_metadata.file_path").alias("__file"), *[x.alias(f"v{cid}") for cid, x in cells])
+        # one more row tells whether the table ends here
+        head = (head.filter(F.col("__file") == files[0]) if len(files) > 1 else head).limit(rows + 1)
+        seen = [F.slice(F.array_distinct(F.transform(F.array_sort(F.collect_list(F.when(F.col(f"v{cid}").isNotNull(), F.struct(
+            F.col("__at"), F.col(f"v{cid}").alias("v"))))), lambda x: x["v"])), 1, k) for cid, _ in cells]
+        parts.append(head.agg(F.count(F.lit(1)).alias("n"), F.max("__at").alias("last"), F.array(*seen).alias("seen")).select(
+            F.lit(ti).alias("ti"), "n", "last", F.lit(len(files)).alias("files"), "seen"))
+    done = {}
+    for r in reduce(DataFrame.unionByName, parts).collect() if parts else []:      # k values a column
+        if r["n"] == 0 or r["last"] != r["n"] - 1:
+            continue                                                                # not the first rows, or none
+        whole = r["files"] == 1 and r["n"] <= rows
+        cids = [cid for cid, t, _, _, dt in cat if t == names[r["ti"]] and dt is not None]
+        done.update({cid: vals for cid, vals in zip(cids, r["seen"]) if whole or len(vals) == k})
+    return done
+
+
+def first_samples(vc: DataFrame, cat: DataFrame, tables: TableSet, names: list[str], k: int = SAMPLE_SIZE,
+                  only: set[int] | None = None) -> DataFrame:
     """First ``k`` distinct non-null values per column, in order of first appearance;
     ``row_number() <= k`` is planned as a partial WindowGroupLimit before the shuffle.  Sample texts that were
     grouped by hash are read from their rows (at most ``k`` per column, matched by row id)."""
@@ -200,11 +245,9 @@ def first_samples(vc: DataFrame, cat: DataFrame, tables: TableSet, names: list[s
     keys = top.filter(F.col("vs").startswith(_HASH_MARK)).select(F.col("first_row").alias("kat")).distinct()
     parts = []
     for t in names:
-        if ROW_ID not in tables[t].columns:
-            continue
-        cols = [(cid, c, dt) for cid, table, c, _, dt in column_ids(tables, names)
-                if table == t and dt is not None and typed_value(F.col("x"), dt)[0] == K_TEXT]
-        if not cols:
+        cols = [(cid, c, dt) for cid, table, c, _, dt in column_ids(tables, names) if table == t and dt is not None
+                and (only is None or cid in only) and typed_value(F.col("x"), dt)[0] == K_TEXT]
+        if not cols or ROW_ID not in tables[t].columns:
             continue
         near = tables[t].join(F.broadcast(keys), F.col(ROW_ID) == F.col("kat"), "left_semi")
         cells = F.explode(F.array(*[F.struct(F.lit(cid).alias("tcid"), value_text(F.col(f"`{c}`"), dt).alias("whole"))
@@ -258,9 +301,14 @@ def _dtype_expr(tc: Column, has_nulls: Column) -> Column:
 def profile_columns(tables: TableSet, names: list[str] | None = None, samples: bool = True) -> DataFrame:
     """P1-P8, P10 per column: file_name, table_name, column_name, ordinal, data_type, dtype,
     nullable, null_count, unique_count, distinct_value_ratio, min_value, max_value,
-    sample_values, is_pk_candidate, row_count.  One shuffle of the data in total."""
+    sample_values, is_pk_candidate, row_count.  One shuffle of the data; with ``samples`` a second, narrow one of the columns that show
+    fewer than five values in the first rows of their file (few values: combined before the shuffle)."""
     names = names or list(tables)
-    vc = value_counts(tables, names, with_first_row=samples)
+    done = prefix_samples(tables, names) if samples else {}
+    rest = {cid for cid, *_, dt in column_ids(tables, names) if dt is not None} - set(done)
+    # a table set without any scan: one relation serves both
+    alone = samples and not done
+    vc = value_counts(tables, names, with_first_row=alone)
     cat = catalogue_frame(tables, names)
     decimals = any(isinstance(dt, T.DecimalType) for *_, dt in column_ids(tables, names))
     per_col = vc.groupBy("cid").agg(
@@ -278,7 +326,11 @@ def profile_columns(tables: TableSet, names: list[str] | None = None, samples: b
               .withColumn("max_value", typed_text(F.col("kind"), F.col("hi_l"), F.col("hi_d"), hi_s)))
     out = out.filter(F.col("cid") < ROWS_BASE)
     if samples:
-        out = out.join(first_samples(vc, cat, tables, names), "cid", "left")
+        found = tables.spark.createDataFrame(list(done.items()), "cid int, sample_values array<string>")
+        later = vc if alone else value_counts(tables, names, only=rest)
+        if later is not None:
+            found = found.unionByName(first_samples(later, cat, tables, names, only=rest))
+        out = out.join(found, "cid", "left")
     else:
         out = out.withColumn("sample_values", F.lit(None).cast("array<string>"))
     rc = F.coalesce(F.col("row_count"), F.lit(0))
