@@ -25,19 +25,19 @@ from pyspark.sql import functions as F
 
 from tabsight.llm.staging import Stage, from_iid, iid
 from tabsight.llm.textbatch import lean, text_slices
-from tabsight.llm.wordtok import WordTokenizer
+from tabsight.llm.wordtok import CACHE_WORDS, WordTokenizer
 
 _PIECES = "doc_id bigint, piece int, start bigint, length bigint, ids_crc32 bigint, chunk int, lrank bigint"
 
 
-def token_pieces(docs: DataFrame, tokenizer_path: str, end_id: int, max_len: int) -> DataFrame:
+def token_pieces(docs: DataFrame, tokenizer_path: str, end_id: int, max_len: int, cache_words: int = CACHE_WORDS) -> DataFrame:
     """One row per piece of at most ``max_len`` ids; ``lrank`` numbers the pieces of equal length within ``chunk``."""
     end = np.array([end_id], "<u4").tobytes()
 
     @lean
     def run(batches):
         from pyspark import TaskContext
-        tok, chunk, seen = WordTokenizer.shared(tokenizer_path), TaskContext.get().partitionId(), {}
+        tok, chunk, seen = WordTokenizer.shared(tokenizer_path, cache_words), TaskContext.get().partitionId(), {}
         for b in batches:
             ids = b.column(0).to_pylist()
             for lo, texts in text_slices(b):
@@ -140,10 +140,11 @@ def plan_slots(packs, max_len: int):
 
 
 def pack_documents(spark: SparkSession, docs: DataFrame, tokenizer_path: str, end_id: int = 1,
-                   max_len: int = 4096) -> DataFrame:
-    """Pack whole documents: (doc_id, piece, start, length, ids_crc32, sequence_id, offset) per piece."""
+                   max_len: int = 4096, cache_words: int = CACHE_WORDS) -> DataFrame:
+    """Pack whole documents: (doc_id, piece, start, length, ids_crc32, sequence_id, offset) per piece.  ``cache_words`` bounds
+    the words whose ids a worker keeps."""
     stage = Stage(spark, "packing")
-    pieces = stage.put(token_pieces(docs, tokenizer_path, end_id, max_len))
+    pieces = stage.put(token_pieces(docs, tokenizer_path, end_id, max_len, cache_words))
     counts = pieces.groupBy("length", "chunk").agg(F.count(F.lit(1)).alias("n"))
     hist = {r["length"]: r["n"] for r in counts.groupBy("length").agg(F.sum("n").alias("n")).collect()}
     keys, seqs, offs = plan_slots(plan_packs(hist, max_len), max_len)

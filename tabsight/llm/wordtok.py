@@ -66,11 +66,11 @@ class WordTokenizer:
         self.old: dict[bytes, bytes] = {}
 
     @classmethod
-    def shared(cls, path: str) -> "WordTokenizer":
+    def shared(cls, path: str, cache_words: int = CACHE_WORDS) -> "WordTokenizer":
         cache = process_cache()
-        if ("wordtok", path) not in cache:
-            cache["wordtok", path] = cls(path)
-        return cache["wordtok", path]
+        if ("wordtok", path, cache_words) not in cache:
+            cache["wordtok", path, cache_words] = cls(path, cache_words)
+        return cache["wordtok", path, cache_words]
 
     def _unseen(self, words) -> list:
         """Words of neither cache generation; those of the old one move to the new."""
