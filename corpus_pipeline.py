@@ -6,8 +6,10 @@ effect; all but the last return the columns of ``documents``.
 
 from __future__ import annotations
 
+import functools
 import os
 import sys
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -23,6 +25,23 @@ from tabsight.llm.queries import word_vocabulary  # noqa: E402
 from tabsight.llm.staging import Stage, iid, remove_path, text_tie  # noqa: E402
 
 
+#: bytes of one Arrow batch between Spark and Python.  Whole texts go through the stages' Python tasks: batches of 10,000 of them
+#: (Spark's default, up to 64 MB) stay allocated outside the heap on both sides
+ARROW_BATCH_BYTES = 1 << 20
+_ARROW_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch"
+
+
+def _small_batches(stage: Callable) -> Callable:
+    """The stage with the session's Arrow batches bounded (a smaller setting of the caller stays)."""
+    @functools.wraps(stage)
+    def bounded(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        now = int(spark.conf.get(_ARROW_BYTES).removesuffix("b"))
+        if now <= 0 or now > ARROW_BATCH_BYTES:
+            spark.conf.set(_ARROW_BYTES, ARROW_BATCH_BYTES)
+        return stage(spark, docs, sf_dir)
+    return bounded
+
+
 def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without a letter, or of whose 3-grams the best language explains less than its limit, go."""
     names = ("__lang_pred", "__lang_score")
@@ -66,11 +85,12 @@ def near_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Sequences of at most 4096 tokens."""
-    return pack_documents(spark, docs, word_vocabulary(), end_id=1, max_len=4096)
+    return pack_documents(spark, docs, word_vocabulary(), end_id=1, max_len=4096, cache_words=100_000)
 
 
-STAGES = [("language_id", language_stage), ("quality_rules", quality_stage), ("line_dedup", line_stage),
-          ("minhash_near_dedup", near_stage), ("best_fit_packing", packing_stage)]
+STAGES = [(name, _small_batches(stage)) for name, stage in (
+    ("language_id", language_stage), ("quality_rules", quality_stage), ("line_dedup", line_stage),
+    ("minhash_near_dedup", near_stage), ("best_fit_packing", packing_stage))]
 
 #: learned models and tokenization are beyond SQL; tests hold the stages against brute-force versions
 ORACLE_SQL = None
