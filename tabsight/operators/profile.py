@@ -336,7 +336,7 @@ def profile_columns(tables: TableSet, names: list[str] | None = None, samples: b
     rc = F.coalesce(F.col("row_count"), F.lit(0))
     uc = F.coalesce(F.col("unique_count"), F.lit(0))
     nulls = rc - F.coalesce(F.col("non_null"), F.lit(0))
-    return out.select(
+    return out.orderBy("cid").select(      # one row a column: in schema order
         F.col("table_name").alias("file_name"),
         logical_name_col(F.col("table_name")).alias("table_name"),
         "column_name", "ordinal",
