@@ -122,6 +122,13 @@ def typed_value(c: Column, dt: T.DataType) -> tuple[int, Column, Column, Column]
     return K_TEXT, null_l, null_d, value_text(c, dt)
 
 
+def text_of_kind(kind: int, vl: Column, vd: Column, vs: Column) -> Column:
+    """:func:`typed_text` of a kind that is known."""
+    return {K_INT: lambda: vl.cast("string"), K_DOUBLE: lambda: vd.cast("string"), K_TS: lambda: F.timestamp_micros(vl).cast("string"),
+            K_TS_NTZ: lambda: ntz_from_micros(vl).cast("string"), K_DATE: lambda: F.date_from_unix_date(vl.cast("int")).cast("string"),
+            K_DEC: lambda: decimal_text(vs), K_BOOL: lambda: F.when(vl == 1, F.lit("true")).otherwise(F.lit("false"))}.get(kind, lambda: vs)()
+
+
 def typed_text(kind: Column, vl: Column, vd: Column, vs: Column) -> Column:
     """Text of a typed value, equal to ``CAST(value AS STRING)`` of the original column."""
     return (F.when(kind == K_INT, vl.cast("string"))
@@ -212,19 +219,21 @@ def prefix_samples(tables: TableSet, names: list[str], k: int = SAMPLE_SIZE, row
         for cid, t, c, _, dt in cat:
             if t == name and dt is not None:
                 kind, vl, vd, vs = typed_value(F.col(f"`{c}`"), dt)
-                text = typed_text(F.lit(kind), vl, vd, vs)
+                text = text_of_kind(kind, vl, vd, vs)
                 cells.append((cid, F.when(~is_missing(F.col(f"`{c}`"), dt), text)))
         head = scan.select(at.alias("__at"), F.col("_metadata.file_path").alias("__file"), *[x.alias(f"v{cid}") for cid, x in cells])
         # one more row tells whether the table ends here
         head = (head.filter(F.col("__file") == files[0]) if len(files) > 1 else head).limit(rows + 1)
-        seen = [F.slice(F.array_distinct(F.transform(F.array_sort(F.collect_list(F.when(F.col(f"v{cid}").isNotNull(), F.struct(
-            F.col("__at"), F.col(f"v{cid}").alias("v"))))), lambda x: x["v"])), 1, k) for cid, _ in cells]
-        parts.append(head.agg(F.count(F.lit(1)).alias("n"), F.max("__at").alias("last"), F.array(*seen).alias("seen")).select(
-            F.lit(ti).alias("ti"), "n", "last", F.lit(len(files)).alias("files"), "seen"))
+        # rows of one task in scan order; their numbers are checked below
+        seen = [F.slice(F.array_distinct(F.collect_list(f"v{cid}")), 1, k) for cid, _ in cells]
+        steps = F.count(F.when(F.col("__at") == F.col("__want"), 1))
+        head = head.withColumn("__want", F.monotonically_increasing_id())
+        parts.append(head.agg(F.count(F.lit(1)).alias("n"), steps.alias("in_order"), F.array(*seen).alias("seen")).select(
+            F.lit(ti).alias("ti"), "n", "in_order", F.lit(len(files)).alias("files"), "seen"))
     done = {}
     for r in reduce(DataFrame.unionByName, parts).collect() if parts else []:      # k values a column
-        if r["n"] == 0 or r["last"] != r["n"] - 1:
-            continue                                                                # not the first rows, or none
+        if r["n"] == 0 or r["in_order"] != r["n"]:
+            continue                                                                # not the first rows in order, or none
         whole = r["files"] == 1 and r["n"] <= rows
         cids = [cid for cid, t, _, _, dt in cat if t == names[r["ti"]] and dt is not None]
         done.update({cid: vals for cid, vals in zip(cids, r["seen"]) if whole or len(vals) == k})
