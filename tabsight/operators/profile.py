@@ -307,11 +307,17 @@ def _dtype_expr(tc: Column, has_nulls: Column) -> Column:
              .otherwise(tc))
 
 
-def profile_columns(tables: TableSet, names: list[str] | None = None, samples: bool = True) -> DataFrame:
+def profile_columns(tables: TableSet, names: list[str] | None = None, samples: bool = True, approx: bool = False) -> DataFrame:
     """P1-P8, P10 per column: file_name, table_name, column_name, ordinal, data_type, dtype,
     nullable, null_count, unique_count, distinct_value_ratio, min_value, max_value,
     sample_values, is_pk_candidate, row_count.  One shuffle of the data; with ``samples`` a second, narrow one of the columns that show
-    fewer than five values in the first rows of their file (few values: combined before the shuffle)."""
+    fewer than five values in the first rows of their file (few values: combined before the shuffle).
+
+    ``approx``: distinct counts from sketches, without the value shuffle (:func:`tabsight.operators.sketches.approximate_profile`:
+    quantiles in place of samples, and key candidates only ruled out, never confirmed)."""
+    if approx:
+        from tabsight.operators.sketches import approximate_profile
+        return approximate_profile(tables, names)
     names = names or list(tables)
     done = prefix_samples(tables, names) if samples else {}
     rest = {cid for cid, *_, dt in column_ids(tables, names) if dt is not None} - set(done)

@@ -6,4 +6,4 @@ SQL-expressible (then only row counts are compared)."""
 
 from tabsight.suite.base import REGISTRY, Check  # noqa: F401
 from tabsight.suite import (analytics_checks, ingest_checks, output_checks, plan_checks,  # noqa: F401
-                            profile_checks, quality_checks)
+                            profile_checks, quality_checks, sketch_checks)
