@@ -6,10 +6,11 @@ from pyspark.sql import functions as F
 
 from tabsight.operators.analytics import (correlation, efficiency, growth, join_along, ranking, resample,
                                           share, time_patterns, two_key_matrix, versus_average,
-                                          zscore_anomalies)
+                                          seasonal_anomalies, zscore_anomalies)
+from tabsight.operators.correlations import correlation_matrix
 from tabsight.operators.windows import rolling_many, running_many, top_k_per_group
 from tabsight.suite.base import register, rounded, tables
-from tabsight.suite.views import SALES_SQL, sales_view
+from tabsight.suite.views import DOC_LABELS_SQL, SALES_SQL, doc_labels_view, sales_view
 
 
 def _sales(spark, sf_dir):
@@ -206,6 +207,25 @@ def a14(spark, sf_dir):
                                ["l_returnflag"]))
 
 
+def _pairs_sql(columns: list[str], source: str) -> str:
+    return "\nUNION ALL\n".join(
+        f"SELECT '{a}' AS column_a, '{b}' AS column_b, CAST(REGR_COUNT({a}, {b}) AS BIGINT) AS n, ROUND(CORR({a}, {b}), 6) AS correlation FROM {source}"
+        for i, a in enumerate(columns) for b in columns[i + 1:])
+
+
+@register("A14_correlation_matrix_lineitem", _pairs_sql(
+    ["l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_quantity", "l_extendedprice", "l_discount", "l_tax"], "lineitem"))
+def a14_matrix(spark, sf_dir):
+    return rounded(correlation_matrix(tables(spark, sf_dir, "lineitem").plain("lineitem")), 6)
+
+
+@register("A14_correlation_matrix_missing_values", _pairs_sql(["doc_id", "n_chars", "quality", "toxic"], f"{DOC_LABELS_SQL} x"))
+def a14_missing(spark, sf_dir):
+    """Most documents have no label: every pair counts the rows that have both."""
+    v = doc_labels_view(tables(spark, sf_dir, "documents", "labels"))
+    return rounded(correlation_matrix(v, ["doc_id", "n_chars", "quality", "toxic"]), 6)
+
+
 @register("A15_cumulative_monthly_by_category", f"""
 WITH agg AS (SELECT category, DATE_TRUNC('month', date) AS period, SUM(sales) AS s FROM {SALES_SQL} x GROUP BY 1, 2),
 cal AS (SELECT category, UNNEST(GENERATE_SERIES(MIN(period), MAX(period), INTERVAL 1 MONTH)) AS period
@@ -232,6 +252,35 @@ def a16(spark, sf_dir):
     return rounded(zscore_anomalies(d, "total"))
 
 
+_SEASONAL = """
+WITH d AS ({days}),
+m AS (SELECT {by} season, MEDIAN(total) AS total_median FROM d GROUP BY ALL),
+o AS (SELECT d.*, total_median, ABS(total - total_median) AS off FROM d JOIN m USING ({by} season)),
+a AS (SELECT {by} season, MEDIAN(off) AS total_mad FROM o GROUP BY ALL)
+SELECT {by} CAST(day AS TIMESTAMP) AS day, ROUND(total, 4) AS total, ROUND(total_median, 4) AS total_median,
+       ROUND(total_mad, 4) AS total_mad, ROUND(CASE WHEN total_mad > 0 THEN 0.6745 * (total - total_median) / total_mad END, 4) AS robust_z,
+       CASE WHEN total_mad > 0 THEN ABS(0.6745 * (total - total_median) / total_mad) > 3.5 ELSE off > 0 END AS is_anomaly
+FROM o JOIN a USING ({by} season)"""
+
+
+@register("A16_weekday_baseline_by_category", _SEASONAL.format(by="category,", days=f"""
+SELECT category, DATE_TRUNC('day', date) AS day, DAYOFWEEK(day) AS season, SUM(sales) AS total FROM {SALES_SQL} s GROUP BY ALL"""))
+def a16_weekday(spark, sf_dir):
+    d = _sales(spark, sf_dir).groupBy("category", F.date_trunc("day", "date").cast("timestamp_ntz").alias("day")).agg(F.sum("sales").alias("total"))
+    return rounded(seasonal_anomalies(d, "day", "total", by=["category"]))
+
+
+@register("A16_weekday_baseline_planted_outliers", _SEASONAL.format(by="", days="""
+SELECT DATE_TRUNC('day', o_orderdate) AS day, DAYOFWEEK(day) AS season,
+       CAST(COUNT(*) * CASE WHEN EPOCH(day)::BIGINT // 86400 % 101 = 0 THEN 20 ELSE 1 END AS BIGINT) AS total FROM orders GROUP BY day"""))
+def a16_planted(spark, sf_dir):
+    """Orders per day, every 101st day twentyfold."""
+    day = F.date_trunc("day", "o_orderdate").cast("timestamp_ntz")
+    d = tables(spark, sf_dir, "orders").plain("orders").groupBy(day.alias("day")).agg(F.count(F.lit(1)).alias("n"))
+    planted = F.when(F.unix_date(F.to_date("day")) % 101 == 0, 20).otherwise(1)
+    return rounded(seasonal_anomalies(d.select("day", (F.col("n") * planted).alias("total")), "day", "total"))
+
+
 @register("A17_event_type_share", """
 SELECT event_type, COUNT(*) AS count, COUNT(*) / SUM(COUNT(*)) OVER () AS share FROM events GROUP BY event_type""")
 def a17(spark, sf_dir):
