@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable
 from dataclasses import dataclass
 
@@ -79,11 +80,14 @@ def op2_topk_threshold(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _op3_sql() -> str:
+    known = urlfilter.default_vocabulary()
+
     def hit(term):
-        return f"regexp_matches(u, '(^|[^a-z0-9]){term}([^a-z0-9]|$)')"
+        text = re.escape(term).replace("'", "''")
+        return f"regexp_matches(u, '(^|[^a-z0-9]){text}([^a-z0-9]|$)')"
 
-    strict = " OR ".join(hit(t) for t in urlfilter.STRICT)
-    soft = " + ".join(f"CASE WHEN {hit(t)} THEN {w} ELSE 0 END" for t, w in urlfilter.SOFT.items())
+    strict = " OR ".join(hit(t) for t in known.strict)
+    soft = " + ".join(f"CASE WHEN {hit(t)} THEN {w} ELSE 0 END" for t, (_, w) in known.soft.items())
     rules = sorted(urlfilter.RULES, key=lambda r: -len(r[1] + r[2]))
 
     def case(value):
@@ -97,7 +101,7 @@ WITH s AS (SELECT page_id, lower(coalesce(url, '')) AS u,
     coalesce(regexp_extract(url, '^.*?://[^/?#]*([^?#]*)', 1, 's'), '') AS path FROM pages),
 r AS (SELECT *, {case(lambda v, h, p: h + p)} AS rule, {case(lambda v, h, p: v)} AS ruled,
     ({strict})::INT AS strict_hit, ({soft})::DOUBLE AS soft_weight FROM s)
-SELECT page_id, host, path, rule, coalesce(ruled, CASE WHEN strict_hit > 0 OR soft_weight >= {urlfilter.SOFT_LIMIT}
+SELECT page_id, host, path, rule, coalesce(ruled, CASE WHEN strict_hit > 0 OR soft_weight >= {known.limit}
     THEN 'block' ELSE 'allow' END) AS verdict FROM r
 """
 

@@ -2,6 +2,7 @@
 
 import hashlib
 import math
+import random
 import re
 import zlib
 from collections import Counter
@@ -10,7 +11,7 @@ import numpy as np
 import pytest
 
 from tabsight.llm import urlfilter
-from tabsight.llm.langid import learn_filters, predict_languages
+from tabsight.llm.langid import learn_filters, predict_languages, tag_languages
 from tabsight.llm.quality import judge_quality, pick_threshold
 from tabsight.llm.queries import QUERIES
 from tabsight.llm.topk import exact_topk, quantised
@@ -143,6 +144,76 @@ def test_url_parts_rules_and_terms(spark):
     assert urlfilter.judge_urls(df.limit(0)).count() == 0
 
 
+def test_vocabulary_of_thousands_of_weighted_overlapping_terms(spark, tmp_path):
+    rng = random.Random(9)
+    terms = {"".join(rng.choices("abc-.1", k=rng.randint(1, 5))) for _ in range(6000)} | {"a", "ab", "b-a", "é", "a.c", "(a", "+"}
+    terms = sorted(t for t in terms if t.strip())
+    lines = ["# version\t7", "# limit\t2.5"]
+    for i, t in enumerate(terms):
+        lines.append(f"{t}\tc{i % 5}\tstrict" if len(t) > 4 and i % 7 == 0 else f"{t}\tc{i % 5}\tsoft\t{(i % 9 + 1) / 8}")
+    rng.shuffle(lines)
+    (tmp_path / "terms.tsv").write_text("\n".join(lines), encoding="utf-8")
+    known = urlfilter.load_vocabulary(spark, str(tmp_path / "terms.tsv"))
+    assert known.version == "7" and known.limit == 2.5 and len(known.strict) + len(known.soft) == len(terms) > 2000
+    urls = [None, "", "É", "http://(a+b"] + ["https://h.org/" + "".join(rng.choices("abcABC-./1é", k=rng.randint(0, 14))) for _ in range(400)]
+    df = spark.createDataFrame([(i, u, "x") for i, u in enumerate(urls)], "page_id long, url string, categories string")
+    got = {r["page_id"]: r for r in urlfilter.judge_urls(df, rules=(), vocabulary=known).collect()}
+    verdicts = set()
+    for i, u in enumerate(urls):
+        u = (u or "").lower()
+        hits = [t for t in terms if t in u and re.search(f"(?<![a-z0-9]){re.escape(t)}(?![a-z0-9])", u)]
+        strict, weight = [t for t in hits if t in known.strict], sum(known.soft[t][1] for t in hits if t in known.soft)
+        cats = sorted({known.strict[t] if t in known.strict else known.soft[t][0] for t in hits})
+        want = "block" if strict or weight >= 2.5 else "allow"
+        verdicts.add(want)
+        r = got[i]
+        assert (r["n_strict"], r["soft_weight"], r["categories"], r["verdict"]) == (len(strict), pytest.approx(weight), cats, want)
+    assert verdicts == {"allow", "block"}
+
+
+def test_vocabulary_files_with_faults():
+    for bad in (["a\tc"], ["a\tc\thard"], ["a\tc\tsoft\t1", "A\tc\tstrict"], ["a\tc\tsoft\tmuch"]):
+        with pytest.raises(ValueError):
+            urlfilter.parse_vocabulary(bad)
+    empty = urlfilter.parse_vocabulary([])
+    assert not empty.strict and not empty.soft
+
+
+def test_language_counts_equal_exact_sets(spark):
+    """Filters against exact per-language n-gram sets in plain Python: no false misses, and corrected shares near the exact ones."""
+    rows = [("aa", "wir gehen heute nach hause und essen brot"), ("aa", "heute essen wir brot und gehen"),
+            ("bb", "we go home today and eat bread"), ("bb", "today we eat some bread at home"),
+            ("cc", "мы идем домой и едим хлеб"), ("cc", "сегодня едим хлеб дома")]
+    train = spark.createDataFrame([(i, t, l) for i, (l, t) in enumerate(rows)], "doc_id long, text string, lang string")
+    model = learn_filters(train)
+
+    def grams(text, orders=(1, 2, 3)):
+        out = []
+        for w in text.split():
+            w = f" {w} "
+            out += [w[i:i + n] for n in orders for i in range(len(w) - n + 1) if w[i:i + n] != " "]
+        return out
+
+    share = {}
+    for lang in ("aa", "bb", "cc"):
+        c = Counter(g for l, t in rows if l == lang for g in grams(t))
+        share[lang] = {g: n / sum(c.values()) for g, n in c.items()}
+    best = Counter()
+    for s in share.values():
+        for g, x in s.items():
+            best[g] = max(best[g], x)
+    held = {lang: {g for g, x in s.items() if x >= 0.25 * best[g]} for lang, s in share.items()}
+    texts = [t for _, t in rows] + ["wir go хлеб", "heute bread", "brot brot brot und home"]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    for r in tag_languages(df, model).collect():
+        every = grams(texts[r["doc_id"]])
+        hits = {lang: sum(g in held[lang] for g in every) / len(every) for lang in held}
+        top = max(hits.values())
+        assert hits[r["lang_pred"]] >= top - 0.02
+        three = grams(texts[r["doc_id"]], (3,))
+        assert r["score"] == pytest.approx(sum(g in held[r["lang_pred"]] for g in three) / len(three), abs=0.02)
+
+
 def brute_topk(rows, k):
     vecs = [(i, [math.floor(1024 * x) for x in v]) for i, v in rows
             if v is not None and all(x is not None and math.isfinite(x) for x in v)]
