@@ -1,11 +1,12 @@
 """Exact top-k inner products with a three-phase uniform threshold.
 
 A vector's score against a query is the sum of ``lists`` partial scores, one per range of dimensions; each range is a
-score list.  Queries and candidates are packed into blocks of bounded size, and every query block meets every candidate
-block once (a stated query set against all rows, in blocks).
+score list.  Queries and candidates are packed into blocks of bounded size.  Candidates are dealt once into teams of a few blocks
+that a task holds; the query blocks (the small side) are sent to every team and stream past it (a stated query set against all
+rows, in blocks), so a candidate is shuffled once a phase, however many queries there are.
 
-1. Every block gathers, per query and list, the k best entries, and completes their scores.  It also reports each list's
-   smallest partial score.  The k-th best complete score over all blocks is a safe cutoff for the query.
+1. Every block gathers, per query and list, the k best entries, and completes the scores of these alone.  It also reports each
+   list's smallest partial score.  The k-th best complete score over all blocks is a safe cutoff for the query.
 2. Shifted by the lists' minima, all partial scores are non-negative, so a vector that reaches the cutoff must reach the
    uniform threshold (shifted cutoff / lists) in at least one list.  The cutoffs go to all blocks, which collect the
    entries at or above the threshold and drop those whose upper bound stays below the cutoff.
@@ -30,6 +31,8 @@ from pyspark.sql import functions as F
 from tabsight.llm.staging import NULL_ID, Stage
 
 _LOW = -(2 ** 63)
+#: vectors that a task holds while the queries stream past, at eight bytes a component
+TEAM_BYTES = 1 << 27
 
 
 def quantised(vectors: DataFrame, column: str = "embedding", scale: int = 1024) -> DataFrame:
@@ -108,43 +111,43 @@ class _Merged:
         self.rows[r] = s[at], i[at]
 
 
-def _cells(batches, dims: int):
-    """(query block number, query ids, q, vector ids, x, cutoff bytes) of every row of the grid."""
+def _meetings(batches, dims: int):
+    """(query block number, query ids, q, cutoffs, [(vector ids, x), ...]) for every query block of every team: rows come sorted by
+    team, its candidate blocks first."""
+    team, held = None, []
     for b in batches:
         for row in b.to_pylist():
-            yield (row["no"], np.frombuffer(row["qids"], "<i8"), _matrix(row["qkind"], row["qmat"], dims),
-                   np.frombuffer(row["ids"], "<i8"), _matrix(row["kind"], row["mat"], dims), row.get("cutoffs"))
+            if row["team"] != team:
+                team, held = row["team"], []
+            ids, mat = np.frombuffer(row["ids"], "<i8"), _matrix(row["kind"], row["mat"], dims)
+            if row["no"] < 0:
+                held.append((ids, mat))
+            else:
+                yield row["no"], ids, mat, row["cutoffs"], held
 
 
 def _gather(dims: int, cuts: list[int], k: int):
     """Phase 1: per query the complete scores of the local lists' best entries, and the lists' minima."""
     lists = len(cuts) - 1
 
-    def flush(no, best, low):
-        n = len(best.rows)
-        return pa.RecordBatch.from_arrays(
-            [pa.array([no] * n, pa.int64()), pa.array(range(n), pa.int32()),
-             pa.array([r[0] for r in best.rows], pa.list_(pa.int64())), pa.array(list(low.T), pa.list_(pa.int64()))],
-            names=["no", "r", "scores", "low"])
-
     def run(batches):
-        now, best, low = None, None, None
-        for no, qids, q, ids, x, _ in _cells(batches, dims):
-            if no != now:
-                if best:
-                    yield flush(now, best, low)
-                now, best, low = no, _Merged(len(qids), k), np.full((lists, len(qids)), 2 ** 62, dtype=np.int64)
-            part = _partials(q, x, cuts)
-            low = np.minimum(low, part.min(axis=2))
-            total = part.sum(axis=0)
-            for r in range(len(qids)):
-                other = np.flatnonzero(ids != qids[r])
-                if not len(other):
-                    continue
-                seen = np.unique(np.concatenate([other[_best(part[j, r, other], ids[other], k)] for j in range(lists)]))
-                best.add(r, total[r, seen], ids[seen])
-        if best:
-            yield flush(now, best, low)
+        for no, qids, q, _, held in _meetings(batches, dims):
+            n = len(qids)
+            best, low = _Merged(n, k), np.full((lists, n), 2 ** 62, dtype=np.int64)
+            for ids, x in held:
+                part = _partials(q, x, cuts)
+                low = np.minimum(low, part.min(axis=2))
+                for r in range(n):
+                    other = np.flatnonzero(ids != qids[r])
+                    if not len(other):
+                        continue
+                    seen = np.unique(np.concatenate([other[_best(part[j, r, other], ids[other], k)] for j in range(lists)]))
+                    best.add(r, part[:, r, seen].sum(axis=0), ids[seen])
+            if held:
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array([no] * n, pa.int64()), pa.array(range(n), pa.int32()),
+                     pa.array([r[0] for r in best.rows], pa.list_(pa.int64())), pa.array(list(low.T), pa.list_(pa.int64()))],
+                    names=["no", "r", "scores", "low"])
 
     return run
 
@@ -153,39 +156,35 @@ def _resolve(dims: int, cuts: list[int], k: int):
     """Phases 2 and 3: entries at the uniform threshold, upper bounds, complete scores."""
     lists = len(cuts) - 1
 
-    def flush(no, qids, best):
-        at = np.repeat(np.arange(len(qids)), [len(r[0]) for r in best.rows])
-        return pa.RecordBatch.from_arrays(
-            [pa.array([no] * len(at), pa.int64()), pa.array(at.astype(np.int32)), pa.array(qids[at]),
-             pa.array(np.concatenate([r[1] for r in best.rows])), pa.array(np.concatenate([r[0] for r in best.rows]))],
-            names=["no", "r", "query_id", "vec_id", "score"])
-
     def run(batches):
-        now, best, own = None, None, None
-        for no, qids, q, ids, x, cut in _cells(batches, dims):
-            if no != now:
-                if best:
-                    yield flush(now, own, best)
-                now, best, own = no, _Merged(len(qids), k), qids
+        for no, qids, q, cut, held in _meetings(batches, dims):
+            best = _Merged(len(qids), k)
             cut = np.frombuffer(cut, "<i8").reshape(len(qids), lists + 1)
-            part = _partials(q, x, cuts)
-            for r in range(len(qids)):
-                floor, low = int(cut[r, 0]), cut[r, 1:]
-                keep = ids != qids[r]
-                if floor != _LOW:
-                    need = -((int(low.sum()) - floor) // lists)   # uniform threshold over the shifted lists, rounded up
-                    shifted = part[:, r, :] - low[:, None]
-                    met = shifted >= need
-                    upper = np.where(met, shifted, max(need - 1, 0)).sum(axis=0) + low.sum()
-                    keep &= met.any(axis=0) & (upper >= floor)
-                at = np.flatnonzero(keep)
-                total = part[:, r, at].sum(axis=0)
-                if floor != _LOW:
-                    at, total = at[total >= floor], total[total >= floor]
-                if len(at):
-                    best.add(r, total, ids[at])
-        if best:
-            yield flush(now, own, best)
+            for ids, x in held:
+                part = _partials(q, x, cuts)
+                for r in range(len(qids)):
+                    floor, low = int(cut[r, 0]), cut[r, 1:]
+                    keep = ids != qids[r]
+                    if floor != _LOW:
+                        need = -((int(low.sum()) - floor) // lists)   # uniform threshold over the shifted lists, rounded up
+                        met = part[:, r, :] >= (low + need)[:, None]
+                        at = np.flatnonzero(met.any(axis=0) & keep)
+                        # only entries at the threshold are read on; the others count as just below it
+                        shifted = np.where(met[:, at], part[:, r, at] - low[:, None], max(need - 1, 0))
+                        at = at[shifted.sum(axis=0) + low.sum() >= floor]
+                    else:
+                        at = np.flatnonzero(keep)
+                    total = part[:, r, at].sum(axis=0)
+                    if floor != _LOW:
+                        at, total = at[total >= floor], total[total >= floor]
+                    if len(at):
+                        best.add(r, total, ids[at])
+            at = np.repeat(np.arange(len(qids)), [len(r[0]) for r in best.rows])
+            if len(at):
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array([no] * len(at), pa.int64()), pa.array(at.astype(np.int32)), pa.array(qids[at]),
+                     pa.array(np.concatenate([r[1] for r in best.rows])), pa.array(np.concatenate([r[0] for r in best.rows]))],
+                    names=["no", "r", "query_id", "vec_id", "score"])
 
     return run
 
@@ -194,22 +193,25 @@ def exact_topk(spark: SparkSession, vectors: DataFrame, queries: DataFrame, k: i
                query_block: int = 256, block: int = 4096, group: int = 8) -> DataFrame:
     """The k best vectors of every query row: (query_id, rank, vec_id, score); ``vectors`` and ``queries`` are (id, vec).
 
-    ``group`` blocks of candidates share a task per query block and merge their lists there."""
+    About ``group`` blocks of candidates make a team, whose lists are merged where they are; a team holds at most about
+    ``TEAM_BYTES`` of vectors."""
     stage = Stage(spark, "topk")
     dims = vectors.agg(F.max(F.size("vec"))).first()[0] or 0
     cuts = [round(i * dims / lists) for i in range(lists + 1)]
     norm = [d.select(F.coalesce(F.col("id").cast("bigint"), F.lit(NULL_ID)).alias("id"), "vec") for d in (queries, vectors)]
     n_q, n_v = (d.count() for d in norm)
+    block = max(1, min(block, TEAM_BYTES // (8 * group * max(dims, 1))))
+    n_teams = max(1, math.ceil(n_v / block / group))
     qs = stage.put(_numbered(_pack(norm[0].repartition(max(1, math.ceil(n_q / query_block))), query_block, dims)))
-    xs = stage.put(_pack(norm[1].coalesce(max(1, math.ceil(n_v / block))), block, dims))
-    n_blocks = qs.count()
-    queries_ = qs.select("no", F.col("ids").alias("qids"), F.col("kind").alias("qkind"), F.col("mat").alias("qmat"))
-    team = max(1, math.ceil(n_v / block / group))
+    xs = stage.put(_pack(norm[1].repartition(n_teams), block, dims))
+    queries_ = qs.select("no", "ids", "kind", "mat", F.lit(None).cast("binary").alias("cutoffs"))
+    every_team = F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(n_teams - 1).cast("bigint")))
+    held = xs.select(F.shiftright("block", 32).alias("team"), F.lit(-1).cast("bigint").alias("no"), "ids", "kind", "mat",
+                     F.lit(None).cast("binary").alias("cutoffs"))
 
     def grid(q: DataFrame) -> DataFrame:
-        x = xs.withColumn("no", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(max(n_blocks, 1) - 1).cast("bigint"))))
-        return (x.join(q, "no").withColumn("team", F.pmod(F.xxhash64("block"), F.lit(team)))
-                .repartition("no", "team").sortWithinPartitions("no", "block"))
+        rows = held.unionByName(q.withColumn("team", every_team))
+        return rows.repartition(n_teams, "team").sortWithinPartitions("team", "no")
 
     got = stage.put(grid(queries_).mapInArrow(_gather(dims, cuts, k), "no bigint, r int, scores array<bigint>, low array<bigint>"))
     per_query = got.groupBy("no", "r").agg(
@@ -225,7 +227,7 @@ def exact_topk(spark: SparkSession, vectors: DataFrame, queries: DataFrame, k: i
             flat = [np.array([[e[n] for n in names] for e in c], "<i8").tobytes() for c in b.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(flat, pa.binary())], names=["no", "cutoffs"])
 
-    with_cut = queries_.join(cutoffs.mapInArrow(as_bytes, "no bigint, cutoffs binary"), "no")
+    with_cut = queries_.drop("cutoffs").join(cutoffs.mapInArrow(as_bytes, "no bigint, cutoffs binary"), "no")
     found = grid(with_cut).mapInArrow(_resolve(dims, cuts, k), "no bigint, r int, query_id bigint, vec_id bigint, score bigint")
     w = W.partitionBy("no", "r").orderBy(F.desc("score"), F.asc("vec_id"))
     return (found.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
