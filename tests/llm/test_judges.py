@@ -9,6 +9,7 @@ from collections import Counter
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from tabsight.llm import urlfilter
 from tabsight.llm.langid import learn_filters, predict_languages, tag_languages
@@ -70,6 +71,25 @@ def test_quality_ratio_is_the_documented_mean(spark):
         assert abs(got[i] - want) < 1e-9
 
 
+def test_quality_models_take_every_label(spark):
+    """52,000 trusted documents are the corpus: both models are equal, so every ratio is 0."""
+    from tabsight.llm.quality import learn_quality
+    df = spark.range(52_000).select(F.col("id").alias("doc_id"), F.concat_ws(" ", *[
+        F.concat(F.lit(w), F.pmod(F.xxhash64("id", F.lit(w)), F.lit(5000)).cast("string")) for w in ("one", "two", "three")]).alias("text"))
+    model = learn_quality(spark, df, df.select("doc_id", F.lit(1).alias("quality")), min_words=1)
+    assert np.abs(model.ratios).max() == 0
+
+
+def test_quality_threshold_of_a_table(spark):
+    from tabsight.llm.quality import score_threshold
+    rng = random.Random(5)
+    for n, loss in ((1, 0.5), (2, 0.5), (3, 0.002), (400, 0.01), (401, 0.3), (50, 0.99)):
+        scores = [(round(rng.uniform(-1, 1), 2), int(rng.random() < 0.7)) for _ in range(n)]
+        got = score_threshold(spark.createDataFrame(scores, "llr double, quality int"), loss)
+        assert got == pick_threshold(scores, loss)
+    assert score_threshold(spark.createDataFrame([(0.5, 0)], "llr double, quality int")) == -math.inf
+
+
 def test_quality_hard_rows(spark, hard_docs):
     labels = spark.createDataFrame([(1, 1), (1, 1), (None, 1), (2, 0)], "doc_id long, quality int")
     rows = judge_quality(spark, hard_docs, labels).collect()
