@@ -32,6 +32,8 @@ NA_TOKENS = ("", "#N/A", "#N/A N/A", "#NA", "-1.#IND", "-1.#QNAN", "-NaN", "-nan
 TRUE_TOKENS = ("True", "TRUE", "true")
 FALSE_TOKENS = ("False", "FALSE", "false")
 INT_PATTERN = r"^\s*[+-]?[0-9]+\s*$"
+#: integers that may have 64 bits: a failed cast of a longer one costs far more than this
+SHORT_INT_PATTERN = r"^\s*[+-]?0*[0-9]{1,19}\s*$"
 #: what pandas reads as a float (Java would also take type suffixes such as 12D)
 FLOAT_PATTERN = r"(?i)^\s*[+-]?([0-9]+\.?[0-9]*|\.[0-9]+)(e[+-]?[0-9]+)?\s*$|^\s*[+-]?inf(inity)?\s*$"
 CORRUPT = "_corrupt_record"
@@ -101,20 +103,24 @@ def _try_double(c: Column) -> Column:
     return F.when(c.rlike(FLOAT_PATTERN), number.try_cast("double"))
 
 
-def _try_long(c: Column) -> Column:
-    return F.when(c.rlike(INT_PATTERN), F.trim(c).try_cast("bigint"))
+def _value_class(v: Column) -> Column:
+    """1: an integer of 64 bits, 2: a longer one, 3: another float, 4: a boolean token, 5: other text; null if missing."""
+    integer = F.when(v.rlike(SHORT_INT_PATTERN) & F.trim(v).try_cast("bigint").isNotNull(), 1).otherwise(2)
+    return (F.when(v.rlike(INT_PATTERN), integer).when(_try_double(v).isNotNull(), 3)
+             .when(v.isin(*TRUE_TOKENS, *FALSE_TOKENS), 4).when(v.isNotNull(), 5))
 
 
-def _type_exprs(columns: list[str]) -> list[Column]:
-    exprs = [F.count(F.lit(1)).alias("__rows")]
-    for i, c in enumerate(columns):
-        v = F.col(f"`{c}`")
-        exprs += [F.count(v).alias(f"n{i}"),
-                  F.count(_try_long(v)).alias(f"i{i}"),
-                  # an integer beyond 64 bits keeps its column text
-                  F.count(F.when(~v.rlike(INT_PATTERN) | _try_long(v).isNotNull(), _try_double(v))).alias(f"d{i}"),
-                  F.count(F.when(v.isin(*TRUE_TOKENS, *FALSE_TOKENS), 1)).alias(f"b{i}")]
-    return exprs
+def type_stats(df: DataFrame, columns: list[str], by: list[str] | None = None, **more: Column) -> DataFrame:
+    """by..., ``__rows`` and per column (by number) the counts of values n, integers i, floats d and booleans b; ``more``: counts of
+    further conditions.  Every value is classified once, before the aggregate; an integer beyond 64 bits keeps its column text."""
+    classed = df.select(*(by or []), *[_value_class(F.col(f"`{c}`")).alias(f"__v{i}") for i, c in enumerate(columns)],
+                        *[c.alias(n) for n, c in more.items()])
+    counts = [F.count(F.lit(1)).alias("__rows")]
+    for i in range(len(columns)):
+        v = F.col(f"__v{i}")
+        counts += [F.count(v).alias(f"n{i}"), F.count(F.when(v == 1, 1)).alias(f"i{i}"),
+                   F.count(F.when(v.isin(1, 3), 1)).alias(f"d{i}"), F.count(F.when(v == 4, 1)).alias(f"b{i}")]
+    return classed.groupBy(*(by or [])).agg(*counts, *[F.count(F.when(F.col(n), 1)).alias(n) for n in more])
 
 
 def _type_rows(columns: list[str]) -> Column:
@@ -138,7 +144,7 @@ def infer_types(df: DataFrame, columns: list[str]) -> DataFrame:
     missing (pandas: ints with NaN are float64), float when every value parses as a
     double (an all-missing column is float), bool when every value is a pandas
     boolean token and nothing is missing, else string."""
-    return df.agg(*_type_exprs(columns)).select(_type_rows(columns)).select("e.*")
+    return type_stats(df, columns).select(_type_rows(columns)).select("e.*")
 
 
 def _kinds(header: list[str], row) -> dict[str, str]:
@@ -223,7 +229,7 @@ def read_csv_table(spark: SparkSession, path: str, sep: str = ",", with_row_id:
                          *([ROW_ID] if with_row_id else []))
     # one job: type statistics of every column + S17 long rows (more fields than the
     # header fail the file, as pandas raises ParserError)
-    row = cleaned.agg(*_type_exprs(header), F.count(F.when(_too_long(len(header), sep), 1)).alias("__long")).first()
+    row = type_stats(cleaned, header, __long=_too_long(len(header), sep)).first()
     if row["__long"] > 0:
         issues.append((name, "error", f"Error tokenizing data: {row['__long']} row(s) have more fields than "
                                       f"the header ({len(header)})"))
@@ -264,8 +270,7 @@ def read_csv_members(spark: SparkSession, root: str, part_col: str, members: dic
                else _plain(spark, root, sep, len(header)).filter(F.col(part_col).isin(*ids)))
         cleaned = raw.select(F.col(part_col).alias("__member"),
                              *[na_to_null(F.col(f"c{i}")).alias(h) for i, h in enumerate(header)], CORRUPT, ROW_ID)
-        stats = {r["__member"]: r for r in cleaned.groupBy("__member").agg(
-            *_type_exprs(header), F.count(F.when(_too_long(len(header), sep), 1)).alias("__long")).collect()}
+        stats = {r["__member"]: r for r in type_stats(cleaned, header, ["__member"], __long=_too_long(len(header), sep)).collect()}
         for mid in ids:
             name, row, issues = members[mid], stats.get(mid), []
             if row is None:      # header only: an empty table, every column float (all missing)

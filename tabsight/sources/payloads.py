@@ -13,7 +13,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tabsight.sources.csv import _type_exprs, _type_rows, cast_to, dedupe_header, na_to_null
+from tabsight.sources.csv import _type_rows, cast_to, dedupe_header, na_to_null, type_stats
 
 # Payload keys in the order the request handler tries them.
 PAYLOAD_KEYS = ("csv_data", "csv_base64", "zip_data", "zip_base64")
@@ -118,7 +118,7 @@ def payload_cells(records: DataFrame, id_col: str = "request_id") -> DataFrame:
 
 def payload_types(records: DataFrame, id_col: str = "request_id") -> DataFrame:
     """S2 per request: (id, ordinal, column, inferred), from all records of that request."""
-    stats = payload_cells(records, id_col).groupBy(id_col, "ordinal", "column").agg(*_type_exprs(["value"]))
+    stats = type_stats(payload_cells(records, id_col), ["value"], [id_col, "ordinal", "column"])
     return stats.select(id_col, "ordinal", "column", _type_rows(["value"])).select(id_col, "ordinal", "column", "e.inferred")
 
 
