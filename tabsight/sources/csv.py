@@ -16,13 +16,15 @@ tell such names apart.
 
 from __future__ import annotations
 
+import functools
+from collections.abc import Callable, Iterable
 from dataclasses import dataclass, field
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tabsight.catalog import ROW_ID, text_row_id
+from tabsight.catalog import ROW_ID, with_text_row_id
 from tabsight.sources.quoted import ends_inside, file_id, quoted_records, split_states
 
 # pandas' default NA tokens (read_csv ``na_values`` default list).
@@ -37,6 +39,8 @@ SHORT_INT_PATTERN = r"^\s*[+-]?0*[0-9]{1,19}\s*$"
 #: what pandas reads as a float (Java would also take type suffixes such as 12D)
 FLOAT_PATTERN = r"(?i)^\s*[+-]?([0-9]+\.?[0-9]*|\.[0-9]+)(e[+-]?[0-9]+)?\s*$|^\s*[+-]?inf(inity)?\s*$"
 CORRUPT = "_corrupt_record"
+#: conditions list at most so many members or files one by one
+MAX_LISTED = 256
 #: appended to a record to see where its last field lies
 _MARK = "\u0001end\u0001"
 
@@ -85,11 +89,16 @@ def na_to_null(c: Column) -> Column:
 @dataclass
 class CsvTable:
     """A typed CSV table plus what the reader learnt about it."""
-    df: DataFrame
+    source: DataFrame | Callable[[], DataFrame]   # the rows, or what plans them when they are first asked for
     types: dict[str, str]                       # column -> int / float / bool / string
     issues: list[tuple[str, str, str]] = field(default_factory=list)   # (file, severity, message)
     origin: tuple | None = None                 # (archive, member, compressed size) of an archive member
     staging: str | None = None                  # folder that holds the staged member
+    shared: tuple | None = None                 # (text rows of many members, this one's id among them)
+
+    @functools.cached_property
+    def df(self) -> DataFrame:
+        return self.source() if callable(self.source) else self.source
 
     @property
     def ok(self) -> bool:
@@ -188,7 +197,7 @@ def _parse_options(sep: str, multiline: bool) -> dict:
 def _plain(spark: SparkSession, path: str, sep: str, n_columns: int) -> DataFrame:
     """String columns c0.., the corrupt record and the row number of files without a quoted line break."""
     raw = spark.read.options(**_parse_options(sep, False), header=True, enforceSchema=True).schema(_schema(n_columns)).csv(path)
-    return raw.withColumn(ROW_ID, text_row_id(raw))
+    return with_text_row_id(raw)
 
 
 def _glued(spark: SparkSession, path: str, sep: str, n_columns: int, states: DataFrame, chosen: Column,
@@ -208,7 +217,7 @@ def _read_strings(spark: SparkSession, path: str, sep: str, n_columns: int, stat
         return _plain(spark, path, sep, n_columns)
     whole = _glued(spark, path, sep, n_columns, states, F.col("fid").isin(*ids))
     raw = spark.read.options(**_parse_options(sep, False), header=True, enforceSchema=True).schema(_schema(n_columns)).csv(path)
-    rest = raw.filter(~file_id().isin(*ids)).withColumn(ROW_ID, text_row_id(raw))
+    rest = with_text_row_id(raw, ~file_id().isin(*ids))
     return rest.unionByName(whole)
 
 
@@ -252,7 +261,7 @@ def read_csv_members(spark: SparkSession, root: str, part_col: str, members: dic
 
     ``members`` maps id -> table name, ``headers`` id -> header line (known since the archive scan).  Members with the
     same header share one CSV read (partition pruning on ``part_col``) and one statistics job grouped by member; each
-    member's table is a filtered projection of that read."""
+    member's table is a filtered projection of that read, planned when it is asked for; :func:`union_tables` reads many at once."""
     states = split_states(spark, root, sep, tag=part_col)
     whole = {r[0] for r in states.filter("opens").select("tag").distinct().collect()}     # members with quoted line breaks
     out: dict[str, CsvTable] = {}
@@ -266,8 +275,15 @@ def read_csv_members(spark: SparkSession, root: str, part_col: str, members: dic
         groups.setdefault((mid in whole, tuple(hdr)), []).append(mid)
     for (multi, hdr), ids in groups.items():
         header = list(hdr)
-        raw = (_glued(spark, root, sep, len(header), states, F.col("tag").isin(*ids), part_col) if multi
-               else _plain(spark, root, sep, len(header)).filter(F.col(part_col).isin(*ids)))
+        # members are few beside their rows: with many of them the ids are joined in place of a long condition
+        short = len(ids) <= MAX_LISTED
+        if multi:
+            raw = _glued(spark, root, sep, len(header), states, F.col("tag").isin(*ids) if short else F.lit(True), part_col)
+        else:
+            raw = _plain(spark, root, sep, len(header))
+            raw = raw.filter(F.col(part_col).isin(*ids)) if short else raw
+        if not short:
+            raw = raw.join(F.broadcast(spark.createDataFrame([(m,) for m in ids], f"{part_col} string")), part_col, "left_semi")
         cleaned = raw.select(F.col(part_col).alias("__member"),
                              *[na_to_null(F.col(f"c{i}")).alias(h) for i, h in enumerate(header)], CORRUPT, ROW_ID)
         stats = {r["__member"]: r for r in type_stats(cleaned, header, ["__member"], __long=_too_long(len(header), sep)).collect()}
@@ -280,7 +296,38 @@ def read_csv_members(spark: SparkSession, root: str, part_col: str, members: dic
                     issues.append((name, "error", f"Error tokenizing data: {row['__long']} row(s) have more "
                                                   f"fields than the header ({len(header)})"))
                 kinds = _kinds(header, row)
-            typed = cleaned.filter(F.col("__member") == mid).select(
-                *[cast_to(F.col(f"`{h}`"), kinds[h]).alias(h) for h in header], ROW_ID)
-            out[name] = CsvTable(typed, kinds, issues)
+            out[name] = CsvTable(functools.partial(_member_frame, cleaned, mid, kinds), kinds, issues, shared=(cleaned, mid))
     return out
+
+
+def _member_frame(cleaned: DataFrame, mid: str, kinds: dict[str, str]) -> DataFrame:
+    return cleaned.filter(F.col("__member") == mid).select(*[cast_to(F.col(f"`{h}`"), k).alias(h) for h, k in kinds.items()], ROW_ID)
+
+
+def union_tables(tables: Iterable[CsvTable]) -> DataFrame | None:
+    """All rows of many tables of equal columns, as ``unionByName`` of their frames gives them (None without tables).
+
+    Members of one read stay one scan, whatever their number: their rows are cast by their own member's kinds, which travel as one
+    short row a member.  A column that is int in some members and float in others is float; other mixtures are text."""
+    alone, groups = [], {}
+    for t in tables:
+        if t.shared is None:
+            alone.append(t.df)
+        else:
+            groups.setdefault(id(t.shared[0]), []).append(t)
+    frames = alone
+    for ts in groups.values():
+        cleaned, header = ts[0].shared[0], list(ts[0].types)
+        kinds = cleaned.sparkSession.createDataFrame(
+            [(t.shared[1], *(t.types[h] for h in header)) for t in ts], "__id string, " + ", ".join(f"__k{i} string" for i in range(len(header))))
+        rows = cleaned.join(F.broadcast(kinds), F.col("__member") == F.col("__id"))
+        cells = []
+        for i, h in enumerate(header):
+            c, found = F.col(f"`{h}`"), sorted({t.types[h] for t in ts})
+            as_type = None if len(found) == 1 else "double" if found == ["float", "int"] else "string"
+            value = cast_to(c, found[0])
+            if as_type:
+                value = F.coalesce(*[F.when(F.col(f"__k{i}") == k, cast_to(c, k).cast(as_type)) for k in found])
+            cells.append(value.alias(h))
+        frames.append(rows.select(*cells, ROW_ID))
+    return functools.reduce(DataFrame.unionByName, frames) if frames else None

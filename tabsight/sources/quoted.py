@@ -27,7 +27,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from tabsight.catalog import text_row_id
+from tabsight.catalog import with_text_row_id
 from tabsight.session import scratch_path
 
 #: start states of at most so many splits are broadcast (16 bytes each); beyond it lines are shuffled by split
@@ -55,13 +55,14 @@ def ends_inside(line: str, inside: bool, sep: str = ",") -> bool:
     return _patterns(sep)[inside](line) is not None
 
 
-def _lines(spark: SparkSession, path: str, sep: str, tag: str | None) -> DataFrame:
-    """(fid, block, tag, rid, value) of every line of the files, ended by line feeds alone."""
+def _lines(spark: SparkSession, path: str, sep: str, tag: str | None, numbered: bool = True) -> DataFrame:
+    """(fid, block, tag, rid, value) of every line of the files, ended by line feeds alone; without ``rid`` if not ``numbered``."""
     if len(sep) != 1:
         raise ValueError("the separator must be one character")
     raw = spark.read.option("lineSep", "\n").text(path)
-    return raw.select(file_id().alias("fid"), F.col("_metadata.file_block_start").alias("block"),
-                      (F.col(tag) if tag else F.lit(None)).cast("string").alias("tag"), text_row_id(raw).alias("rid"), "value")
+    raw = raw.select(file_id().alias("fid"), F.col("_metadata.file_block_start").alias("block"),
+                     (F.col(tag) if tag else F.lit(None)).cast("string").alias("tag"), "value")
+    return with_text_row_id(raw, name="rid").select("fid", "block", "tag", "rid", "value") if numbered else raw
 
 
 def _written(spark: SparkSession, df: DataFrame, kind: str) -> DataFrame:
@@ -73,7 +74,7 @@ def _written(spark: SparkSession, df: DataFrame, kind: str) -> DataFrame:
 def split_states(spark: SparkSession, path: str, sep: str = ",", tag: str | None = None) -> DataFrame:
     """(fid, block, tag, from_out, from_in, opens) per split with a quote: the state behind it for either state before it,
     and whether a line that starts outside ends inside.  Written once below the checkpoint folder."""
-    quoted = _lines(spark, path, sep, tag).filter(F.contains("value", F.lit('"'))).select("fid", "block", "tag", "value")
+    quoted = _lines(spark, path, sep, tag, numbered=False).filter(F.contains("value", F.lit('"'))).select("fid", "block", "tag", "value")
     names = ["fid", "block", "tag", "from_out", "from_in", "opens"]
     kinds = [pa.int64(), pa.int64(), pa.string(), pa.bool_(), pa.bool_(), pa.bool_()]
 

@@ -13,7 +13,7 @@ from tabsight.functions.names import file_kind, logical_table_name
 from tabsight.session import scratch_path
 from tabsight.sinks.writers import CSV_OPTIONS
 from tabsight.sources.archive_builder import build_archive_frame, write_archive_files
-from tabsight.sources.csv import infer_types, read_csv_table
+from tabsight.sources.csv import infer_types, read_csv_table, union_tables
 from tabsight.sources.files import ingest_paths, outcome_summary, quick_text_summary
 from tabsight.sources.payloads import csv_records, long_row_issues, parse_payload_rows, payload_types, route
 from tabsight.sources.zipfiles import ingest_archives, provenance, scan_archive_files, scan_archives
@@ -257,10 +257,7 @@ def _supplier_archives(spark, sf_dir, members):
 SELECT s_suppkey, s_name, CAST(s_nationkey AS BIGINT) AS s_nationkey, ROUND(s_acctbal, 4) AS s_acctbal FROM supplier""")
 def s9a(spark, sf_dir):
     _, read = ingest_archives(spark, _supplier_archives(spark, sf_dir, 5))
-    out = None
-    for t in read.values():
-        out = t.df if out is None else out.unionByName(t.df)
-    return rounded(out.drop("_row_id"))
+    return rounded(union_tables(read.values()).drop("_row_id"))
 
 
 @register("S9_S10_member_cap_and_size_limit", """
