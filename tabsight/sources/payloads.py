@@ -13,6 +13,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tabsight.session import scratch_path
 from tabsight.sources.csv import _type_rows, cast_to, dedupe_header, na_to_null, type_stats
 
 # Payload keys in the order the request handler tries them.
@@ -127,9 +128,15 @@ def parse_payload_rows(records: DataFrame, header: list[str], id_col: str = "req
     """The payloads laid out as ``header`` as one typed table (id, line_no, columns).
 
     Requests with another header, or with a record longer than it, are left out (see :func:`long_row_issues`).
-    ``kinds`` (column -> int/float/bool/string) defaults to what all these requests' values allow."""
+    ``kinds`` (column -> int/float/bool/string) defaults to what all these requests' values allow.
+
+    The records are read several times: they are written once below the checkpoint folder, so that the requests are decoded
+    and parsed once."""
     names = dedupe_header(header)
-    mine = records.filter(F.col("header") == F.array(*[F.lit(n) for n in names]))
+    path = f"{scratch_path(records.sparkSession, 'payload-records')}/rows"
+    chosen = records.filter(F.col("header") == F.array(*[F.lit(n) for n in names])).select(id_col, "line_no", "fields")
+    chosen.write.parquet(path)
+    mine = records.sparkSession.read.schema(chosen.schema).parquet(path)
     bad = mine.filter(F.size("fields") > len(names)).select(id_col).distinct()
     mine = mine.join(bad, id_col, "left_anti")
     strings = mine.select(id_col, "line_no", *[na_to_null(F.get("fields", F.lit(i))).alias(n) for i, n in enumerate(names)])
