@@ -95,26 +95,33 @@ def _offset_minutes(zone: Column) -> Column:
     return F.when(F.upper(zone) == "Z", 0).when(F.startswith(zone, F.lit("-")), -size).otherwise(size)
 
 
+def _lower(c: Column) -> Column:
+    """Latin letters in lower case; inside a bound expression ``F.lower`` builds a word iterator for every value."""
+    return F.translate(c, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+
+
 def _assembled(fields: Column, have: set[str], home: int | None) -> Column:
     """A time from an array of ``_FIELDS`` as text (empty: not in the layout); ``have``: the fields that may be filled."""
+    # every part stands as few times as may be: a bound expression is evaluated as often as it is written
     part = {n: F.nullif(fields[k], F.lit("")) for k, n in enumerate(_FIELDS)}
     today, year, month, day = F.current_date(), part["Y"], part["m"], part["d"]
     if "y" in have:
-        near = F.lit(2000) + part["y"].cast("int")
-        near = F.when(near >= F.year(today) + 50, near - 100).when(near < F.year(today) - 50, near + 100).otherwise(near)
-        year = F.coalesce(year, near.cast("string"))
+        least = F.year(today) - 50
+        year = F.coalesce(year, (least + F.pmod(part["y"].cast("int") - least, F.lit(100))).cast("string"))
     if "b" in have:
         table = F.create_map(*(F.lit(x) for k, m in enumerate(MONTHS) for x in (m[:3], str(k + 1))))
-        month = F.coalesce(month, F.element_at(table, F.lower(F.substring(part["b"], 1, 3))))
-    date = F.concat_ws("-", year, F.coalesce(month, F.lit("1")), F.coalesce(day, F.lit("1")))
-    date = F.when(year.isNull() & F.coalesce(month, day).isNull(), today.cast("string")).when(year.isNotNull(), date)
+        month = F.coalesce(month, F.element_at(table, _lower(F.substring(part["b"], 1, 3))))
+    # a date needs a year; a time alone is one of today
+    alone = F.coalesce(part["m"], part["b"], day).isNull()
+    date = F.coalesce(F.concat(year, F.lit("-"), F.coalesce(month, F.lit("1")), F.lit("-"), F.coalesce(day, F.lit("1"))),
+                      F.when(alone, today.cast("string")))
     clock = F.concat(*(x for n, mark in (("H", " "), ("M", ":"), ("S", ":"), ("f", ".")) for x in (F.lit(mark), F.coalesce(part[n], F.lit("0")))))
     out = F.concat(date, clock).try_cast("timestamp_ntz")
     if "p" in have:
-        p, hour = F.lower(part["p"]), part["H"].cast("int")
+        p, hour = _lower(part["p"]), part["H"].cast("int")
         shift = F.when((p == "pm") & (hour < 12), 12).when((p == "am") & (hour == 12), -12).otherwise(0)
         # an hour that no half of the day has gives null
-        shift = F.when(p.isNull() | hour.between(1, 12), shift)
+        shift = F.when(part["p"].isNull(), 0).when(hour.between(1, 12), shift)
         out = out + F.make_dt_interval(F.lit(0), shift)
     if home is not None and "z" in have:
         out = out + F.make_dt_interval(F.lit(0), F.lit(0), F.lit(home) - _offset_minutes(part["z"]))
@@ -127,17 +134,19 @@ def _written(c: Column, pattern: str) -> Column:
     return F.when(c.rlike(pattern), F.regexp_replace(c, pattern, "|".join(f"${{{n}}}" if n in here else "" for n in _FIELDS)))
 
 
+def _bound(fields: Column, have: set[str], home: int | None) -> Column:
+    """:func:`_assembled` with the fields bound once: they stand in the assembly many times."""
+    return F.transform(F.array(fields), lambda x: _assembled(x, have, home))[0]
+
+
 def _read(c: Column, pattern: str, home: int | None = None) -> Column:
     """``c`` in one layout, else null; with ``home`` as wall-clock time at that offset (minutes)."""
-    return _assembled(F.split(_written(c, pattern), r"\|", -1), _groups(pattern), home)
+    return _bound(F.split(_written(c, pattern), r"\|", -1), _groups(pattern), home)
 
 
 def _read_free(c: Column) -> Column:
     """``c`` in the first layout of the free grammar that matches, else null."""
-    fields = F.split(F.coalesce(*(_written(c, p) for p in FREE)), r"\|", -1)
-    have = set().union(*map(_groups, FREE))
-    # bound once: the fields stand in the assembly many times
-    return F.transform(F.array(fields), lambda x: _assembled(x, have, None))[0]
+    return _bound(F.split(F.coalesce(*(_written(c, p) for p in FREE)), r"\|", -1), set().union(*map(_groups, FREE)), None)
 
 
 def _layout_of(first: str) -> str | None:

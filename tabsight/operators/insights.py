@@ -127,11 +127,9 @@ def date_ranges(df: DataFrame) -> DataFrame:
     spark = df.sparkSession
     if not cols:
         return spark.createDataFrame([], "column string, ordinal int, value string")
-    exprs = []
-    for i, c in enumerate(cols):
-        p = parsed_date(df, c)
-        exprs += [F.min(p).alias(f"lo{i}"), F.max(p).alias(f"hi{i}")]
-    wide = df.agg(*exprs)
+    # parsed once a row, then aggregated
+    parsed = df.select(*[parsed_date(df, c).alias(f"p{i}") for i, c in enumerate(cols)])
+    wide = parsed.agg(*[g(f"p{i}").alias(f"{n}{i}") for i in range(len(cols)) for g, n in ((F.min, "lo"), (F.max, "hi"))])
     rows = wide.select(F.explode(F.array(*[
         F.struct(F.lit(c).alias("column"), F.lit(i).alias("ordinal"),
                  F.col(f"lo{i}").alias("lo"), F.col(f"hi{i}").alias("hi"), F.lit(date_zone(df, c)).alias("zone"))
@@ -150,7 +148,8 @@ def strict_date_range(df: DataFrame) -> DataFrame:
     c = names[0]
     raw = F.col(f"`{c}`")
     p, zone = parsed_date(df, c), date_zone(df, c)
-    return (df.agg(F.count(raw).alias("n"), F.count(p).alias("ok"), F.min(p).alias("lo"), F.max(p).alias("hi"))
+    return (df.select(raw.alias("raw"), p.alias("p"))
+              .agg(F.count("raw").alias("n"), F.count("p").alias("ok"), F.min("p").alias("lo"), F.max("p").alias("hi"))
               .filter((F.col("n") == F.col("ok")) & F.col("lo").isNotNull())
               .select(F.lit("Date Range").alias("metric"),
                       F.concat(_ts_text(F.col("lo"), zone), F.lit(" to "), _ts_text(F.col("hi"), zone)).alias("value")))
