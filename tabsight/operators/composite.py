@@ -30,6 +30,9 @@ from tabsight.catalog import TableSet
 from tabsight.operators.inclusion import contained_pairs, domain_value, inclusion_dependencies
 from tabsight.operators.profile import is_missing
 
+#: the share of value combinations that may rule out a column set before all of them are compared: one in so many
+REFUTE_PART = 64
+
 _KEYS = "table_name string, columns array<string>"
 _EDGES = "dep_table string, dep_columns array<string>, ref_table string, ref_columns array<string>, dep_distinct bigint, ref_distinct bigint"
 
@@ -69,6 +72,14 @@ def _distinct_counts(df: DataFrame, sets: list[tuple[str, ...]], types: dict[str
     return {s: counts.get(k, 0) for k, s in enumerate(sets)}
 
 
+def _not_refuted(df: DataFrame, sets: list[tuple[str, ...]], types: dict[str, T.DataType]) -> list[tuple[str, ...]]:
+    """The sets without two rows that agree on one of the value combinations in a ``REFUTE_PART``-th of the hash range."""
+    part = _combinations(df, list(enumerate(sets)), types).filter(F.pmod("h1", F.lit(REFUTE_PART)) == 0)
+    twice = part.groupBy("cid", "h1", "h2").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
+    refuted = {r["cid"] for r in twice.select("cid").distinct().collect()}      # at most one row a set
+    return [s for k, s in enumerate(sets) if k not in refuted]
+
+
 def table_keys(df: DataFrame, max_size: int = 2) -> list[tuple[str, ...]]:
     """Minimal key candidates of up to ``max_size`` columns, single columns included."""
     types = _hashable(df)
@@ -85,6 +96,8 @@ def table_keys(df: DataFrame, max_size: int = 2) -> list[tuple[str, ...]]:
     for size in range(2, max_size + 1):
         sets = [s for s in itertools.combinations(rest, size)
                 if math.prod(single[c] for c in s) >= rows and not any(set(k) <= set(s) for k in keys)]
+        if sets:
+            sets = _not_refuted(df, sets, types)
         if sets:
             keys += [s for s, n in _distinct_counts(df, sets, types).items() if n == rows]
     return keys
