@@ -34,6 +34,15 @@ def tables(spark: SparkSession, sf_dir: str, *names: str) -> TableSet:
     return load_tables(spark, sf_dir, list(names) if names else None)
 
 
+#: rows of one file that a check writes as its input
+ROWS_PER_FILE = 500_000
+
+
+def files_for(df: DataFrame, least: int, rows_per_file: int = ROWS_PER_FILE) -> int:
+    """Number of files for the rows of ``df``: at least ``least``, and more as the table grows, so that a writing task stays bounded."""
+    return max(least, -(-df.count() // rows_per_file))
+
+
 def rounded(df: DataFrame, digits: int = 4, skip: tuple[str, ...] = ()) -> DataFrame:
     """Round floating columns so that engine-dependent summation order does not
     change the compared value (the SQL side rounds the same columns).  Columns in

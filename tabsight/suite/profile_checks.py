@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from tabsight.catalog import DRIVER_TABLES, TableSet
 from tabsight.operators.inclusion import inclusion_dependencies, joinable_columns
 from tabsight.operators.profile import head_tail, profile_columns, profile_tables
-from tabsight.suite.base import register, rounded, tables
+from tabsight.suite.base import files_for, register, rounded, tables
 
 # Schema of the driver tables (name, type) as documented in FIXTURES.md.
 DRIVER_SCHEMA = {
@@ -122,8 +122,9 @@ def p8_lineitem(spark, sf_dir):
     from tabsight.session import scratch_path
     path = scratch_path(spark, "lineitem-in-files")
     order = ["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice", "l_shipdate"]
-    tables(spark, sf_dir, "lineitem").plain("lineitem").repartitionByRange(5, "l_orderkey").sortWithinPartitions(
-        *order).write.parquet(path)
+    rows = tables(spark, sf_dir, "lineitem").plain("lineitem")
+    # files of bounded size, however large the table is
+    rows.repartitionByRange(files_for(rows, 5), "l_orderkey").sortWithinPartitions(*order).write.parquet(path)
     prof = profile_columns(TableSet({}, {"lineitem": spark.read.parquet(path)}))
     return prof.filter(F.col("column_name").isin("l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_returnflag",
                                                  "l_linestatus")).select(
