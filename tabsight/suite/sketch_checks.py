@@ -13,7 +13,7 @@ from tabsight.operators.profile import profile_columns
 from tabsight.operators.sketches import SketchStore, describe_sketches, distinct_error
 from tabsight.session import scratch_path
 from tabsight.streaming.running_catalog import run_folder_catalog
-from tabsight.suite.base import register, tables
+from tabsight.suite.base import files_for, register, tables
 from tabsight.suite.profile_checks import DRIVER_SCHEMA
 
 RANK_ERROR = 0.04     # three times a sketch's usual rank error
@@ -53,12 +53,14 @@ def _bounds_sql(where: str = "") -> str:
 
 def _held_against_rows(catalog: DataFrame, rows: DataFrame) -> DataFrame:
     """Number columns of a catalogue with their bounds, and whether distinct counts and medians keep their stated error."""
-    long = rows.select(F.explode(F.array(*[F.struct(F.lit(c).alias("column_name"), F.col(c).cast("double").alias("v"))
-                                           for c in _LINEITEM_NUMBERS])).alias("e")).select("e.*")
     mid = catalog.filter(F.col("column_name").isin(*_LINEITEM_NUMBERS)).withColumn("median", F.col("quantiles")[1])
-    joined = long.join(F.broadcast(mid.select("column_name", "median")), "column_name")      # one row a column
-    ranks = joined.groupBy("column_name").agg(
-        F.avg((F.col("v") < F.col("median")).cast("int")).alias("below"), F.avg((F.col("v") <= F.col("median")).cast("int")).alias("upto"))
+    medians = mid.agg(*[F.max(F.when(F.col("column_name") == c, F.col("median"))).alias(f"__m_{c}") for c in _LINEITEM_NUMBERS])
+    held = rows.select(*_LINEITEM_NUMBERS).crossJoin(F.broadcast(medians))      # one row
+    below = [F.avg((F.col(c).cast("double") < F.col(f"__m_{c}")).cast("int")).alias(f"below_{c}") for c in _LINEITEM_NUMBERS]
+    upto = [F.avg((F.col(c).cast("double") <= F.col(f"__m_{c}")).cast("int")).alias(f"upto_{c}") for c in _LINEITEM_NUMBERS]
+    ranks = held.agg(F.count(F.lit(1)).alias("n"), *below, *upto).filter("n > 0").select(F.explode(F.array(*[
+        F.struct(F.lit(c).alias("column_name"), F.col(f"below_{c}").alias("below"), F.col(f"upto_{c}").alias("upto"))
+        for c in _LINEITEM_NUMBERS])).alias("e")).select("e.*")
     exact = profile_columns(TableSet({"t": rows.select(*_LINEITEM_NUMBERS)}), samples=False).select(
         "column_name", F.col("unique_count").alias("exact_count"))
     return mid.join(ranks, "column_name").join(exact, "column_name").select(
@@ -83,12 +85,14 @@ def p5_store(spark, sf_dir):
 
 @register("S14_running_catalog_of_a_stream", _bounds_sql())
 def s14_running(spark, sf_dir):
-    """lineitem arrives as eight files, three a micro-batch; the state after the last batch describes the whole table."""
+    """lineitem arrives as eight files, three a micro-batch (as many more of both as the table is larger); the state after the last
+    batch describes the whole table."""
     rows = tables(spark, sf_dir, "lineitem").plain("lineitem")
     data = scratch_path(spark, "stream-data")
-    rows.repartitionByRange(8, "l_orderkey").write.parquet(data)
+    files = files_for(rows, 8)
+    rows.repartitionByRange(files, "l_orderkey").write.parquet(data)
     return _held_against_rows(run_folder_catalog(spark, data, rows.schema, scratch_path(spark, "stream-catalog"),
-                                                 max_files_per_trigger=3), rows)
+                                                 max_files_per_trigger=-(-3 * files // 8)), rows)
 
 
 _BY_SOURCE = [f"""SELECT source, '{c}' AS column_name, COUNT(*) AS row_count, COUNT(*) - COUNT({c}) AS null_count,
@@ -100,8 +104,10 @@ def s14_by_source(spark, sf_dir):
     """One catalogue per source of documents, kept by one stream."""
     docs = tables(spark, sf_dir, "documents").plain("documents")
     data = scratch_path(spark, "stream-data")
-    docs.repartitionByRange(4, "doc_id").write.parquet(data)
-    got = run_folder_catalog(spark, data, docs.schema, scratch_path(spark, "stream-catalog"), by=["source"], max_files_per_trigger=2)
+    files = files_for(docs, 4, rows_per_file=20_000)      # rows of whole texts
+    docs.repartitionByRange(files, "doc_id").write.parquet(data)
+    got = run_folder_catalog(spark, data, docs.schema, scratch_path(spark, "stream-catalog"), by=["source"],
+                             max_files_per_trigger=-(-files // 2))
     exact = reduce(DataFrame.unionByName, [
         docs.groupBy("source").agg(F.count_distinct(c).alias("exact_count")).withColumn("column_name", F.lit(c))
         for c in ("doc_id", "text", "lang", "n_chars")]).withColumnRenamed("source", "s").withColumnRenamed("column_name", "c")
