@@ -4,7 +4,8 @@ Two multinomials over ``buckets`` hash buckets of word and character-trigram fea
 document labelled 1) and the raw corpus (every document).  A document's score is the mean over its features of
 log p_target(bucket) / p_raw(bucket); it passes if the score reaches one threshold, taken from the scores of all labelled
 documents (:func:`learn_threshold`).  Both multinomials are smoothed with ``alpha`` per bucket.  Every document is scored
-over its whole text.  Labels are joined by Spark and never come to the driver.
+over its whole text.  Labels are joined by Spark and never come to the driver, save as a bitmap of fixed size that tells which
+texts need not move to them (:func:`may_hold`).
 
 Each task turns a slice of texts into word ids; features are computed once per distinct word of the slice.  Null text
 has no words: it fails the base rules and scores 0.  An empty table gives no rows; without labelled documents the
@@ -28,6 +29,8 @@ from tabsight.operators.quantiles import exact_quantiles
 BUCKETS = 1 << 16
 #: share of the trusted documents that the threshold may reject
 TRUSTED_LOSS = 0.002
+#: slots of the bitmap that rules documents without a label out before a join (4 MB)
+SLOTS = 1 << 25
 
 _SYMBOLS = "[#*$%&|<>]"
 
@@ -43,37 +46,33 @@ def word_features(words: pa.Array, buckets: int):
 
 
 def feature_counts(docs: DataFrame, buckets: int = BUCKETS) -> DataFrame:
-    """(bucket, n_raw, n_target) over all documents; ``docs`` has text and the boolean column target."""
+    """(bucket, n) over the column text of all rows."""
 
     @lean
     def run(batches):
-        total = np.zeros((2, buckets), dtype=np.int64)
+        total = np.zeros(buckets, dtype=np.int64)
         for b in batches:
-            tgt = b.column(b.schema.get_field_index("target")).to_numpy(zero_copy_only=False).astype(bool)
-            for lo, texts in text_slices(b):
-                doc, word, words = split_words(texts)
+            for _, texts in text_slices(b):
+                _, word, words = split_words(texts)
                 if not len(word):
                     continue
-                times = [np.bincount(sel, minlength=len(words)) for sel in (word, word[tgt[lo:lo + len(texts)][doc]])]
+                times = np.bincount(word, minlength=len(words))
                 for w, h in word_features(words, buckets):
-                    for k, n in enumerate(times):
-                        total[k] += np.bincount(h, weights=n[w], minlength=buckets).astype(np.int64)
-        at = np.flatnonzero(total[0])
+                    total += np.bincount(h, weights=times[w], minlength=buckets).astype(np.int64)
+        at = np.flatnonzero(total)
         if len(at):
-            yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(total[0][at]), pa.array(total[1][at])],
-                                             names=["bucket", "n_raw", "n_target"])
+            yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(total[at])], names=["bucket", "n"])
 
-    part = docs.select(F.col("text").cast("string").alias("text"), "target").mapInArrow(
-        run, "bucket bigint, n_raw bigint, n_target bigint")
-    return part.groupBy("bucket").agg(F.sum("n_raw").alias("n_raw"), F.sum("n_target").alias("n_target"))
+    part = docs.select(F.col("text").cast("string").alias("text")).mapInArrow(run, "bucket bigint, n bigint")
+    return part.groupBy("bucket").agg(F.sum("n").alias("n"))
 
 
-def ratio_table(rows, buckets: int = BUCKETS, alpha: float = 0.5) -> np.ndarray:
-    """log p_target / p_raw per bucket from (bucket, n_raw, n_target) rows."""
+def ratio_table(raw_rows, target_rows, buckets: int = BUCKETS, alpha: float = 0.5) -> np.ndarray:
+    """log p_target / p_raw per bucket from the (bucket, n) rows of all documents and of the target's."""
     raw, tgt = np.full(buckets, alpha), np.full(buckets, alpha)
-    for b, r, t in rows:
-        raw[b] += r
-        tgt[b] += t
+    for counts, rows in ((raw, raw_rows), (tgt, target_rows)):
+        for b, n in rows:
+            counts[b] += n
     if tgt.sum() <= alpha * buckets:
         return np.zeros(buckets)
     return np.log(tgt / tgt.sum()) - np.log(raw / raw.sum())
@@ -208,11 +207,30 @@ class QualityModel:
         return (n_words < self.min_words) | (100 * n_repeat_words > self.max_repeat_pct * n_words)
 
 
+def may_hold(docs: DataFrame, ids: DataFrame, key: str, slots: int = SLOTS) -> DataFrame:
+    """The rows of ``docs`` whose bigint column ``key`` is, or by its hash may be, in the bigint column ``key`` of ``ids``.
+
+    A bitmap of hashes, a broadcast of at most ``slots`` / 8 bytes whatever the number of ids, rules out the others where they lie;
+    with n ids about n / slots of them stay.  A join with the ids settles these."""
+    slot = F.xxhash64(key).bitwiseAND(F.lit(slots - 1))
+    page, bit = F.shiftright(slot, 15), slot.bitwiseAND(F.lit((1 << 15) - 1))     # Spark's bitmaps are of 4 KB
+    pages = (ids.select(page.alias("__page"), bit.alias("__bit")).repartition("__page")
+             .groupBy("__page").agg(F.bitmap_construct_agg("__bit").alias("__bits")))
+    byte = F.substring("__bits", F.floor(bit / 8).cast("int") + 1, F.lit(1))
+    held = F.getbit(F.conv(F.hex(byte), 16, 10).cast("int"), (bit % 8).cast("int")) == 1
+    return docs.withColumn("__page", page).join(F.broadcast(pages), "__page").filter(held).select(*docs.columns)
+
+
 def learn_ratios(docs: DataFrame, marks: DataFrame, buckets: int = BUCKETS) -> np.ndarray:
-    """The raw model from all of ``docs``, the target model from all documents that ``marks`` has with quality 1."""
-    flagged = (docs.select(iid().alias("doc"), "text").join(marks, "doc", "left")
-               .withColumn("target", F.coalesce(F.col("quality") == 1, F.lit(False))))
-    return ratio_table([tuple(r) for r in feature_counts(flagged, buckets).collect()], buckets)   # <= buckets rows
+    """The raw model from all of ``docs``, the target model from all documents that ``marks`` has with quality 1.
+
+    Texts are counted where they lie; only those that may be the target's move to their labels.  The hint keeps that join the same at
+    every size: no list of ids goes through the driver."""
+    trusted = marks.filter("quality = 1").select("doc")
+    target = may_hold(docs.select(iid().alias("doc"), "text"), trusted, "doc")
+    target = target.join(trusted.hint("merge"), "doc")      # ids are unique there; a semi join would be moved below the bitmap
+    raw, tgt = ([tuple(r) for r in feature_counts(d, buckets).collect()] for d in (docs, target))   # <= buckets rows each
+    return ratio_table(raw, tgt, buckets)
 
 
 def learn_threshold(spark: SparkSession, measured: DataFrame, marks: DataFrame, model: QualityModel, loss: float = TRUSTED_LOSS) -> float:
@@ -231,7 +249,7 @@ def learn_quality(spark: SparkSession, docs: DataFrame, labels: DataFrame, bucke
     """The models and the threshold from all documents and all labels."""
     marks = label_marks(labels)
     model = QualityModel(learn_ratios(docs, marks, buckets), -np.inf, min_words, max_repeat_pct)
-    known = docs.select(iid().alias("doc_id"), "text").join(marks.select(F.col("doc").alias("doc_id")), "doc_id", "left_semi")
+    known = may_hold(docs.select(iid().alias("doc_id"), "text"), marks.select(F.col("doc").alias("doc_id")), "doc_id")
     model.threshold = learn_threshold(spark, text_measures(known, model.ratios), marks, model, loss)
     return model
 
